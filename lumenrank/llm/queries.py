@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, tokens
+from . import mixing, sharding, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_words", "n_passages", "best_first", "best_last", "best_ln_e")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -28,13 +33,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.token_lengths(_table(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fingerprint"), "component_id")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = tokens.write_tokens(_table(spark, sf_dir, "documents"))
     return tokens.read_tokens(manifest, folder)
 
 
 def queries() -> dict[str, Query]:
-    found = [op6_mix_sources, op7_shard, op8_token_counts, op10_token_output]
+    found = [op1_toxicity, op6_mix_sources, op7_shard, op8_token_counts, op9_simhash, op10_token_output]
     return {f.__name__: f for f in found}
 
 
