@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, prepare, shared_path
+from .common import BLOCK_BYTES, materialise, prepare, shared_path
 
 #: Appended to each document by the writer.
 END_ID = 2
-#: Pieces whose ids a worker remembers; beyond it forgets all and goes on.
-REMEMBERED = 300_000
-#: Pieces longer than this are not remembered.
+#: Parts of texts whose ids a worker remembers; beyond that, what was not used since as many were learned is forgotten.
+REMEMBERED = 450_000
+#: A text whose parts are longer than this on average is encoded in one piece.
 LONGEST_PIECE = 64
 
 
 class Encoder:
     """Ids of whole texts as arrays of little-endian unsigned 32-bit integers, equal to the library's own."""
 
+    kept: ClassVar[dict[str, Encoder]] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -44,48 +47,80 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        #: Ids whose bytes begin with a space; the byte-level alphabet writes a space so.
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    @classmethod
+    def of(cls, path: str | None) -> Encoder:
+        """The worker's encoder for this vocabulary: its memory outlives a task."""
+        path = _local_tokenizer(path)
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: list[str], into: dict[str, bytes | None], lead: str) -> None:
-        if len(into) > REMEMBERED:
-            into.clear()
-        got = self.tokenizer.encode_batch_fast([lead + m for m in missing], add_special_tokens=False)
-        for m, e in zip(missing, got, strict=True):
-            # After the space that cuts, white space or nothing: such a cut could change the ids.
-            into[m] = None if lead and (not m or m[0].isspace()) else np.array(e.ids, dtype="<u4").tobytes()
+    def _learn(self, wanted: set[str]) -> None:
+        """Make the parts known: from the older half of the memory, else by encoding the unknown ones in one text."""
+        if len(self.ids) > REMEMBERED:
+            self.older, self.ids = self.ids, {}
+        known, older = self.ids, self.older
+        fresh = []
+        for m in wanted.difference(known):
+            if m in older:
+                known[m] = older[m]
+            elif not m or m[0].isspace():
+                known[m] = None  # white space after the space that cuts: such a cut could change the ids
+            else:
+                fresh.append(m)
+        if not fresh:
+            return
+        ids = np.array(self.tokenizer.encode(" " + " ".join(fresh), add_special_tokens=False).ids, dtype="<u4")
+        at = np.append(np.flatnonzero(self.leads[ids]), len(ids)) * 4
+        if len(at) != len(fresh) + 1:
+            raise AssertionError("a part has a space of its own")
+        raw = ids.tobytes()
+        known.update((m, raw[i:j]) for m, i, j in zip(fresh, at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            held, end = 0, at
+            while end < len(texts) and (end == at or held + len(texts[end]) <= BLOCK_BYTES):
+                held += len(texts[end])
+                end += 1
+            out.extend(self._block(texts[at:end]))
+            at = end
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        parts: list[list[str] | None] = []
+        wanted: set[str] = set()
+        for text in texts:
+            p = None if any(s in text for s in self.special) else text.split(" ")
+            if p is not None and len(text) > LONGEST_PIECE * len(p):
+                p = None
+            if p is not None:
+                wanted.update(p[1:])
+            parts.append(p)
+        self._learn(wanted)
+        get, out = self.ids.__getitem__, []
+        for text, p in zip(texts, parts, strict=True):
+            try:
+                got = None if p is None else b"".join(map(get, p[1:]))
+            except TypeError:
+                got = None
+            out.append(self.whole(text) if got is None else (self.whole(p[0]) if p[0] else b"") + got)
+        return out
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        known = self.ids
-        try:
-            tail = b"".join(map(known.__getitem__, rest))
-        except TypeError:
-            return self.whole(text)
-        except KeyError:
-            missing = list({r for r in rest if r not in known})
-            if any(len(m) > LONGEST_PIECE for m in missing):
-                return self.whole(text)
-            self._learn(missing, known, " ")
-            if any(r not in known for r in rest):  # forgotten just now
-                return self.whole(text)
-            if any(known[r] is None for r in rest):
-                return self.whole(text)
-            tail = b"".join(known[r] for r in rest)
-        if not head and rest:
-            return self.whole(text) if not rest[0] or rest[0][0].isspace() else tail
-        start = self.first.get(head)
-        if start is None:
-            start = self.whole(head)
-            if len(head) <= LONGEST_PIECE:
-                if len(self.first) > REMEMBERED // 8:
-                    self.first.clear()
-                self.first[head] = start
-        return start + tail
+        return self.encode_all([text])[0]
 
 
 def _local_tokenizer(path: str | None) -> str:
@@ -101,9 +136,9 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_ids: int =
     prepare(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_local_tokenizer(tokenizer))
+        encoder = Encoder.of(tokenizer)
         for b in batches:
-            n = [len(encoder.encode(t or "")) // 4 + end_ids for t in b.column(1).to_pylist()]
+            n = [len(x) // 4 + end_ids for x in encoder.encode_all([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -215,7 +250,7 @@ def _write(folder: str, tokenizer: str | None, end: int):
         import xxhash
         import zstandard
 
-        encoder, pack = Encoder(_local_tokenizer(tokenizer)), zstandard.ZstdCompressor(level=1)
+        encoder, pack = Encoder.of(tokenizer), zstandard.ZstdCompressor(level=1)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
@@ -223,8 +258,9 @@ def _write(folder: str, tokenizer: str | None, end: int):
         out, ids, table, total = None, [], [], 0
         for b in batches:
             out = out or files.open_output_stream(f"{root}/{name}", compression=None)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(encoder.encode(text or ""), dtype="<u4")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, coded in zip(b.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                got = np.frombuffer(coded, dtype="<u4")
                 got = np.append(got, np.uint32(end)).astype("<u2" if width == 2 else "<u4")
                 raw = got.tobytes()
                 frame = pack.compress(raw)
@@ -282,4 +318,5 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
                 f.close()
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return manifest.select("file", "start").repartition(F.col("file")).mapInArrow(read, schema)
+    # A task for about every file: a number that is given is not coalesced.
+    return manifest.select("file", "start").repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)

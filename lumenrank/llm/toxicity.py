@@ -1,6 +1,6 @@
 """Operator 1: toxic passages by maximum-scoring segments over token log-odds, calibrated by extreme-value theory.
 
-Model: for each word, and each beginning of a word of 3 to 8 letters, the documents of either label that have it are
+Model: for each word, and each beginning of a word of 4 to 8 letters, the documents of either label that have it are
 counted. A Dirichlet prior drawn from the background (both labels together) smooths the two rates; their log-odds are
 the token's score if a likelihood-ratio test finds it telling. A word takes the score of its most telling feature.
 
@@ -38,14 +38,16 @@ TRAIN_ROWS = 20_000
 FEATURES = 50_000
 #: Strength of the Dirichlet prior, in documents.
 PRIOR = 20.0
-#: Likelihood ratio (2 ln) from which a token is telling, and the least log-odds that are used.
-TELLING, LEAST = 14.0, 0.7
+#: A token is telling from a likelihood ratio (2 ln) of TELLING, and more where many tokens are tested: 2 ln(tested) - 4.
+TELLING = 14.0
+#: The least log-odds that are used: weaker tokens tell languages and styles apart rather than toxicity.
+LEAST = 2.0
 #: What every word costs a segment.
 DRIFT = 0.05
 FOLDS = 3
 THRESHOLD = 0.7
 WORDS = re.compile(r"\w+")
-PREFIXES = range(3, 9)
+PREFIXES = range(4, 9)
 #: Words whose score a worker remembers.
 REMEMBERED = 300_000
 
@@ -169,7 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _select(names: np.ndarray, y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> dict[str, tuple[float, float]]:
+def _select(names: np.ndarray, y1: np.ndarray, y0: np.ndarray, n1: float, n0: float, telling: float) -> dict[str, tuple[float, float]]:
     """Feature -> (how telling, log-odds)."""
     if not n1 or not n0:
         return {}
@@ -180,7 +182,7 @@ def _select(names: np.ndarray, y1: np.ndarray, y0: np.ndarray, n1: float, n0: fl
         g = 2 * (term(y1, a) + term(y0, b) + term(n1 - y1, n1 - a) + term(n0 - y0, n0 - b))
         prior = PRIOR * both / (n1 + n0)
         odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
-    keep = (g >= TELLING) & (np.abs(odds) >= LEAST) & (both > 0) & ((odds < 0) | (y1 >= 3))
+    keep = (g >= telling) & (np.abs(odds) >= LEAST) & (both > 0) & ((odds < 0) | (y1 >= 3))
     best = np.argsort(-g[keep], kind="stable")[:FEATURES]
     return {f: (float(x), float(o)) for f, x, o in zip(names[keep][best], g[keep][best], odds[keep][best], strict=True)}
 
@@ -200,19 +202,30 @@ def _lambda(values: np.ndarray, weights: np.ndarray) -> float:
     return min(max(lo, 0.2), 5.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Weights of a logistic curve (bias, and two that are not negative) by damped Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
+    """Weights of a logistic curve (bias, and two that are not negative): Newton steps, each halved until it helps."""
     design = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-        grad = design.T @ (p - y) + ridge * w * [0, 1, 1]
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag([1e-6, ridge, ridge])
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-8:
+    penalty = np.array([1e-6, ridge, ridge])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * w * w))
+
+    w = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        grad = design.T @ (p - y) + penalty * w
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        step, size, now = np.linalg.solve(hess, grad), 1.0, loss(w)
+        while size > 1e-6:
+            nxt = w - size * step
+            nxt[1:] = np.maximum(nxt[1:], 0)
+            if loss(nxt) < now - 1e-10:
+                break
+            size /= 2
+        else:
             break
+        w = nxt
     return float(w[0]), float(w[1]), float(w[2])
 
 
@@ -225,8 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not n[:, 0].sum() or not n[:, 1].sum():
         return Model()
     sums = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"y{f}{t}") for f in range(FOLDS) for t in (0, 1)]
-    counts = sample.mapInArrow(_count, "feature string, fold int, toxic int, n long").groupBy("feature").agg(*sums)
     y1, y0 = (sum(F.col(f"y{f}{t}") for f in range(FOLDS)) for t in (1, 0))
+    counts = sample.mapInArrow(_count, "feature string, fold int, toxic int, n long").groupBy("feature").agg(*sums)
+    counts = materialise(counts.where(y1 + y0 >= 3), "counts")
+    telling = max(TELLING, 2 * math.log(max(1, counts.count())) - 4)
     # Only what can be telling comes to the driver: a rate in toxic documents far from the rate in others.
     rate = float(n[:, 1].sum() / n.sum())
     expected = (y1 + y0) * rate
@@ -235,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     table = likely.orderBy(strength.desc(), "feature").limit(FEATURES).toPandas()
     names = table["feature"].to_numpy()
     y = np.stack([[table[f"y{f}{t}"].to_numpy(dtype=float) for t in (0, 1)] for f in range(FOLDS)])
-    fit = lambda f: _select(names, *(y.sum(0)[t] - (y[f][t] if f is not None else 0) for t in (1, 0)), *(n.sum(0)[t] - (n[f][t] if f is not None else 0) for t in (1, 0)))
+    fit = lambda f: _select(names, *(y.sum(0)[t] - (y[f][t] if f is not None else 0) for t in (1, 0)), *(n.sum(0)[t] - (n[f][t] if f is not None else 0) for t in (1, 0)), telling)
     fold_models = [Model(fit(f)) for f in range(FOLDS)]
     shared = spark.sparkContext.broadcast(fold_models)
 
