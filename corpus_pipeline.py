@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenrank.llm import mixing, sharding
+from lumenrank.llm import mixing, sharding, simhash, tiling, toxicity
 from lumenrank.llm.common import materialise
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic by a model of the labelled ones."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group that SimHash fingerprints link."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return tiling.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target mixture takes them."""
     return mixing.mixed_documents(docs)
@@ -18,7 +33,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(docs)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [("toxicity", reject_toxic), ("near-dedup", deduplicate), ("decontamination", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: Toxicity, SimHash linking, tiling and pivotal rounding have no SQL form; tests compare with brute force.
 ORACLE_SQL = None

@@ -3,7 +3,8 @@
 Texts are encoded by the tokenizers library. A worker remembers the ids of the pieces it has met: the byte-level
 pre-tokenizer never joins a character that isn't white space with a following space, so a text may be cut before every space
 that a character other than white space follows, and the ids of the parts are the ids of the whole. A text with a
-special token's string or other runs of white space is encoded in one piece.
+special token's string or other runs of white space is encoded in one piece. A line break that stands alone between
+other characters is cut before in the same way.
 
 Defined results: a null text counts as empty; an empty text has no ids but the end id; equal doc_ids are documents of
 their own, in the order of their text's hash; an empty table gives an empty result and no files.
@@ -30,7 +31,7 @@ from .common import BLOCK_BYTES, materialise, prepare, shared_path
 #: Appended to each document by the writer.
 END_ID = 2
 #: Parts of texts whose ids a worker remembers; beyond that, what was not used since as many were learned is forgotten.
-REMEMBERED = 450_000
+REMEMBERED = 600_000
 #: A text whose parts are longer than this on average is encoded in one piece.
 LONGEST_PIECE = 64
 
@@ -48,10 +49,11 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
-        #: Ids whose bytes begin with a space; the byte-level alphabet writes a space so.
+        # Ids whose bytes begin with a space or a line break, as the byte-level alphabet writes them.
         vocabulary = self.tokenizer.get_vocab()
-        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.spaces, self.breaks = (np.zeros(max(vocabulary.values()) + 1, dtype=bool) for _ in range(2))
+        for lead, table in (("\u0120", self.spaces), ("\u010a", self.breaks)):
+            table[[i for t, i in vocabulary.items() if t.startswith(lead)]] = True
 
     @classmethod
     def of(cls, path: str | None) -> Encoder:
@@ -69,22 +71,36 @@ class Encoder:
         if len(self.ids) > REMEMBERED:
             self.older, self.ids = self.ids, {}
         known, older = self.ids, self.older
-        fresh = []
+        spaced, lined = [], []
         for m in wanted.difference(known):
             if m in older:
                 known[m] = older[m]
+            elif m[:1] == "\n":
+                if len(m) < 2 or m[1].isspace():
+                    known[m] = None
+                else:
+                    lined.append(m)
             elif not m or m[0].isspace():
                 known[m] = None  # white space after the space that cuts: such a cut could change the ids
             else:
-                fresh.append(m)
-        if not fresh:
-            return
-        ids = np.array(self.tokenizer.encode(" " + " ".join(fresh), add_special_tokens=False).ids, dtype="<u4")
-        at = np.append(np.flatnonzero(self.leads[ids]), len(ids)) * 4
-        if len(at) != len(fresh) + 1:
-            raise AssertionError("a part has a space of its own")
-        raw = ids.tobytes()
-        known.update((m, raw[i:j]) for m, i, j in zip(fresh, at[:-1].tolist(), at[1:].tolist(), strict=True))
+                spaced.append(m)
+        for fresh, joined, leads in ((spaced, " " + " ".join(spaced), self.spaces), (lined, "".join(lined), self.breaks)):
+            if fresh:
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+                at = np.append(np.flatnonzero(leads[ids]), len(ids)) * 4
+                if len(at) != len(fresh) + 1:
+                    raise AssertionError("a part has a second lead")
+                raw = ids.tobytes()
+                known.update((m, raw[i:j]) for m, i, j in zip(fresh, at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    def _parts(self, text: str) -> list[str] | None:
+        """The text cut before single spaces, and before line breaks where those stand alone; None: don't cut."""
+        if any(s in text for s in self.special) or " \n" in text or text.startswith("\n"):
+            return None
+        if "\n" in text and "\n\n" not in text and "\n " not in text:
+            text = text.replace("\n", " \n")
+        parts = text.split(" ")
+        return None if len(text) > LONGEST_PIECE * len(parts) else parts
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -103,9 +119,7 @@ class Encoder:
         parts: list[list[str] | None] = []
         wanted: set[str] = set()
         for text in texts:
-            p = None if any(s in text for s in self.special) else text.split(" ")
-            if p is not None and len(text) > LONGEST_PIECE * len(p):
-                p = None
+            p = self._parts(text)
             if p is not None:
                 wanted.update(p[1:])
             parts.append(p)
