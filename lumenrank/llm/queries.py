@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, licenses, mixing, sharding, simhash, tiling, tokens, toxicity
+from . import covertree, licenses, mixing, sharding, simhash, suffixdedup, tiling, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_words", "n_passages", "best_first", "best_last", "best_ln_e")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +61,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op3_cover_tree, op4_licenses, op5_decontaminate, op6_mix_sources, op7_shard, op8_token_counts, op9_simhash, op10_token_output]
+    found = [op1_toxicity, op2_suffix_dedup, op3_cover_tree, op4_licenses, op5_decontaminate, op6_mix_sources, op7_shard, op8_token_counts, op9_simhash, op10_token_output]
     return {f.__name__: f for f in found}
 
 
