@@ -13,6 +13,7 @@ their own, in the order of their text's hash; an empty table gives an empty resu
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -34,6 +35,8 @@ END_ID = 2
 REMEMBERED = 600_000
 #: A text whose parts are longer than this on average is encoded in one piece.
 LONGEST_PIECE = 64
+#: ASCII punctuation, as it may end a part.
+PUNCTUATION = string.punctuation
 
 
 class Encoder:
@@ -49,6 +52,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.endings: dict[str, bytes] = {}
         # Ids whose bytes begin with a space or a line break, as the byte-level alphabet writes them.
         vocabulary = self.tokenizer.get_vocab()
         self.spaces, self.breaks = (np.zeros(max(vocabulary.values()) + 1, dtype=bool) for _ in range(2))
@@ -71,7 +75,9 @@ class Encoder:
         if len(self.ids) > REMEMBERED:
             self.older, self.ids = self.ids, {}
         known, older = self.ids, self.older
-        spaced, lined = [], []
+        lined: list[str] = []
+        spaced: set[str] = set()
+        ended: list[tuple[str, str]] = []
         for m in wanted.difference(known):
             if m in older:
                 known[m] = older[m]
@@ -83,8 +89,19 @@ class Encoder:
             elif not m or m[0].isspace():
                 known[m] = None  # white space after the space that cuts: such a cut could change the ids
             else:
-                spaced.append(m)
-        for fresh, joined, leads in ((spaced, " " + " ".join(spaced), self.spaces), (lined, "".join(lined), self.breaks)):
+                # Punctuation after a letter or digit is a piece of its own: a word is learned once for all its endings.
+                word = m.rstrip(PUNCTUATION)
+                if word and word != m and word[-1].isalnum():
+                    ended.append((m, word))
+                    if word not in known:
+                        if word in older:
+                            known[word] = older[word]
+                        else:
+                            spaced.add(word)
+                else:
+                    spaced.add(m)
+        words = list(spaced)
+        for fresh, joined, leads in ((words, " " + " ".join(words), self.spaces), (lined, "".join(lined), self.breaks)):
             if fresh:
                 ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
                 at = np.append(np.flatnonzero(leads[ids]), len(ids)) * 4
@@ -92,6 +109,16 @@ class Encoder:
                     raise AssertionError("a part has a second lead")
                 raw = ids.tobytes()
                 known.update((m, raw[i:j]) for m, i, j in zip(fresh, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        for m, word in ended:
+            known[m] = known[word] + self._ending(m[len(word) :])
+
+    def _ending(self, marks: str) -> bytes:
+        got = self.endings.get(marks)
+        if got is None:
+            got = self.whole(marks)
+            if len(self.endings) < 10_000:
+                self.endings[marks] = got
+        return got
 
     def _parts(self, text: str) -> list[str] | None:
         """The text cut before single spaces, and before line breaks where those stand alone; None: don't cut."""
@@ -247,13 +274,27 @@ class TokenFile:
         self.doc_ids = np.frombuffer(self.plain.decompress(body[1:]), dtype="<i8")
 
     def read(self, k: int) -> np.ndarray:
+        return self.read_many(np.array([k]))[0]
+
+    def read_many(self, ks: np.ndarray) -> list[np.ndarray]:
+        """The ids of some documents; frames that stand side by side are fetched in one piece."""
         import xxhash
 
-        self.file.seek(int(self.starts[k]))
-        got = self.plain.decompress(self.file.read(int(self.table[k, 0])), max_output_size=max(1, int(self.table[k, 1])))
-        if len(got) != self.table[k, 1] or xxhash.xxh64_intdigest(got) & 0xFFFFFFFF != self.table[k, 2]:
-            raise ValueError(f"frame {k} of {self.path} is damaged")
-        return np.frombuffer(got, dtype="<u2" if self.width == 2 else "<u4").astype("<u4")
+        out, at = [], 0
+        while at < len(ks):
+            end = at + 1
+            while end < len(ks) and ks[end] == ks[end - 1] + 1 and self.starts[ks[end] + 1] - self.starts[ks[at]] <= BLOCK_BYTES:
+                end += 1
+            first = int(self.starts[ks[at]])
+            self.file.seek(first)
+            piece = memoryview(self.file.read(int(self.starts[ks[end - 1] + 1]) - first))
+            for k in ks[at:end].tolist():
+                got = self.plain.decompress(piece[int(self.starts[k]) - first : int(self.starts[k + 1]) - first], max_output_size=max(1, int(self.table[k, 1])))
+                if len(got) != self.table[k, 1] or xxhash.xxh64_intdigest(got) & 0xFFFFFFFF != self.table[k, 2]:
+                    raise ValueError(f"frame {k} of {self.path} is damaged")
+                out.append(np.frombuffer(got, dtype="<u2" if self.width == 2 else "<u4").astype("<u4"))
+            at = end
+        return out
 
     def close(self) -> None:
         self.file.close()
@@ -324,7 +365,7 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
                 chosen = np.arange(len(lengths)) if keep is None else np.flatnonzero(np.isin(f.doc_ids, keep))
                 for at in range(0, len(chosen), 500):
                     part = chosen[at : at + 500]
-                    ids = [f.read(int(k)) for k in part]
+                    ids = f.read_many(part)
                     cols = [pa.array(f.doc_ids[part]), pa.array(starts[part]), pa.array(lengths[part].astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                     if with_ids:
                         cols.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
