@@ -1,3 +1,208 @@
-from .base import Registry
+"""Metrics and losses over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import vectors as V
+from ..operators import fusion, metrics
+from .base import Registry, Tables, r6
+from .retrieval import dense, dense_sql
+
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
+add = _R.add
+
+_QRELS = "qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CASE WHEN a.vec_id % 10 = b.vec_id % 10 THEN 2.0::DOUBLE ELSE 1.0 END AS rel FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)"
+
+
+def qrels(t: Tables):
+    a = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    b = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
+    same = F.col("query_id") % 10 == F.col("doc_id") % 10
+    return a.join(b, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.when(same, 2.0).otherwise(1.0).alias("rel"))
+
+
+_METRICS = f"""{dense_sql(100)}, {_QRELS},
+ideal_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS i FROM qrels),
+ideal AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN rel / log2(i + 1) ELSE 0 END) AS ideal10, sum(CASE WHEN i <= 100 THEN rel / log2(i + 1) ELSE 0 END) AS ideal100 FROM ideal_r GROUP BY ALL),
+h AS (SELECT d.query_id, d.rank, q.rel, row_number() OVER (PARTITION BY d.query_id ORDER BY rank) AS nth FROM dense d JOIN qrels q ON d.query_id = q.query_id AND d.doc_id = q.doc_id),
+g AS (SELECT query_id, min(rank) AS first, {', '.join(f'sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) AS dcg{k}, sum(CASE WHEN rank <= {k} THEN nth / rank::DOUBLE ELSE 0 END) AS ap{k}' for k in (10, 100))}, {', '.join(f'sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS hits{k}' for k in (1, 5, 10, 100))} FROM h GROUP BY ALL),
+m AS (SELECT i.query_id, relevant, coalesce(first, 0) AS first_relevant_rank, coalesce(dcg10, 0) / ideal10 AS ndcg_10, coalesce(dcg100, 0) / ideal100 AS ndcg_100, CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END AS mrr_10,
+{', '.join(f'coalesce(hits{k}, 0) / {k}.0::DOUBLE AS precision_{k}, least(coalesce(hits{k}, 0), 1)::DOUBLE AS hit_{k}' for k in (1, 5, 10))},
+coalesce(ap10, 0) / least(10, relevant) AS map_10, coalesce(ap100, 0) / least(100, relevant) AS map_100, coalesce(hits10, 0) / relevant::DOUBLE AS recall_10, coalesce(hits100, 0) / relevant::DOUBLE AS recall_100 FROM ideal i LEFT JOIN g USING (query_id))"""
+_NAMES = [f"{m}_{k}" for m, ks in (("ndcg", (10, 100)), ("mrr", (10,)), ("precision", (1, 5, 10)), ("hit", (1, 5, 10)), ("map", (10, 100)), ("recall", (10, 100))) for k in ks]
+
+
+def _metrics(t: Tables):
+    return metrics.per_query(dense(t, 100), qrels(t))
+
+
+@add(f"WITH {_METRICS} SELECT query_id, relevant, first_relevant_rank, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM m")
+def retrieval_metrics_per_query(t: Tables):
+    return _metrics(t).select("query_id", "relevant", "first_relevant_rank", *[r6(n, n) for n in _NAMES])
+
+
+@add(f"WITH {_METRICS} SELECT count(*) AS queries, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)} FROM m")
+def retrieval_metrics_summary(t: Tables):
+    return metrics.summary(_metrics(t)).select("queries", *[r6(n, n) for n in _NAMES])
+
+
+@add(f"WITH {_METRICS} SELECT query_id, first_relevant_rank FROM m WHERE first_relevant_rank = 0 OR first_relevant_rank > 2")
+def failing_queries(t: Tables):
+    return metrics.failing(_metrics(t), 2).select("query_id", "first_relevant_rank")
+
+
+@add(f"WITH {dense_sql(5)}, {_QRELS} SELECT d.query_id, string_agg(d.rank || ':' || d.doc_id || ':' || (coalesce(rel, 0)::INT), ' ' ORDER BY rank) AS top_k FROM dense d LEFT JOIN qrels q ON d.query_id = q.query_id AND d.doc_id = q.doc_id GROUP BY ALL")
+def per_query_diagnostics(t: Tables):
+    text = F.array_join(F.transform("top_k", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["doc_id"].cast("string"), x["rel"].cast("int").cast("string"))), " ")
+    return metrics.diagnostics(dense(t, 5), qrels(t), 5).select("query_id", text.alias("top_k"))
+
+
+_PAIRS = "pairs AS (SELECT n_chars // 200 - 5 AS score, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS target, source AS query_id, doc_id FROM documents JOIN labels USING (doc_id))"
+
+
+def _pairs(t: Tables):
+    p = t.documents.select("doc_id", "source", "n_chars").join(t.labels, "doc_id")
+    return p.select((F.floor(F.col("n_chars") / 200) - 5).alias("score"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("target"), F.col("source").alias("query_id"), "doc_id")
+
+
+@add(f"WITH {_PAIRS} SELECT round(avg(CASE WHEN target > 0 THEN score END), 6) AS mean_positive, round(avg(CASE WHEN target <= 0 THEN score END), 6) AS mean_negative, round(avg(CASE WHEN target > 0 THEN score END) - avg(CASE WHEN target <= 0 THEN score END), 6) AS margin, round(avg(CASE WHEN (CASE WHEN target > 0 THEN score > 0 ELSE score < 0 END) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pairs")
+def pair_metrics(t: Tables):
+    return metrics.pair_eval(_pairs(t)).select(*[r6(c, c) for c in ("mean_positive", "mean_negative", "margin", "accuracy")])
+
+
+@add(f"WITH {_PAIRS}, c AS (SELECT score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r, target FROM pairs), s AS (SELECT sum(CASE WHEN target > 0 THEN r ELSE 0 END) AS s, count(*) FILTER (target > 0) AS p, count(*) FILTER (target <= 0) AS q FROM c) SELECT round((s - p * (p + 1) / 2.0) / (p * q), 6) AS auc FROM s")
+def roc_auc(t: Tables):
+    return metrics.roc_auc(_pairs(t)).select(r6("auc", "auc"))
+
+
+@add(
+    f"""WITH {_PAIRS}, g AS (SELECT score, count(*) FILTER (target > 0) AS p, count(*) FILTER (target <= 0) AS q FROM pairs GROUP BY score),
+c AS (SELECT score, sum(p) OVER w + sum(q) OVER () - sum(q) OVER w AS good, sum(q) OVER () AS base, sum(p + q) OVER () AS n FROM g WINDOW w AS (ORDER BY score DESC)),
+b AS (SELECT max(good) AS best, max(base) AS base, max(n) AS n, max(score) AS top FROM c)
+SELECT CASE WHEN best > base THEN (SELECT max(score) FROM c WHERE good = best) ELSE top END AS threshold, round(greatest(best, base) / n, 6) AS accuracy FROM b"""
+)
+def best_threshold(t: Tables):
+    return metrics.best_threshold(_pairs(t)).select("threshold", r6("accuracy", "accuracy"))
+
+
+@add(
+    f"""WITH {_PAIRS}, b AS (SELECT query_id, max(CASE WHEN target > 0 THEN score END) AS best FROM pairs GROUP BY ALL), r AS (SELECT query_id, 1 + count(*) FILTER (target <= 0 AND score > best) AS rank FROM pairs JOIN b USING (query_id) WHERE best IS NOT NULL GROUP BY ALL)
+SELECT count(*) AS queries, round(avg((rank <= 1)::INT), 6) AS top1, round(avg((rank <= 5)::INT), 6) AS top5, round(avg((rank <= 10)::INT), 6) AS top10, round(avg(1.0 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank FROM r"""
+)
+def grouped_rank_metrics(t: Tables):
+    return metrics.grouped_rank(_pairs(t)).select("queries", *[r6(c, c) for c in ("top1", "top5", "top10", "mrr", "mean_rank")])
+
+
+_ALL = "c AS (SELECT a.vec_id AS q, b.vec_id AS d, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, a.vec_id = b.vec_id AS is_target FROM embeddings a JOIN embeddings b ON a.vec_id < 60 AND b.vec_id < 60 AND a.label = b.label)"
+
+
+def _contrast(t: Tables):
+    """A batch of sixty vectors, all of one label as each other's candidates."""
+    a = t.embeddings.where("vec_id < 60")
+    x = a.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
+    y = a.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y"), "label")
+    m = x.join(y, "label")
+    return m.select("q", "d", V.cosine(F.col("x"), F.col("y")).alias("score"), (F.col("q") == F.col("d")).alias("is_target"))
+
+
+@add(f"WITH {_ALL} SELECT round(avg(CASE WHEN is_target THEN score END), 6) AS mean_positive, round(avg(CASE WHEN NOT is_target THEN score END), 6) AS mean_negative, round(avg(CASE WHEN (CASE WHEN is_target THEN score > 0 ELSE score < 0 END) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM c")
+def contrastive_eval(t: Tables):
+    p = _contrast(t).withColumn("target", F.when(F.col("is_target"), 1).otherwise(-1))
+    return metrics.pair_eval(p).select(*[r6(c, c) for c in ("mean_positive", "mean_negative", "accuracy")])
+
+
+_SOFT = "e AS (SELECT *, exp((score - max(score) OVER (PARTITION BY q)) / {t}) AS e FROM c), p AS (SELECT *, e / sum(e) OVER (PARTITION BY q) AS p FROM e)"
+
+
+@add(f"WITH {_ALL}, {_SOFT.format(t='0.05')} SELECT q, round(-ln(greatest(p, 1e-12)), 6) + 0.0 AS loss FROM p WHERE is_target")
+def loss_info_nce(t: Tables):
+    return metrics.info_nce(_contrast(t), "q").select("q", r6("loss", "loss"))
+
+
+@add(f"WITH {_ALL} SELECT round(avg(0.5 * (score - CASE WHEN is_target THEN 1 ELSE -1 END) * (score - CASE WHEN is_target THEN 1 ELSE -1 END)), 6) AS loss FROM c")
+def loss_pair_mse(t: Tables):
+    d = F.col("score") - F.when(F.col("is_target"), 1.0).otherwise(-1.0)
+    return _contrast(t).agg(r6(F.avg(0.5 * d * d), "loss"))
+
+
+@add(f"WITH {_ALL}, e AS (SELECT *, exp(score - max(score) OVER w) AS m, exp(d % 7 / 7.0::DOUBLE - max(d % 7 / 7.0::DOUBLE) OVER w) AS t FROM c WINDOW w AS (PARTITION BY q)), p AS (SELECT q, m / sum(m) OVER w AS pm, t / sum(t) OVER w AS pt FROM e WINDOW w AS (PARTITION BY q)) SELECT q, round(sum(-pt * ln(greatest(pm, 1e-12))), 6) + 0.0 AS loss FROM p GROUP BY q")
+def loss_teacher(t: Tables):
+    return metrics.teacher_loss(_contrast(t).withColumn("teacher", F.col("d") % 7 / 7.0), "q").select("q", r6("loss", "loss"))
+
+
+@add(
+    f"""WITH {_ALL}, t AS (SELECT *, d % 7 / 7.0::DOUBLE AS teacher FROM c), w AS (SELECT *, max(CASE WHEN is_target THEN teacher END) OVER (PARTITION BY q) AS tp, max(CASE WHEN is_target THEN score END) OVER (PARTITION BY q) AS pos FROM t),
+g AS (SELECT q, max(pos) AS pos, max(CASE WHEN NOT is_target AND teacher < tp THEN score END) AS neg FROM w GROUP BY q)
+SELECT q, round(CASE WHEN neg IS NULL THEN 0 ELSE 0.5 * pow(greatest(0, 1.2 - (pos - neg)), 2) END, 6) + 0.0 AS loss FROM g"""
+)
+def loss_rank_margin(t: Tables):
+    c = metrics.rank_margin(_contrast(t).withColumn("teacher", F.col("d") % 7 / 7.0), "q", 1.2)
+    return c.select("q", r6("loss", "loss"))
+
+
+@add(
+    f"""WITH {_ALL}, {_SOFT.format(t='0.05')}, g AS (SELECT q, -ln(greatest(p, 1e-12)) AS l FROM p WHERE is_target), a AS (SELECT avg(l) AS grouped FROM g),
+e2 AS (SELECT x.vec_id AS q, x.vec_id = y.vec_id AS is_target, exp((list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) - 1) / 0.05) AS e FROM embeddings x JOIN embeddings y ON x.vec_id < 60 AND y.vec_id < 60),
+b AS (SELECT avg(-ln(greatest(l, 1e-12))) AS whole FROM (SELECT q, sum(e) FILTER (is_target) / sum(e) AS l FROM e2 GROUP BY q))
+SELECT round(grouped, 6) AS grouped, round(whole, 6) AS global, round(whole + 0.25 * grouped, 6) AS hybrid FROM a, b"""
+)
+def loss_hybrid_info_nce(t: Tables):
+    """All sixty as candidates, plus a quarter of the loss within a label."""
+    a = t.embeddings.where("vec_id < 60")
+    m = a.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x")).join(a.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y")))
+    m = m.select("q", V.cosine(F.col("x"), F.col("y")).alias("score"), (F.col("q") == F.col("d")).alias("is_target"))
+    g = metrics.info_nce(_contrast(t), "q").agg(F.avg("loss").alias("g"))
+    w = metrics.info_nce(m, "q").agg(F.avg("loss").alias("w"))
+    return g.crossJoin(w).select(r6("g", "grouped"), r6("w", "global"), r6(F.col("w") + 0.25 * F.col("g"), "hybrid"))
+
+
+@add(
+    """WITH m AS (SELECT list_cosine_similarity(x, y) AS c, list_distance(x, y) AS d, list_max(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))) AS m FROM (SELECT embedding::DOUBLE[] AS x, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding::DOUBLE[], lambda v: v * 1.5 + 0.25) ELSE embedding::DOUBLE[] END AS y FROM embeddings))
+SELECT count(*) AS n, round(avg(c), 6) AS mean_cosine, round(min(c), 6) AS min_cosine, round(avg(d), 6) AS mean_l2, round(max(d), 6) AS max_l2, round(max(m), 6) AS max_abs, count(*) FILTER (m > 0) AS changed FROM m"""
+)
+def vector_movement(t: Tables):
+    a = t.embeddings.select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"))
+    b = a.select("id", F.when(F.col("id") % 3 == 0, F.transform("v", lambda x: x * 1.5 + 0.25)).otherwise(F.col("v")).alias("v"))
+    m = metrics.movement(a, b)
+    return m.select("n", *[r6(c, c) for c in ("mean_cosine", "min_cosine", "mean_l2", "max_l2", "max_abs")], "changed")
+
+
+@add(f"WITH {dense_sql(10)}, {dense_sql(10, '-list_distance(x, y)', 'lex')} SELECT d.query_id, count(*) AS overlap, round(count(*) / 10.0, 6) AS share FROM dense d JOIN lex l ON d.query_id = l.query_id AND d.doc_id = l.doc_id GROUP BY ALL")
+def rank_overlap(t: Tables):
+    b = dense(t, 10).join(dense(t, 10, "l2").select("query_id", "doc_id"), ["query_id", "doc_id"])
+    return b.groupBy("query_id").agg(F.count("*").alias("overlap")).select("query_id", "overlap", r6(F.col("overlap") / 10.0, "share"))
+
+
+@add("SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY ALL")
+def latency_percentiles(t: Tables):
+    p = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY value)").alias(n) for s, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    return t.events.groupBy("event_type").agg(*p).select("event_type", *[r6(n, n) for n in ("p50", "p95", "p99")])
+
+
+@add("WITH v AS (SELECT n_chars AS value, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT d AS decile, value FROM v, range(1, 10) r(d) WHERE i = d * n // 10")
+def deciles(t: Tables):
+    return metrics.deciles(t.documents, "n_chars")
+
+
+@add(
+    f"""WITH {dense_sql(10)}, {dense_sql(10, '-list_distance(x, y)', 'lex')}, {_QRELS},
+b AS (SELECT query_id, count(rel) / 10.0::DOUBLE AS p FROM dense d LEFT JOIN qrels q USING (query_id, doc_id) GROUP BY ALL), o AS (SELECT query_id, count(rel) / 10.0::DOUBLE AS p FROM lex d LEFT JOIN qrels q USING (query_id, doc_id) GROUP BY ALL),
+x AS (SELECT o.p - b.p AS d, greatest(o.p, b.p) AS g FROM b JOIN o USING (query_id))
+SELECT count(*) FILTER (d > 1e-12) AS improved, count(*) FILTER (d < -1e-12) AS regressed, count(*) FILTER (abs(d) <= 1e-12) AS tied, round(avg(d), 6) + 0.0 AS mean_delta, round(min(d), 6) + 0.0 AS min_delta, round(max(d), 6) + 0.0 AS max_delta, round(avg(g), 6) AS oracle FROM x"""
+)
+def fusion_calibration(t: Tables):
+    one = lambda r: r.join(qrels(t), ["query_id", "doc_id"], "left").groupBy("query_id").agg((F.count("rel") / 10.0).alias("ndcg"))
+    c = fusion.calibration(one(dense(t, 10)), one(dense(t, 10, "l2")))
+    return c.select("improved", "regressed", "tied", *[r6(n, n) for n in ("mean_delta", "min_delta", "max_delta", "oracle")])
+
+
+@add("WITH s AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a FROM embeddings) SELECT vec_id, round((a - avg(a) OVER (PARTITION BY label)) / CASE WHEN var_pop(a) OVER (PARTITION BY label) < 1e-12 THEN 1 ELSE stddev_pop(a) OVER (PARTITION BY label) END, 6) + 0.0 AS z FROM s")
+def group_zscore(t: Tables):
+    w = W.partitionBy("label")
+    a = F.get("embedding", F.lit(0)).cast("double")
+    s = t.embeddings.select("vec_id", "label", a.alias("a"))
+    sd = F.when(F.var_pop("a").over(w) < 1e-12, 1.0).otherwise(F.stddev_pop("a").over(w))
+    return s.select("vec_id", r6((F.col("a") - F.avg("a").over(w)) / sd, "z"))

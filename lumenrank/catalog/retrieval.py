@@ -1,3 +1,279 @@
-from .base import Registry
+"""Ranking and fusion over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import fusion, ranking
+from .base import Registry, Tables, r6
+
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
+add = _R.add
+
+_WORDS = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{Nd}}]+')"
+
+
+def dense(t: Tables, k: int, metric: str = "dot", width: int = 64):
+    cut = lambda c: F.slice(c, 1, width)
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), cut("embedding").alias("x"))
+    d = t.embeddings.select(F.col("vec_id").alias("doc_id"), cut("embedding").alias("y"))
+    return ranking.dense_top_k(q, d, k, metric, digits=6)
+
+
+def dense_sql(k: int, score: str = "list_inner_product(x, y)", name: str = "dense", digits: int = 6) -> str:
+    return f"""{name}_s AS (SELECT query_id, doc_id, round({score}, {digits}) + 0.0 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0)),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_s QUALIFY rank <= {k})"""
+
+
+_RANKED = "query_id", "doc_id", "score", "rank"
+
+
+@add(f"WITH {dense_sql(10)} SELECT query_id, doc_id, score, rank FROM dense")
+def dense_topk(t: Tables):
+    return dense(t, 10)
+
+
+@add(f"WITH {dense_sql(10, 'list_cosine_similarity(x, y)')} SELECT query_id, doc_id, score, rank FROM dense")
+def cosine_topk(t: Tables):
+    return dense(t, 10, "cosine")
+
+
+@add(f"WITH {dense_sql(10, '-list_distance(x, y)')} SELECT query_id, doc_id, score, rank FROM dense")
+def l2_topk(t: Tables):
+    return dense(t, 10, "l2")
+
+
+@add(f"WITH {dense_sql(10)} SELECT query_id, doc_id, score, rank FROM dense")
+def dense_topk_blocks(t: Tables):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    d = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y"))
+    return ranking.dense_top_k_blocks(q, d, 10).select("query_id", "doc_id", r6("score", "score"), "rank")
+
+
+@add(
+    """WITH p AS (SELECT vec_id, label, CASE WHEN n = 0 THEN v ELSE list_transform(v, lambda x: x / n) END AS v FROM (SELECT vec_id, label, embedding[1:16]::DOUBLE[] AS v, sqrt(list_inner_product(embedding[1:16]::DOUBLE[], embedding[1:16]::DOUBLE[])) AS n FROM embeddings)),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_inner_product(a.v, b.v), 6) + 0.0 AS score FROM p a JOIN p b ON a.vec_id % 25 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
+)
+def prefix_topk(t: Tables):
+    e = t.embeddings.select("vec_id", V.prefix(F.col("embedding"), 16).alias("v"))
+    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("x"))
+    return ranking.dense_top_k(q, e.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("y")), 10, digits=6)
+
+
+def bm25_sql(where: str = "", name: str = "bm25") -> str:
+    """Scores of all pairs that share a term, as CTEs."""
+    w = _WORDS.format(t="text")
+    return f"""docs_t AS (SELECT doc_id, CASE WHEN len({w}) = 0 THEN [''] ELSE {w} END AS t FROM documents),
+len_t AS (SELECT doc_id, len(t) AS length FROM docs_t), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM len_t),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM docs_t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({w}) AS term FROM benchmark {where}) GROUP BY ALL),
+{name}_s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (0.9 + 1) / (tf + 0.9 * (1 - 0.4 + 0.4 * length / mean))), 6) AS score
+  FROM asked JOIN post USING (term) JOIN df USING (term) JOIN len_t USING (doc_id), stats GROUP BY ALL)"""
+
+
+def bm25_index(t: Tables) -> ranking.Bm25:
+    return ranking.Bm25(t.documents)
+
+
+def benchmark(t: Tables):
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+
+
+@add(f"WITH {bm25_sql()} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_s QUALIFY rank <= 10")
+def bm25_topk(t: Tables):
+    return bm25_index(t).top_k(benchmark(t), 10, zero_fill=False)
+
+
+@add(
+    f"""WITH {bm25_sql()}, f AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(score, 0) AS score, score IS NULL AS none FROM benchmark b CROSS JOIN documents d LEFT JOIN bm25_s s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY none, score DESC, doc_id) AS rank FROM f QUALIFY rank <= 950"""
+)
+def bm25_topk_zero_fill(t: Tables):
+    return bm25_index(t).top_k(benchmark(t), 950)
+
+
+_POSITIVE = """positives AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)))"""
+
+
+def positives(t: Tables):
+    """Documents that hold the first 40 characters of an item: the small side is the items."""
+    b = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("head"))
+    return t.documents.join(b, F.contains(F.col("text"), F.col("head"))).select("query_id", "doc_id")
+
+
+@add(f"WITH {bm25_sql()}, {_POSITIVE}, k AS (SELECT * FROM bm25_s s ANTI JOIN positives p ON s.query_id = p.query_id AND s.doc_id = p.doc_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 10")
+def bm25_topk_without_positives(t: Tables):
+    return bm25_index(t).top_k(benchmark(t), 10, zero_fill=False, without=positives(t))
+
+
+@add(f"WITH {bm25_sql()} SELECT doc_id, length, round(mean, 6) AS mean FROM len_t, stats")
+def bm25_lengths(t: Tables):
+    i = bm25_index(t)
+    return i.lengths.crossJoin(i.stats.select(r6("mean", "mean")))
+
+
+@add(f"WITH {bm25_sql()}, w AS (SELECT doc_id, term, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM post JOIN df USING (term), stats) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
+def sparse_tfidf(t: Tables):
+    return ranking.sparse_features(t.documents).select("doc_id", "term", r6("weight", "weight"))
+
+
+@add(f"WITH {bm25_sql()} SELECT doc_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * length / mean)), 6) AS weight FROM post JOIN df USING (term) JOIN len_t USING (doc_id), stats")
+def sparse_bm25_dot(t: Tables):
+    return ranking.sparse_features(t.documents, "bm25").select("doc_id", "term", r6("weight", "weight"))
+
+
+_CHILD = f"WITH {dense_sql(100000, digits=9)}, c AS (SELECT query_id, doc_id // 5 AS doc_id, doc_id AS child_id, score FROM dense_s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, child_id) AS r, count(*) OVER (PARTITION BY query_id, doc_id) AS children FROM c)"
+
+
+def children(t: Tables):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    d = t.embeddings.select(F.floor(F.col("vec_id") / 5).alias("doc_id"), F.col("vec_id").alias("child_id"), F.col("embedding").alias("y"))
+    return d.join(q).select("query_id", "doc_id", "child_id", r6(V.dot(F.col("x"), F.col("y")), "score", 9))
+
+
+for _how, _n, _penalty in (("max", 1, 0.0), ("top2", 2, 0.0), ("top3", 3, 0.1), ("top5", 5, 0.05)):
+
+    def _make(how=_how, penalty=_penalty):
+        return lambda t: ranking.multivector(children(t), how, penalty)
+
+    _f = _make()
+    _f.__name__ = f"multivector_{_how}"
+    add(f"{_CHILD} SELECT query_id, doc_id, round(avg(score) - {_penalty} * ln(1 + max(children)), 6) + 0.0 AS score, min_by(child_id, r) AS best_child, max(children) AS children FROM r WHERE r <= {_n} GROUP BY query_id, doc_id")(_f)
+
+
+@add(
+    f"""WITH {dense_sql(5)} SELECT query_id, string_agg(doc_id::VARCHAR || ':' || label::VARCHAR, ',' ORDER BY rank) AS packed, count(*) AS n FROM dense JOIN embeddings ON vec_id = doc_id GROUP BY query_id"""
+)
+def candidate_table(t: Tables):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    d = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y"), "label")
+    scored = d.join(q).select("query_id", "doc_id", "label", r6(V.dot(F.col("x"), F.col("y")), "score"))
+    packed = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["doc_id"].cast("string"), c["label"].cast("string"))), ",")
+    return ranking.candidates(scored, 5, ["label"]).select("query_id", packed.alias("packed"), F.size("candidates").cast("long").alias("n"))
+
+
+# --- quantised: our own codebook, so there is no SQL; tests check ratios, quality by bits, and determinism -----------
+
+
+def _compact(t: Tables, bits: int, k: int):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    d = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y"))
+    return q, d, ranking.quantized_top_k(q, d, k, bits)
+
+
+for _bits in ranking.BITS:
+
+    def _make_q(bits=_bits):
+        return lambda t: _compact(t, bits, 10)[2]
+
+    _f = _make_q()
+    _f.__name__ = f"quantized_topk_q{_bits}"
+    add()(_f)
+
+
+@add(f"WITH {dense_sql(10)} SELECT query_id, doc_id, score, rank FROM dense")
+def quantized_rerank_dense(t: Tables):
+    """Fetches so many by 8-bit scores that the exact best ten are among them, then ranks those by exact scores."""
+    q, d, compact = _compact(t, 8, 200)
+    return ranking.rerank(q, d, compact, 200, 10).select(*_RANKED)
+
+
+@add()
+def quantized_rerank_half(t: Tables):
+    q, d, compact = _compact(t, 4, 200)
+    return ranking.rerank(q, ranking.half_vectors(d), compact, 200, 10).select(*_RANKED)
+
+
+@add()
+def quantized_boundary_rescue(t: Tables):
+    q, d, compact = _compact(t, 4, 200)
+    return ranking.rescue_boundary(ranking.rerank(q, ranking.half_vectors(d), compact, 200, 200)).select(*_RANKED, "compact_rank")
+
+
+# --- fusion: dot products against negative distances -----------------------------------------------------------------
+
+_BOTH = f"WITH {dense_sql(50)}, {dense_sql(50, '-list_distance(x, y)', 'lex')}, u AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.doc_id, l.doc_id) AS doc_id, d.score AS ds, d.rank AS dr, l.score AS ls, l.rank AS lr FROM dense d FULL JOIN lex l ON d.query_id = l.query_id AND d.doc_id = l.doc_id)"
+_ORDER = "row_number() OVER (PARTITION BY query_id ORDER BY {first}score DESC, dr NULLS LAST, lr NULLS LAST, doc_id) AS rank"
+_MM = "CASE WHEN {c} IS NULL THEN 0 WHEN max({c}) OVER q = min({c}) OVER q THEN 1 ELSE ({c} - min({c}) OVER q) / (max({c}) OVER q - min({c}) OVER q) END"
+_ZS = "CASE WHEN {c} IS NULL OR stddev_pop({c}) OVER q = 0 THEN 0 ELSE ({c} - avg({c}) OVER q) / stddev_pop({c}) OVER q END"
+
+
+def _fused_sql(score: str, first: str = "", top: str = "") -> str:
+    return f"{_BOTH}, f AS (SELECT *, round({score}, 6) + 0.0 AS score FROM u WINDOW q AS (PARTITION BY query_id)) SELECT query_id, doc_id, score, {_ORDER.format(first=first)} FROM f {top}"
+
+
+def _both(t: Tables):
+    return dense(t, 50), dense(t, 50, "l2")
+
+
+@add(_fused_sql(f"0.5 * ({_MM.format(c='ds')}) + 0.5 * ({_MM.format(c='ls')})"))
+def fuse_minmax(t: Tables):
+    return fusion.fuse(*_both(t), "minmax", alpha=0.5).select(*_RANKED)
+
+
+@add(_fused_sql(f"0.25 * ({_ZS.format(c='ds')}) + 0.75 * ({_ZS.format(c='ls')})"))
+def fuse_zscore(t: Tables):
+    return fusion.fuse(*_both(t), "zscore").select(*_RANKED)
+
+
+_RRF = "coalesce(1 / (60 + dr)::DOUBLE, 0) + coalesce({w} / (60 + lr)::DOUBLE, 0)"
+
+
+@add(_fused_sql(_RRF.format(w="1.0")))
+def fuse_rrf(t: Tables):
+    return fusion.fuse(*_both(t), "rrf").select(*_RANKED)
+
+
+@add(_fused_sql(_RRF.format(w="1.0"), "CASE WHEN dr <= 3 THEN dr END NULLS LAST, "))
+def fuse_prefix_protected(t: Tables):
+    return fusion.fuse(*_both(t), "rrf", protect=3).select(*_RANKED)
+
+
+@add(
+    f"""WITH {dense_sql(20)}, {dense_sql(20, '-list_distance(x, y)', 'lex')}, {dense_sql(20, 'list_cosine_similarity(x, y)', 'cos')},
+a AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS p, 0 AS l, rank FROM dense UNION ALL SELECT query_id, doc_id, 0.5 / (60 + rank), 1, rank FROM lex UNION ALL SELECT query_id, doc_id, 2.0 / (60 + rank), 2, rank FROM cos),
+s AS (SELECT query_id, doc_id, round(sum(p::DOUBLE), 9) AS score, min(CASE WHEN l = 0 THEN rank END) AS r0, min(CASE WHEN l = 1 THEN rank END) AS r1, min(CASE WHEN l = 2 THEN rank END) AS r2 FROM a GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM s"""
+)
+def fuse_weighted_rrf(t: Tables):
+    return fusion.weighted_rrf([(dense(t, 20), 1.0), (dense(t, 20, "l2"), 0.5), (dense(t, 20, "cosine"), 2.0)])
+
+
+@add(f"WITH {dense_sql(40)}, p AS (SELECT query_id, doc_id // 5 AS doc_id, min(rank) AS first FROM dense GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id) AS rank FROM p")
+def ranking_dedup(t: Tables):
+    return fusion.dedup_ranking(dense(t, 40).withColumn("doc_id", F.floor(F.col("doc_id") / 5)))
+
+
+@add(
+    f"""{_BOTH}, s AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) - coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS margin, max(score) - min(score) AS gap, stddev_pop(score) AS spread FROM dense WHERE rank <= 10 GROUP BY ALL),
+o AS (SELECT d.query_id, count(*) AS overlap, max(CASE WHEN d.rank = 1 AND l.rank = 1 THEN 1 ELSE 0 END) AS same_top FROM dense d JOIN lex l ON d.query_id = l.query_id AND d.doc_id = l.doc_id AND d.rank <= 10 AND l.rank <= 10 GROUP BY ALL)
+SELECT query_id, round(margin, 6) AS margin, round(gap, 6) AS gap, round(spread, 6) AS spread, coalesce(overlap, 0) AS overlap, coalesce(same_top, 0) AS same_top FROM s LEFT JOIN o USING (query_id)"""
+)
+def router_features(t: Tables):
+    f = fusion.router_features(*_both(t))
+    return f.select("query_id", *[r6(c, c) for c in ("margin", "gap", "spread")], F.col("overlap").cast("long").alias("overlap"), F.col("same_top").cast("long").alias("same_top"))
+
+
+@add(
+    f"""{_BOTH}, n AS (SELECT *, {_MM.format(c='ds')} AS nd, {_MM.format(c='ls')} AS nl FROM u WINDOW q AS (PARTITION BY query_id)),
+f AS (SELECT alpha, query_id, doc_id, dr, lr, round((1 - alpha) * nd + alpha * nl, 6) + 0.0 AS score FROM n, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) a(alpha)),
+r AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, dr NULLS LAST, lr NULLS LAST, doc_id) AS rank FROM f)
+SELECT alpha, round(avg(CASE WHEN q.label = d.label THEN 1.0 ELSE 0.0 END), 6) AS precision_10, sum(rank)::BIGINT AS ranks FROM r JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = doc_id WHERE rank <= 10 GROUP BY alpha"""
+)
+def fusion_grid(t: Tables):
+    """Every setting in one pass: the settings are a frame of five rows that the blended lists are joined with."""
+    from pyspark.sql import Window as W
+
+    u = fusion.union(*_both(t))
+    u = u.select("query_id", "doc_id", "dense_rank", "bm25_rank", fusion._minmax("dense_score").alias("nd"), fusion._minmax("bm25_score").alias("nl"))
+    grid = t.spark.createDataFrame([(a / 4,) for a in range(5)], "alpha double")
+    f = u.crossJoin(F.broadcast(grid)).withColumn("score", F.round((1 - F.col("alpha")) * F.col("nd") + F.col("alpha") * F.col("nl"), 6) + 0.0)
+    order = W.partitionBy("alpha", "query_id").orderBy(F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "doc_id")
+    r = f.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    label = t.embeddings.select("vec_id", "label")
+    r = r.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(label.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
+    return r.groupBy("alpha").agg(r6(F.avg((F.col("ql") == F.col("dl")).cast("double")), "precision_10"), F.sum("rank").cast("long").alias("ranks"))
