@@ -40,7 +40,7 @@ PUNCTUATION = string.punctuation
 
 
 class Encoder:
-    """Ids of whole texts as arrays of little-endian unsigned 32-bit integers, equal to the library's own."""
+    """Ids of whole texts, equal to the library's own, as little-endian unsigned integers of 2 bytes if all fit, else 4."""
 
     kept: ClassVar[dict[str, Encoder]] = {}
 
@@ -55,6 +55,8 @@ class Encoder:
         self.endings: dict[str, bytes] = {}
         # Ids whose bytes begin with a space or a line break, as the byte-level alphabet writes them.
         vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.spaces, self.breaks = (np.zeros(max(vocabulary.values()) + 1, dtype=bool) for _ in range(2))
         for lead, table in (("\u0120", self.spaces), ("\u010a", self.breaks)):
             table[[i for t, i in vocabulary.items() if t.startswith(lead)]] = True
@@ -68,7 +70,7 @@ class Encoder:
         return cls.kept[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn(self, wanted: set[str]) -> None:
         """Make the parts known: from the older half of the memory, else by encoding the unknown ones in one text."""
@@ -103,8 +105,8 @@ class Encoder:
         words = list(spaced)
         for fresh, joined, leads in ((words, " " + " ".join(words), self.spaces), (lined, "".join(lined), self.breaks)):
             if fresh:
-                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-                at = np.append(np.flatnonzero(leads[ids]), len(ids)) * 4
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
+                at = np.append(np.flatnonzero(leads[ids]), len(ids)) * self.width
                 if len(at) != len(fresh) + 1:
                     raise AssertionError("a part has a second lead")
                 raw = ids.tobytes()
@@ -152,12 +154,13 @@ class Encoder:
             parts.append(p)
         self._learn(wanted)
         get, out = self.ids.__getitem__, []
-        for text, p in zip(texts, parts, strict=True):
+        heads = self.tokenizer.encode_batch_fast([p[0] if p else "" for p in parts], add_special_tokens=False)
+        for text, p, head in zip(texts, parts, heads, strict=True):
             try:
                 got = None if p is None else b"".join(map(get, p[1:]))
             except TypeError:
                 got = None
-            out.append(self.whole(text) if got is None else (self.whole(p[0]) if p[0] else b"") + got)
+            out.append(self.whole(text) if got is None else np.array(head.ids, dtype=self.kind).tobytes() + got)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -179,7 +182,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_ids: int =
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for b in batches:
-            n = [len(x) // 4 + end_ids for x in encoder.encode_all([t or "" for t in b.column(1).to_pylist()])]
+            n = [len(x) // encoder.width + end_ids for x in encoder.encode_all([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -306,7 +309,7 @@ def _write(folder: str, tokenizer: str | None, end: int):
         import zstandard
 
         encoder, pack = Encoder.of(tokenizer), zstandard.ZstdCompressor(level=1)
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
+        width, last = encoder.width, np.array([end], dtype=encoder.kind).tobytes()
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.tok"  # one name per attempt: a task that is run again does no harm
@@ -315,14 +318,12 @@ def _write(folder: str, tokenizer: str | None, end: int):
             out = out or files.open_output_stream(f"{root}/{name}", compression=None)
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc, coded in zip(b.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
-                got = np.frombuffer(coded, dtype="<u4")
-                got = np.append(got, np.uint32(end)).astype("<u2" if width == 2 else "<u4")
-                raw = got.tobytes()
+                raw = coded + last
                 frame = pack.compress(raw)
                 out.write(frame)
                 table.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
                 ids.append(doc)
-                total += len(got)
+                total += len(raw) // width
         if out is None:
             return
         body = bytes([width]) + pack.compress(np.array(ids, dtype="<i8").tobytes())
