@@ -13,7 +13,7 @@ a sample of suffixes and what may repeat of the rest are ever sorted:
    spans (f). Sorted by (h, f, doc), a run that follows one of a smaller document with the same names is repeated as
    a whole. A run whose anchor occurs with other spans may be repeated in part, and is looked into; all others, by
    far the most, are unique.
-3. Of the runs to be looked into every string gets its name (two fingerprints, 128 bits). Sorted by (name, doc),
+3. Of the runs to be looked into every string gets its name (two fingerprints, 96 bits). Sorted by (name, doc),
    previous and next smaller documents within one name tell which strings are repeated.
 
 Tasks resolve what they can before they send anything: each sends a span, an anchor with several spans, and a
@@ -123,8 +123,8 @@ def _repeated_anchor(h: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 def _pack(*columns: np.ndarray) -> bytes:
     """Arrays of one length as bytes: fingerprints (unsigned) raw, all others as compressed differences."""
-    raw = b"".join(c.tobytes() for c in columns if c.dtype == np.uint64)
-    rest = b"".join(np.diff(c, prepend=c.dtype.type(0)).tobytes() for c in columns if c.dtype != np.uint64)
+    raw = b"".join(c.tobytes() for c in columns if c.dtype.kind == "u")
+    rest = b"".join(np.diff(c, prepend=c.dtype.type(0)).tobytes() for c in columns if c.dtype.kind != "u")
     return len(columns[0]).to_bytes(4, "little") + raw + zstandard.ZstdCompressor(level=1).compress(rest)
 
 
@@ -132,9 +132,9 @@ def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     at, out, later = 4, [], []
     for k in kinds:
-        if k is np.uint64:
+        if np.dtype(k).kind == "u":
             out.append(np.frombuffer(blob, dtype=k, count=n, offset=at))
-            at += 8 * n
+            at += np.dtype(k).itemsize * n
         else:
             out.append(None)
             later.append(len(out) - 1)
@@ -147,7 +147,7 @@ def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
 
 #: Entries that are packed: of step 2, of step 3, and results (doc, first start, strings).
 _RUN = [np.uint64, np.uint64, np.int64, np.int64, np.int32]
-_NAME = [np.uint64, np.uint64, np.int64, np.int64]
+_NAME = [np.uint64, np.uint32, np.int64, np.int64]
 _HIT = [np.int64, np.int64, np.int32]
 #: Rows that share a doc_id but not the text have a tag from this bit on in their starts; all others have tag 0.
 TAG = 42
@@ -289,7 +289,7 @@ def _name_strings(buckets: int, length: int):
         gone = doc > first
         yield from _by_bucket(REPEATED, doc[gone], buckets, [doc[gone], start[gone], np.ones(int(gone.sum()), np.int32)])
         keep = ~gone
-        yield from _by_bucket(ENTRY, a[keep], buckets, [a[keep], b[keep], doc[keep], start[keep]])
+        yield from _by_bucket(ENTRY, a[keep], buckets, [a[keep], b[keep].astype(np.uint32), doc[keep], start[keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
@@ -303,7 +303,7 @@ def _name_strings(buckets: int, length: int):
                 at = np.unique(at)
                 _, down = scan.powers(len(text) + 1)
                 names = [(s[at + length] - s[at]) * down[at] for s in (_names(text, scan._VALUES), _names(text, _SECOND))]
-                got.append((np.full(len(at), doc), at + (tags[r] << TAG), *names))
+                got.append((np.full(len(at), doc), at + (tags[r] << TAG), names[0], names[1] >> np.uint64(32)))
                 held += len(at)
                 if held >= 500_000:
                     yield _batch(list(resolve(got)))
@@ -379,7 +379,7 @@ def _removed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     # Normally empty: doc_ids that several texts share, whose places are told apart by a part of the text's key.
     shared = materialise(meta.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("doc_id").alias("d")), "shared")
     tag = F.when(F.col("d").isNotNull(), F.conv(F.substring("key", 1, 5), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
-    first = materialise(first.join(shared, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "key", tag.alias("tag")), "first")
+    first = materialise(first.join(shared, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "key", tag.alias("tag")), "first", "zstd")
     packed = first.where(F.octet_length("text") >= length).select("doc_id", "text", "tag").mapInArrow(_find_runs(buckets, length, gram), PACKED)
     found = materialise(packed.repartition(buckets, "bucket").mapInArrow(_join_runs, HITS), "runs")
     several = F.struct("start", "n")
