@@ -1,3 +1,96 @@
-from .base import Registry
+"""Planners, comparison and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..plans import gates as G
+from ..plans import planners as P
+from .base import Registry, Tables, r6
+
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
+add = _R.add
+
+
+@add(
+    """WITH s AS (SELECT o_orderkey AS id, 64 AS queries, o_orderkey % 4096 + 1 AS keys, o_custkey % 3 * 8 AS top_k, o_custkey % 2 * 32 AS block, 4 AS blocks FROM orders),
+p AS (SELECT *, least(keys, CASE WHEN top_k > 0 THEN top_k ELSE ceil(sqrt(keys)) END)::BIGINT AS used, CASE WHEN block > 0 THEN ceil(keys / greatest(block, 1)::DOUBLE) + least(keys, least(blocks, ceil(keys / greatest(block, 1)::DOUBLE)) * block) ELSE keys END::BIGINT AS scored FROM s)
+SELECT id, used, scored, scored * queries AS scores, round(scored / keys::DOUBLE, 6) AS score_fraction, round(used / keys::DOUBLE, 6) AS use_fraction, scored < keys AS sub_quadratic, scored / keys::DOUBLE <= 0.5 AND scored < keys AS passes FROM p"""
+)
+def attention_plan(t: Tables):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = t.orders.select(o.alias("id"), F.lit(64).cast("long").alias("queries"), (o % 4096 + 1).alias("keys"), (c % 3 * 8).alias("top_k"), (c % 2 * 32).alias("block"), F.lit(4).alias("blocks"))
+    p = P.gate_plan(P.attention_plan(s), 0.5, True)
+    return p.select("id", "used", "scored", "scores", r6("score_fraction", "score_fraction"), r6("use_fraction", "use_fraction"), "sub_quadratic", "passes")
+
+
+@add("WITH s AS (SELECT l, t, b FROM (VALUES (1), (12), (24)) l(l), (VALUES (128), (4096)) t(t), (VALUES (2), (4), (8)) b(b)) SELECT l AS layers, t AS tokens, b AS bits, l * t * 2 * 64 * 4 AS dense_bytes, (l * t * 2 * (64 * b / 8.0 + 4))::BIGINT AS packed_bytes, round(256 / (64 * b / 8.0 + 4), 6) AS ratio FROM s")
+def kv_memory_plan(t: Tables):
+    s = t.spark.createDataFrame([(layers, n, 64, b) for layers in (1, 12, 24) for n in (128, 4096) for b in (2, 4, 8)], "layers long, tokens long, dim long, bits long")
+    return P.kv_memory_plan(s).select("layers", "tokens", "bits", "dense_bytes", "packed_bytes", r6("ratio", "ratio"))
+
+
+@add(
+    """WITH s AS (SELECT * FROM (VALUES ('events', 5, 900, 5, 1, 128), ('series', 100, 1000, 16, 10, 128), ('short', 7, 3, 16, 10, 64)) s(name, parents, length, width, stride, dim)),
+g AS (SELECT *, parents * CASE WHEN length <= width THEN 1 ELSE 1 + ceil((length - width) / stride::DOUBLE)::BIGINT END AS n, dim * bits / 8.0 + 4 AS payload, CASE sidecar WHEN 'none' THEN 0 WHEN 'fp16' THEN 2 ELSE 4 END * dim AS side FROM s, (VALUES (2), (4), (8)) b(bits), (VALUES ('none'), ('fp16'), ('dense')) c(sidecar))
+SELECT name, bits, sidecar, n AS vectors, payload::BIGINT AS payload_bytes, (n * (payload + side + 8))::BIGINT AS packed_bytes, (n * (payload + side + 48))::BIGINT AS flat_bytes, round((payload + side + 8) / (dim * 4), 6) AS dense_multiple, round(dim * 4 / payload, 6) AS compression, floor(12288 / payload)::BIGINT AS fits FROM g"""
+)
+def storage_plan(t: Tables):
+    s = t.spark.createDataFrame([("events", 5, 900, 5, 1, 128), ("series", 100, 1000, 16, 10, 128), ("short", 7, 3, 16, 10, 64)], "name string, parents long, length long, width long, stride long, dim long")
+    b, c = t.spark.createDataFrame([(2,), (4,), (8,)], "bits long"), t.spark.createDataFrame([("none",), ("fp16",), ("dense",)], "sidecar string")
+    p = P.storage_plan(s, b, c).join(s.select("name", "dim"), "name")
+    return p.select("name", "bits", "sidecar", "vectors", "payload_bytes", "packed_bytes", "flat_bytes", r6("dense_multiple", "dense_multiple"), r6("compression", "compression"), P.fits(F.lit(12288), F.col("dim"), F.col("bits")).alias("fits"))
+
+
+@add("SELECT source, count(*) AS rows, CASE WHEN count(*) % 7 = 1 THEN count(*) // 7 ELSE ceil(count(*) / 7.0)::BIGINT END AS batches FROM documents GROUP BY ALL")
+def batch_estimates(t: Tables):
+    n = t.documents.groupBy("source").agg(F.count("*").alias("rows"))
+    return n.select("source", "rows", P.batch_estimate(F.col("rows"), 7).alias("batches"))
+
+
+@add(
+    """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS k, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0),
+x AS (SELECT q, k FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, k) <= 8), b AS (SELECT *, k // 16 AS block, count(*) OVER (PARTITION BY q) AS n FROM s),
+j AS (SELECT q, block, max(CASE WHEN k = block * 16 + (least(block * 16 + 16, n) - block * 16) // 2 THEN score END) AS anchor, avg(score) AS mean, avg(score) + stddev_pop(score) AS mean_radius, max(score) AS oracle, max(CASE WHEN k = block * 16 THEN score END) AS first FROM b GROUP BY ALL),
+l AS (SELECT q, block, mode, round(s, 9) AS s FROM (SELECT q, block, unnest(['anchor', 'mean', 'mean_radius', 'oracle', 'first']) AS mode, unnest([anchor, mean, mean_radius, oracle, first]) AS s FROM j)),
+t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY q, mode ORDER BY s DESC, block) <= 6)
+SELECT mode, round(count(*) / (8.0 * (SELECT count(DISTINCT q) FROM x)), 6) AS recall FROM x JOIN t ON x.q = t.q AND x.k // 16 = t.block GROUP BY mode"""
+)
+def routing_calibration(t: Tables):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
+    s = t.embeddings.select(F.col("vec_id").alias("k"), F.col("embedding").alias("y")).join(q).select("q", "k", F.round(V.dot(F.col("x"), F.col("y")), 9).alias("score"))
+    return P.routing_calibration(s, 16, 6, 8).select("mode", r6("recall", "recall"))
+
+
+_ORDERS = "SELECT o_orderstatus AS dataset, avg(o_totalprice) AS price, count(*)::DOUBLE AS orders FROM orders WHERE o_orderkey % 2 = {half} GROUP BY ALL"
+
+
+def _side(t: Tables, half: int):
+    return t.orders.where(F.col("o_orderkey") % 2 == half).groupBy(F.col("o_orderstatus").alias("dataset")).agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("orders"))
+
+
+@add(f"WITH a AS (UNPIVOT ({_ORDERS.format(half=0)}) ON price, orders INTO NAME metric VALUE value), b AS (UNPIVOT ({_ORDERS.format(half=1)}) ON price, orders INTO NAME metric VALUE value) SELECT dataset, metric, round(a.value, 4) AS old, round(b.value, 4) AS new, round(b.value - a.value, 4) + 0.0 AS delta, round(b.value / a.value, 6) AS ratio, b.value / a.value >= 0.99 AS passes FROM a JOIN b USING (dataset, metric)")
+def metrics_comparison(t: Tables):
+    old, new = (G.unpivot(_side(t, h), ["dataset"], ["price", "orders"]) for h in (0, 1))
+    c = G.compare(old, new, 0.99)
+    return c.select("dataset", "metric", r6("old", "old", 4), r6("new", "new", 4), r6("delta", "delta", 4), r6("ratio", "ratio"), "passes")
+
+
+@add(
+    f"""WITH a AS (UNPIVOT ({_ORDERS.format(half=0)}) ON price, orders INTO NAME metric VALUE value), g AS (SELECT * FROM (VALUES ('price', '>=', 150000.0::DOUBLE), ('orders', '<=', 3000.0), ('absent', '>=', 1.0)) g(metric, op, bound)), o AS (SELECT 'F' AS dataset, 'price' AS metric, '>=' AS op, 1.0::DOUBLE AS bound),
+r AS (SELECT d.dataset, g.* FROM g, (SELECT DISTINCT dataset FROM a) d ANTI JOIN o ON o.dataset = d.dataset AND o.metric = g.metric AND o.op = g.op UNION ALL SELECT dataset, metric, op, bound FROM o)
+SELECT r.dataset, r.metric, op, bound, round(value, 4) AS value, coalesce(CASE WHEN op = '>=' THEN value >= bound - 1e-6 ELSE value <= bound + 1e-6 END, false) AS passes FROM r LEFT JOIN a ON a.dataset = r.dataset AND a.metric = r.metric"""
+)
+def threshold_gate(t: Tables):
+    rules = t.spark.createDataFrame([(None, "price", ">=", 150000.0), (None, "orders", "<=", 3000.0), (None, "absent", ">=", 1.0), ("F", "price", ">=", 1.0)], "dataset string, metric string, op string, bound double")
+    g = G.gate(G.unpivot(_side(t, 0), ["dataset"], ["price", "orders"]), rules)
+    return g.select("dataset", "metric", "op", "bound", r6("value", "value", 4), "passes")
+
+
+@add(f"WITH a AS (UNPIVOT ({_ORDERS.format(half=0)}) ON price, orders INTO NAME metric VALUE value), b AS (UNPIVOT ({_ORDERS.format(half=1)}) ON price, orders INTO NAME metric VALUE value), c AS (SELECT metric, avg(value) AS current FROM b GROUP BY ALL), d AS (SELECT metric, avg(value) AS anchor FROM a GROUP BY ALL) SELECT metric, round(current, 4) AS current, round(anchor, 4) AS anchor, round(current - anchor, 4) + 0.0 AS delta, current >= anchor - 5 - 1e-6 AS passes FROM c JOIN d USING (metric)")
+def scoreboard_gate(t: Tables):
+    old, new = (_side(t, h).withColumn("seed", F.lit(1)) for h in (0, 1))
+    g = G.gate_scoreboard(new, old, ["price", "orders"], 5.0)
+    return g.select("metric", r6("current", "current", 4), r6("anchor", "anchor", 4), r6("delta", "delta", 4), "passes")

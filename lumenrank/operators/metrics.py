@@ -111,10 +111,13 @@ def nearest_rank(values: Column, share: float) -> Column:
 
 def deciles(values: DataFrame, column: str) -> DataFrame:
     """decile 1 to 9 and the value at place floor(d n / 10), counted from 0."""
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    at = values.select(F.col(column).alias("value"), (F.row_number().over(W.orderBy(column)) - 1).alias("i"), n.alias("n"))
-    d = at.withColumn("decile", F.explode(F.sequence(F.lit(1), F.lit(9))))
-    return d.where(F.col("i") == F.floor(F.col("decile") * F.col("n") / 10)).select(F.col("decile").cast("long").alias("decile"), "value")
+    from .ordering import place
+
+    n = values.agg(F.count("*").alias("n"))
+    asked = n.select(F.explode(F.sequence(F.lit(1), F.lit(9))).alias("decile"), "n")
+    at = place(values.select(F.col(column).alias("value")), F.col("value"), [], "i")
+    asked = asked.select("decile", F.floor(F.col("decile") * F.col("n") / 10).alias("i"))  # nine rows
+    return at.join(F.broadcast(asked), "i").select(F.col("decile").cast("long").alias("decile"), "value")
 
 
 # --- losses (forward values) ---------------------------------------------------------------------------------------
