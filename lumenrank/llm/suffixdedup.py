@@ -39,9 +39,9 @@ from . import scan
 from .common import blocks, drop_shared, materialise, prepare, text_column
 
 LENGTH = 50
-GRAM = 24
+GRAM = 28
 #: Bytes of text that a task gathers before it resolves and sends.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of text for each bucket of entries.
 BUCKET = 4 << 20
 _SEGMENT = 1 << 20
@@ -379,7 +379,7 @@ def _removed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     # Normally empty: doc_ids that several texts share, whose places are told apart by a part of the text's key.
     shared = materialise(meta.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("doc_id").alias("d")), "shared")
     tag = F.when(F.col("d").isNotNull(), F.conv(F.substring("key", 1, 5), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
-    first = materialise(first.join(shared, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "key", tag.alias("tag")), "first", "zstd")
+    first = materialise(first.join(shared, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "key", tag.alias("tag")), "first")
     packed = first.where(F.octet_length("text") >= length).select("doc_id", "text", "tag").mapInArrow(_find_runs(buckets, length, gram), PACKED)
     found = materialise(packed.repartition(buckets, "bucket").mapInArrow(_join_runs, HITS), "runs")
     several = F.struct("start", "n")
