@@ -17,10 +17,11 @@ QUERIES, SQL = _R.queries, _R.sql
 add = _R.add
 
 
-@add("SELECT l_orderkey AS query_id, l_partkey AS doc_id, arg_max(l_quantity, l_linenumber)::DOUBLE AS rel FROM lineitem GROUP BY ALL HAVING rel > 0")
+@add("SELECT * FROM (SELECT l_orderkey AS query_id, l_partkey AS doc_id, max_by(l_quantity, l_linenumber * 1000 + l_quantity)::DOUBLE AS rel FROM lineitem GROUP BY 1, 2) WHERE rel > 0")
 def qrels_last_wins(t: Tables):
-    rows = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_quantity").cast("double").alias("rel"), "l_linenumber")
-    return M.last_wins(rows, ["query_id", "doc_id"], "rel", "l_linenumber").where("rel > 0")
+    place = F.col("l_linenumber") * 1000 + F.col("l_quantity")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_quantity").cast("double").alias("rel"), place.alias("place"))
+    return M.last_wins(rows, ["query_id", "doc_id"], "rel", "place").where("rel > 0")
 
 
 @add("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -139,8 +140,8 @@ def quality_frontier(t: Tables):
 
 
 _FRONT = """WITH r AS (SELECT o_custkey % 50 AS query_id, o_orderstatus AS positive, o_orderkey AS pos, ['n' || (o_orderkey % 7), 'n' || (o_orderkey % 5)] AS n FROM orders),
-e AS (SELECT query_id, positive, pos, unnest(n) AS negative, unnest([0, 1]) AS k FROM r), f AS (SELECT query_id, positive, negative, min((pos, k)) AS at FROM e GROUP BY ALL)
-SELECT query_id, positive, array_to_string(list(negative ORDER BY at)[1:4], ',') AS negatives FROM f GROUP BY ALL"""
+e AS (SELECT query_id, positive, pos, unnest(n) AS negative, unnest([0, 1]) AS k FROM r), f AS (SELECT query_id, positive, negative, min((pos, k)) AS seen FROM e GROUP BY ALL)
+SELECT query_id, positive, array_to_string((list(negative ORDER BY seen))[1:4], ',') AS negatives FROM f GROUP BY query_id, positive"""
 
 
 @add(_FRONT)
@@ -157,10 +158,10 @@ def text_resolution(t: Tables):
     return M.resolve_texts(rows, t.documents.select("doc_id", "text")).select("conv_id", "turn", "doc_id")
 
 
-@add("WITH u AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING count(*) = 1) SELECT d.doc_id AS asked, u.doc_id FROM documents d LEFT JOIN u USING (text)")
+@add("WITH u AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING count(*) = 1) SELECT d.doc_id AS asked, coalesce(u.doc_id, -1) AS doc_id FROM documents d LEFT JOIN u USING (text)")
 def text_resolution_unambiguous(t: Tables):
     rows = t.documents.select(F.col("doc_id").alias("asked"), "text")
-    return M.resolve_texts(rows, t.documents.select("doc_id", "text"), unique=True).select("asked", "doc_id")
+    return M.resolve_texts(rows, t.documents.select("doc_id", "text"), unique=True).select("asked", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
 
 
 @add("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
@@ -233,11 +234,11 @@ def teacher_negative_pool(t: Tables):
     return T.negative_pool(candidates(t), 0.02)
 
 
-@add(f"WITH {_CAND}, two AS (SELECT example, slot, CASE WHEN slot = 0 THEN score + 0.1 ELSE score * 0.5 END AS score FROM c), m AS (SELECT example, max(CASE WHEN slot = 0 THEN score END) - max(CASE WHEN slot > 0 THEN score END) AS m FROM c GROUP BY ALL), m2 AS (SELECT example, max(CASE WHEN slot = 0 THEN score END) - max(CASE WHEN slot > 0 THEN score END) AS m FROM two GROUP BY ALL) SELECT c.example, c.slot, round((c.score + two.score) / 2, 6) + 0.0 AS score FROM c JOIN two ON c.example = two.example AND c.slot = two.slot WHERE c.example IN (SELECT example FROM m WHERE m >= -0.05) AND c.example IN (SELECT example FROM m2 WHERE m >= -0.05)")
+@add(f"WITH {_CAND}, two AS (SELECT example, slot, CASE WHEN slot = 0 THEN score + 0.1 ELSE score * 0.5 END AS score FROM c), m AS (SELECT example, max(CASE WHEN slot = 0 THEN score END) - max(CASE WHEN slot > 0 THEN score END) AS m FROM c GROUP BY ALL), m2 AS (SELECT example, max(CASE WHEN slot = 0 THEN score END) - max(CASE WHEN slot > 0 THEN score END) AS m FROM two GROUP BY ALL) SELECT c.example, c.slot, round((c.score + two.score) / 2, 9) + 0.0 AS score FROM c JOIN two ON c.example = two.example AND c.slot = two.slot WHERE c.example IN (SELECT example FROM m WHERE m >= -0.05) AND c.example IN (SELECT example FROM m2 WHERE m >= -0.05)")
 def teacher_agreement(t: Tables):
     c = candidates(t)
     two = c.withColumn("score", F.when(F.col("slot") == 0, F.col("score") + 0.1).otherwise(F.col("score") * 0.5))
-    return T.agreement([c, two], -0.05).select("example", "slot", r6("score", "score"))
+    return T.agreement([c, two], -0.05).select("example", "slot", r6("score", "score", 9))
 
 
 @add("SELECT substr(source, 1, 3) AS query, substr(text, 1, 30) AS candidate, max(n_chars)::DOUBLE AS score FROM documents GROUP BY ALL")
