@@ -12,6 +12,7 @@ their own, in the order of their text's hash; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import struct
@@ -32,7 +33,7 @@ from .common import BLOCK_BYTES, materialise, prepare, shared_path
 #: Appended to each document by the writer.
 END_ID = 2
 #: Parts of texts whose ids a worker remembers; beyond that, what was not used since as many were learned is forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: A text whose parts are longer than this on average is encoded in one piece.
 LONGEST_PIECE = 64
 #: ASCII punctuation, as it may end a part.
@@ -133,6 +134,16 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        # Nothing here makes cycles, and the collector would walk the lists of parts again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
