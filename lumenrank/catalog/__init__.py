@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, mining, planning, retrieval, tensors, texts
+from . import evaluation, extras, mining, planning, retrieval, tensors, texts
 
-_MODULES = (tensors, retrieval, evaluation, texts, mining, planning)
+_MODULES = (tensors, retrieval, evaluation, texts, mining, planning, extras)
 
 
 def queries() -> dict:
