@@ -26,8 +26,8 @@ from .common import materialise, prepare
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one fold rounds; the tree has log(n) / log(CHUNK) levels.
 CHUNK = 48
-#: A document is large if it has more than one part in LARGE of its source's words; a source has fewer than LARGE such.
-LARGE = 400
+#: Classes of size: of more than one part in so many of the source's words; a class has fewer documents than its number.
+CLASSES = (4, 12, 40, 400)
 #: Weights that sources get in their order, again and again.
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more often than this.
@@ -116,20 +116,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     wanted = base.join(goal, ["key", "none"]).withColumn("p", F.col("f") - F.floor("f"))
     # The fraction is the same for a whole source; documents of size 0 have nothing to move and take nothing.
     rest = (F.col("p") > 0) & (F.col("size") > 0)
-    large = F.col("size") * LARGE > F.col("source_size")
-    plain = wanted.where(~rest).select("key", "none", "doc_id", "n", "size", F.lit(0).cast("long").alias("extra"))
-    # Large documents are settled first. By how many words their rounding missed, the others' fraction is shifted,
-    # so what the source misses in the end is a part of one document that is not large.
-    first = _round(wanted.where(rest & large).withColumn("parts", _parts(F.lit(LARGE), chunk)), seed, chunk)
-    missed = first.join(goal, ["key", "none"]).groupBy("key", "none").agg(
-        F.sum((F.col("extra") - (F.col("f") - F.floor("f"))) * F.col("size")).alias("missed"), F.sum("size").alias("large_size")
-    )
-    shifted = materialise(goal.join(missed, ["key", "none"], "left").na.fill(0, ["missed", "large_size"]), "shifted")
-    others = F.greatest(F.col("source_size") - F.col("large_size"), F.lit(1))
-    fraction = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f") - F.floor("f") - F.col("missed") / others))
-    small = wanted.where(rest & ~large).drop("p", "source_size", "n_docs", "target", "f").join(shifted, ["key", "none"])
-    second = _round(small.withColumn("p", fraction).withColumn("parts", _parts(F.col("n_docs"), chunk)), seed + 1, chunk)
-    rounded = plain.unionByName(first).unionByName(second)
+    rounded = wanted.where(~rest).select("key", "none", "doc_id", "n", "size", F.lit(0).cast("long").alias("extra"))
+    # Documents are settled by classes of size, the largest first. By how many words a class missed, the fraction of
+    # all smaller documents is shifted, so what a source misses in the end is a part of one of its smallest documents.
+    level = sum((F.col("size") * k <= F.col("source_size")).cast("int") for k in CLASSES)
+    classed = materialise(wanted.where(rest).withColumn("class", level), "classed")
+    present = sorted(r[0] for r in classed.select("class").distinct().collect())  # at most len(CLASSES) + 1 numbers
+    missed = goal.select("key", "none", F.lit(0.0).alias("missed"))
+    for c in present:
+        left = classed.where(F.col("class") >= c).groupBy("key", "none").agg(F.sum("size").alias("left"))
+        shift = missed.join(left, ["key", "none"]).select("key", "none", (F.col("missed") / F.col("left")).alias("shift"))
+        parts = _parts(F.least(F.lit(CLASSES[c]), F.col("n_docs")) if c < len(CLASSES) else F.col("n_docs"), chunk)
+        own = classed.where(F.col("class") == c).join(shift, ["key", "none"])
+        now = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - F.col("shift")))
+        done = _round(own.withColumn("p", now).withColumn("parts", parts), seed + c, chunk)
+        rounded = rounded.unionByName(done)
+        if c != present[-1]:
+            more = done.join(goal, ["key", "none"]).groupBy("key", "none").agg(F.sum((F.col("extra") - (F.col("f") - F.floor("f"))) * F.col("size")).alias("more"))
+            missed = missed.join(more, ["key", "none"], "left").select("key", "none", (F.col("missed") + F.coalesce("more", F.lit(0.0))).alias("missed"))
+            missed = materialise(missed, "missed")
     copies = (F.floor("f") + F.col("extra")).cast("long")
     source = F.when(~F.col("none"), F.col("key")).alias("source")
     return rounded.join(goal, ["key", "none"]).select(
