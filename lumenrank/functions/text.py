@@ -21,7 +21,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def corpus_text(title: Column, text: Column) -> Column:
-    return F.trim(F.concat_ws("\n", F.coalesce(title, F.lit("")), text))
+    """Title and text on lines of their own, without white space at the ends."""
+    return F.regexp_replace(F.concat_ws("\n", F.coalesce(title, F.lit("")), text), r"(?U)^\s+|\s+$", "")
 
 
 def words(text: Column) -> Column:
