@@ -32,8 +32,8 @@ def _rank(df: DataFrame, stratum: list[str], by: Column, order: list[Column], n:
     bins = F.greatest(F.lit(1), F.ceil(n / per_bin)).cast("long")
     df = df.withColumn("_bin", F.least(F.floor(by * bins), bins - 1).cast("long"))
     counts = materialise(df.groupBy(*stratum, "_bin").count(), "bins")
-    # Running sums over bins go by pages of 1,000 bins, so no task holds more than that of a source.
-    paged = counts.withColumn("_page", F.floor(F.col("_bin") / 1000))
+    # Running sums over bins go by pages of 64 bins, so no task holds more than that of a source.
+    paged = counts.withColumn("_page", F.floor(F.col("_bin") / 64))
     pages = paged.groupBy(*stratum, "_page").agg(F.sum("count").alias("_sum"))
     before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
