@@ -33,7 +33,7 @@ from .common import BLOCK_BYTES, materialise, prepare, shared_path
 #: Appended to each document by the writer.
 END_ID = 2
 #: Parts of texts whose ids a worker remembers; beyond that, what was not used since as many were learned is forgotten.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: A text whose parts are longer than this on average is encoded in one piece.
 LONGEST_PIECE = 64
 #: ASCII punctuation, as it may end a part.
