@@ -126,6 +126,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     for c in present:
         left = classed.where(F.col("class") >= c).groupBy("key", "none").agg(F.sum("size").alias("left"))
         shift = missed.join(left, ["key", "none"]).select("key", "none", (F.col("missed") / F.col("left")).alias("shift"))
+        shift = materialise(shift, "shift")  # a row per source: small enough, so the join needs no shuffle of documents
         parts = _parts(F.least(F.lit(CLASSES[c]), F.col("n_docs")) if c < len(CLASSES) else F.col("n_docs"), chunk)
         own = classed.where(F.col("class") == c).join(shift, ["key", "none"])
         now = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") - F.col("shift")))
