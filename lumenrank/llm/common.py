@@ -65,14 +65,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lr_path = path
+    return out
 
 
 def drop_shared(spark: SparkSession, df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._lr_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
