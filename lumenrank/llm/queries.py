@@ -66,4 +66,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query: the exact join of vectors, and what its links reach."""
+    return {
+        "op3_cover_tree": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT e.b AS n, r.c FROM r JOIN e ON r.n = e.a),
+c AS (SELECT n, min(c) AS component_id FROM r GROUP BY n), l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON n = vec_id LEFT JOIN l ON a = vec_id""",
+    }
