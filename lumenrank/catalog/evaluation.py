@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
-from ..operators import fusion, metrics
+from ..operators import fusion, metrics, ranking
 from .base import Registry, Tables, r6
-from .retrieval import dense, dense_sql
+from .retrieval import _BOTH, _CHILD, _ORDER, _RRF, benchmark, bm25_index, bm25_sql, children, dense, dense_sql, positives
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -24,14 +24,18 @@ def qrels(t: Tables):
     return a.join(b, "label").where("query_id <> doc_id").select("query_id", "doc_id", F.when(same, 2.0).otherwise(1.0).alias("rel"))
 
 
-_METRICS = f"""{dense_sql(100)}, {_QRELS},
-ideal_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS i FROM qrels),
+def metric_ctes(ranked: str) -> str:
+    """CTEs up to m, the metrics per query, of a ranked CTE against one named qrels."""
+    return f"""ideal_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS i FROM qrels),
 ideal AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN rel / log2(i + 1) ELSE 0 END) AS ideal10, sum(CASE WHEN i <= 100 THEN rel / log2(i + 1) ELSE 0 END) AS ideal100 FROM ideal_r GROUP BY ALL),
-h AS (SELECT d.query_id, d.rank, q.rel, row_number() OVER (PARTITION BY d.query_id ORDER BY rank) AS nth FROM dense d JOIN qrels q ON d.query_id = q.query_id AND d.doc_id = q.doc_id),
+h AS (SELECT d.query_id, d.rank, q.rel, row_number() OVER (PARTITION BY d.query_id ORDER BY rank) AS nth FROM {ranked} d JOIN qrels q ON d.query_id = q.query_id AND d.doc_id = q.doc_id),
 g AS (SELECT query_id, min(rank) AS first, {', '.join(f'sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) AS dcg{k}, sum(CASE WHEN rank <= {k} THEN nth / rank::DOUBLE ELSE 0 END) AS ap{k}' for k in (10, 100))}, {', '.join(f'sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS hits{k}' for k in (1, 5, 10, 100))} FROM h GROUP BY ALL),
 m AS (SELECT i.query_id, relevant, coalesce(first, 0) AS first_relevant_rank, coalesce(dcg10, 0) / ideal10 AS ndcg_10, coalesce(dcg100, 0) / ideal100 AS ndcg_100, CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END AS mrr_10,
 {', '.join(f'coalesce(hits{k}, 0) / {k}.0::DOUBLE AS precision_{k}, least(coalesce(hits{k}, 0), 1)::DOUBLE AS hit_{k}' for k in (1, 5, 10))},
 coalesce(ap10, 0) / least(10, relevant) AS map_10, coalesce(ap100, 0) / least(100, relevant) AS map_100, coalesce(hits10, 0) / relevant::DOUBLE AS recall_10, coalesce(hits100, 0) / relevant::DOUBLE AS recall_100 FROM ideal i LEFT JOIN g USING (query_id))"""
+
+
+_METRICS = f"{dense_sql(100)}, {_QRELS}, {metric_ctes('dense')}"
 _NAMES = [f"{m}_{k}" for m, ks in (("ndcg", (10, 100)), ("mrr", (10,)), ("precision", (1, 5, 10)), ("hit", (1, 5, 10)), ("map", (10, 100)), ("recall", (10, 100))) for k in ks]
 
 
@@ -206,3 +210,55 @@ def group_zscore(t: Tables):
     s = t.embeddings.select("vec_id", "label", a.alias("a"))
     sd = F.when(F.var_pop("a").over(w) < 1e-12, 1.0).otherwise(F.stddev_pop("a").over(w))
     return s.select("vec_id", r6((F.col("a") - F.avg("a").over(w)) / sd, "z"))
+
+
+# --- whole evaluations: a ranking, its metrics, their means ------------------------------------------------------------
+
+_MEANS = f"SELECT count(*) AS queries, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)} FROM m"
+
+
+def _means(ranked, rel):
+    return metrics.summary(metrics.per_query(ranked, rel)).select("queries", *[r6(n, n) for n in _NAMES])
+
+
+_LEAKS = "qrels AS (SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS rel FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)))"
+
+
+@add(f"WITH {bm25_sql()}, bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_s QUALIFY rank <= 100), {_LEAKS}, {metric_ctes('bm25')} {_MEANS}")
+def evaluate_bm25(t: Tables):
+    """Items against the documents that hold their beginning; zero scores can't reach a relevant one here."""
+    rel = positives(t).withColumn("rel", F.lit(1.0))
+    return _means(bm25_index(t).top_k(benchmark(t), ranking.depth(10), zero_fill=False), rel)
+
+
+@add(f"{_BOTH.replace('<= 50', '<= 100')}, f AS (SELECT *, round({_RRF.format(w='1.0')}, 6) + 0.0 AS score FROM u), fused AS (SELECT query_id, doc_id, score, {_ORDER.format(first='')} FROM f QUALIFY rank <= 100), {_QRELS}, {metric_ctes('fused')} {_MEANS}")
+def evaluate_hybrid(t: Tables):
+    return _means(fusion.fuse(dense(t, 100), dense(t, 100, "l2"), "rrf", top=100), qrels(t))
+
+
+@add(
+    f"""{_CHILD}, s AS (SELECT query_id, doc_id, round(max(score), 6) + 0.0 AS score FROM r GROUP BY ALL), parents AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 100),
+qrels AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id // 5 AS doc_id, 1.0::DOUBLE AS rel FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 25 = 0), {metric_ctes('parents')} {_MEANS}"""
+)
+def evaluate_multivector(t: Tables):
+    """Parents of five children; a parent is relevant if any child has the query's label."""
+    a = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    b = t.embeddings.select(F.floor(F.col("vec_id") / 5).alias("doc_id"), "label")
+    rel = a.join(b, "label").select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1.0))
+    return _means(ranking.rank_by(ranking.multivector(children(t)), 100), rel)
+
+
+@add()
+def evaluate_quantized(t: Tables):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    d = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y"))
+    return _means(ranking.quantized_top_k(q, d, 100, 4), qrels(t))
+
+
+@add(
+    f"""WITH {dense_sql(100)}, {dense_sql(200, 'list_cosine_similarity(x, y)', 'cos')} SELECT d.query_id, d.doc_id, d.rank, d.score, c.rank AS compact_rank, c.score AS compact_score FROM dense d LEFT JOIN cos c ON d.query_id = c.query_id AND d.doc_id = c.doc_id WHERE d.rank <= 10"""
+)
+def compact_per_query_rows(t: Tables):
+    """A ranking's rows with the place and score that another, deeper ranking gives them."""
+    c = dense(t, 200, "cosine").select("query_id", "doc_id", F.col("rank").alias("compact_rank"), F.col("score").alias("compact_score"))
+    return dense(t, 100).where("rank <= 10").join(c, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", "score", "compact_rank", "compact_score")
