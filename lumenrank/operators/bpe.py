@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bpe_normalize
+from ..ship import ship
 
 #: Special tokens in the order of their ids.
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
@@ -77,7 +78,7 @@ def train(texts: DataFrame, vocabulary: int, most_words: int = 200_000) -> Model
 
 def encode(docs: DataFrame, model: Model, longest: int | None = None) -> DataFrame:
     """docs (doc_id, text) with ids: <bos>, the words' tokens, <eos>; cut to `longest`, keeping the end."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.tokens, model.merges))
+    shared = ship(docs.sparkSession).sparkContext.broadcast((model.tokens, model.merges))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)

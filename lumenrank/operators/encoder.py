@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..ship import ship
 from .ranking import quantize, reconstruct
 
 
@@ -69,7 +70,7 @@ def encode_tokens(tokens: np.ndarray, mask: np.ndarray, w: Weights, repeats: int
 
 def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None = None) -> DataFrame:
     """(doc_id, vector) of rows (doc_id, ids); the weights are broadcast, their size is the model's."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    shared = ship(rows.sparkSession).sparkContext.broadcast(weights)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
@@ -85,6 +86,7 @@ def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None
 
 def channel_codec(pixels: DataFrame, bits: int, seed: int = 1) -> DataFrame:
     """pixels (n, y, x, channels) with `decoded`: each pixel's channel vector turned, coded and decoded."""
+    ship(pixels.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -97,6 +99,7 @@ def channel_codec(pixels: DataFrame, bits: int, seed: int = 1) -> DataFrame:
 
 def farthest_representatives(blocks: DataFrame, count: int) -> DataFrame:
     """(block, nth, k): farthest-first points of each block (block, k, vector), the smallest k first; blocks are small by design."""
+    ship(blocks.sparkSession)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("k")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..ship import ship
 
 #: BM25 parameters, and the depth below which an evaluation never ranks.
 K1, B = 0.9, 0.4
@@ -39,7 +40,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot"
 def dense_top_k_blocks(queries: DataFrame, docs: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """The same by matrix products: queries go in blocks of a bounded number, each document partition keeps its best k
     per query, and a window merges them."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     schema = "query_id long, doc_id long, score double"
 
     def one(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
@@ -182,6 +183,7 @@ def payload_bytes(dim: int | Column, bits: int | Column):
 
 def quantized_vectors(docs: DataFrame, bits: int, seed: int = 1) -> DataFrame:
     """docs (doc_id, y) with y replaced by what its codes decode to; an Arrow pass over the rows."""
+    ship(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 
 def kv_last(writes: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """What a cache holds after all writes: each replaces what was there."""
@@ -18,6 +20,7 @@ def kv_cache(writes: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """A stream of (key, value, order) as updates of the cache: the latest value of each key that a batch touches."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    ship(writes.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in writes.schema.fields}
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
