@@ -11,13 +11,13 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_shipped: set[int] = set()
+_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's sources to the executors, once for each context. Safe to call often."""
     sc = spark.sparkContext
-    if id(sc) not in _shipped:
+    if sc.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="lumenrank-")
         atexit.register(shutil.rmtree, folder, True)
@@ -26,5 +26,5 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(here.rglob("*.py")):
                 z.write(p, str(p.relative_to(here.parent)))
         sc.addPyFile(target)
-        _shipped.add(id(sc))
+        _shipped.add(sc.applicationId)
     return spark
