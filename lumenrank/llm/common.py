@@ -7,36 +7,24 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Rows of one Arrow batch: texts of some kilobytes keep a worker's batch at a few MB.
 ARROW_ROWS = 1000
 #: Bytes of text that the numpy kernels take at once; their temporaries are 8 to 40 times as large.
 BLOCK_BYTES = 1 << 20
 
-_shipped: set[int] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on every executor and keep Arrow batches small. Safe to call often."""
-    sc = spark.sparkContext
-    if id(sc) not in _shipped:
-        here = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="lumenrank-")
-        atexit.register(shutil.rmtree, folder, True)
-        target = os.path.join(folder, "lumenrank_ship.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(here.rglob("*.py")):
-                z.write(p, str(p.relative_to(here.parent)))
-        sc.addPyFile(target)
-        _shipped.add(id(sc))
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
