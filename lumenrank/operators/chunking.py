@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .ordering import place
+from .ordering import place, spread
 
 
 def word_chunks(docs: DataFrame, size: int, overlap: int = 0, least: int = 1) -> DataFrame:
     """(parent_id, child_id, start, text): windows of words; a last chunk of fewer than `least` words goes unless it is the only one."""
-    w = docs.select(F.col("doc_id").alias("parent_id"), X.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("parent_id"), X.words(F.col("text")).alias("w")).where(F.size("w") > 0)
     c = w.select("parent_id", "w", F.posexplode(X.chunk_starts(F.size("w"), size, overlap)).alias("k", "start"))
     c = c.select("parent_id", "k", "start", F.slice("w", F.col("start") + 1, size).alias("part")).where((F.col("k") == 0) | (F.size("part") >= least))
     child = F.concat(F.col("parent_id").cast("string"), F.lit("#chunk-"), F.lpad(F.col("k").cast("string"), 4, "0"))
@@ -67,7 +67,7 @@ def trace_windows(events: DataFrame, width: int, stride: int) -> DataFrame:
 def adjacent_pairs(docs: DataFrame, least_bytes: int) -> DataFrame:
     """(query, positive): neighbouring segments of a text, both long enough, each pair once."""
     s = F.filter(X.segments(F.col("text")), lambda x: F.octet_length(x) >= least_bytes)
-    p = docs.select(s.alias("s")).where(F.size("s") > 1)
+    p = spread(docs.select("text")).select(s.alias("s")).where(F.size("s") > 1)
     z = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("query"), F.slice("s", 2, F.size("s") - 1).alias("positive"))
     return p.select(F.explode(z).alias("z")).select("z.query", "z.positive").distinct()
 

@@ -10,6 +10,13 @@ from pyspark.sql import Window as W
 BINS = 256
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, where they come in fewer partitions than there are cores (a small file is one row group, and
+    one task), by keys if any are given; large inputs have more partitions than cores and are left as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def place(rows: DataFrame, by: Column, order: list, name: str, within: list[str] | None = None, bins: int = BINS) -> DataFrame:
     """rows with name: place from 0 in the order of (by, *order), counted within the given columns.
 

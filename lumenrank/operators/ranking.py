@@ -13,10 +13,13 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..functions import vectors as V
 from ..ship import ship
+from .ordering import spread
 
 #: BM25 parameters, and the depth below which an evaluation never ranks.
 K1, B = 0.9, 0.4
 DEPTH = 100
+#: Rows (query, term) that BM25 sends to all executors: at most some 20 MB.
+ASKED_ROWS = 300_000
 
 
 def depth(top_k: int) -> int:
@@ -77,23 +80,31 @@ class Bm25:
     def __init__(self, docs: DataFrame, k1: float = K1, b: float = B):
         self.k1, self.b = k1, b
         terms = F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(F.col("t"))
-        tokens = docs.select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", terms.alias("t"))
+        tokens = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", terms.alias("t"))
         self.lengths = tokens.select("doc_id", F.size("t").cast("long").alias("length"))
-        self.postings = tokens.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        self.terms = tokens.select("doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
         self.stats = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, length, term, tf) of the whole corpus."""
+        return self.terms.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+
     def scores(self, queries: DataFrame, digits: int | None = 6) -> DataFrame:
         """(query_id, doc_id, score) of all pairs that share a term."""
         asked = queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        # Only terms that are asked for keep their postings before anything is counted.
-        wanted = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        # Queries of few terms are sent to the documents; then nothing but counts of asked terms moves. Beyond
+        # ASKED_ROWS the optimiser joins by shuffles.
+        few = asked.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS
+        side = F.broadcast if few else (lambda d: d)
+        wanted = self.terms.join(side(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
         df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        met = wanted.join(df, "term").join(self.lengths, "doc_id").join(F.broadcast(self.stats))  # one row
+        met = wanted.join(side(df), "term").join(F.broadcast(self.stats))  # one row
         idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         base = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("length") / F.col("mean"))
         met = met.select("term", "doc_id", (idf * F.col("tf") * (self.k1 + 1) / base).alias("w"))
         score = F.sum(F.col("qtf") * F.col("w"))
-        return met.join(asked, "term").groupBy("query_id", "doc_id").agg((F.round(score, digits) if digits else score).alias("score"))
+        return met.join(side(asked), "term").groupBy("query_id", "doc_id").agg((F.round(score, digits) if digits else score).alias("score"))
 
     def top_k(self, queries: DataFrame, k: int, zero_fill: bool = True, without: DataFrame | None = None) -> DataFrame:
         """Best k; zero_fill: documents that match nothing follow with score 0 by id; without: pairs that may not appear.
@@ -241,7 +252,6 @@ def sparse_features(docs: DataFrame, kind: str = "tfidf", k1: float = K1, b: flo
     met = index.postings.join(df, "term").join(F.broadcast(index.stats))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if kind == "bm25":
-        met = met.join(index.lengths, "doc_id")
         base = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))
         return met.select("doc_id", "term", (idf * F.col("tf") * (k1 + 1) / base).alias("weight"))
     raw = met.select("doc_id", "term", (F.col("tf") * idf).alias("w"))
