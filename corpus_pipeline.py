@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenrank.llm import mixing, sharding, simhash, tiling, toxicity
+from lumenrank.llm import mixing, sharding, similar, tiling, toxicity
 from lumenrank.llm.common import materialise
 
 
@@ -14,8 +14,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that SimHash fingerprints link."""
-    return simhash.one_of_each(docs)
+    """The first document of each group of texts that share 0.8 of their five-word shingles."""
+    return similar.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", reject_toxic), ("near-dedup", deduplicate), ("decontamination", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: Toxicity, SimHash linking, tiling and pivotal rounding have no SQL form; tests compare with brute force.
+#: Toxicity, linking by similarity, tiling and pivotal rounding have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
