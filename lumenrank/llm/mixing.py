@@ -187,6 +187,6 @@ def mixed_documents(docs: DataFrame, seed: int = 6) -> DataFrame:
     rows = docs.withColumn(own[0], size).withColumn(own[1], F.col("source").cast("string")).withColumn(own[3], F.col("doc_id").cast("long"))
     same = W.partitionBy(own[3], own[1], own[0]).orderBy(F.xxhash64("text"))
     rows = rows.withColumn(own[2], (F.row_number().over(same) - 1).cast("long"))
-    on = [rows[c].eqNullSafe(taken[c]) if c == own[1] else rows[c] == taken[c] for c in own]
+    on = [rows[c].eqNullSafe(taken[c]) if c in (own[1], own[3]) else rows[c] == taken[c] for c in own]
     met = rows.join(taken, on)
     return met.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_lr_copies").cast("int"))).alias("_lr_k")).drop("_lr_k")

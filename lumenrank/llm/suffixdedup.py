@@ -21,7 +21,8 @@ string's name once, with its smallest document, so a passage in a third of all d
 Entries travel as packed arrays, a row for each task and bucket.
 
 Defined results: a null text is empty; texts under LENGTH bytes keep all; rows that repeat a doc_id never remove each
-other's bytes, as neither is smaller; an empty table gives none; extra columns are ignored.
+other's bytes, as neither is smaller; a null doc_id is larger than all others, nulls among themselves go by a hash of
+their text (so equal texts without an id are rows that repeat one); an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,6 +152,8 @@ _NAME = [np.uint64, np.uint32, np.int64, np.int64]
 _HIT = [np.int64, np.int64, np.int32]
 #: Rows that share a doc_id but not the text have a tag from this bit on in their starts; all others have tag 0.
 TAG = 42
+#: Rows without a doc_id take ids from three times this on.
+_NULLS = 1 << 61
 #: Kinds of rows: entries, repeated strings, strings to be looked into.
 ENTRY, REPEATED, OPEN = 0, 1, 2
 
@@ -371,13 +374,15 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 def _removed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    meta = materialise(rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes")), "meta")
+    # A null doc_id would turn a batch's ids into floats and match nothing: it has a place above all others instead.
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(_NULLS - 1)).bitwiseOR(F.lit(3 * _NULLS))))
+    meta = materialise(rows.select("doc_id", "id", F.sha2(F.col("text").cast("binary"), 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes")), "meta")
     total = meta.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = int(max(8, min(1 << 20, -(-total // BUCKET))))
-    first = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.groupBy("text").agg(F.min("id").alias("doc_id"))
     first = first.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
     # Normally empty: doc_ids that several texts share, whose places are told apart by a part of the text's key.
-    shared = materialise(meta.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("doc_id").alias("d")), "shared")
+    shared = materialise(meta.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(F.col("id").alias("d")), "shared")
     tag = F.when(F.col("d").isNotNull(), F.conv(F.substring("key", 1, 5), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
     first = materialise(first.join(shared, F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "key", tag.alias("tag")), "first")
     packed = first.where(F.octet_length("text") >= length).select("doc_id", "text", "tag").mapInArrow(_find_runs(buckets, length, gram), PACKED)
@@ -392,7 +397,7 @@ def _removed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     cut = materialise(cut.mapInArrow(_cut(length), "doc long, key2 string, n_removed long, n_spans long, kept_sha256 string"), "cut")
     for old in (first, found, more):
         drop_shared(docs.sparkSession, old)
-    out = meta.join(cut, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("key2")), "left")
+    out = meta.join(cut, (F.col("id") == F.col("doc")) & (F.col("key") == F.col("key2")), "left")
     # A copy of a text in a smaller document: all of it goes, unless it is too short to hold a string.
     long_ = F.col("n_bytes") >= length
     is_first = F.col("doc").isNotNull()
