@@ -159,7 +159,7 @@ def kv_last_value(t: Tables):
 
 
 def _ids(t: Tables):
-    return t.benchmark.select(F.col("item_id").alias("doc_id"), F.transform(F.slice(X.words(F.col("text")), 1, 32), lambda w: F.pmod(F.xxhash64(w), F.lit(500)).cast("int")).alias("ids"))
+    return t.benchmark.select(F.col("item_id").alias("doc_id"), F.transform(X.words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(500)).cast("int")).alias("ids"))
 
 
 @add()

@@ -48,11 +48,19 @@ def train(texts: DataFrame, vocabulary: int, most_words: int = 200_000) -> Model
     tokens = list(SPECIAL) + sorted({c for w in held for c in w})
     merges: list[tuple[str, str]] = []
     known = set(tokens)
+    parts, often = list(held), list(held.values())
+    pairs: Counter = Counter()
+    where: dict[tuple[str, str], set[int]] = {}
+
+    def count(k: int, sign: int) -> None:
+        for p in zip(parts[k], parts[k][1:], strict=False):
+            pairs[p] += sign * often[k]
+            if sign > 0:
+                where.setdefault(p, set()).add(k)
+
+    for k in range(len(parts)):
+        count(k, 1)
     while len(tokens) < vocabulary:
-        pairs: Counter = Counter()
-        for w, n in held.items():
-            for p in zip(w, w[1:], strict=False):
-                pairs[p] += n
         best = min(pairs.items(), key=lambda x: (-x[1], x[0]), default=(None, 0))
         if best[1] < LEAST_COUNT:
             break
@@ -61,9 +69,9 @@ def train(texts: DataFrame, vocabulary: int, most_words: int = 200_000) -> Model
         if left + right not in known:
             known.add(left + right)
             tokens.append(left + right)
-        merged: Counter = Counter()
-        for w, n in held.items():
-            out, i = [], 0
+        for k in where.pop(best[0]):  # only words that may hold the pair are cut and counted anew
+            count(k, -1)
+            w, out, i = parts[k], [], 0
             while i < len(w):
                 if i + 1 < len(w) and w[i] == left and w[i + 1] == right:
                     out.append(left + right)
@@ -71,8 +79,8 @@ def train(texts: DataFrame, vocabulary: int, most_words: int = 200_000) -> Model
                 else:
                     out.append(w[i])
                     i += 1
-            merged[tuple(out)] += n
-        held = dict(merged)
+            parts[k] = tuple(out)
+            count(k, 1)
     return Model(tokens, merges)
 
 
