@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
 
-#: Rows of one Arrow batch: texts of some kilobytes keep a worker's batch at a few MB.
+#: Rows and bytes of one Arrow batch: short texts are bounded by the one, long ones by the other.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 #: Bytes of text that the numpy kernels take at once; their temporaries are 8 to 40 times as large.
 BLOCK_BYTES = 1 << 20
 
@@ -25,18 +26,22 @@ BLOCK_BYTES = 1 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on every executor and keep Arrow batches small. Safe to call often."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset (local tests) a temporary folder is made and used for this session.
+    Where that is unset, a session of one machine (local tests) gets a temporary folder; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         made = tempfile.mkdtemp(prefix="lumenrank-shared-")
         atexit.register(shutil.rmtree, made, True)
         root = f"file://{made}"
@@ -55,13 +60,85 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lr_path = path
+    if _open:
+        _open[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_shared(spark: SparkSession, df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._lr_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, df._lr_path)
+
+
+#: Paths that materialise() wrote, by the scratch() blocks that are open.
+_open: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written within the block are deleted at its end, but for those that are put into the list it gives.
+
+    Within the block the shuffles of each written step are deleted with it, which halves the disk that is needed.
+    """
+    kept: list[DataFrame] = []
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        spark.conf.set(_CLEANUP, before)
+        left = {df._lr_path for df in kept}
+        for path in _open.pop():
+            if path not in left:
+                _delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns of df whose values have a hash."""
+    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
+def first_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of docs for each class, columns as they are: the smallest doc_id (a null one last), then the least hash of the text.
+
+    members: doc_id, text_hash (text_hash(text)) and class for every row of docs; equal texts are in one class. Rows
+    are known by doc_id and text, so rows that share an id are told apart, and of rows equal in both one stays.
+    """
+    rows = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("many"), F.min("class").alias("class"))
+    rows = materialise(rows, "keys")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = materialise(rows.groupBy("class").agg(F.min(place).alias("best")), "best")
+    met = rows.join(best, "class")
+    same = place.eqNullSafe(F.col("best"))
+    key = [F.col("doc_id").alias("_lr_id"), F.col("text_hash").alias("_lr_hash")]
+    gone = materialise(met.where(~same).select(*key), "gone")
+    twice = materialise(met.where(same & (F.col("many") > 1)).select(*key), "twice")
+    own = docs.withColumn("_lr_own", text_hash(F.col("text")))
+
+    def on(other: DataFrame):
+        return own["doc_id"].cast("long").eqNullSafe(other["_lr_id"]) & (own["_lr_own"] == other["_lr_hash"])
+
+    kept = own.join(gone, on(gone), "left_anti")
+    if not twice.take(1):
+        return kept.select(*[own[c] for c in docs.columns])
+    lone = kept.join(twice, on(twice), "left_anti").select(*[own[c] for c in docs.columns])
+    again = kept.join(twice, on(twice), "left_semi")
+    row = F.min_by(F.struct(*[own[c] for c in docs.columns]), F.xxhash64(*[own[c] for c in hashable(docs)]))
+    again = again.groupBy(own["doc_id"], own["_lr_own"]).agg(row.alias("_lr_row")).select("_lr_row.*")
+    return lone.unionByName(again)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

@@ -1,19 +1,21 @@
 """Operator 9: SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
-Fingerprints: text in lower case (A-Z only), words that white space parts, shingles of three words, XXH64 of each
-shingle; a bit is set if it is set in over half of the hashes. Only distinct fingerprints are compared: a group of
-equal texts is one fingerprint, with its smallest doc_id, from the first aggregation on.
+Fingerprints: text in lower case (A-Z only), words that white space parts, shingles of some words (three in the
+query), XXH64 of each shingle; a bit is set if it is set in over half of the hashes. Only distinct fingerprints are
+compared: a group of equal texts is one fingerprint, with its smallest doc_id, from the first aggregation on.
 
 Index: two fingerprints that differ in three bits at most agree in one of four 16-bit blocks, so each fingerprint is
-sent to four buckets (with very many fingerprints to sixteen, of 28 agreed bits). Within a bucket the codes are sorted
-by Gray rank, where neighbours share most bits; runs of codes form a node that keeps the bits they all share (mask
-and pattern), runs of nodes form upper nodes. Pairs of nodes are compared from the top: the shared bits that differ
-are a lower bound for all pairs below, and beyond three the whole group of pairs is dropped. A bucket larger than
-TILE is dealt to pairs of tiles, so no task gets more than two tiles of it; nothing is capped. Tasks give back a
-spanning forest of what they found, never the pairs.
+sent to four buckets. A bucket of more than TILE fingerprints is split in the same way by the bits that it leaves
+open: what differs in three bits at most agrees in one of four parts of them, and so on until no bucket is larger (as
+fingerprints are distinct, k open bits hold 2^k at most, so this ends). Nothing is capped, and no task compares more
+than a bucket at a time. Within a bucket the codes are sorted by Gray rank, where neighbours share most bits; runs of
+codes form a node that keeps the bits they all share (mask and pattern), runs of nodes form upper nodes. Pairs of
+nodes are compared from the top: the shared bits that differ are a lower bound for all pairs below, and beyond three
+the whole group of pairs is dropped. Tasks give back a spanning forest of what they found, never the pairs.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
-rows that repeat a doc_id keep a fingerprint each; an empty table gives none; extra columns are ignored.
+rows that repeat a doc_id keep a fingerprint each; a null doc_id never names a component: its row gets the smallest
+doc_id that it reaches, and null if there is none; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,31 +27,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, prepare
+from .common import components, first_of_each, materialise, prepare, scratch, text_hash
 
 SHINGLE = 3
 SEED = 42
 DIFFER = 3
-#: Fingerprints of a bucket that one task compares among themselves; larger buckets are dealt out in pairs of tiles.
+#: Fingerprints of a bucket that is not split further.
 TILE = 8192
-#: More distinct fingerprints than this get the sixteen finer keys.
-FINE = 1 << 24
+#: Fingerprints that a task compares in one go: whole buckets, as many as fit.
+GATHER = 1 << 16
 _FAN = 16
+_FULL = (1 << 64) - 1
 
 
-def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text, from its UTF-8 bytes."""
+def shingle_hashes(text: bytes, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a text (UTF-8), repeats included; a text of fewer words is one shingle."""
     import xxhash
 
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
     if len(parts) < words:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(parts), seed)], dtype=np.uint64)
-    else:
-        digest = xxhash.xxh64_intdigest
-        shifted = [parts[k:] for k in range(words)]
-        hashes = np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*shifted, strict=False))), dtype=np.uint64, count=len(parts) - words + 1)
+        return np.array([digest(b" ".join(parts), seed)], dtype=np.uint64)
+    shifted = [parts[k:] for k in range(words)]
+    return np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*shifted, strict=False))), dtype=np.uint64, count=len(parts) - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -57,18 +63,23 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text, from its UTF-8 bytes."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, text_hash and fp, the fingerprint as a signed long."""
     prepare(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
+            texts = b.column(2).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t or b"", words, seed) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(make, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -148,75 +159,99 @@ def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _compare(differ: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        code = t.column("fp").to_numpy().view(np.uint64)
-        keys = np.stack([t.column(c).to_numpy() for c in ("kind", "value", "tile")])
-        _, group = np.unique(keys, axis=1, return_inverse=True)
+    """Buckets are neighbours; whole buckets are gathered up to GATHER codes, and a forest of their links goes out."""
+
+    def settle(mask: np.ndarray, value: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        code = fp.view(np.uint64)
+        group = np.cumsum(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]))
         ids, node = np.unique(code, return_inverse=True)
         root = np.arange(len(ids))
-        for i, j in GrayIndex(code, group.reshape(-1)).pairs(differ):
+        for i, j in GrayIndex(code, group).pairs(differ):
             _hook(root, node[i], node[j])
         out = np.flatnonzero(root != np.arange(len(ids)))
         if len(out):
             yield pa.RecordBatch.from_arrays([pa.array(ids[out].view(np.int64)), pa.array(ids[root[out]].view(np.int64))], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for b in batches:
+            if not len(b):
+                continue
+            held.append([b.column(c).to_numpy() for c in ("mask", "value", "fp")])
+            n += len(b)
+            if n >= GATHER:
+                mask, value, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+                edge = np.flatnonzero((mask != mask[-1]) | (value != value[-1]))
+                cut = int(edge[-1]) + 1 if len(edge) else 0
+                if cut:
+                    yield from settle(mask[:cut], value[:cut], fp[:cut])
+                held, n = [[mask[cut:], value[cut:], fp[cut:]]], len(fp) - cut
+        if n:
+            yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
     return run
 
 
-def _keys(fine: bool) -> Column:
-    """The blocks of a fingerprint that a near one may share, as an array of (kind, value)."""
-    found = []
-    for k in range(4):
-        block = F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-        if not fine:
-            found.append(F.struct(F.lit(k).alias("kind"), block.cast("long").alias("value")))
-            continue
-        low = F.col("fp").bitwiseAND(F.lit((1 << 16 * k) - 1))
-        high = F.shiftleft(F.shiftrightunsigned("fp", 16 * (k + 1)), 16 * k) if k < 3 else F.lit(0)
-        rest = low.bitwiseOR(high)
-        for j in range(4):
-            part = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))
-            found.append(F.struct(F.lit(4 * k + j).alias("kind"), (block * 4096 + part).cast("long").alias("value")))
-    return F.array(*found)
+def _parts_of(mask: int, parts: int) -> list[int]:
+    """The bits of mask in so many runs of about equal length."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    cut = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _buckets(distinct: DataFrame, differ: int, tile: int) -> DataFrame:
+    """(mask, value, fp): every bucket that a fingerprint is in; near ones share a bucket, and none has more than tile."""
+    spark = distinct.sparkSession
+    masks, n = _parts_of(_FULL, differ + 1), distinct.count()
+    deeper = lambda found: list(dict.fromkeys(m | p for m in found for p in _parts_of(_FULL & ~m, differ + 1)))
+    # Where even an equal spread overfills the buckets, the next finer split is taken at once.
+    while n >> masks[0].bit_count() > tile // 4 and masks[0].bit_count() < 48:
+        masks = deeper(masks)
+    keyed = F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")
+    now = distinct.select("fp", keyed).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+    done = None
+    while True:
+        large = materialise(now.groupBy("mask", "value").count().where(F.col("count") > tile).select("mask", "value"), "large")
+        if not large.take(1):
+            return now if done is None else done.unionByName(now)
+        small = now.join(large, ["mask", "value"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        open_ = [r[0] & _FULL for r in large.select("mask").distinct().collect()]  # at most 4^level masks
+        finer = [(_signed(m), _signed(f)) for m in open_ for f in deeper([m])]
+        split = F.broadcast(spark.createDataFrame(finer, "mask long, finer long"))
+        wide = now.join(large, ["mask", "value"], "left_semi").join(split, "mask")
+        now = materialise(wide.select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"), "fp").distinct(), "finer")
 
 
 def links(distinct: DataFrame, differ: int = DIFFER, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between fingerprints of `distinct` (fp) that span exactly what differs in `differ` bits or fewer."""
-    if differ != DIFFER:
-        raise ValueError("the blocks are laid out for three differing bits")
-    spread = distinct.select("fp", F.explode(_keys(distinct.count() > FINE)).alias("k")).select("fp", "k.kind", "k.value")
-    large = materialise(spread.groupBy("kind", "value").count().where(F.col("count") > tile), "large")
-    tiles = F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    # A code of tile t goes to every pair of tiles that t is in: pair (x, y), x <= y, has number x * tiles + y.
-    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, F.col("mine")) * F.col("tiles") + F.greatest(o, F.col("mine")))
-    dealt = spread.join(large, ["kind", "value"], "left").withColumn("tiles", tiles).withColumn("mine", mine)
-    dealt = dealt.select("fp", "kind", "value", F.explode(pair).alias("tile"))
-    return dealt.repartition("kind", "value", "tile").mapInArrow(_compare(differ), "a long, b long")
+    dealt = _buckets(distinct, differ, tile).repartition("mask", "value").sortWithinPartitions("mask", "value")
+    return dealt.mapInArrow(_compare(differ), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, differ: int = DIFFER, tile: int = TILE) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links of fingerprints reach."""
-    prepare(docs.sparkSession)
-    fps = materialise(fingerprints(docs, words), "fingerprints")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    joined = components(links(classes, differ, tile))
-    rooted = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    table = materialise(rooted.join(least, "root").select("fp", "component_id"), "members")
-    return fps.join(table, "fp").select("doc_id", "fp", "component_id")
+    """doc_id, text_hash, fp, component_id (the smallest doc_id that links of fingerprints reach) and class (its least fp)."""
+    with scratch(prepare(docs.sparkSession)) as kept:
+        fps = materialise(fingerprints(docs, words), "fingerprints")
+        classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+        joined = components(links(classes, differ, tile))
+        rooted = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
+        rooted = materialise(rooted, "rooted")
+        least = materialise(rooted.groupBy("class").agg(F.min("rep").alias("component_id")), "least")
+        table = materialise(rooted.join(least, "class").select("fp", "component_id", "class"), "members")
+        kept += [fps, table]
+    return fps.join(table, "fp").select("doc_id", "text_hash", "fp", "component_id", "class")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their group; columns stay as they are."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_lr_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_lr_gone"), "left_anti")
+def one_of_each(docs: DataFrame, words: int = SHINGLE, differ: int = DIFFER) -> DataFrame:
+    """The first row of docs of each group; columns stay as they are."""
+    return first_of_each(docs, near_duplicates(docs, words, differ))
