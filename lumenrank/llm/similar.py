@@ -1,14 +1,21 @@
-"""The near-dedup stage: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
+"""The near-dedup stage: SimHash first, then all that it misses, so that what is linked is exactly what is similar.
 
-No radius of fingerprints holds all such pairs (at 0.8 about ten of 64 bits differ, and any number may), so candidates
-come from prefixes instead: with all shingles in one order, two sets that share 0.8 of their union share a shingle
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Operator 9 links the
+fingerprints of the same shingles through its Gray-order index, and these pairs are compared first: they join most
+copies. But no radius of fingerprints holds all similar pairs (at 0.8 about ten of 64 bits differ, and any number may),
+so the rest comes from prefixes: with all shingles in one order, two sets that share 0.8 of their union share a shingle
 among the first n - ceil(0.8 n) + 1 of each. The order is by a count of hashed shingles, rare ones first, so what very
 many texts share stands in few prefixes; any order gives the same pairs. Every pair of a shared shingle is then
 compared whole, unless it is in one group already: first each text with one other of its shingles, in a few rounds,
 then all pairs that are still in different groups. Nothing is capped.
 
+A shingle that only one text has in its prefix never leaves the task that finds it alone; shingles that the counts show
+to be very frequent are dealt out over several tasks. Texts are hashed again where their sets are needed, as the sets
+take more room than the texts.
+
 Defined results: words as in simhash (lower case A-Z, parted by white space); a text under five words is one shingle;
-null texts and texts without words are one group; a null doc_id is in no group and stays.
+null texts and texts without words are one group; a null doc_id comes after all others; of rows that are equal in
+doc_id and text one stays; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -20,52 +27,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_shared, materialise, prepare
+from . import simhash
+from .common import components, drop_shared, first_of_each, materialise, prepare, scratch, text_hash
 
 WORDS = 5
 #: The similarity as a fraction.
 SIMILAR = (4, 5)
-SEED = 42
 #: Counters of hashed shingles, and how many of them travel as one row.
 COUNTERS = 1 << 20
 _PART = 1 << 14
+#: Postings of one shingle that go to one task, by its counter's excess over the mean.
+HOT = 1 << 16
 #: Rounds that compare each text with one other, before all pairs that are left.
 ROUNDS = 3
+#: Sets that a worker keeps while it compares pairs.
+REMEMBERED = 64
+
+_ROW = "doc_id long, text_hash long, node long, n int, fp long, part int, body binary"
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The sorted set of hashes of a text's shingles."""
+def _name(s: np.ndarray) -> int:
     import xxhash
 
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(parts) < words:
-        return np.array([digest(b" ".join(parts), SEED)], dtype=np.uint64)
-    shifted = [parts[k:] for k in range(words)]
-    return np.unique(np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*shifted, strict=False))), dtype=np.uint64, count=len(parts) - words + 1))
+    return xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED)
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _rows(words: int):
+    """Of each row its set's name and size and its fingerprint; at the end the task's counts, in parts."""
 
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
-        names = ["doc_id", "node", "body", "part"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        names = [f.split()[0] for f in _ROW.split(", ")]
         for b in batches:
-            found = [shingles(t or b"", words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            if not found:
-                continue
-            places = np.concatenate(found) % np.uint64(COUNTERS)
-            counts += np.bincount(places.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            bodies = [s.tobytes() for s in found]
-            node = np.array([xxhash.xxh64_intdigest(s, SEED) for s in bodies], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(bodies, pa.binary()), pa.nulls(len(b), pa.int32())], names)
+            n = len(b)
+            node, size, fp = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.uint64)
+            for r, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+                hashes = simhash.shingle_hashes(text or b"", words)
+                s = np.unique(hashes)
+                node[r], size[r], fp[r] = _name(s), len(s), simhash.majority(hashes)
+                np.add.at(counts, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+            columns = [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
         some = [k for k in range(COUNTERS // _PART) if counts[k * _PART : (k + 1) * _PART].any()]
         if some:
             bodies = pa.array([counts[k * _PART : (k + 1) * _PART].tobytes() for k in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), bodies, pa.array(some, pa.int32())], names)
+            empty = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(some, pa.int32()), bodies], names)
 
     return run
 
@@ -74,36 +81,79 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(body, np.uint32)
+            total[part] = total.get(part, 0) + np.frombuffer(body, np.int64)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "body"])
 
 
-def _prefixes(counts, over: int, under: int):
-    """Per set the shingles of its prefix: token, node, n, and how many of the set follow the token."""
+def _prefixes(counts, words: int, over: int, under: int):
+    """Per set the shingles of its prefix: token, salt, node, n, and how many of the set follow the token.
+
+    salt: -1, or for a frequent token which of its shares the posting goes to. A task sends a set once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = np.frombuffer(counts.value, np.uint32)
+        of = np.frombuffer(counts.value, np.int64)
+        excess = np.maximum(0, of - 2 * int(of.mean()))
+        sent: set[int] = set()
         for b in batches:
             out = []
-            for node, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(body, np.uint64)
+            for text in b.column(0).cast(pa.binary()).to_pylist():
+                s = np.unique(simhash.shingle_hashes(text or b"", words))
                 n = len(s)
-                if not n:
+                name = _name(s)
+                if not n or name in sent:
                     continue
+                sent.add(name)
+                node = np.uint64(name).view(np.int64)
                 k = n - -(-over * n // under) + 1
-                c = of[(s % np.uint64(COUNTERS)).astype(np.int64)]
-                first = np.lexsort((s, c))[:k]
+                place = (s % np.uint64(COUNTERS)).astype(np.int64)
+                first = np.lexsort((s, of[place]))[:k]
                 after = n - 1 - np.arange(k)
-                lone = c[first] > 1
-                first, after = first[lone], after[lone]
-                out.append((s[first].view(np.int64), np.full(len(first), node, np.int64), np.full(len(first), n, np.int32), after.astype(np.int32)))
+                shared = of[place[first]] > 1
+                first, after = first[shared], after[shared]
+                shares = excess[place[first]] // HOT + 1
+                salt = np.where(shares > 1, (np.uint64(name) % shares.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
+                out.append((s[first].view(np.int64), salt, np.full(len(first), node, np.int64), np.full(len(first), n, np.int32), after.astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "node", "n", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "salt", "node", "n", "after"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by token and node those of tokens with several nodes, each once, and all of frequent tokens."""
+    names = ["token", "salt", "node", "n", "after"]
+    held = [np.zeros(0, k) for k in (np.int64, np.int32, np.int64, np.int32, np.int32)]
+    gone = None  # the last posting that went out, whose token may go on
+
+    def sift(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, gone
+        token, salt, node = columns[:3]
+        if not len(token):
+            return
+        fresh = np.concatenate([[gone is None or (token[0], node[0]) != gone], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+        columns = [c[fresh] for c in columns]
+        token, salt, node = columns[:3]
+        if not len(token):
+            return
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        many = np.diff(np.append(head, len(token)))
+        keep = (np.repeat(many, many) > 1) | (salt >= 0)
+        if gone is not None and token[0] == gone[0]:
+            keep[: many[0]] = True
+        wait = not keep[-1] and not last  # a lone posting of the last token: its next may be in the next batch
+        held = [c[-1:] if wait else c[:0] for c in columns]
+        if keep.any():
+            out = [c[keep] for c in columns]
+            gone = (out[0][-1], out[2][-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3, 4)], ["token", "node", "n", "after"])
+
+    for b in batches:
+        yield from sift([np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)], False)
+    yield from sift(held, True)
+
+
 def _across(over: int, under: int):
     """Pairs of one token and different groups, of fitting sizes and places; rows of a token are neighbours."""
 
@@ -125,7 +175,7 @@ def _across(over: int, under: int):
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            got = [r for r in pairs(pa.Table.from_batches(held))]
+            got = list(pairs(pa.Table.from_batches(held)))
             if got:
                 yield from pa.Table.from_batches(got).combine_chunks().to_batches(max_chunksize=100_000)
 
@@ -146,12 +196,25 @@ def _across(over: int, under: int):
     return run
 
 
-def _alike(over: int, under: int):
+def _alike(words: int, over: int, under: int):
+    """The pairs whose texts are similar; the sets of texts that come again and again are remembered."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: str) -> np.ndarray:
+            got = known.pop(node, None)
+            if got is None:
+                got = np.unique(simhash.shingle_hashes(text.encode(), words))
+            known[node] = got  # the last one used comes last
+            if len(known) > REMEMBERED:
+                del known[next(iter(known))]
+            return got
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for a, x, c, y in zip(*(b.column(k).to_pylist() for k in ("a", "x", "b", "y")), strict=True):
+                y, x = of(c, y), of(a, x)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * (over + under) >= over * (len(x) + len(y)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -159,63 +222,100 @@ def _alike(over: int, under: int):
     return run
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    x, y = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike(*similar), "a long, b long"), "alike")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return materialise(met.mapInArrow(_alike(words, *similar), "a long, b long"), "alike")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, component_id: the smallest doc_id that pairs of at least this Jaccard similarity reach."""
-    spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialise(rows.mapInArrow(_sets(words), "doc_id long, node long, body binary, part int"), "sets")
+def _counted(spark, made: DataFrame):
+    """The counters of all tasks, summed, as a broadcast of fixed size."""
     summed = made.where("part is not null").select("part", "body").repartition("part").mapInArrow(_summed, "part int, body binary")
-    whole = np.zeros((COUNTERS // _PART, _PART), dtype=np.uint32)
+    whole = np.zeros((COUNTERS // _PART, _PART), dtype=np.int64)
     for r in summed.toLocalIterator():
-        whole[r.part] = np.frombuffer(r.body, np.uint32)
-    counts = spark.sparkContext.broadcast(whole.tobytes())
-    sets = made.where("part is null")
-    classes = materialise(sets.groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-    found = sets.select("node", "body").mapInArrow(_prefixes(counts, *similar), "token long, node long, n int, after int")
-    postings = materialise(found.distinct(), "postings")
-    shared = materialise(postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token"), "shared")
-    postings, old = materialise(postings.join(shared, "token"), "postings"), postings
-    drop_shared(spark, old)
-    asked = postings.select("node").distinct()
-    bodies = materialise(sets.join(asked, "node", "left_semi").select("node", "body").dropDuplicates(["node"]), "bodies")
-    links = None
-    groups = None
-
-    def grouped() -> DataFrame:
-        """Postings with their groups, of tokens that are still in several."""
-        if groups is None:
-            return postings.withColumn("component", F.col("node"))
-        now = materialise(postings.join(groups.withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left").select(*postings.columns, F.coalesce("component", "node").alias("component")), "grouped")
-        several = materialise(now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "several")
-        return materialise(now.join(several, "token"), "open")
-
-    for k in range(ROUNDS):
-        now = grouped()
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("p"), F.col("component").alias("c")))
-        pivots = materialise(now.groupBy("token").agg(pivot.alias("v")), "pivots")
-        one = now.join(pivots, "token").where("component <> v.c").groupBy("node").agg(F.min("v").alias("v"))
-        tried = _verified(one.select(F.col("node").alias("a"), F.col("v.p").alias("b")), bodies, similar)
-        if not tried.take(1):
-            break
-        links = tried if links is None else links.unionByName(tried)
+        whole[r.part] = np.frombuffer(r.body, np.int64)
+    return spark.sparkContext.broadcast(whole.tobytes())
+
+
+def _near_fingerprints(classes: DataFrame, differ: int) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints operator 9 links, enough to span its groups."""
+    heads = materialise(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = classes.where("n > 0").join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    near = simhash.links(heads.select("fp"), differ).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return materialise(equal.unionByName(near).distinct(), "near")
+
+
+def similar_rows(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, differ: int = simhash.DIFFER) -> DataFrame:
+    """doc_id, text_hash and class for each row of docs: rows whose texts are linked, directly or by others, have one class."""
+    spark = prepare(docs.sparkSession)
+    over, under = similar
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    with scratch(spark) as kept:
+        made = materialise(source.mapInArrow(_rows(words), _ROW), "rows")
+        counts = _counted(spark, made)
+        rows = made.where("part is null").select("doc_id", "text_hash", "node", "n", "fp")
+        one = F.min_by(F.struct("text_hash", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "n", "fp"), F.xxhash64("doc_id", "text_hash"))
+        classes = materialise(rows.groupBy("node").agg(one.alias("one")).select("node", "one.*"), "classes")
+        near = _near_fingerprints(classes, differ)
+        found = source.select("text").mapInArrow(_prefixes(counts, words, over, under), "token long, salt int, node long, n int, after int")
+        found = found.repartition("token", "salt").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int, after int")
+        postings = materialise(found, "postings")
+        # Of each set that a pair can hold the text, once; everything else is left out from here on.
+        asked = materialise(classes.join(postings.select("node").distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("h"), "id", "none"), "asked")
+        held = source.withColumn("i", F.coalesce("doc_id", F.lit(0))).withColumn("e", F.col("doc_id").isNull())
+        met = held.join(asked, (F.col("i") == F.col("id")) & (F.col("text_hash") == F.col("h")) & (F.col("e") == F.col("none")))
+        texts = materialise(met.select("node", "text").dropDuplicates(["node"]) if _repeats(rows) else met.select("node", "text"), "texts")
+        fits = lambda x, y: F.least(x, y) * under >= F.greatest(x, y) * over
+        links = _verified(near, texts, words, similar)
         groups = materialise(components(links), "groups")
-    left = grouped().repartition("token").sortWithinPartitions("token")
-    pairs = materialise(left.mapInArrow(_across(*similar), "a long, b long").distinct(), "pairs")
-    last = _verified(pairs, bodies, similar)
-    links = last if links is None else links.unionByName(last)
-    joined = components(links)
-    rooted = materialise(classes.join(joined.withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left").select("node", "rep", F.coalesce("component", "node").alias("root")), "rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    table = materialise(rooted.join(least, "root").select("node", "component_id"), "members")
-    return sets.select("doc_id", "node").join(table, "node").select("doc_id", "component_id")
+        open_, now = postings, None
+
+        def grouped() -> DataFrame:
+            """Postings with their groups, of tokens that are still in several."""
+            left = open_.join(groups.withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left")
+            here = materialise(left.select("token", "node", "n", "after", F.coalesce("component", "node").alias("component")), "grouped")
+            several = materialise(here.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "several")
+            out = materialise(here.join(several, "token"), "open")
+            for old in (here, several):
+                drop_shared(spark, old)
+            return out
+
+        for k in range(ROUNDS):
+            now, before = grouped(), now
+            if before is not None:
+                drop_shared(spark, before)
+            open_ = now.select("token", "node", "n", "after")
+            pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("p"), F.col("component").alias("c"), F.col("n").alias("m")))
+            pivots = materialise(now.groupBy("token").agg(pivot.alias("v")), "pivots")
+            tried = now.join(pivots, "token").where((F.col("component") != F.col("v.c")) & fits(F.col("n"), F.col("v.m"))).groupBy("node").agg(F.min("v").alias("v"))
+            more = _verified(tried.select(F.col("node").alias("a"), F.col("v.p").alias("b")), texts, words, similar)
+            drop_shared(spark, pivots)
+            if not more.take(1):
+                break
+            links = links.unionByName(more)
+            groups = materialise(components(links), "groups")
+        left = grouped().repartition("token").sortWithinPartitions("token")
+        pairs = materialise(left.mapInArrow(_across(over, under), "a long, b long").distinct(), "pairs")
+        links = links.unionByName(_verified(pairs, texts, words, similar))
+        joined = materialise(components(links), "joined")
+        kept += [made, joined]
+    found = rows.join(joined.withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left")
+    return found.select("doc_id", "text_hash", F.coalesce("component", "node").alias("class"))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Are there rows equal in doc_id and text?"""
+    return bool(rows.groupBy("doc_id", "text_hash").count().where("count > 1").take(1))
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that pairs of at least this Jaccard similarity reach (null if it has none)."""
+    rows = similar_rows(docs, words, similar)
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "class").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The rows of docs that are the first of their group; columns stay as they are."""
-    gone = similar_groups(docs, words, similar).where("doc_id <> component_id").select(F.col("doc_id").alias("_lr_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_lr_gone"), "left_anti")
+    """The first row of docs of each group; columns stay as they are."""
+    return first_of_each(docs, similar_rows(docs, words, similar))
