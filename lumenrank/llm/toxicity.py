@@ -10,13 +10,14 @@ E = K n exp(-lambda S) times by chance, where lambda solves sum p(s) exp(lambda
 scores and K is their maximum-likelihood estimate. A document's evidence is the sum of -ln E over its segments with
 E < 1 and the Gumbel tail of its best one; a logistic curve turns them into a probability.
 
-The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, chosen by a hash) and has at most FEATURES
-tokens; both are broadcast, so their size does not grow with the corpus. Scores use three-fold cross-fitting: the
+The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, chosen by a hash); its tokens are all that pass
+the test on that sample, so what is broadcast does not grow with the corpus. Scores use three-fold cross-fitting: the
 curve is fitted to scores that a document got from models which had not seen it.
 
 Defined results: a null or empty text has no tokens and gets the score of no evidence; rows that repeat a doc_id are
-scored each; labels that are null are not used; without labelled rows of both kinds every score is the prior 0.5;
-an empty table gives none; extra columns are ignored.
+scored each, by their own text, and so are rows without one; labels that are null, or of no doc_id, are not used;
+without labelled rows of both kinds every score is the prior 0.5; an empty table gives none; extra columns are ignored
+by toxicity() and kept by without_toxic().
 """
 
 from __future__ import annotations
@@ -32,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import materialise, prepare, scratch
 
 TRAIN_ROWS = 20_000
-FEATURES = 50_000
 #: Strength of the Dirichlet prior, in documents.
 PRIOR = 20.0
 #: A token is telling from a likelihood ratio (2 ln) of TELLING, and more where many tokens are tested: 2 ln(tested) - 4.
@@ -183,8 +183,18 @@ def _select(names: np.ndarray, y1: np.ndarray, y0: np.ndarray, n1: float, n0: fl
         prior = PRIOR * both / (n1 + n0)
         odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
     keep = (g >= telling) & (np.abs(odds) >= LEAST) & (both > 0) & ((odds < 0) | (y1 >= 3))
-    best = np.argsort(-g[keep], kind="stable")[:FEATURES]
-    return {f: (float(x), float(o)) for f, x, o in zip(names[keep][best], g[keep][best], odds[keep][best], strict=True)}
+    return {f: (float(x), float(o)) for f, x, o in zip(names[keep], g[keep], odds[keep], strict=True)}
+
+
+def _likely(y1, y0, n1: float, n0: float, telling: float):
+    """Whether _select() can keep a feature, as a column: half of what it asks, as its folds see other counts."""
+    both, n = y1 + y0, n1 + n0
+    prior = both * (PRIOR / n)
+    odds = F.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - F.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
+    part = lambda y, m: F.when(y > 0, y * F.log(y / m)).otherwise(0.0)
+    a, b = both * (n1 / n), both * (n0 / n)
+    ratio = 2 * (part(y1, a) + part(y0, b) + part(n1 - y1, n1 - a) + part(n0 - y0, n0 - b))
+    return (ratio >= telling / 2) & (F.abs(odds) >= LEAST / 2)
 
 
 def _lambda(values: np.ndarray, weights: np.ndarray) -> float:
@@ -230,9 +240,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model from a bounded sample; what comes to the driver is at most the telling features and the sample's scores."""
+    """The model from a bounded sample; what comes to the driver is the telling features and two numbers for each document of the sample."""
     spark = prepare(docs.sparkSession)
-    sample = materialise(labelled(docs, labels, rows), "sample")
+    with scratch(spark):
+        return _train(spark, materialise(labelled(docs, labels, rows), "sample"))
+
+
+def _train(spark, sample: DataFrame) -> Model:
     sizes = {(r[0], r[1]): r[2] for r in sample.groupBy("fold", "toxic").count().collect()}
     n = np.array([[sizes.get((f, t), 0) for t in (0, 1)] for f in range(FOLDS)], dtype=float)
     if not n[:, 0].sum() or not n[:, 1].sum():
@@ -242,12 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts = sample.mapInArrow(_count, "feature string, fold int, toxic int, n long").groupBy("feature").agg(*sums)
     counts = materialise(counts.where(y1 + y0 >= 3), "counts")
     telling = max(TELLING, 2 * math.log(max(1, counts.count())) - 4)
-    # Only what can be telling comes to the driver: a rate in toxic documents far from the rate in others.
-    rate = float(n[:, 1].sum() / n.sum())
-    expected = (y1 + y0) * rate
-    likely = counts.where(((y1 >= 3) & (y1 > 1.5 * expected)) | ((expected >= 5) & (y1 < 0.5 * expected)))
-    strength = F.abs(y1 - expected) / F.sqrt(expected)
-    table = likely.orderBy(strength.desc(), "feature").limit(FEATURES).toPandas()
+    # Only what can be telling comes to the driver; the sample bounds how much that is.
+    table = counts.where(_likely(y1, y0, float(n[:, 1].sum()), float(n[:, 0].sum()), telling)).orderBy("feature").toPandas()
     names = table["feature"].to_numpy()
     y = np.stack([[table[f"y{f}{t}"].to_numpy(dtype=float) for t in (0, 1)] for f in range(FOLDS)])
     fit = lambda f: _select(names, *(y.sum(0)[t] - (y[f][t] if f is not None else 0) for t in (1, 0)), *(n.sum(0)[t] - (n[f][t] if f is not None else 0) for t in (1, 0)), telling)
@@ -266,20 +276,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "words", "found", "hits"])
 
-    got = sample.mapInArrow(scan, "toxic int, words long, found array<double>, hits array<double>").toPandas()
-    clean = got[got.toxic == 0]
+    got = materialise(sample.mapInArrow(scan, "toxic int, words long, found array<double>, hits array<double>"), "scanned")
+    clean = got.where("toxic = 0")
     model = Model(fit(None))
-    hits = np.concatenate([np.zeros(0), *(np.asarray(h) for h in clean.hits if len(h))])
-    silent = max(0, int(clean.words.sum()) - len(hits))
-    # The distribution of the clean documents' scores: what was hit, and the drift alone for all other words.
-    values, times = np.unique(np.round(hits - DRIFT, 3), return_counts=True)
-    weights = np.append(times, silent).astype(float)
+    # The distribution of the clean documents' scores: what was hit, and the drift alone for all other words. There
+    # are no more different scores than features.
+    hits = clean.select(F.explode("hits").alias("h")).groupBy(F.round(F.col("h") - DRIFT, 3).alias("h")).count().orderBy("h").toPandas()
+    silent = max(0, int(clean.agg(F.sum("words")).first()[0] or 0) - int(hits["count"].sum()))
+    values, weights = hits["h"].to_numpy(dtype=float), np.append(hits["count"].to_numpy(dtype=float), silent)
     model.lam = _lambda(np.append(values, -DRIFT), weights)
-    best = np.array([max(f) if len(f) else 0.0 for f in clean.found])
-    exposure = float(np.sum(clean.words.to_numpy() * np.exp(-model.lam * best)))
-    model.k = min(1.0, max(1e-6, len(clean) / max(exposure, 1e-9)))
-    x = np.array([evidence(int(w), [(0, 0, s) for s in f], model.lam, model.k) for w, f in zip(got.words, got.found, strict=True)])
-    model.weights = _logistic(x, got.toxic.to_numpy(dtype=float))
+    best = F.coalesce(F.array_max("found"), F.lit(0.0))
+    exposure = float(clean.agg(F.sum((F.col("words") * F.exp(best * -model.lam)).cast("decimal(38,9)"))).first()[0] or 0)
+    model.k = min(1.0, max(1e-6, float(n[:, 0].sum()) / max(exposure, 1e-9)))
+    lam, k = model.lam, model.k
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [evidence(w, [(0, 0, s) for s in f], lam, k) for w, f in zip(b.column("words").to_pylist(), b.column("found").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([e[i] for e in x], pa.float64()) for i in (0, 1))], ["toxic", "a", "b"])
+
+    weighed = got.mapInArrow(weigh, "toxic int, a double, b double").toPandas().sort_values(["toxic", "a", "b"])
+    model.weights = _logistic(weighed[["a", "b"]].to_numpy(), weighed.toxic.to_numpy(dtype=float))
     shared.unpersist()
     return model
 
@@ -318,6 +335,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic; columns stay as they are."""
-    gone = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_lr_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_lr_gone"), "left_anti")
+    """The rows of docs that are not predicted toxic; columns stay as they are. Each row is judged by its own text, and none is moved."""
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(train(docs, labels))
+    text = "_lr_text"
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scores = WordScores(model)
+        for b in batches:
+            fine = []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                n, found = segments(t or "", scores)
+                fine.append(score_of(model, evidence(n, found, model.lam, model.k)) < THRESHOLD)
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(fine, pa.bool_()))
+
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(keep, docs.schema)
