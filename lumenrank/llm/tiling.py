@@ -9,9 +9,12 @@ The join never shuffles documents: each task scans its texts against a block of
 BLOCK_SEEDS (a checked bound); more items are further passes. Pairs are looked into one by one, so a passage in very
 many documents costs each document the same.
 
+Long texts are scanned in pieces that share SEED - 1 words, and of a text only the words of shared seeds are held.
+
 Defined results: null and empty texts and items match nothing, nor do items of fewer than SEED words; words are runs
-of digits, ASCII letters (in lower case) and characters beyond ASCII; rows that repeat an id are compared each; an
-empty table on either side gives an empty result; extra columns are ignored.
+of digits, ASCII letters (in lower case) and characters beyond ASCII; rows that repeat an id, and rows or items without
+one, are compared each (a null id is given back as null); an empty table on either side gives an empty result; extra
+columns are ignored by contaminated() and kept by decontaminated(), which judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import blocks, prepare, text_column
+from .common import BLOCK_BYTES, blocks, prepare, text_column
 
 SEED = 5
 COVERAGE = 0.5
@@ -88,9 +91,9 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, shortest: int = SEED) -> li
 class Items:
     """A block of items: their words' hashes and which item and place each seed stands at."""
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int):
+    def __init__(self, ids: list[int | None], texts: list[str], seed: int):
         words = scan.of_texts(texts)
-        self.ids = np.array(ids, dtype=np.int64)
+        self.ids = ids
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         at, h = words.grams(seed)
         order = np.argsort(h, kind="stable")
@@ -100,21 +103,63 @@ class Items:
         self.many = np.searchsorted(h, self.seeds.members, side="right") - self.begin
 
 
-def _leaks(items: Items, words: scan.Words, seed: int, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
+def _pieces(data: np.ndarray, limit: int, share: int) -> Iterator[tuple[int, scan.Words]]:
+    """A long text as pieces that share some words, each with the number of its first word."""
+    at, base = 0, 0
+    while True:
+        end = at + limit
+        if end < len(data):
+            gaps = np.flatnonzero(~scan.WORD_BYTES[scan.LOWER[data[at:end]]])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end
+            if not len(gaps):  # within one word
+                limit *= 2
+                continue
+        end = min(end, len(data))
+        words = scan.Words(data[at:end], np.array([0, end - at]))
+        many = len(words.start)
+        back = min(share, many)
+        onward = at + int(words.start[many - back]) if back else end
+        if end < len(data) and onward == at:
+            limit *= 2
+            continue
+        yield base, words
+        if end == len(data):
+            return
+        at, base = onward, base + many - back
+
+
+def _seeds(items: Items, data: np.ndarray, offsets: np.ndarray, seed: int, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, number of the first word, hashes of the words, and which seed, of each place with a seed of an item."""
+    for lo, hi in blocks(offsets, limit):
+        own = data[offsets[lo] : offsets[hi]]
+        if len(own) > 2 * limit:
+            parts = _pieces(own, limit, seed - 1)
+        else:
+            parts = [(0, scan.Words(own, offsets[lo : hi + 1] - offsets[lo]))]
+        for base, words in parts:
+            at, h = words.grams(seed)
+            hit, member = items.seeds.find(h)
+            if len(hit):
+                at = at[hit]
+                row = words.row[at]
+                yield row + lo, at - words.first[row] + base, words.hash[at[:, None] + np.arange(seed)], member
+
+
+def _leaks(items: Items, data: np.ndarray, offsets: np.ndarray, seed: int, coverage: float, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, words of the item, words in tiles, tiles) for each pair of a text and an item that leaks."""
-    at, h = words.grams(seed)
-    hit, member = items.seeds.find(h)
-    if not len(hit):
+    found = list(_seeds(items, data, offsets, seed, limit))
+    if not found:
         return
+    row, first, hashes, member = (np.concatenate(c) for c in zip(*found, strict=True))
     many = items.many[member]
-    which = np.repeat(np.arange(len(hit)), many)
+    which = np.repeat(np.arange(len(row)), many)
     k = items.begin[member][which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-    place, row, item = at[hit][which], words.row[at[hit]][which], items.row[k]
-    order = np.lexsort((place, item, row))
-    place, row, item, start = place[order], row[order], item[order], items.place[k][order]
-    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
-    for a, b in zip(cut, np.append(cut[1:], len(row)), strict=True):
-        r, i = int(row[a]), int(item[a])
+    order = np.lexsort((first[which], items.row[k], row[which]))
+    which, k = which[order], k[order]
+    text, item, start = row[which], items.row[k], items.place[k]
+    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
+    for a, b in zip(cut, np.append(cut[1:], len(text)), strict=True):
+        r, i = int(text[a]), int(item[a])
         own = items.words[i]
         touched = np.zeros(len(own) + 1, dtype=np.int64)
         np.add.at(touched, start[a:b], 1)
@@ -122,58 +167,76 @@ def _leaks(items: Items, words: scan.Words, seed: int, coverage: float) -> Itera
         if np.count_nonzero(np.cumsum(touched)[:-1]) < coverage * len(own):
             continue  # tiles lie within what the seeds cover
         # Only words within a shared seed can be in a tile: the rest of the text is cut down to separators.
-        spots = np.unique((np.unique(place[a:b])[:, None] + np.arange(seed)).ravel())
+        w = which[a:b]
+        spots, one = np.unique((first[w][:, None] + np.arange(seed)).ravel(), return_index=True)
         gaps = np.flatnonzero(np.diff(spots) > 1) + 1
-        text = np.insert(words.hash[spots], gaps, np.arange(len(gaps), dtype=np.uint64) * np.uint64(2))
-        tiles = greedy_tiles(own, text, seed)
+        words = np.insert(hashes[w].ravel()[one], gaps, np.arange(len(gaps), dtype=np.uint64) * np.uint64(2))
+        tiles = greedy_tiles(own, words, seed)
         covered = sum(n for _, _, n in tiles)
         if covered >= coverage * len(own):
-            yield r, int(items.ids[i]), len(own), covered, len(tiles)
+            yield r, i, len(own), covered, len(tiles)
+
+
+def _passes(benchmark: DataFrame, block_seeds: int) -> Iterator[tuple[list[int | None], list[str]]]:
+    """The items in blocks of at most about block_seeds words; one partition of items comes to the driver at a time."""
+    ids, texts, held = [], [], 0
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    for r in items.toLocalIterator():
+        ids.append(r[0])
+        texts.append(r[1])
+        held += len(r[1]) // 2 + 1
+        if held >= block_seeds:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """doc_id, item_id, item_words, tile_words, tiles, coverage: one row for each pair that leaks."""
     spark = prepare(docs.sparkSession)
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, item_words int, tile_words int, tiles int"
 
-    def one_pass(ids: list[int], texts: list[str]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, texts))
+    def one_pass(block: tuple[list[int | None], list[str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Items(*shared.value, seed)
+            items = Items(*shared.value, seed)
             for b in batches:
-                data, offsets = text_column(b, "text")
-                doc = b.column(0).to_numpy(zero_copy_only=False)
-                out = []
-                for lo, hi in blocks(offsets):
-                    words = scan.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    out.extend((doc[lo + r], *rest) for r, *rest in _leaks(block, words, seed, coverage))
-                if out:
-                    cols = zip(*out, strict=True)
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "item_words", "tile_words", "tiles"])
+                found = list(_leaks(items, *text_column(b, "text"), seed, coverage))
+                if found:
+                    row, item, *numbers = zip(*found, strict=True)
+                    ids = pa.array([items.ids[i] for i in item], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), ids, *(pa.array(x, pa.int32()) for x in numbers)], ["doc_id", "item_id", "item_words", "tile_words", "tiles"])
 
         return rows.mapInArrow(run, schema)
 
-    found, ids, texts, held = [], [], [], 0
-    for r in items.toLocalIterator():  # one partition of items at a time; each pass holds at most block_seeds words
-        ids.append(r[0])
-        texts.append(r[1])
-        held += len(r[1]) // 2 + 1
-        if held >= block_seeds:
-            found.append(one_pass(ids, texts))
-            ids, texts, held = [], [], 0
-    if ids or not found:
-        found.append(one_pass(ids, texts))
-    result = found[0]
+    found = [one_pass(block) for block in _passes(benchmark, block_seeds)]
+    result = found[0] if found else rows.limit(0).mapInArrow(lambda batches: iter(()), schema)
     for more in found[1:]:
         result = result.unionByName(more)
     return result.withColumn("coverage", F.col("tile_words") / F.col("item_words"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item; columns stay as they are."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_lr_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_lr_gone"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """The rows of docs that leak no item; columns stay as they are. Each row is judged by its own text, and none is moved."""
+    spark = prepare(docs.sparkSession)
+
+    def one_pass(rows: DataFrame, block: tuple[list[int | None], list[str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value, seed)
+            for b in batches:
+                clean = np.ones(len(b), dtype=bool)
+                clean[[r for r, *_ in _leaks(items, *text_column(b, text), seed, coverage)]] = False
+                yield b.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    text = "_lr_text"
+    kept = docs.withColumn(text, F.col("text").cast("string"))
+    for block in _passes(benchmark, block_seeds):
+        kept = one_pass(kept, block)  # passes are pipelined: documents are read once
+    return kept.drop(text)
