@@ -1,15 +1,19 @@
 """Operator 7: shards that all have the corpus's mixture, by proportional stratified interleaving.
 
 The rows of each source are shuffled by a seeded hash and ranked; the row of rank r among n gets the fractional rank
-(r + 1/2) / n. In the order of fractional ranks every source is spread evenly, and the order is cut into shards whose
-counts differ by one at most (law "rows").
+(r + u) / n, with a u in [0, 1) of the source's own, so that the rows of many small sources don't fall together. In
+the order of fractional ranks every source is spread evenly, and the order is cut into shards whose counts differ by
+one at most (law "rows").
 
 No rank needs a source, or the corpus, in one task: rows are first counted by hash ranges ("bins") of about equal
 size, running sums of the counts give each bin its first rank, and only within a bin are rows numbered. Bins grow in
 number with the rows up to BIN_ROWS rows each.
 
-Defined results: a null text counts as empty; a null source is a source of its own; equal doc_ids are rows of their
-own, ordered by text; rows equal in doc_id and text get ranks of their own in any order; an empty table gives none.
+The hash is MD5 of seed, doc_id and text, which other engines have as well: so the query can be held against SQL.
+
+Defined results: a null text counts as empty; a null source is a source of its own; equal doc_ids, and null ones, are
+rows of their own, ordered by text; rows equal in doc_id and text get ranks of their own in any order; an empty table
+gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, prepare
+from .common import materialise, prepare, scratch
 
 #: Rows of a bin: a bin is sorted in one task.
 BIN_ROWS = 50_000
@@ -44,9 +48,21 @@ def _rank(df: DataFrame, stratum: list[str], by: Column, order: list[Column], n:
     return ranked.join(first, [*stratum, "_bin"]).withColumn(name, F.col("_first") + F.col("_at")).drop("_bin", "_at", "_first")
 
 
+def cut(pos: Column, total: int, shards: int) -> dict[str, Column]:
+    """shard and slot of the row at pos of total: shard k holds positions from ceil(k * total / shards) on, in whole numbers."""
+    div = lambda a, b: F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
+    k = div(pos * F.lit(shards).cast("long"), max(total, 1))
+    first = div(k * F.lit(total).cast("long") + F.lit(shards - 1), shards)
+    return {"shard": k.cast("int"), "slot": (pos - first).cast("long")}
+
+
 def shard(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot, and the position in the interleaved order (pos)."""
-    prepare(docs.sparkSession)
+    with scratch(prepare(docs.sparkSession)) as kept:
+        return _shard(docs, shards, seed, kept)
+
+
+def _shard(docs: DataFrame, shards: int, seed: int, kept: list[DataFrame]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = materialise(
         docs.select(
@@ -54,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
             F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("stratum"),
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64("doc_id", text, F.lit(seed)).alias("shuffled"),
+            F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("|"), text).cast("binary")).alias("shuffled"),
         ),
         "rows",
     )
@@ -62,19 +78,18 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     total = per.agg(F.sum("n_source")).first()[0] or 0
     per_bin = F.lit(float(max(1, min(BIN_ROWS, -(-total // BINS)))))
     rows = rows.join(per, "stratum")
-    turn = F.pmod(F.col("shuffled"), F.lit(_RING)) / F.lit(float(_RING))
-    tie = [F.pmod(F.col("shuffled"), F.lit(_RING)), F.col("shuffled"), F.col("doc_id")]
-    ranked = materialise(_rank(rows, ["stratum"], turn, tie, F.col("n_source"), per_bin, "rank"), "ranked")
-    ranked = ranked.withColumn("share", (F.col("rank") + 0.5) / F.col("n_source"))
+    digits = F.conv(F.substring("shuffled", 1, 10), 16, 10).cast("long")
+    turn = digits / F.lit(float(_RING))
+    ranked = materialise(_rank(rows, ["stratum"], turn, [digits, F.col("shuffled"), F.col("doc_id")], F.col("n_source"), per_bin, "rank"), "ranked")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("stratum")).cast("binary")), 1, 10), 16, 10).cast("long") / F.lit(float(_RING))
+    ranked = ranked.withColumn("share", (F.col("rank") + start) / F.col("n_source"))
     order = [F.col("share"), F.col("stratum"), F.col("rank")]
     placed = _rank(ranked.withColumn("_all", F.lit(0)), ["_all"], F.col("share"), order, F.lit(total), per_bin, "pos")
-    # Shard k holds positions from ceil(k * total / shards) on: counts differ by one at most.
-    total_l = F.lit(max(total, 1)).cast("decimal(38,0)")
-    k = F.floor(F.col("pos").cast("decimal(38,0)") * shards / total_l).cast("long")
-    start = F.ceil(F.col("shard").cast("decimal(38,0)") * F.lit(total) / F.lit(shards)).cast("long")
-    placed = placed.withColumn("shard", k.cast("int")).withColumn("slot", (F.col("pos") - start).cast("long"))
+    placed = placed.withColumns(cut(F.col("pos"), total, shards))
     source = F.when(F.col("stratum") != "", F.expr("substring(stratum, 2)")).alias("source")
-    return placed.select("doc_id", source, "size", "text_crc32", "shard", "slot", "pos")
+    placed = materialise(placed.select("doc_id", source, "size", "text_crc32", "shard", "slot", "pos"), "placed")
+    kept.append(placed)
+    return placed
 
 
 def sharded_documents(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
