@@ -7,7 +7,8 @@ special token's string or other runs of white space is encoded in one piece. A l
 other characters is cut before in the same way.
 
 Defined results: a null text counts as empty; an empty text has no ids but the end id; equal doc_ids are documents of
-their own, in the order of their text's hash; an empty table gives an empty result and no files.
+their own, in the order of their text's hash; documents without a doc_id come last and are read back without one; an
+empty table gives an empty result and no files; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import BLOCK_BYTES, materialise, prepare, shared_path
 END_ID = 2
 #: Parts of texts whose ids a worker remembers; beyond that, what was not used since as many were learned is forgotten.
 REMEMBERED = 1_200_000
+#: Stored bytes of the input for each file.
+FILE_BYTES = 16 << 20
 #: A text whose parts are longer than this on average is encoded in one piece.
 LONGEST_PIECE = 64
 #: ASCII punctuation, as it may end a part.
@@ -200,29 +203,37 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_ids: int =
     return rows.mapInArrow(lengths, "doc_id long, n_tokens long")
 
 
+#: Lengths of a page, and pages of a book.
+PAGE = 64
+
+
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """One row per length that occurs, exact: what a context limit of that many tokens keeps and loses.
 
     n_tokens; n_docs and tokens at this length; docs_longer and tokens_longer beyond it; total_docs and total_tokens;
     truncated_total: tokens that are left if every document is cut to n_tokens; quantile: the share of documents of
-    at most n_tokens. Suffix sums go by pages of 1,024 lengths, so no task gathers the histogram.
+    at most n_tokens. Suffix sums go by pages of 64 lengths, and of these by 64 again, so no task gathers the histogram.
     """
     at = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
-    at = at.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_page", F.floor(F.col("n_tokens") / 1024))
-    at = materialise(at, "histogram")
+    at = materialise(at.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "histogram")
     after = lambda w: w.rowsBetween(1, W.unboundedFollowing)
-    pages = at.groupBy("_page").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
-    over, whole = after(W.orderBy("_page")), W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    pages = pages.select(
-        "_page",
-        zero(F.sum("d").over(over)).alias("_d"),
-        zero(F.sum("t").over(over)).alias("_t"),
-        F.sum("d").over(whole).alias("total_docs"),
-        F.sum("t").over(whole).alias("total_tokens"),
-    )
-    inner = after(W.partitionBy("_page").orderBy("n_tokens"))
-    rows = at.withColumn("_id", zero(F.sum("n_docs").over(inner))).withColumn("_it", zero(F.sum("tokens").over(inner))).join(pages, "_page")
+
+    def suffixes(rows: DataFrame, key: str, page: str, names: tuple[str, str]) -> DataFrame:
+        """rows with names: the documents and tokens of all larger keys of the same page."""
+        inner = after(W.partitionBy(page).orderBy(key))
+        return rows.select("*", zero(F.sum("n_docs").over(inner)).alias(names[0]), zero(F.sum("tokens").over(inner)).alias(names[1]))
+
+    sums = [F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")]
+    pages = at.groupBy(F.floor(F.col("n_tokens") / PAGE).alias("_page")).agg(*sums)
+    pages = pages.withColumn("_book", F.floor(F.col("_page") / PAGE))
+    books = pages.groupBy("_book").agg(*sums)
+    whole = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    over = after(W.orderBy("_book"))  # a row for every 4,096 lengths
+    books = books.select("_book", *[zero(F.sum(c).over(over)).alias(n) for c, n in (("n_docs", "_bd"), ("tokens", "_bt"))], F.sum("n_docs").over(whole).alias("total_docs"), F.sum("tokens").over(whole).alias("total_tokens"))
+    pages = suffixes(pages, "_page", "_book", ("_pd", "_pt")).drop("n_docs", "tokens").join(books, "_book")
+    pages = pages.select("_page", "total_docs", "total_tokens", (F.col("_bd") + F.col("_pd")).alias("_d"), (F.col("_bt") + F.col("_pt")).alias("_t"))
+    rows = suffixes(at.withColumn("_page", F.floor(F.col("n_tokens") / PAGE)), "n_tokens", "_page", ("_id", "_it")).join(pages, "_page")
     longer, more = F.col("_d") + F.col("_id"), F.col("_t") + F.col("_it")
     return rows.select(
         "n_tokens",
@@ -285,7 +296,13 @@ class TokenFile:
             raise ValueError(f"no directory in {uri}")
         body = self.file.read(length)
         self.width = int(body[0])
-        self.doc_ids = np.frombuffer(self.plain.decompress(body[1:]), dtype="<i8")
+        directory = self.plain.decompress(body[1:])
+        #: Ids of the documents; those that have none are 0 here and marked in `without`.
+        self.doc_ids = np.frombuffer(directory, dtype="<i8", count=n)
+        self.without = np.frombuffer(directory, dtype="u1", offset=8 * n).astype(bool)
+
+    def ids(self, ks: np.ndarray) -> pa.Array:
+        return pa.array(self.doc_ids[ks], mask=self.without[ks])
 
     def read(self, k: int) -> np.ndarray:
         return self.read_many(np.array([k]))[0]
@@ -324,8 +341,9 @@ def _write(folder: str, tokenizer: str | None, end: int):
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.tok"  # one name per attempt: a task that is run again does no harm
-        out, ids, table, total = None, [], [], 0
+        out, ids, table, total, first = None, [], [], 0, None
         for b in batches:
+            first = b.column(2)[0].as_py() if first is None and len(b) else first
             out = out or files.open_output_stream(f"{root}/{name}", compression=None)
             texts = [t or "" for t in b.column(1).to_pylist()]
             for doc, coded in zip(b.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
@@ -337,31 +355,37 @@ def _write(folder: str, tokenizer: str | None, end: int):
                 total += len(raw) // width
         if out is None:
             return
-        body = bytes([width]) + pack.compress(np.array(ids, dtype="<i8").tobytes())
+        without = np.array([i is None for i in ids], dtype="u1")
+        body = bytes([width]) + pack.compress(np.array([i or 0 for i in ids], dtype="<i8").tobytes() + without.tobytes())
         out.write(struct.pack("<II", SKIP_DIRECTORY, len(body)) + body)
         seek = np.array(table, dtype="<u4").tobytes() + struct.pack(_FOOTER, len(table), CHECKSUMS, SEEK_MAGIC)
         out.write(struct.pack("<II", SKIP_SEEK, len(seek)) + seek)
         out.close()
-        cols = [[name], [ids[0]], [len(ids)], [total]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["file", "first_doc", "n_docs", "n_ids"])
+        cols = [[name], [ids[0]], [first], [len(ids)], [total]]
+        kinds = [pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "first_doc", "first_hash", "n_docs", "n_ids"])
 
     return write
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end: int = END_ID) -> tuple[DataFrame, str]:
-    """Write all documents in ascending doc_id order; a manifest (file, first_doc, n_docs, n_ids, nth, start) and the folder.
+    """Write all documents in ascending doc_id order; a manifest (file, first_doc, first_hash, n_docs, n_ids, nth, start) and the folder.
 
-    Files are ranges of doc_ids; equal doc_ids are in one file. Only files that the manifest names count.
+    Files are ranges of doc_id and the text's hash, one for about FILE_BYTES of the stored input, so an id that very many
+    documents share, or that they lack, is spread over files as well. Only files that the manifest names count.
     """
     spark = prepare(docs.sparkSession)
     folder = folder or shared_path(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = materialise(ranged.mapInArrow(_write(folder, tokenizer, end), "file string, first_doc long, n_docs long, n_ids long"), "manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(1, spark.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), 1 << 20))
+    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    manifest = materialise(ranged.mapInArrow(_write(folder, tokenizer, end), "file string, first_doc long, first_hash long, n_docs long, n_ids long"), "manifest")
     # One row per file here: files grow with the data, rows of the manifest only with the files.
-    order = W.orderBy("first_doc")
-    start = F.coalesce(F.sum("n_ids").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return manifest.select("*", (F.row_number().over(order) - 1).alias("nth"), start.alias("start")), folder
+    by = W.orderBy(F.col("first_doc").asc_nulls_last(), "first_hash")
+    start = F.coalesce(F.sum("n_ids").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return manifest.select("*", (F.row_number().over(by) - 1).alias("nth"), start.alias("start")), folder
 
 
 def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -374,11 +398,11 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
                 f = TokenFile(f"{folder}/{name}")
                 lengths = f.table[:, 1] // f.width
                 starts = start + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                chosen = np.arange(len(lengths)) if keep is None else np.flatnonzero(np.isin(f.doc_ids, keep))
+                chosen = np.arange(len(lengths)) if keep is None else np.flatnonzero(np.isin(f.doc_ids, keep) & ~f.without)
                 for at in range(0, len(chosen), 500):
                     part = chosen[at : at + 500]
                     ids = f.read_many(part)
-                    cols = [pa.array(f.doc_ids[part]), pa.array(starts[part]), pa.array(lengths[part].astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
+                    cols = [f.ids(part), pa.array(starts[part]), pa.array(lengths[part].astype(np.int64)), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                     if with_ids:
                         cols.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
