@@ -10,7 +10,9 @@ compared exactly. A task gives back link counts and a spanning forest, never the
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their
 own component; vectors of different lengths never link; an empty table gives none; rows that repeat a vec_id count
-as copies if their vectors are equal (and share a component if they are not); extra columns are ignored.
+as copies if their vectors are equal (and share a component if they are not); rows without a vec_id are vectors like
+any other, but never name a component: theirs is the smallest vec_id that they reach, or null (and they are kept) if there
+is none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, prepare
+from .common import components, materialise, prepare, scratch
 from .simhash import _hook
 
 LEAST = 0.9
@@ -32,6 +34,8 @@ TILE = 4096
 #: The sample that pivots are drawn from, and the most pivots.
 SAMPLE, PIVOTS = 4096, 256
 LEAF, CENTRES = 128, 48
+#: What distances may be off by, as the square root of a rounded difference; pairs so near the edge are compared exactly.
+SLACK = 1e-7
 
 
 class Node:
@@ -80,7 +84,7 @@ def leaf_pairs(unit: np.ndarray, a: Node | None, b: Node | None, tau: float) ->
     if a is None or b is None:
         return
     work = [(a, b)]
-    slack = tau + 1e-9
+    slack = tau + SLACK
     while work:
         x, y = work.pop()
         if x is not y and math.sqrt(max(0.0, 2.0 - 2.0 * float(unit[x.centre] @ unit[y.centre]))) > x.radius + y.radius + slack:
@@ -134,6 +138,7 @@ def near_links(unit: np.ndarray, sizes: np.ndarray, block: np.ndarray | None, le
 
 def _units(flat: np.ndarray) -> np.ndarray:
     v = flat.astype(np.float64)
+    v = v / np.abs(v).max(axis=1)[:, None]  # so that no square of a very large or small component is lost
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
@@ -143,45 +148,65 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def _compare(least: float):
+    """Block pairs are neighbours in a partition; one pair of blocks is held at a time."""
+
+    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(held)
+        dim, y = part.column("dim")[0].as_py(), part.column("y")[0].as_py()
+        unit = _units(_matrix(part.column("vector"), dim))
+        ids, sizes = part.column("node").to_numpy(), part.column("copies").to_numpy()
+        block = None if part.column("x")[0].as_py() == y else (part.column("block").to_numpy() == y).astype(np.int8)
+        counts, root = near_links(unit, sizes, block, least)
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[root[some]])], ["node", "n", "other"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).sort_by([("dim", "ascending"), ("x", "ascending"), ("y", "ascending")])
-        keys = np.stack([t.column(c).to_numpy() for c in ("dim", "x", "y")], axis=1)
-        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        for a, b in zip(cut, np.append(cut[1:], len(keys)), strict=True):
-            part = t.slice(a, b - a)
-            dim, x, y = (int(v) for v in keys[a])
-            unit = _units(_matrix(part.column("vector"), dim))
-            ids, sizes = part.column("rep").to_numpy(), part.column("copies").to_numpy()
-            block = None if x == y else (part.column("block").to_numpy() == y).astype(np.int8)
-            counts, root = near_links(unit, sizes, block, least)
-            some = np.flatnonzero(counts)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[root[some]])], ["rep", "n", "other"])
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            if not len(b):
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in ("dim", "x", "y")], axis=1)
+            cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            for s, e in zip(cut.tolist(), np.append(cut[1:], len(keys)).tolist(), strict=True):
+                key = tuple(keys[s].tolist())
+                if held and key != now:
+                    yield from settle(held)
+                    held = []
+                now = key
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from settle(held)
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    spark = prepare(vectors.sparkSession)
+    with scratch(prepare(vectors.sparkSession)) as kept:
+        return _near_duplicates(vectors, least, tile, kept)
+
+
+def _near_duplicates(vectors: DataFrame, least: float, tile: int, kept: list[DataFrame]) -> DataFrame:
+    spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, v).alias("vector"))
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialise(classes.select("rep", "copies", "vector", F.size("vector").alias("dim")), "classes")
+    # A class is known by its smallest vec_id; one that has none by a hash.
+    node = F.coalesce("rep", F.xxhash64("vector")).alias("node")
+    classes = materialise(classes.select(node, "rep", "copies", "vector", F.size("vector").alias("dim")), "classes")
     dims = {r[0]: r[1] for r in classes.groupBy("dim").count().collect()}  # one row per length of vector
     ring = 1 << 30
     pivots: dict[int, np.ndarray] = {}
     for dim, n in dims.items():
         share = ring if n <= SAMPLE else int(ring * SAMPLE / n)
-        picked = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vector"), F.lit(ring)) < share)).limit(4 * SAMPLE).select("rep", "vector").toPandas()
+        picked = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vector"), F.lit(ring)) < share)).limit(4 * SAMPLE).select("node", "vector").toPandas()
         if not len(picked):
-            picked = classes.where(F.col("dim") == dim).limit(1).select("rep", "vector").toPandas()
-        unit = _units(np.stack(picked.sort_values("rep")["vector"].to_numpy()))
+            picked = classes.where(F.col("dim") == dim).limit(1).select("node", "vector").toPandas()
+        unit = _units(np.stack(picked.sort_values("node")["vector"].to_numpy()))
         chosen, far = [0], _distance(unit, np.arange(len(unit)), 0)
         while len(chosen) < min(PIVOTS, -(-n // tile), len(unit)):
             chosen.append(int(far.argmax()))
@@ -198,9 +223,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, tile: int = TILE)
                 cos = _units(_matrix(b.column("vector").take(pa.array(own)), d)) @ shared.value[d].T
                 cell[own] = cos.argmax(axis=1)
                 away[own] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], ["rep", "copies", "vector", "dim", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], ["node", "copies", "vector", "dim", "cell", "away"])
 
-    placed = classes.mapInArrow(assign, "rep long, copies long, vector array<double>, dim int, cell int, away double")
+    placed = classes.drop("rep").mapInArrow(assign, "node long, copies long, vector array<double>, dim int, cell int, away double")
     placed = materialise(placed, "placed")
     cells = {(r[0], r[1]): (r[2], r[3]) for r in placed.groupBy("dim", "cell").agg(F.count("*"), F.max("away")).collect()}
     # Blocks are tiles of cells; for each the list of block pairs that its vectors go to.
@@ -215,20 +240,24 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, tile: int = TILE)
         for d2, c2 in sorted(cells):
             if d2 == d:
                 apart = math.sqrt(max(0.0, 2 - 2 * float(pivots[d][c] @ pivots[d][c2])))
-                if apart <= cells[d, c][1] + cells[d, c2][1] + tau + 1e-9:
+                if apart <= cells[d, c][1] + cells[d, c2][1] + tau + SLACK:
                     others.append((first[d, c2][0], first[d, c2][1], cells[d, c2][1], c2))
         touch.append((d, c, first[d, c][0], first[d, c][1], [o[0] + k for o in others for k in range(o[1])]))
     spec = "dim int, cell int, start int, tiles int, touches array<int>"
     table = F.broadcast(spark.createDataFrame(touch, spec))  # one row per cell: at most PIVOTS for each length
-    dealt = placed.join(table, ["dim", "cell"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("rep"), F.col("tiles"))).cast("int"))
-    dealt = dealt.select("rep", "copies", "vector", "dim", "block", F.explode("touches").alias("o"))
-    dealt = dealt.select("rep", "copies", "vector", "dim", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
-    found = materialise(dealt.repartition("dim", "x", "y").mapInArrow(_compare(least), "rep long, n long, other long"), "found")
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    joined = components(found.where("rep <> other").select("rep", "other"))
-    table = classes.select("rep", "copies", "vector").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    table = table.select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    table = materialise(table, "members").withColumnRenamed("vector", "v2")
+    dealt = placed.join(table, ["dim", "cell"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("node"), F.col("tiles"))).cast("int"))
+    dealt = dealt.select("node", "copies", "vector", "dim", "block", F.explode("touches").alias("o"))
+    dealt = dealt.select("node", "copies", "vector", "dim", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+    dealt = dealt.repartition("dim", "x", "y").sortWithinPartitions("dim", "x", "y")
+    found = materialise(dealt.mapInArrow(_compare(least), "node long, n long, other long"), "found")
+    links = found.groupBy("node").agg(F.sum("n").alias("n"))
+    joined = components(found.where("node <> other").select("node", "other")).withColumnRenamed("node", "_g")
+    table = classes.select("node", "rep", "copies", "vector").join(links, "node", "left").join(joined, F.col("node") == F.col("_g"), "left")
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    members = materialise(table.select("vector", "rep", n_links, F.coalesce("component", "node").alias("root")), "members")
+    named = materialise(members.groupBy("root").agg(F.min("rep").alias("component_id")), "named")
+    kept += [members, named]
+    table = members.join(named, "root").select(F.col("vector").alias("v2"), "n_links", "component_id")
     own = F.coalesce("component_id", "vec_id")
     out = rows.join(table, F.col("vector") == F.col("v2"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
