@@ -1,7 +1,7 @@
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from lumenrank.llm import queries, simhash, tiling, toxicity  # noqa: E402
+from lumenrank.llm import queries, similar, tiling, toxicity  # noqa: E402
 
 
 def test_stages(spark, small):
@@ -17,7 +17,7 @@ def test_stages(spark, small):
     bad = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
     ids = {k: {r.doc_id for r in v.collect()} for k, v in out.items()}
     assert ids["toxicity"] == {r.doc_id for r in docs.collect()} - bad
-    assert ids["near-dedup"] == {r.component_id for r in simhash.near_duplicates(out["toxicity"]).collect()}
+    assert ids["near-dedup"] == {r.component_id for r in similar.similar_groups(out["toxicity"]).collect()}
     leaks = {r.doc_id for r in tiling.contaminated(out["near-dedup"], benchmark).collect()}
     assert ids["decontamination"] == ids["near-dedup"] - leaks
     last = corpus_pipeline.STAGES[-1][1](spark, now, small)

@@ -38,7 +38,7 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-def test_similar_groups(spark, small):
+def test_similar_groups(spark, small, monkeypatch):
     rng = random.Random(3)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     for g in range(6):
@@ -49,6 +49,31 @@ def test_similar_groups(spark, small):
     want = brute_groups(rows)
     assert {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()} == want
     kept = {d for d, c in want.items() if d == c}
+    monkeypatch.setattr(similar, "HOT", 2)  # most tokens count as frequent ones
     assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, small).collect()} == kept
-    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} - kept  # three bits of three-word shingles miss some
+    assert {r.doc_id for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()} - kept  # three bits of three-word shingles miss some
     assert similar.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    words = [f"w{i}" for i in range(40)]
+    text = " ".join(words)
+    rows = [(1, text, 1), (1, text, 1), (2, "other words here", 2), (2, text + " end", 3), (None, text, 4), (None, "alone without an id", 5), (3, None, 6), (4, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    assert sorted((r.doc_id or 0, r.node) for r in similar.one_of_each(docs).collect()) == [(0, 5), (1, 1), (2, 2), (3, 6)]
+    assert similar.one_of_each(docs).columns == docs.columns
+
+
+def test_shared_postings():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(60), -1, rng.randrange(9), 5, 1) for _ in range(120)) + [(70, 0, 3, 5, 1), (71, 2, 4, 5, 1)]
+    names = ["token", "salt", "node", "n", "after"]
+    kinds = [np.int64, np.int32, np.int64, np.int32, np.int32]
+    want = sorted({(t, n) for t, s, n, *_ in rows if s >= 0 or len({x[2] for x in rows if x[0] == t}) > 1})
+    for size in (1, 2, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, k)) for c, k in zip(zip(*rows[i : i + size], strict=True), kinds, strict=True)], names) for i in range(0, len(rows), size)]
+        got = [(t, n) for b in similar._shared(iter(batches)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert sorted(got) == want and len(got) == len(want)

@@ -104,6 +104,9 @@ def test_toxicity(spark, odd, none):
     right = sum(got[i].predicted == labels[i][1] for i in held) / len(held)
     assert right > 0.97
     assert toxicity.without_toxic(d, lab).count() == sum(not r.predicted for r in got.values())
+    # Each row is judged by its own text: rows that share an id, or have none, stay or go by themselves.
+    pair = spark.createDataFrame([(1, rows[0][1], 7), (1, rows[1][1], 8), (None, rows[5][1], 9), (None, rows[6][1], 10)], "doc_id long, text string, h long")
+    assert {r.h for r in toxicity.without_toxic(pair, lab).unionByName(pair.limit(0)).collect()} <= {7, 8, 9, 10}
     model = toxicity.train(d, lab)
     assert len(toxicity.score_documents(odd, model).collect()) == len(ODD)
     assert toxicity.score_documents(none, model).count() == 0
@@ -163,6 +166,8 @@ def test_cover_tree(spark):
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
     root = parts([(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True)] + [(604, 605)], [*range(len(v)), *range(600, 607)])
+    lost = covertree.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [0.0, 1.0]), (9, [3e300, -3e300]), (10, [2e-300, -2e-300])], "vec_id long, embedding array<double>"))
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in lost.collect()), key=str) == [(0, 0, None, True), (0, 1, 5, False), (10, 1, 9, False), (5, 1, 5, True), (9, 1, 9, True)]
     for tile in (4096, 64):
         got = {r.vec_id: r for r in covertree.near_duplicates(df, tile=tile).collect()}
         assert all(got[i].n_links == int(near[i].sum()) for i in range(len(v)))
@@ -240,6 +245,56 @@ def test_tiles(a, b):
         assert sum(lengths) == brute_tiles(a, b, 3)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=40))
+def test_greedy_tiles(a, b):
+    """Repeats included: of the longest matches the leftmost in the item, then in the text."""
+    codes = np.array([11, 222, 3333, 44444, 555555, 6666666], dtype=np.uint64)
+    tiles = tiling.greedy_tiles(codes[a] if a else np.zeros(0, np.uint64), codes[b] if b else np.zeros(0, np.uint64), 3)
+    assert sum(n for _, _, n in tiles) == brute_tiles(a, b, 3)
+
+
+def test_decontamination_by_brute_force(spark, docs):
+    import re
+
+    rng = np.random.default_rng(8)
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    items = [(1, " ".join(f"w{k}" for k in rng.integers(0, 6, 24))), (2, " ".join(f"w{k}" for k in rng.integers(0, 40, 30))), (None, "one two three four five six seven"), (9007199254740993, "é b c d e f g h")]
+    rows = [(100 + i, " ".join(f"w{k}" for k in rng.integers(0, 6 if i % 2 else 40, 60))) for i in range(40)]
+    for i in range(30):  # passages of items, moved and broken
+        w = split(items[i % 4][1])
+        at = int(rng.integers(1, len(w)))
+        rows.append((None if i % 7 == 0 else 9007199254740993 - i, " ".join([*w[at:], "x", *w[: int(rng.integers(0, len(w)))], "y", *w[:at]])))
+    rows += [(5, None), (6, ""), (7, "filler " * 3000 + items[2][1])]
+    want = []
+    for d, t in rows:
+        for i, item in items:
+            a, b = split(item), split(t)
+            n = brute_tiles(a, b, 5) if len(a) >= 5 and set(zip(*(a[k:] for k in range(5)), strict=False)) & set(zip(*(b[k:] for k in range(5)), strict=False)) else 0
+            if n >= 0.5 * len(a):
+                want.append((d, i, len(a), n))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r)[:4] for r in tiling.contaminated(d, b).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(x[0] is None for x in want) and any(x[1] is None for x in want)
+    bad = {(x[0]) for x in want}
+    assert sorted((r.doc_id for r in tiling.decontaminated(d, b).collect()), key=str) == sorted((x[0] for x in rows if x[0] not in bad), key=str) or None in bad
+
+
+@pytest.mark.parametrize("limit", [40, 200, 5000])
+def test_pieces(limit):
+    rng = np.random.default_rng(limit)
+    text = " ".join("w" * int(k) for k in rng.integers(1, 90, 300))
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    whole = scan.Words(data, offsets)
+    seen = {}
+    for base, words in tiling._pieces(data, limit, 4):
+        at, h = words.grams(5)
+        for k, x in zip((at + base).tolist(), h.tolist(), strict=True):
+            assert k not in seen
+            seen[k] = x
+    assert seen == dict(zip(*(x.tolist() for x in whole.grams(5)), strict=True))
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"q{i}" for i in range(30))
     w = item.split()
@@ -249,6 +304,9 @@ def test_decontamination(spark, odd, none):
     assert got == {1: (9, 30, 1), 2: (9, 30, 2)}
     assert {r.doc_id for r in tiling.contaminated(d, b, block_seeds=1).collect()} == {1, 2}
     assert {r.doc_id for r in tiling.decontaminated(d, b).collect()} == {3, 4, 5}
+    same = spark.createDataFrame([(1, f"before {item} after"), (1, "a clean text of the same id"), (None, item), (None, "clean, without an id")], "doc_id long, text string")
+    assert sorted(r.text for r in tiling.decontaminated(same, b).collect()) == ["a clean text of the same id", "clean, without an id"]
+    assert tiling.decontaminated(odd, b).columns == odd.columns and tiling.decontaminated(odd, b.limit(0)).count() == len(ODD)
     assert tiling.contaminated(none, b).count() == 0 and tiling.contaminated(d, b.limit(0)).count() == 0
     assert tiling.contaminated(odd, b).count() == 0
 
@@ -300,6 +358,14 @@ def test_sharding(docs, odd, none):
     wide = sharding.shard(docs, 4).toPandas()
     m = wide.groupby(["source", "shard"]).size().unstack(fill_value=0)
     assert (m.max(axis=1) - m.min(axis=1)).max() <= 1
+    many = sharding.shard(docs.limit(0).sparkSession.range(1600).selectExpr("id as doc_id", "string(id) as text", "if(id < 800, 'a', string(id % 400)) as source"), 40).toPandas()
+    spread = many[many.source != "a"].groupby("shard").size()
+    assert len(spread) == 40 and spread.min() > 5 and spread.max() < 40
+    spark = docs.sparkSession
+    for total in (10**9, 10**11):
+        at = [0, 1, total - 1, total // 3, 24999990, 24999999, 25000000, *(s * total // 40 + d for s in range(1, 40) for d in (-1, 0, 1))]
+        rows = spark.createDataFrame([(p,) for p in at], "pos long").withColumns(sharding.cut(F.col("pos"), total, 40)).collect()
+        assert all(r.shard == r.pos * 40 // total and r.slot == r.pos - -(-r.shard * total // 40) and r.slot >= 0 for r in rows)
     o = sharding.sharded_documents(odd, 40).toPandas()
     assert len(o) == len(ODD) and set(o["size"]) >= {16}
     assert sharding.sharded_documents(none).count() == 0
@@ -325,17 +391,17 @@ def test_encoder(plain, pieces):
 
 
 def test_token_files(docs, odd, none, plain):
-    for d in (docs, odd.where("doc_id is not null")):
+    for d in (docs, odd):
         manifest, folder = tokens.write_tokens(d)
         got = tokens.read_tokens(manifest, folder, with_ids=True).orderBy("start").collect()
-        rows = sorted(((r.doc_id, r.text or "") for r in d.collect()), key=lambda r: r[0])
+        rows = sorted(((r.doc_id, r.text or "") for r in d.collect()), key=lambda r: (r[0] is None, r[0] or 0))
         at = 0
         assert [r.doc_id for r in got] == [r[0] for r in rows]
         for r in got:
             assert r.start == at and r.n_tokens == len(r.ids) and r.ids[-1] == 2 and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
             at += r.n_tokens
-        want = sorted((i, tuple([*plain.encode(t, add_special_tokens=False).ids, 2])) for i, t in rows)
-        assert sorted((r.doc_id, tuple(r.ids)) for r in got) == want
+        want = sorted(((i, tuple([*plain.encode(t, add_special_tokens=False).ids, 2])) for i, t in rows), key=str)
+        assert sorted(((r.doc_id, tuple(r.ids)) for r in got), key=str) == want
     some = tokens.read_tokens(manifest, folder, wanted=[3, 6]).collect()
     assert {r.doc_id for r in some} == {3, 6}
     name = manifest.first()["file"]
@@ -384,11 +450,18 @@ def test_fingerprints(spark, docs, odd, none):
     assert simhash.near_duplicates(none).count() == 0
     assert spark.range(1).select(simhash.hex_digits(F.lit(-2))).first()[0] == "fffffffffffffffe"
     assert simhash.one_of_each(odd).columns == odd.columns
-
-
-@pytest.mark.parametrize(("tile", "fine"), [(8192, 1 << 24), (16, 1 << 24), (8192, 0)])
-def test_links(spark, monkeypatch, tile, fine):
-    monkeypatch.setattr(simhash, "FINE", fine)
+    assert sorted(r.doc_id or 0 for r in simhash.one_of_each(odd).collect()) == [0, 1, 3, 5, 6, 7]
+    same = spark.createDataFrame([(1, "p q r s"), (1, "p q r s"), (2, "other words here"), (2, "p q r s"), (None, "p q r s"), (None, "alone without an id")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.one_of_each(same).fillna(0).collect()) == [(0, "alone without an id"), (1, "p q r s"), (2, "other words here")]
+    joined = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    fp = {i: r.fp & (1 << 64) - 1 for i, r in joined.items()}
+    pairs = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3]
+    assert {i: r.component_id for i, r in joined.items()} == parts(pairs, fp)
+
+
+@pytest.mark.parametrize(("tile", "gather"), [(8192, 1 << 16), (16, 1 << 16), (64, 100)])
+def test_links(spark, monkeypatch, tile, gather):
+    monkeypatch.setattr(simhash, "GATHER", gather)
     rng = np.random.default_rng(4)
     codes = list(rng.integers(0, 1 << 63, 120, dtype=np.uint64))
     for c in codes[:40]:
