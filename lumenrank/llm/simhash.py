@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, first_of_each, materialise, prepare, scratch, text_hash
+from . import shingles
+from .common import components, first_of_each, materialise, prepare, scratch, text_column, text_hash
 
 SHINGLE = 3
 SEED = 42
@@ -40,20 +41,6 @@ _FAN = 16
 _FULL = (1 << 64) - 1
 
 
-def shingle_hashes(text: bytes, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each shingle of a text (UTF-8), repeats included; a text of fewer words is one shingle."""
-    import xxhash
-
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(parts) < words:
-        return np.array([digest(b" ".join(parts), seed)], dtype=np.uint64)
-    shifted = [parts[k:] for k in range(words)]
-    return np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*shifted, strict=False))), dtype=np.uint64, count=len(parts) - words + 1)
-
-
 def majority(hashes: np.ndarray) -> int:
     """The bits that over half of the hashes have."""
     counts = np.zeros(64, dtype=np.int64)
@@ -63,9 +50,23 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def majorities(many: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """majority() of each of several texts with so many hashes; 0 for one without."""
+    out = np.zeros(len(many), dtype=np.uint64)
+    if len(many) == 1:
+        out[0] = majority(hashes)
+        return out
+    some = np.flatnonzero(many)
+    if len(some):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, (np.cumsum(many) - many)[some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(counts * 2 > many[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of one text, from its UTF-8 bytes."""
-    return majority(shingle_hashes(text, words, seed))
+    return majority(shingles.of_text(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -74,9 +75,10 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).cast(pa.binary()).to_pylist()
-            fp = np.array([fingerprint(t or b"", words, seed) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "text_hash", "fp"])
+            fp = np.zeros(len(b), dtype=np.uint64)
+            for lo, many, hashes in shingles.of_batch(*text_column(b, "text"), words, seed):
+                fp[lo : lo + len(many)] = majorities(many, hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(make, "doc_id long, text_hash long, fp long")

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import components, drop_shared, first_of_each, materialise, prepare, scratch, text_hash
+from . import shingles, simhash
+from .common import components, drop_shared, first_of_each, materialise, prepare, scratch, text_column, text_hash
 
 WORDS = 5
 #: The similarity as a fraction.
@@ -40,8 +40,6 @@ _PART = 1 << 14
 HOT = 1 << 16
 #: Rounds that compare each text with one other, before all pairs that are left.
 ROUNDS = 3
-#: Sets that a worker keeps while it compares pairs.
-REMEMBERED = 64
 
 _ROW = "doc_id long, text_hash long, node long, n int, fp long, part int, body binary"
 
@@ -52,6 +50,17 @@ def _name(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED)
 
 
+def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Blocks of texts: the first one's number, their shingles (how many, hashes), and the sorted set of each."""
+    for lo, many, hashes in shingles.of_batch(data, offsets, words, simhash.SEED):
+        ends = np.cumsum(many)
+        found = []
+        for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True):
+            s = np.sort(hashes[a:b])
+            found.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if b > a else s)
+        yield lo, many, hashes, found
+
+
 def _rows(words: int):
     """Of each row its set's name and size and its fingerprint; at the end the task's counts, in parts."""
 
@@ -61,11 +70,10 @@ def _rows(words: int):
         for b in batches:
             n = len(b)
             node, size, fp = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.uint64)
-            for r, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                hashes = simhash.shingle_hashes(text or b"", words)
-                s = np.unique(hashes)
-                node[r], size[r], fp[r] = _name(s), len(s), simhash.majority(hashes)
-                np.add.at(counts, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+            for lo, many, hashes, found in _sets(*text_column(b, "text"), words):
+                here = slice(lo, lo + len(many))
+                fp[here], node[here], size[here] = simhash.majorities(many, hashes), [_name(s) for s in found], [len(s) for s in found]
+                np.add.at(counts, (np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), 1)
             columns = [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         some = [k for k in range(COUNTERS // _PART) if counts[k * _PART : (k + 1) * _PART].any()]
@@ -98,8 +106,7 @@ def _prefixes(counts, words: int, over: int, under: int):
         sent: set[int] = set()
         for b in batches:
             out = []
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                s = np.unique(simhash.shingle_hashes(text or b"", words))
+            for s in (s for _, _, _, found in _sets(*text_column(b, "text"), words) for s in found):
                 n = len(s)
                 name = _name(s)
                 if not n or name in sent:
@@ -197,26 +204,19 @@ def _across(over: int, under: int):
 
 
 def _alike(words: int, over: int, under: int):
-    """The pairs whose texts are similar; the sets of texts that come again and again are remembered."""
+    """The pairs whose texts are similar; a batch hashes each of its texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: str) -> np.ndarray:
-            got = known.pop(node, None)
-            if got is None:
-                got = np.unique(simhash.shingle_hashes(text.encode(), words))
-            known[node] = got  # the last one used comes last
-            if len(known) > REMEMBERED:
-                del known[next(iter(known))]
-            return got
-
         for b in batches:
+            a, c = b.column("a").to_numpy(), b.column("b").to_numpy()
+            nodes, first = np.unique(np.concatenate([a, c]), return_index=True)
+            column = pa.chunked_array([b.column("x"), b.column("y")]).combine_chunks()
+            batch = pa.RecordBatch.from_arrays([column.take(pa.array(first))], ["text"])
+            sets = [s for _, _, _, found in _sets(*text_column(batch, "text"), words) for s in found]
             keep = []
-            for a, x, c, y in zip(*(b.column(k).to_pylist() for k in ("a", "x", "b", "y")), strict=True):
-                y, x = of(c, y), of(a, x)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * (over + under) >= over * (len(x) + len(y)))
+            for i, j in zip(np.searchsorted(nodes, a).tolist(), np.searchsorted(nodes, c).tolist(), strict=True):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                keep.append(both * (over + under) >= over * (len(sets[i]) + len(sets[j])))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
