@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, extras, mining, planning, retrieval, tensors, texts
+from . import evaluation, extras, further, mining, planning, retrieval, tensors, texts
 
-_MODULES = (tensors, retrieval, evaluation, texts, mining, planning, extras)
+_MODULES = (tensors, retrieval, evaluation, texts, mining, planning, extras, further)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import vectors as V
 from ..operators import fusion, metrics, ranking
 from .base import Registry, Tables, r6
-from .retrieval import _BOTH, _CHILD, _ORDER, _RRF, benchmark, bm25_index, bm25_sql, children, dense, dense_sql, positives
+from .retrieval import _BOTH, _CHILD, _ORDER, _POSITIVE, _RRF, benchmark, bm25_index, bm25_sql, children, dense, dense_sql, positives, quantized_sql
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -100,15 +100,15 @@ def grouped_rank_metrics(t: Tables):
     return metrics.grouped_rank(_pairs(t)).select("queries", *[r6(c, c) for c in ("top1", "top5", "top10", "mrr", "mean_rank")])
 
 
-_ALL = "c AS (SELECT a.vec_id AS q, b.vec_id AS d, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, a.vec_id = b.vec_id AS is_target FROM embeddings a JOIN embeddings b ON a.vec_id < 60 AND b.vec_id < 60 AND a.label = b.label)"
+_ALL = "c AS (SELECT a.vec_id AS q, b.vec_id AS d, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, a.vec_id = b.vec_id AS is_target FROM embeddings a JOIN embeddings b ON a.vec_id // 64 = b.vec_id // 64 AND a.label = b.label)"
 
 
 def _contrast(t: Tables):
-    """A batch of sixty vectors, all of one label as each other's candidates."""
-    a = t.embeddings.where("vec_id < 60")
-    x = a.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
-    y = a.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y"), "label")
-    m = x.join(y, "label")
+    """All vectors in batches of sixty-four; in a batch those of one label are each other's candidates."""
+    batch = F.floor(F.col("vec_id") / 64).alias("batch")
+    x = t.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label", batch)
+    y = t.embeddings.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y"), "label", batch)
+    m = x.join(y, ["batch", "label"])
     return m.select("q", "d", V.cosine(F.col("x"), F.col("y")).alias("score"), (F.col("q") == F.col("d")).alias("is_target"))
 
 
@@ -132,7 +132,7 @@ def loss_pair_mse(t: Tables):
     return _contrast(t).agg(r6(F.avg(0.5 * d * d), "loss"))
 
 
-@add(f"WITH {_ALL}, e AS (SELECT *, exp(score - max(score) OVER w) AS m, exp(d % 7 / 7.0::DOUBLE - max(d % 7 / 7.0::DOUBLE) OVER w) AS t FROM c WINDOW w AS (PARTITION BY q)), p AS (SELECT q, m / sum(m) OVER w AS pm, t / sum(t) OVER w AS pt FROM e WINDOW w AS (PARTITION BY q)) SELECT q, round(sum(-pt * ln(greatest(pm, 1e-12))), 6) + 0.0 AS loss FROM p GROUP BY q")
+@add(f"WITH {_ALL}, e AS (SELECT *, exp(score - max(score) OVER w) AS m, exp(d % 7 / 7.0::DOUBLE - max(d % 7 / 7.0::DOUBLE) OVER w) AS t FROM c WINDOW w AS (PARTITION BY q)), p AS (SELECT q, m / sum(m) OVER w AS pm, t / sum(t) OVER w AS pt FROM e WINDOW w AS (PARTITION BY q)) SELECT q, round(sum(-pt * ln(greatest(pm, 1e-12))), 6) + 0.0 AS loss FROM p GROUP BY q HAVING count(*) > 1")
 def loss_teacher(t: Tables):
     return metrics.teacher_loss(_contrast(t).withColumn("teacher", F.col("d") % 7 / 7.0), "q").select("q", r6("loss", "loss"))
 
@@ -149,18 +149,17 @@ def loss_rank_margin(t: Tables):
 
 @add(
     f"""WITH {_ALL}, {_SOFT.format(t='0.05')}, g AS (SELECT q, -ln(greatest(p, 1e-12)) AS l FROM p WHERE is_target), a AS (SELECT avg(l) AS grouped FROM g),
-e2 AS (SELECT x.vec_id AS q, x.vec_id = y.vec_id AS is_target, exp((list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) - 1) / 0.05) AS e FROM embeddings x JOIN embeddings y ON x.vec_id < 60 AND y.vec_id < 60),
+e2 AS (SELECT x.vec_id AS q, x.vec_id = y.vec_id AS is_target, exp((list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) - 1) / 0.05) AS e FROM embeddings x JOIN embeddings y ON x.vec_id // 64 = y.vec_id // 64),
 b AS (SELECT avg(-ln(greatest(l, 1e-12))) AS whole FROM (SELECT q, sum(e) FILTER (is_target) / sum(e) AS l FROM e2 GROUP BY q))
 SELECT round(grouped, 6) AS grouped, round(whole, 6) AS global, round(whole + 0.25 * grouped, 6) AS hybrid FROM a, b"""
 )
 def loss_hybrid_info_nce(t: Tables):
-    """All sixty as candidates, plus a quarter of the loss within a label."""
-    a = t.embeddings.where("vec_id < 60")
-    m = a.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x")).join(a.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y")))
+    """All of a batch as candidates, plus a quarter of the loss within a label."""
+    batch = F.floor(F.col("vec_id") / 64).alias("batch")
+    m = t.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), batch).join(t.embeddings.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y"), batch), "batch")
     m = m.select("q", V.cosine(F.col("x"), F.col("y")).alias("score"), (F.col("q") == F.col("d")).alias("is_target"))
-    g = metrics.info_nce(_contrast(t), "q").agg(F.avg("loss").alias("g"))
-    w = metrics.info_nce(m, "q").agg(F.avg("loss").alias("w"))
-    return g.crossJoin(w).select(r6("g", "grouped"), r6("w", "global"), r6(F.col("w") + 0.25 * F.col("g"), "hybrid"))
+    h = metrics.hybrid_info_nce(m, _contrast(t), "q", weight=0.25)
+    return h.select(r6("grouped", "grouped"), r6("whole", "global"), r6("hybrid", "hybrid"))
 
 
 @add(
@@ -221,12 +220,12 @@ def _means(ranked, rel):
     return metrics.summary(metrics.per_query(ranked, rel)).select("queries", *[r6(n, n) for n in _NAMES])
 
 
-_LEAKS = "qrels AS (SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS rel FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)))"
+_LEAKS = f"{_POSITIVE}, qrels AS (SELECT query_id, doc_id, 1.0::DOUBLE AS rel FROM positives)"
 
 
 @add(f"WITH {bm25_sql()}, bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_s QUALIFY rank <= 100), {_LEAKS}, {metric_ctes('bm25')} {_MEANS}")
 def evaluate_bm25(t: Tables):
-    """Items against the documents that hold their beginning; zero scores can't reach a relevant one here."""
+    """Items against the documents that hold half of their runs of words; zero scores can't reach a relevant one here."""
     rel = positives(t).withColumn("rel", F.lit(1.0))
     return _means(bm25_index(t).top_k(benchmark(t), ranking.depth(10), zero_fill=False), rel)
 
@@ -248,7 +247,7 @@ def evaluate_multivector(t: Tables):
     return _means(ranking.rank_by(ranking.multivector(children(t)), 100), rel)
 
 
-@add()
+@add(f"WITH {quantized_sql(4, 100)}, {_QRELS}, {metric_ctes('compact')} {_MEANS}")
 def evaluate_quantized(t: Tables):
     q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
     d = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y"))

@@ -12,7 +12,7 @@ from ..operators import encoder, metrics, ranking
 from ..operators import mining as M
 from .base import Registry, Tables, r6
 from .evaluation import qrels
-from .retrieval import dense, dense_sql
+from .retrieval import _POSITIVE, dense, dense_sql, numbers, positives, turned_sql
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -63,14 +63,14 @@ def tensor_difference(t: Tables):
 
 @add(
     """WITH d AS (SELECT * FROM (VALUES (16, 0.5::DOUBLE), (32, 0.25), (64, 1.0)) d(dims, w)),
-c AS (SELECT dims, w, a.vec_id AS q, a.vec_id = b.vec_id AS is_target, list_cosine_similarity(a.embedding[1:dims]::DOUBLE[], b.embedding[1:dims]::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < 60 AND b.vec_id < 60 AND a.label = b.label, d),
+c AS (SELECT dims, w, a.vec_id AS q, a.vec_id = b.vec_id AS is_target, list_cosine_similarity(a.embedding[1:dims]::DOUBLE[], b.embedding[1:dims]::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id // 64 = b.vec_id // 64 AND a.label = b.label, d),
 e AS (SELECT *, exp((score - max(score) OVER k) / 0.05) AS e FROM c WINDOW k AS (PARTITION BY dims, q)), p AS (SELECT *, e / sum(e) OVER (PARTITION BY dims, q) AS p FROM e)
 SELECT dims, round(avg(-ln(greatest(p, 1e-12))) * max(w), 6) AS loss FROM p WHERE is_target GROUP BY dims"""
 )
 def loss_matryoshka(t: Tables):
     """The contrastive loss on prefixes of the vectors, weighted."""
-    a = t.embeddings.where("vec_id < 60")
-    pairs = a.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label").join(a.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y"), "label"), "label")
+    batch = F.floor(F.col("vec_id") / 64).alias("batch")
+    pairs = t.embeddings.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label", batch).join(t.embeddings.select(F.col("vec_id").alias("d"), F.col("embedding").alias("y"), "label", batch), ["batch", "label"])
     out = None
     for dims, weight in ((16, 0.5), (32, 0.25), (64, 1.0)):
         score = V.cosine(F.slice("x", 1, dims), F.slice("y", 1, dims))
@@ -116,31 +116,31 @@ def frontier_teacher_pairs(t: Tables):
     return c.withColumn("nth", F.row_number().over(order).cast("long")).where("nth <= 5").select("query_id", "positive_id", "doc_id", "nth")
 
 
+#: 64-bit FNV-1a of a string, over whole numbers wide enough for its products.
+_FNV = "list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: ('0x' || x)::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
 @add(
-    """WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT item_id AS query_id, ('0x' || substr(sha256('set:' || item_id), 1, 8))::BIGINT % n AS start, n FROM benchmark, n),
-d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), c AS (SELECT query_id, doc_id, (i - start + n) % n AS k FROM s JOIN d ON (i - start + n) % n < 8 WHERE doc_id % 3 <> 0) SELECT query_id, min_by(doc_id, k) AS doc_id FROM c GROUP BY ALL"""
+    f"""WITH {_POSITIVE}, n AS (SELECT count(*) AS n FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), b AS (SELECT query_id, count(*) AS b FROM positives GROUP BY ALL),
+s AS (SELECT query_id, doc_id AS positive_id, ({_FNV.format(t="'set' || chr(0) || query_id || chr(0) || doc_id")} % n)::BIGINT AS start, n, unnest(range(0, least(b + 1, n))) AS k FROM positives JOIN b USING (query_id), n),
+m AS (SELECT s.query_id, positive_id, d.doc_id, k FROM s JOIN d ON d.i = (start + k) % n)
+SELECT m.query_id, positive_id, min_by(m.doc_id, k) AS doc_id FROM m ANTI JOIN positives p ON p.query_id = m.query_id AND p.doc_id = m.doc_id GROUP BY ALL"""
 )
 def hash_started_negatives(t: Tables):
-    """From a hashed start the first document (of the next eight) that is free."""
-    from ..operators.ordering import place
-
-    n = t.documents.count()
-    start = F.conv(F.substring(M.hash_order("set", F.col("item_id")), 1, 8), 16, 10).cast("long") % n
-    s = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), start.alias("start"))
-    d = place(t.documents.select("doc_id"), F.col("doc_id"), [], "i")
-    c = s.withColumn("i", (F.col("start") + F.col("k")) % n).join(d, "i").where("doc_id % 3 <> 0")
-    return c.groupBy("query_id").agg(F.min_by("doc_id", "k").alias("doc_id"))
+    """For each item and document that holds it the first document from a hashed start on that doesn't."""
+    return M.hash_started_negatives(positives(t).withColumnRenamed("doc_id", "positive_id"), t.documents.select("doc_id"), "set")
 
 
-@add("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents WHERE source = 'src1') SELECT doc_id, CASE WHEN i <= n // 4 THEN 'train' WHEN i <= n // 2 THEN 'dev' ELSE 'test' END AS split FROM r")
+@add("WITH r AS (SELECT coalesce(source, '') AS source, doc_id, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY coalesce(source, '')) AS n FROM documents) SELECT source, doc_id, CASE WHEN i <= n // 4 THEN 'train' WHEN i <= n // 2 THEN 'dev' ELSE 'test' END AS split FROM r")
 def split_borrowing(t: Tables):
-    """Only a test split exists: its first half becomes dev, and half of that train."""
+    """Sources with a test split only: the first half of each becomes dev, and half of that train."""
     from ..operators.ordering import place
 
-    rows = t.documents.where("source = 'src1'").select("doc_id")
-    n = rows.count()
+    rows = t.documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    n = rows.groupBy("source").agg(F.count("*").alias("n"))  # one row per source
     i = F.col("i") + 1
-    return place(rows, F.col("doc_id"), [], "i").select("doc_id", F.when(i <= n // 4, "train").when(i <= n // 2, "dev").otherwise("test").alias("split"))
+    split = F.when(i <= F.floor(F.col("n") / 4), "train").when(i <= F.floor(F.col("n") / 2), "dev").otherwise("test")
+    return place(rows, F.col("doc_id"), [], "i", within=["source"]).join(n, "source").select("source", "doc_id", split.alias("split"))
 
 
 @add("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, trim(regexp_replace(l[1], '\\s+', ' ', 'g')) AS query, trim(regexp_replace(array_to_string(l[2:], ' '), '\\s+', ' ', 'g')) AS positive FROM l WHERE len(l) > 1 AND trim(l[1]) <> ''")
@@ -158,31 +158,66 @@ def kv_last_value(t: Tables):
     return kv_last(t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("value"), "o_orderkey"), ["k"], "value", "o_orderkey")
 
 
-def _ids(t: Tables):
-    return t.benchmark.select(F.col("item_id").alias("doc_id"), F.transform(X.words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(500)).cast("int")).alias("ids"))
+_IDS = f"ids AS (SELECT item_id AS doc_id, list_transform({_SPLIT}, lambda w: ('0x' || substr(sha256(w), 1, 8))::BIGINT % 500) AS ids FROM benchmark)"
+_WEIGHTS = encoder.Weights.seeded(500, 32, 64)
 
 
-@add()
+def _ids(t: Tables):
+    code = lambda w: (F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 8), 16, 10).cast("long") % 500).cast("int")
+    return t.benchmark.select(F.col("item_id").alias("doc_id"), F.transform(X.words(F.col("text")), code).alias("ids"))
+
+
+def _forward_sql(sparse: bool, repeats: int = 2) -> str:
+    """The encoder's forward pass over lists: one row per token, the matrices as a table of one row."""
+    times = lambda x, m: f"list_transform({m}, lambda c: list_inner_product(c, {x}))"
+    norm = lambda x: f"list_transform({x}, lambda z: (z - list_avg({x})) / sqrt(list_var_pop({x}) + 1e-5))"
+    plus = lambda a, b: f"list_transform(list_zip({a}, {b}), lambda z: z[1] + z[2])"
+    matrices = ", ".join(f"{numbers(getattr(_WEIGHTS, n).T)}::DOUBLE[][] AS w{n}" for n in ("q", "k", "v", "o", "up", "down"))
+    out = f"{_IDS}, w AS (SELECT {numbers(_WEIGHTS.embedding)}::DOUBLE[][] AS we, {matrices}), x0 AS (SELECT doc_id, pos, we[id + 1] AS x FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM ids), w)"
+    for r in range(repeats):
+        out += f""", p{r} AS (SELECT doc_id, pos, x, {times('x', 'wq')} AS q, {times('x', 'wk')} AS k, {times('x', 'wv')} AS v FROM x{r}, w),
+g{r} AS (SELECT doc_id, list(k ORDER BY pos) AS ks, list(v ORDER BY pos) AS vs FROM p{r} GROUP BY doc_id),
+s{r} AS (SELECT doc_id, pos, x, vs, list_transform(ks, lambda k: list_inner_product(k, q)) AS s FROM p{r} JOIN g{r} USING (doc_id)),
+"""
+        if sparse:  # each query keeps its best ceil(sqrt(n)) keys, the earlier of equal ones
+            out += f"c{r} AS (SELECT doc_id, pos, x, vs, s, list_sort(list_transform(range(1, len(s) + 1), lambda j: {{'a': -s[j], 'j': j}}))[ceil(sqrt(len(s)))::INT] AS last FROM s{r}), e{r} AS (SELECT doc_id, pos, x, vs, list_transform(range(1, len(s) + 1), lambda j: CASE WHEN {{'a': -s[j], 'j': j}} <= last THEN exp(s[j] - list_max(s)) ELSE 0 END) AS e FROM c{r}),"
+        else:
+            out += f"e{r} AS (SELECT doc_id, pos, x, vs, list_transform(s, lambda z: exp(z - list_max(s))) AS e FROM s{r}),"
+        out += f"""
+h{r} AS (SELECT doc_id, pos, x, list_transform(range(1, 33), lambda d: list_inner_product(e, list_transform(vs, lambda v: v[d])) / list_sum(e)) AS h FROM e{r}),
+o{r} AS (SELECT doc_id, pos, {plus(times('h', 'wo'), 'x')} AS b FROM h{r}, w), a{r} AS (SELECT doc_id, pos, {norm('b')} AS a FROM o{r}),
+u{r} AS (SELECT doc_id, pos, a, list_transform({times('a', 'wup')}, lambda z: 0.5 * z * (1 + (1 - 2 / (exp(2 * 0.7978845608 * (z + 0.044715 * z * z * z)) + 1)))) AS u FROM a{r}, w),
+f{r} AS (SELECT doc_id, pos, {plus(times('u', 'wdown'), 'a')} AS b FROM u{r}, w), x{r + 1} AS (SELECT doc_id, pos, {norm('b')} AS x FROM f{r})"""
+    unit = f"SELECT doc_id, unnest(range(1, 33)) AS d, unnest(list_transform(x, lambda z: z / sqrt(list_inner_product(x, x)))) AS z FROM x{repeats}"
+    return f"WITH {out}, m AS (SELECT doc_id, d, avg(z) AS z FROM ({unit}) GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(z * z)) AS n FROM m GROUP BY ALL) SELECT item_id AS doc_id, round(coalesce(n, 0), 4) + 0.0 AS norm FROM benchmark LEFT JOIN n ON n.doc_id = item_id"
+
+
+@add(_forward_sql(False))
 def encoder_embeddings(t: Tables):
-    """Seeded weights; tests compare with a plain forward pass."""
-    e = encoder.embed(_ids(t), encoder.Weights.seeded(500, 32, 64))
+    """Seeded weights, whole texts; tests compare with a plain forward pass as well."""
+    e = encoder.embed(_ids(t), _WEIGHTS)
     return e.select("doc_id", r6(V.norm(F.col("vector")), "norm", 4))
 
 
-@add()
+@add(_forward_sql(True))
 def sparse_encoder_embeddings(t: Tables):
-    e = encoder.embed(_ids(t), encoder.Weights.seeded(500, 32, 64), top_k=0)
+    e = encoder.embed(_ids(t), _WEIGHTS, top_k=0)
     return e.select("doc_id", r6(V.norm(F.col("vector")), "norm", 4))
 
 
-@add()
+@add(f"WITH {turned_sql(4)} SELECT vec_id AS n, round(norm * list_distance(t, y), 4) + 0.0 AS error FROM coded")
 def channel_codec(t: Tables):
     p = t.embeddings.select(F.col("vec_id").alias("n"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"), V.doubles(F.col("embedding")).alias("channels"))
     c = encoder.channel_codec(p, 4)
     return c.select("n", r6(V.l2_distance(F.col("channels"), F.col("decoded")), "error", 4))
 
 
-@add()
+@add(
+    """WITH v AS (SELECT vec_id // 16 AS block, vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT block, min(k) AS k FROM v GROUP BY ALL),
+d AS (SELECT x.block, x.k, x.v, list_distance(x.v, y.v) AS d FROM v x JOIN a USING (block) JOIN v y ON y.k = a.k), b AS (SELECT block, k FROM d QUALIFY row_number() OVER (PARTITION BY block ORDER BY d DESC, k) = 1),
+e AS (SELECT d.block, d.k, least(d.d, list_distance(d.v, y.v)) AS d FROM d JOIN b ON b.block = d.block JOIN v y ON y.k = b.k), c AS (SELECT block, k FROM e QUALIFY row_number() OVER (PARTITION BY block ORDER BY d DESC, k) = 1), n AS (SELECT block, count(*) AS n FROM v GROUP BY ALL)
+SELECT block, 0::BIGINT AS nth, k FROM a UNION ALL SELECT block, 1, b.k FROM b JOIN n USING (block) WHERE n > 1 UNION ALL SELECT block, 2, c.k FROM c JOIN n USING (block) WHERE n > 2"""
+)
 def block_representatives(t: Tables):
     b = t.embeddings.select(F.floor(F.col("vec_id") / 16).alias("block"), F.col("vec_id").alias("k"), V.doubles(F.col("embedding")).alias("vector"))
     return encoder.farthest_representatives(b, 3)

@@ -17,11 +17,12 @@ QUERIES, SQL = _R.queries, _R.sql
 add = _R.add
 
 
-@add("SELECT * FROM (SELECT l_orderkey AS query_id, l_partkey AS doc_id, max_by(l_quantity, l_linenumber * 1000 + l_quantity)::DOUBLE AS rel FROM lineitem GROUP BY 1, 2) WHERE rel > 0")
+@add("SELECT l_suppkey AS query_id, l_partkey AS doc_id, max_by(l_quantity - 25, l_orderkey * 10 + l_linenumber)::DOUBLE AS rel FROM lineitem WHERE l_quantity > 25 GROUP BY 1, 2")
 def qrels_last_wins(t: Tables):
-    place = F.col("l_linenumber") * 1000 + F.col("l_quantity")
-    rows = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_quantity").cast("double").alias("rel"), place.alias("place"))
-    return M.last_wins(rows, ["query_id", "doc_id"], "rel", "place").where("rel > 0")
+    """Rows of no relevance are passed over before the last one of a pair is taken."""
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = t.lineitem.select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), (F.col("l_quantity") - 25).cast("double").alias("rel"), place.alias("place"))
+    return M.last_wins(rows.where("rel > 0"), ["query_id", "doc_id"], "rel", "place")
 
 
 @add("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -78,9 +79,17 @@ def compact_negative_reasons(t: Tables):
     return m.select("query_id", "doc_id", "rank", "compact_rank", M.reason(F.col("rank"), F.col("compact_rank")).alias("reason"))
 
 
-@add()
+_WALK = "('0x' || substr(sha256('s1:{k}:' || item_id), 1, 15))::BIGINT"
+
+
+@add(
+    f"""WITH {_POSITIVE}, c AS (SELECT count(*) AS n, list_filter([{', '.join(map(str, M.STEPS))}], lambda p: count(*) % p <> 0) AS steps FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+b AS (SELECT item_id, count(doc_id) AS b FROM benchmark LEFT JOIN positives ON query_id = item_id GROUP BY ALL),
+a AS (SELECT item_id AS query_id, {_WALK.format(k='start')} % n AS start, steps[1 + {_WALK.format(k='step')} % len(steps)] AS step, n, unnest(range(0, least(b + 5, n))) AS k FROM b, c),
+m AS (SELECT a.query_id, d.doc_id, k FROM a JOIN d ON d.i = (start + k * step) % n)
+SELECT m.query_id, m.doc_id, row_number() OVER (PARTITION BY m.query_id ORDER BY k) AS nth FROM m ANTI JOIN positives p ON p.query_id = m.query_id AND p.doc_id = m.doc_id QUALIFY nth <= 5"""
+)
 def sampled_negatives(t: Tables):
-    """Seeded by hash; tests check that no labelled document and no repetition occurs."""
     return M.sampled_negatives(benchmark(t), t.documents.select("doc_id"), positives(t), 5, "s1")
 
 
@@ -151,11 +160,11 @@ def frontier_curation(t: Tables):
     return M.curate_frontier(rows, 4).select("query_id", "positive", F.array_join("negatives", ",").alias("negatives"))
 
 
-@add("SELECT b.conv_id, b.turn, min(d.doc_id) AS doc_id FROM (SELECT c.conv_id, c.turn, x.text FROM conversations c JOIN documents x ON x.doc_id = (c.conv_id * 7 + c.turn) % 1200) b LEFT JOIN documents d ON d.text = b.text GROUP BY ALL")
+@add("SELECT d.doc_id AS asked, u.doc_id FROM documents d LEFT JOIN (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) u USING (text)")
 def text_resolution(t: Tables):
-    c = t.conversations.select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 1200).alias("doc_id"))
-    rows = c.join(t.documents.select("doc_id", "text"), "doc_id").drop("doc_id")
-    return M.resolve_texts(rows, t.documents.select("doc_id", "text")).select("conv_id", "turn", "doc_id")
+    """The text of every document, traced back to the first document that has it."""
+    rows = t.documents.select(F.col("doc_id").alias("asked"), "text")
+    return M.resolve_texts(rows, t.documents.select("doc_id", "text")).select("asked", "doc_id")
 
 
 @add("WITH u AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING count(*) = 1) SELECT d.doc_id AS asked, coalesce(u.doc_id, -1) AS doc_id FROM documents d LEFT JOIN u USING (text)")
@@ -213,7 +222,7 @@ for _mode, _key in (("source", "source"), ("family", "split_part(source, ':', 1)
 def teacher_import(t: Tables):
     c = candidates(t)
     s = c.where("example % 5 <> 0 or slot <> 2").withColumn("source", F.when(F.col("example") % 3 == 0, "").otherwise(F.col("source"))).select("source", "query", "text", "score")
-    return T.import_scores(c, s).select("example", "slot", "score")
+    return T.import_scores(c.drop("score"), s).select("example", "slot", "score")
 
 
 _RELABEL = f"WITH {_CAND}, e AS (SELECT *, max(CASE WHEN slot = 0 THEN score END) OVER (PARTITION BY example) AS pos FROM c), a AS (SELECT *, slot > 0 AND score >= 0.1 AND score >= pos - 0.1 AS able FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY example ORDER BY able DESC, score DESC, slot) AS nth FROM a), l AS (SELECT *, CASE WHEN slot = 0 THEN 'original' WHEN able AND nth <= 2 THEN 'promoted' WHEN NOT able AND score <= 0.05 THEN 'kept' ELSE 'dropped' END AS action FROM r)"
@@ -241,10 +250,10 @@ def teacher_agreement(t: Tables):
     return T.agreement([c, two], -0.05).select("example", "slot", r6("score", "score", 9))
 
 
-@add("SELECT substr(source, 1, 3) AS query, substr(text, 1, 30) AS candidate, max(n_chars)::DOUBLE AS score FROM documents GROUP BY ALL")
+@add("SELECT substr(source, 1, 8000) AS query, substr(text, 1, 8000) AS candidate, max(n_chars)::DOUBLE AS score FROM documents GROUP BY ALL")
 def teacher_bridge_dedup(t: Tables):
-    rows = t.documents.select(F.substring("source", 1, 3).alias("query"), F.col("text").alias("candidate"), F.col("n_chars").cast("double").alias("score"))
-    return T.bridge_dedup(rows.withColumn("candidate", F.substring("candidate", 1, 30)))
+    rows = t.documents.select(F.col("source").alias("query"), F.col("text").alias("candidate"), F.col("n_chars").cast("double").alias("score"))
+    return T.bridge_dedup(rows)
 
 
 @add(f"WITH {_CAND} SELECT example, slot, score FROM c")

@@ -53,8 +53,8 @@ def batch_estimates(t: Tables):
 @add(
     """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS k, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0),
 x AS (SELECT q, k FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, k) <= 8), b AS (SELECT *, k // 16 AS block, count(*) OVER (PARTITION BY q) AS n FROM s),
-j AS (SELECT q, block, max(CASE WHEN k = block * 16 + (least(block * 16 + 16, n) - block * 16) // 2 THEN score END) AS anchor, avg(score) AS mean, avg(score) + stddev_pop(score) AS mean_radius, max(score) AS oracle, max(CASE WHEN k = block * 16 THEN score END) AS first FROM b GROUP BY ALL),
-l AS (SELECT q, block, mode, round(s, 9) AS s FROM (SELECT q, block, unnest(['anchor', 'mean', 'mean_radius', 'oracle', 'first']) AS mode, unnest([anchor, mean, mean_radius, oracle, first]) AS s FROM j)),
+j AS (SELECT q, block, max(CASE WHEN k = block * 16 + (least(block * 16 + 16, n) - block * 16) // 2 THEN score END) AS anchor, avg(score) AS mean, avg(score) + stddev_pop(score) AS mean_radius, max(score) AS oracle, max(CASE WHEN k = block * 16 THEN score END) AS first, max_by(score, k) AS last, avg(score) - stddev_pop(score) AS mean_less_radius, median(score) AS median, ('0x' || substr(sha256(q || ':' || block), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS chance FROM b GROUP BY ALL),
+l AS (SELECT q, block, mode, round(s, 9) AS s FROM (SELECT q, block, unnest(['anchor', 'mean', 'mean_radius', 'oracle', 'first', 'last', 'ends', 'mean_less_radius', 'median', 'chance']) AS mode, unnest([anchor, mean, mean_radius, oracle, first, last, greatest(first, last), mean_less_radius, median, chance]) AS s FROM j)),
 t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY q, mode ORDER BY s DESC, block) <= 6)
 SELECT mode, round(count(*) / (8.0 * (SELECT count(DISTINCT q) FROM x)), 6) AS recall FROM x JOIN t ON x.q = t.q AND x.k // 16 = t.block GROUP BY mode"""
 )

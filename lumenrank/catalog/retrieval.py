@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import fusion, ranking
+from ..operators import fusion, mining, ranking
 from .base import Registry, Tables, r6
 
 _R = Registry()
@@ -96,13 +96,17 @@ def bm25_topk_zero_fill(t: Tables):
     return bm25_index(t).top_k(benchmark(t), 950)
 
 
-_POSITIVE = """positives AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)))"""
+def _runs(key: str, table: str) -> str:
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM (SELECT {key}, {_WORDS.format(t='text')} AS w FROM {table}) WHERE len(w) > 0"
+
+
+_POSITIVE = f"""item_runs AS ({_runs('item_id', 'benchmark')}), doc_runs AS ({_runs('doc_id', 'documents')}), many AS (SELECT item_id, count(*) AS n FROM item_runs GROUP BY ALL),
+positives AS (SELECT item_id AS query_id, doc_id FROM item_runs JOIN doc_runs USING (run) JOIN many USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*) >= 0.5 * n)"""
 
 
 def positives(t: Tables):
-    """Documents that hold the first 40 characters of an item: the small side is the items."""
-    b = t.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("head"))
-    return t.documents.join(b, F.contains(F.col("text"), F.col("head"))).select("query_id", "doc_id")
+    """Documents that hold at least half of an item's runs of five words, wherever they stand."""
+    return mining.overlapping(t.documents, benchmark(t))
 
 
 @add(f"WITH {bm25_sql()}, {_POSITIVE}, k AS (SELECT * FROM bm25_s s ANTI JOIN positives p ON s.query_id = p.query_id AND s.doc_id = p.doc_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k QUALIFY rank <= 10")
@@ -156,7 +160,35 @@ def candidate_table(t: Tables):
     return ranking.candidates(scored, 5, ["label"]).select("query_id", packed.alias("packed"), F.size("candidates").cast("long").alias("n"))
 
 
-# --- quantised: our own codebook, so there is no SQL; tests check ratios, quality by bits, and determinism -----------
+# --- quantised: the rotation and the levels of our codebook are tables of the SQL ---------------------------------------
+
+
+def numbers(values) -> str:
+    """A vector or matrix as an SQL list."""
+    return "[" + ", ".join(numbers(v) if hasattr(v, "__len__") else repr(float(v)) for v in values) + "]"
+
+
+def turned_sql(bits: int, dim: int = 64, seed: int = 1, name: str = "") -> str:
+    """CTEs up to coded<name>: vec_id, norm, t (the turned unit vector) and y (what its codes decode to, still turned)."""
+    levels = ranking.codebook(bits)
+    return f"""rot{name} AS (SELECT {numbers(ranking.rotation(dim, seed))}::DOUBLE[][] AS r, {numbers(levels)}::DOUBLE[] AS levels, {numbers((levels[1:] + levels[:-1]) / 2)}::DOUBLE[] AS mids),
+vec{name} AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+turned{name} AS (SELECT vec_id, norm, levels, mids, list_transform(r, lambda w: list_inner_product(w, e) / norm) AS t FROM vec{name}, rot{name}),
+coded{name} AS (SELECT vec_id, norm, t, list_transform(t, lambda x: levels[1 + len(list_filter(mids, lambda m: m < x * sqrt({dim}.0)))] / sqrt({dim}.0)) AS y FROM turned{name})"""
+
+
+def quantized_sql(bits: int, k: int) -> str:
+    """CTEs up to compact, the ranking by decoded vectors."""
+    return f"""{turned_sql(bits)}, asked AS (SELECT vec_id AS query_id, list_transform(t, lambda z: z * norm) AS x FROM coded WHERE vec_id % 25 = 0),
+compact_s AS (SELECT query_id, vec_id AS doc_id, round(norm * list_inner_product(x, y), 6) + 0.0 AS score FROM asked, coded),
+compact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM compact_s QUALIFY rank <= {k})"""
+
+
+#: Rounding to half precision: to the even neighbour among numbers of eleven bits.
+_HALF = "list_transform({v}, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END)"
+_RERANKED = f"""{quantized_sql(4, 200)}, half AS (SELECT vec_id, {_HALF.format(v="e")} AS y FROM vec),
+again AS (SELECT c.query_id, c.doc_id, c.rank AS compact_rank, c.score AS compact_score, round(list_inner_product(q.e, h.y), 6) + 0.0 AS score FROM compact c JOIN vec q ON q.vec_id = c.query_id JOIN half h ON h.vec_id = c.doc_id),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, compact_rank, doc_id DESC) AS rank FROM again)"""
 
 
 def _compact(t: Tables, bits: int, k: int):
@@ -172,7 +204,7 @@ for _bits in ranking.BITS:
 
     _f = _make_q()
     _f.__name__ = f"quantized_topk_q{_bits}"
-    add()(_f)
+    add(f"WITH {quantized_sql(_bits, 10)} SELECT query_id, doc_id, score, rank FROM compact")(_f)
 
 
 @add(f"WITH {dense_sql(10)} SELECT query_id, doc_id, score, rank FROM dense")
@@ -182,16 +214,21 @@ def quantized_rerank_dense(t: Tables):
     return ranking.rerank(q, d, compact, 200, 10).select(*_RANKED)
 
 
-@add()
+@add(f"WITH {_RERANKED} SELECT query_id, doc_id, score, rank FROM reranked WHERE rank <= 10")
 def quantized_rerank_half(t: Tables):
     q, d, compact = _compact(t, 4, 200)
-    return ranking.rerank(q, ranking.half_vectors(d), compact, 200, 10).select(*_RANKED)
+    return ranking.rerank(q, ranking.half_vectors(d), compact, 200, 10, ties="compact").select(*_RANKED)
 
 
-@add()
+@add(
+    f"""WITH {_RERANKED}, pool AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY compact_score DESC, compact_rank, doc_id DESC) AS nth FROM reranked WHERE rank BETWEEN 100 AND 120 QUALIFY nth <= 5),
+placed AS (SELECT r.*, p.nth FROM reranked r LEFT JOIN pool p ON p.query_id = r.query_id AND p.doc_id = r.doc_id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nth IS NOT NULL THEN 1 WHEN rank <= 100 THEN 0 ELSE 2 END, coalesce(nth, rank)) AS place, compact_rank FROM placed QUALIFY place <= 100"""
+)
 def quantized_boundary_rescue(t: Tables):
     q, d, compact = _compact(t, 4, 200)
-    return ranking.rescue_boundary(ranking.rerank(q, ranking.half_vectors(d), compact, 200, 200)).select(*_RANKED, "compact_rank")
+    reranked = ranking.rerank(q, ranking.half_vectors(d), compact, 200, 200, ties="compact")
+    return ranking.rescue_boundary(reranked).select("query_id", "doc_id", "score", F.col("rank").alias("place"), "compact_rank")
 
 
 # --- fusion: dot products against negative distances -----------------------------------------------------------------

@@ -142,12 +142,12 @@ def tensor_matmul(t: Tables):
 
 
 @add(
-    """WITH l AS (SELECT label AS b, pos - 1 AS p, vec_id, v[pos] AS x FROM (SELECT label, vec_id, embedding::DOUBLE[] AS v, unnest(range(1, 5)) AS pos FROM embeddings))
+    """WITH l AS (SELECT label AS b, pos - 1 AS p, vec_id, v[pos] AS x FROM (SELECT label, vec_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings))
 SELECT x.b AS b, x.p AS i, y.p AS j, round(sum(x.x * y.x), 6) + 0.0 AS value FROM l x JOIN l y ON x.b = y.b AND x.vec_id = y.vec_id GROUP BY ALL"""
 )
 def tensor_matmul_batched(t: Tables):
-    """The Gram matrix of the first four components, for each label."""
-    e = t.embeddings.select(F.col("label").alias("b"), F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 4)).alias("j", "value"))
+    """The Gram matrix of the components, for each label."""
+    e = t.embeddings.select(F.col("label").alias("b"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "value"))
     e = e.select("b", "i", F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value"))
     return T.matmul(T.transpose(e), e, ["b"]).select("b", "i", "j", r6("value", "value"))
 
@@ -159,10 +159,10 @@ def tensor_transpose(t: Tables):
 
 @add(
     """SELECT l_orderkey AS at_order, l_linenumber AS at_line, vec_id AS row, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, label
-FROM lineitem JOIN embeddings ON vec_id = l_partkey % 500"""
+FROM lineitem JOIN embeddings ON vec_id = l_partkey % (SELECT count(*) FROM embeddings)"""
 )
 def tensor_gather(t: Tables):
-    index = t.lineitem.select(F.col("l_orderkey").alias("at_order"), F.col("l_linenumber").alias("at_line"), (F.col("l_partkey") % 500).alias("row"))
+    index = t.lineitem.select(F.col("l_orderkey").alias("at_order"), F.col("l_linenumber").alias("at_line"), (F.col("l_partkey") % t.embeddings.count()).alias("row"))
     table = t.embeddings.select(F.col("vec_id").alias("row"), r6(F.get("embedding", F.lit(0)), "first"), "label")
     return T.gather(table, index).select("at_order", "at_line", "row", "first", "label")
 

@@ -24,7 +24,7 @@ def lexical_tokens(t: Tables):
 def _chunks_sql(size: int, overlap: int, least: int) -> str:
     step = size - overlap
     return f"""WITH w AS (SELECT doc_id, {_SPLIT} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - {size}) / {step}.0)::BIGINT) + 1)) AS k FROM w WHERE len(w) > 0)
-SELECT doc_id AS parent_id, doc_id || '#chunk-' || lpad(k::VARCHAR, 4, '0') AS child_id, k * {step} AS start, array_to_string(w[k * {step} + 1 : k * {step} + {size}], ' ') AS text FROM c WHERE k = 0 OR len(w[k * {step} + 1 : k * {step} + {size}]) >= {least}"""
+SELECT doc_id AS parent_id, doc_id || '#chunk-' || lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INT, '0') AS child_id, k * {step} AS start, array_to_string(w[k * {step} + 1 : k * {step} + {size}], ' ') AS text FROM c WHERE k = 0 OR len(w[k * {step} + 1 : k * {step} + {size}]) >= {least}"""
 
 
 @add(_chunks_sql(64, 0, 1))

@@ -69,3 +69,20 @@ def render_fields(fields: dict[str, Column]) -> Column:
 def bpe_normalize(text: Column) -> Column:
     """Letters and digits in lower case, all else a space."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", " ")
+
+
+def shortest_number(value: Column) -> Column:
+    """A double in the fewest digits that tell it apart; with an exponent (of two digits at least) below 1e-4 and from 1e6 on."""
+    plain = F.abs(value).cast("string")
+    mantissa, power = F.regexp_extract(plain, r"^([0-9.]+)", 1), F.coalesce(F.nullif(F.regexp_extract(plain, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    joined = F.replace(mantissa, F.lit("."), F.lit(""))
+    digits = F.rtrim(F.ltrim(joined, F.lit("0")), F.lit("0"))
+    lost = F.length(joined) - F.length(F.ltrim(joined, F.lit("0")))
+    point = F.instr(mantissa, ".") - 1 + power - lost  # digits before the point, if the first one isn't zero
+    exponent = point - 1
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    whole = F.when(point <= 0, "0").otherwise(F.rpad(F.substr(digits, F.lit(1), F.greatest(point, F.lit(0))), F.greatest(point, F.lit(1)), F.lit("0")))
+    rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substr(digits, point + 1))
+    fixed = F.when(F.length(rest) > 0, F.concat(whole, F.lit("."), rest)).otherwise(whole)
+    text = F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(fixed)
+    return F.when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), text))

@@ -15,10 +15,15 @@ def word_chunks(docs: DataFrame, size: int, overlap: int = 0, least: int = 1) ->
     w = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("parent_id"), X.words(F.col("text")).alias("w")).where(F.size("w") > 0)
     c = w.select("parent_id", "w", F.posexplode(X.chunk_starts(F.size("w"), size, overlap)).alias("k", "start"))
     c = c.select("parent_id", "k", "start", F.slice("w", F.col("start") + 1, size).alias("part")).where((F.col("k") == 0) | (F.size("part") >= least))
-    child = F.concat(F.col("parent_id").cast("string"), F.lit("#chunk-"), F.lpad(F.col("k").cast("string"), 4, "0"))
+    child = F.concat(F.col("parent_id").cast("string"), F.lit("#chunk-"), chunk_number(F.col("k")))
     return c.select("parent_id", child.alias("child_id"), F.col("start").cast("long").alias("start"), F.array_join("part", " ").alias("text"))
 
 
+def chunk_number(k: Column) -> Column:
+    """At least four digits; a number that needs more has them."""
+    return F.lpad(k.cast("string"), F.greatest(F.lit(4), F.length(k.cast("string"))), F.lit("0"))
+
+
 def numeric_windows(series: DataFrame, width: int, stride: int) -> DataFrame:
     """(id, start, values) of series (id, values), the tail covered by a last window."""
     starts = X.window_starts(F.size("values"), width, stride)
@@ -33,12 +38,28 @@ def window_stats(windows: DataFrame) -> DataFrame:
     return windows.select("id", "start", F.size(v).cast("long").alias("n"), F.array_min(v).alias("min"), F.array_max(v).alias("max"), mean.alias("mean"), first.alias("first"), last.alias("last"), (last - first).alias("delta"))
 
 
+_STATS = ("min", "max", "mean", "first", "last", "delta")
+
+
 def render_window(prefix: Column | None = None) -> Column:
     """One line of text for a row of window_stats()."""
-    parts = [F.concat(F.lit(f"{n}="), F.round(F.col(n), 4).cast("string")) for n in ("min", "max", "mean", "first", "last", "delta")]
+    parts = [F.concat(F.lit(f"{n}="), X.shortest_number(F.col(n))) for n in _STATS]
     return F.concat_ws(" ", *([prefix] if prefix is not None else []), *parts)
 
 
+def render_series(series: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """The text of a whole series (id, label, text, values), or (id, start, text) of its windows with their values."""
+    whole = windows is None
+    if whole:
+        windows = series.select("id", F.lit(0).cast("long").alias("start"), "values")
+    stats = window_stats(windows).join(windows, ["id", "start"]).join(series.select("id", "label", F.col("text").alias("_text")), "id")
+    end = F.col("start") + F.col("n")
+    place = F.concat(F.lit("count="), F.col("n").cast("string"))
+    at = {"points": place} if whole else {"window": F.concat(F.lit("start="), F.col("start").cast("string"), F.lit(" end="), end.cast("string"), F.lit(" "), place), "values": F.array_join(F.transform("values", X.shortest_number), " ")}
+    text = X.render_fields({"text": F.col("_text"), "label": F.col("label"), "series_id": F.col("id").cast("string"), **at, "stats": render_window()})
+    return stats.select("id", *([] if whole else ["start"]), text.alias("text"))
+
+
 def span_children(tokens: DataFrame, size: int, overlap: int, least: int = 1) -> DataFrame:
     """(parent_id, span, vector): means over spans of token vectors (parent_id, pos, vector), at unit length.
 
@@ -72,6 +93,51 @@ def adjacent_pairs(docs: DataFrame, least_bytes: int) -> DataFrame:
     return p.select(F.explode(z).alias("z")).select("z.query", "z.positive").distinct()
 
 
+def mined_pairs(lines: DataFrame, least_bytes: int = 8, most: int = 0, seed: str = "1") -> DataFrame:
+    """(i, query, positive): neighbouring parts of each line (pos, text), then neighbouring lines, each different pair once,
+    numbered in that order; with `most` a seeded draw of so many, numbered in the order of the draw."""
+    from .mining import hash_order
+
+    text = X.collapse(F.col("text"))
+    rows = lines.select("pos", text.alias("text"))
+    parts = F.filter(F.transform(F.split("text", r"[.!?;:]"), X.collapse), lambda x: F.octet_length(x) >= least_bytes)
+    s = rows.select("pos", parts.alias("s")).where(F.size("s") > 1)
+    z = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("query"), F.slice("s", 2, F.size("s") - 1).alias("positive"))
+    inner = s.select(F.lit(0).alias("kind"), "pos", F.posexplode(z).alias("k", "z")).select("kind", "pos", "k", "z.query", "z.positive")
+    numbered = place(rows, F.col("pos"), [], "_i")
+    follows = numbered.select((F.col("_i") - 1).alias("_i"), F.col("text").alias("positive"))
+    outer = numbered.join(follows, "_i").select(F.lit(1).alias("kind"), "pos", F.lit(0).alias("k"), F.col("text").alias("query"), "positive")
+    fits = (F.octet_length("query") >= least_bytes) & (F.octet_length("positive") >= least_bytes) & (F.col("query") != F.col("positive"))
+    both = inner.unionByName(outer).where(fits).groupBy("query", "positive").agg(F.min(F.struct("kind", "pos", "k")).alias("at"))
+    both = both.select("query", "positive", "at.kind", "at.pos", "at.k")
+    if most:
+        digits = hash_order(seed, F.concat_ws("\0", "query", "positive"))
+        return place(both, F.conv(F.substring(digits, 1, 12), 16, 10).cast("long"), [digits], "i").where(F.col("i") < most).select("i", "query", "positive")
+    first = place(both.where("kind = 0"), F.col("pos"), ["k"], "i").select("i", "query", "positive")
+    n = first.count()
+    return first.unionByName(place(both.where("kind = 1"), F.col("pos"), [], "i").select((F.col("i") + n).alias("i"), "query", "positive"))
+
+
+def train_and_eval(pairs: DataFrame, eval_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Of numbered pairs (i, query, positive) those to train on, and (query, right, target) to judge with.
+
+    The first eval_pairs (at most half, one at least of three or more) are judged; each also with the first positive
+    after its own, round the end, that is neither its positive nor its query. As only pairs with such a positive can
+    be in the way, a pair is joined with one more place than there are of these.
+    """
+    n = pairs.count()
+    held = min(eval_pairs, n // 2) or (1 if n > 2 and eval_pairs >= 0 else 0)
+    judged = pairs.where(F.col("i") < held)
+    same = pairs.select(F.col("positive").alias("t")).groupBy("t").count()
+    many = lambda c: judged.select("i", F.col(c).alias("t")).join(same, "t").select("i", "count")
+    blocked = many("query").unionByName(many("positive")).groupBy("i").agg(F.sum("count").alias("b"))
+    asked = judged.join(blocked, "i").select("i", "query", F.col("positive").alias("own"), F.explode(F.sequence(F.lit(1), F.least(F.col("b") + 1, F.lit(max(n, 1))).cast("int"))).alias("k"))
+    met = asked.withColumn("j", (F.col("i") + F.col("k")) % max(n, 1)).join(pairs.select(F.col("i").alias("j"), F.col("positive").alias("right")), "j")
+    wrong = met.where("right <> own and right <> query").groupBy("i", "query").agg(F.min_by("right", "k").alias("right")).select("query", "right", F.lit(-1).alias("target"))
+    right = judged.select("query", F.col("positive").alias("right"), F.lit(1).alias("target"))
+    return pairs.where(F.col("i") >= held), right.unionByName(wrong)
+
+
 def half_pairs(docs: DataFrame, least_words: int = 40) -> DataFrame:
     """(doc_id, query, positive): first and second half of texts of enough words."""
     w = docs.select("doc_id", X.words(F.col("text")).alias("w")).where(F.size("w") >= least_words)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..ship import ship
 from .ranking import quantize, reconstruct
@@ -46,42 +47,71 @@ def _gelu(x: np.ndarray) -> np.ndarray:
 
 
 def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, top_k: int | None = None) -> np.ndarray:
-    """Softmax attention without scaling; with top_k each query keeps its best keys only (0: ceil(sqrt(n)))."""
-    s = q @ k.T
+    """Softmax attention without scaling, of one text or a batch; with top_k each query keeps its best keys only (0: ceil(sqrt(n)))."""
+    s = q @ np.swapaxes(k, -1, -2)
     if top_k is not None:
-        n = s.shape[1]
+        n = s.shape[-1]
         keep = min(n, top_k if top_k > 0 else int(np.ceil(np.sqrt(n))))
-        order = np.lexsort((np.broadcast_to(np.arange(n), s.shape), -s), axis=1)[:, keep:]
-        np.put_along_axis(s, order, -np.inf, axis=1)
+        np.put_along_axis(s, np.argsort(-s, axis=-1, kind="stable")[..., keep:], -np.inf, axis=-1)
     return _softmax(s) @ v
 
 
 def encode_tokens(tokens: np.ndarray, mask: np.ndarray, w: Weights, repeats: int = 2, top_k: int | None = None) -> np.ndarray:
-    """The pooled vector of one text; zeros if the mask leaves nothing."""
+    """The pooled vector of a text, or of each of a batch of one length; zeros if the mask leaves nothing."""
     x = w.embedding[tokens]
     for _ in range(repeats):
         a = _layernorm(attend(x @ w.q, x @ w.k, x @ w.v, top_k) @ w.o + x)
         x = _layernorm(_gelu(a @ w.up) @ w.down + a)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
     unit = np.where(n == 0, x, x / np.where(n == 0, 1, n))
-    kept = unit[mask != 0]
-    return kept.mean(axis=0) if len(kept) else np.zeros(x.shape[1])
+    kept = (np.asarray(mask) != 0).astype(float)[..., None]
+    return (unit * kept).sum(axis=-2) / np.maximum(kept.sum(axis=-2), 1)
+
+
+#: Scores (texts * length * length) that one batch holds.
+BATCH_SCORES = 1 << 22
 
 
 def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None = None) -> DataFrame:
-    """(doc_id, vector) of rows (doc_id, ids); the weights are broadcast, their size is the model's."""
+    """(doc_id, vector) of rows (doc_id, ids), or (doc_id, ids, mask); the weights are broadcast, their size is the model's.
+
+    Texts of one length go through the matrices together, so no padding is needed; ids that a mask marks with 0 take part
+    in the attention and are left out of the mean.
+    """
     shared = ship(rows.sparkSession).sparkContext.broadcast(weights)
+    masked = "mask" in rows.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for f in frames:
-            out = []
-            for ids in f["ids"]:
-                t = np.asarray(ids, dtype=np.int64)
-                out.append(encode_tokens(t, np.ones(len(t)), w, repeats, top_k) if len(t) else np.zeros(w.embedding.shape[1]))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "vector": out})
-
-    return rows.select("doc_id", "ids").mapInPandas(run, "doc_id long, vector array<double>")
+            ids = [np.asarray(i, dtype=np.int64) for i in f["ids"]]
+            masks = [np.asarray(m) for m in f["mask"]] if masked else [np.ones(len(i)) for i in ids]
+            length = np.array([len(i) for i in ids])
+            out = np.zeros((len(ids), w.embedding.shape[1]))
+            for n in np.unique(length[length > 0]):
+                at = np.flatnonzero(length == n)
+                size = max(1, BATCH_SCORES // int(n * n))
+                for k in range(0, len(at), size):
+                    part = at[k : k + size]
+                    out[part] = encode_tokens(np.stack([ids[i] for i in part]), np.stack([masks[i] for i in part]), w, repeats, top_k)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "vector": list(out)})
+
+    return rows.select("doc_id", "ids", *(["mask"] if masked else [])).mapInPandas(run, "doc_id long, vector array<double>")
+
+
+def padded(rows: DataFrame, longest: int, pad: int = 0) -> DataFrame:
+    """(doc_id, ids, mask): ids cut or filled up to one length, and which of them are the text's own."""
+    n = F.least(F.size("ids"), F.lit(longest))
+    fill = lambda value, times: F.transform(F.array_repeat(F.lit(0), times), lambda _: F.lit(value))
+    ids = F.concat(F.slice("ids", F.lit(1), n), fill(pad, F.lit(longest) - n))
+    return rows.select("doc_id", ids.alias("ids"), F.concat(fill(1, n), fill(0, F.lit(longest) - n)).alias("mask"))
+
+
+def embed_texts(docs: DataFrame, tokenizer, weights: Weights, longest: int | None = None, repeats: int = 2, top_k: int | None = None) -> DataFrame:
+    """(doc_id, vector) of texts (doc_id, text), by the tokeniser's ids."""
+    from .bpe import encode
+
+    return embed(encode(docs, tokenizer, longest), weights, repeats, top_k)
 
 
 def channel_codec(pixels: DataFrame, bits: int, seed: int = 1) -> DataFrame:

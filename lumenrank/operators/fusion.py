@@ -81,6 +81,44 @@ def calibration(base: DataFrame, other: DataFrame, metric: str = "ndcg") -> Data
     )
 
 
+def top_one_agreement(base: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: the queries of both rankings, and the share whose first documents are the same."""
+    b, o = (r.where(F.col("rank") == 1).select("query_id", F.col("doc_id").alias(n)) for r, n in ((base, "b"), (other, "o")))
+    return b.join(o, "query_id").agg(F.count("*").alias("queries"), F.avg((F.col("b") == F.col("o")).cast("double")).alias("top1_agreement"))
+
+
+def grid(dense: DataFrame, lexical: DataFrame, alphas: list[float], constants: list[int], weights: list[float], top: int, digits: int = 6) -> DataFrame:
+    """(setting, query_id, doc_id, score, rank) of every blend, in one pass: minmax:alpha, zscore:alpha, rrf:constant:weight.
+
+    Both lists are united once, and a row per document and setting is ranked.
+    """
+    u = union(dense, lexical).withColumns({f"_{n}_{c}": f(f"{c}_score") for n, f in (("m", _minmax), ("z", _zscore)) for c in ("dense", "bm25")})
+    scores = []
+    for name, n in (("minmax", "m"), ("zscore", "z")):
+        for alpha in alphas:
+            check(alpha=alpha)
+            scores.append((f"{name}:{alpha:g}", (1 - alpha) * F.col(f"_{n}_dense") + alpha * F.col(f"_{n}_bm25")))
+    for k in constants:
+        for w in weights:
+            check(k=k, weight=w)
+            scores.append((f"rrf:{k}:{w:g}", F.coalesce(1 / (k + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(w / (k + F.col("bm25_rank")), F.lit(0.0))))
+    many = F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), (F.round(c, digits) + 0.0).alias("score")) for s, c in scores])).alias("g")
+    long = u.select("query_id", "doc_id", "dense_rank", "bm25_rank", many).select("query_id", "doc_id", "dense_rank", "bm25_rank", "g.setting", "g.score")
+    order = W.partitionBy("setting", "query_id").orderBy(F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "doc_id")
+    return long.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("setting", "query_id", "doc_id", "score", "rank")
+
+
+def pick(measured: DataFrame, primary: str, guarded: dict[str, float], slack: float = 0.0) -> DataFrame:
+    """measured (setting, metrics) with protected (no guarded metric falls below its bound by more than slack) and picked:
+    the best protected setting by the primary metric, then by name."""
+    ok = F.lit(True)
+    for metric, bound in guarded.items():
+        ok = ok & (F.col(metric) >= bound - slack)
+    m = measured.withColumn("protected", F.coalesce(ok, F.lit(False)))
+    place = F.row_number().over(W.orderBy(F.col("protected").desc(), F.col(primary).desc(), "setting"))  # one row per setting
+    return m.withColumn("picked", (place == 1) & F.col("protected"))
+
+
 def router_features(ranked: DataFrame, other: DataFrame, k: int = 10) -> DataFrame:
     """Per query: margin of the best two scores, gap from first to k-th, spread of the best k, overlap and agreement with other."""
     best = ranked.where(F.col("rank") <= k)

@@ -65,10 +65,11 @@ def pair_eval(pairs: DataFrame) -> DataFrame:
 
 
 def roc_auc(pairs: DataFrame) -> DataFrame:
-    """Mann-Whitney with mean ranks for ties: counted per distinct score, so only these are ordered."""
-    per = pairs.groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("target") > 0).alias("p"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = per.withColumn("rank", below + (F.col("n") + 1) / 2.0)
+    """Mann-Whitney with mean ranks for ties: counted per distinct score, and summed up by ranges of scores."""
+    from .ordering import running
+
+    per = running(pairs.groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("target") > 0).alias("p")), "score", ["n"])
+    ranks = per.withColumn("rank", F.col("n_below") + (F.col("n") + 1) / 2.0)
     t = ranks.agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     auc = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.greatest(F.col("p") * F.col("q"), F.lit(1)))
     return t.select(F.when((F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise(F.least(F.greatest(auc, F.lit(0.0)), F.lit(1.0))).alias("auc"))
@@ -76,13 +77,15 @@ def roc_auc(pairs: DataFrame) -> DataFrame:
 
 def best_threshold(pairs: DataFrame) -> DataFrame:
     """The highest score that, taken as the least of the positive side, is right most often; all-negative is the start."""
+    from .ordering import running
+
     per = pairs.groupBy("score").agg(F.count_if(F.col("target") > 0).alias("p"), F.count_if(F.col("target") <= 0).alias("q"))
-    down, whole = W.orderBy(F.col("score").desc()), W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    tp, fp = F.sum("p").over(down), F.sum("q").over(down)
-    per = per.select("score", (tp + F.sum("q").over(whole) - fp).alias("right"), F.sum("q").over(whole).alias("base"), F.sum(F.col("p") + F.col("q")).over(whole).alias("n"))
-    best = per.agg(F.max(F.struct("right", "score")).alias("b"), F.max("score").alias("top"), F.max("base").alias("base"), F.max("n").alias("n"))
-    better = F.col("b.right") > F.col("base")
-    return best.select(F.when(better, F.col("b.score")).otherwise(F.col("top")).alias("threshold"), (F.greatest(F.col("b.right"), F.col("base")) / F.col("n")).alias("accuracy"))
+    # Right are the positives from a score on, all less those below it, and the negatives below it.
+    per = running(per, "score", ["p", "q"]).withColumn("gain", F.col("q_below") - F.col("p_below"))
+    best = per.agg(F.max(F.struct("gain", "score")).alias("b"), F.max("score").alias("top"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    right = F.col("b.gain") + F.col("p")
+    threshold = F.when(right > F.col("q"), F.col("b.score")).otherwise(F.col("top"))
+    return best.select(threshold.alias("threshold"), (F.greatest(right, F.col("q")) / (F.col("p") + F.col("q"))).alias("accuracy"))
 
 
 def grouped_rank(pairs: DataFrame) -> DataFrame:
@@ -123,22 +126,73 @@ def deciles(values: DataFrame, column: str) -> DataFrame:
 # --- losses (forward values) ---------------------------------------------------------------------------------------
 
 
-def info_nce(scores: DataFrame, group: str, temperature: float = 0.05) -> DataFrame:
-    """(group, loss): -ln of the softmax share of the target among a group's scores (score, is_target)."""
+def info_nce(scores: DataFrame, group: str, temperature: float = 0.05, least: int = 1) -> DataFrame:
+    """(group, loss): -ln of the softmax share of the target among a group's scores (score, is_target).
+
+    Groups of fewer than `least` candidates have no row: with 2, a positive without a negative doesn't count.
+    """
     t = temperature if temperature > 0 else 0.05
     q = W.partitionBy(group)
+    if least > 1:
+        scores = scores.withColumn("_n", F.count("*").over(q)).where(F.col("_n") >= least).drop("_n")
     e = scores.withColumn("e", F.exp((F.col("score") - F.max("score").over(q)) / t))
     share = e.withColumn("p", F.col("e") / F.sum("e").over(q)).where("is_target")
     return share.select(group, (-F.ln(F.greatest(F.col("p"), F.lit(1e-12)))).alias("loss"))
 
 
-def teacher_loss(candidates: DataFrame, group: str, temperature: float = 1.0) -> DataFrame:
-    """(group, loss): cross-entropy of the model's softmax (score) under the teacher's (teacher)."""
+def hard_negative_scores(anchors: DataFrame, candidates: DataFrame, batch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Scores (q, score, is_target) of hard-negative groups: against all candidates of the batch, and against their own.
+
+    anchors: (batch, q, x); candidates: (batch, q, slot, y), slot 0 being the positive and the others the negatives of q.
+    """
+    from ..functions import vectors as V
+
+    a, c = anchors.select(*batch, "q", "x"), candidates.select(*batch, F.col("q").alias("own"), "slot", "y")
+    m = a.join(c, batch).select("q", "own", "slot", V.cosine(F.col("x"), F.col("y")).alias("score"))
+    m = m.withColumn("is_target", (F.col("q") == F.col("own")) & (F.col("slot") == 0))
+    return m.select("q", "score", "is_target"), m.where("q = own").select("q", "score", "is_target")
+
+
+def hybrid_info_nce(whole: DataFrame, grouped: DataFrame, group: str, weight: float = 0.25, temperature: float = 0.05, least: int = 1) -> DataFrame:
+    """(whole, grouped, hybrid): mean losses over all candidates and within groups, and whole + weight * grouped."""
+    w = info_nce(whole, group, temperature).agg(F.avg("loss").alias("whole"))
+    g = info_nce(grouped, group, temperature, least).agg(F.avg("loss").alias("grouped"))
+    both = w.crossJoin(F.broadcast(g))  # one row each
+    return both.withColumn("hybrid", F.col("whole") + weight * F.coalesce("grouped", F.lit(0.0)))
+
+
+def teacher_loss(candidates: DataFrame, group: str, temperature: float = 1.0, model_temperature: float | None = None) -> DataFrame:
+    """(group, loss): cross-entropy of the model's softmax (score) under the teacher's (teacher).
+
+    Columns `teacher_temperature` and `weight` hold for the rows of a group (one value for each): a temperature of 0 or
+    less is the general one, groups of weight 0 or less, of fewer than two candidates or without complete teacher scores
+    have no row.
+    """
     q = W.partitionBy(group)
-    soft = lambda c: F.exp((F.col(c) - F.max(c).over(q)) / temperature)
-    e = candidates.withColumn("m", soft("score")).withColumn("t", soft("teacher"))
+    soft = lambda c, t: F.exp((F.col(c) - F.max(c).over(q)) / t)
+    own, weight = F.lit(temperature), F.lit(1.0)
+    rows = candidates.withColumn("_n", F.count("*").over(q)).withColumn("_t", F.count("teacher").over(q)).where("_n >= 2 and _t = _n")
+    if "teacher_temperature" in candidates.columns:
+        own = F.when(F.col("teacher_temperature") > 0, F.col("teacher_temperature")).otherwise(F.lit(temperature))
+    if "weight" in candidates.columns:
+        weight, rows = F.col("weight"), rows.where("weight > 0")
+    e = rows.withColumn("m", soft("score", F.lit(temperature if model_temperature is None else model_temperature))).withColumn("t", soft("teacher", own))
     e = e.withColumn("pm", F.col("m") / F.sum("m").over(q)).withColumn("pt", F.col("t") / F.sum("t").over(q))
-    return e.groupBy(group).agg(F.sum(-F.col("pt") * F.ln(F.greatest(F.col("pm"), F.lit(1e-12)))).alias("loss"))
+    return e.groupBy(group).agg(F.sum(-weight * F.col("pt") * F.ln(F.greatest(F.col("pm"), F.lit(1e-12)))).alias("loss"))
+
+
+def quantized_prefix(rows: DataFrame, vector: str, dims: int, bits: int, seed: int = 1) -> DataFrame:
+    """rows (id, vector) with the first dims components coded and decoded, at the length that they had."""
+    from .ranking import coded_vectors, decoded_vectors
+
+    coded = coded_vectors(rows.select("id", F.slice(vector, 1, dims).alias("y")), bits, seed, key="id")
+    return rows.drop(vector).join(decoded_vectors(coded, bits, seed, key="id").withColumnRenamed("vector", vector), "id")
+
+
+def throughput(rows: DataFrame, counts: list[str], seconds: str) -> DataFrame:
+    """rows with <count>_per_second; 0 where no time passed."""
+    took = F.col(seconds).cast("double")
+    return rows.withColumns({f"{c}_per_second": F.when(took > 0, F.col(c) / F.when(took > 0, took).otherwise(1.0)).otherwise(0.0) for c in counts})
 
 
 def rank_margin(candidates: DataFrame, group: str, margin: float) -> DataFrame:

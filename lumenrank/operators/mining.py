@@ -51,22 +51,92 @@ def refuse_test_split(split: str, select: str) -> None:
         raise ValueError("training rows may not be mined from a test split")
 
 
-def sampled_negatives(queries: DataFrame, corpus: DataFrame, labelled: DataFrame, n: int, seed: str, pool: int = 8) -> DataFrame:
-    """(query_id, doc_id, nth): up to n documents per query that aren't labelled for it, by a seeded hash.
+def overlapping(docs: DataFrame, items: DataFrame, words: int = 5, share: float = 0.5) -> DataFrame:
+    """(query_id, doc_id): documents (doc_id, text) that hold at least a share of an item's (query_id, text) different runs of words.
 
-    A query draws from slots of the hash ring instead of ordering the corpus: each document lies in one of `slots`
-    slots of about pool * n documents, and a query looks into the slot that its own hash names and the next ones.
+    Runs are compared by 64-bit hashes. The items' runs are the small side; of the documents only the runs that meet
+    one of them go on. A text of fewer words is one run.
     """
+    from ..functions import text as X
+
+    def runs(rows: DataFrame, key: str) -> DataFrame:
+        t = rows.select(key, X.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (words - 1), F.lit(1)))
+        return t.select(key, F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("t", i, F.lit(words))))).alias("run"))
+
+    asked = runs(items, "query_id").distinct()
+    many = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    met = runs(docs.select("doc_id", "text"), "doc_id").join(asked, "run").distinct()
+    return met.groupBy("query_id", "doc_id").agg(F.count("*").alias("held")).join(many, "query_id").where(F.col("held") >= F.col("n") * share).select("query_id", "doc_id")
+
+
+#: Steps of a walk over the corpus; one that doesn't divide its size visits every document.
+STEPS = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099)
+
+
+def sampled_negatives(queries: DataFrame, corpus: DataFrame, labelled: DataFrame, n: int, seed: str) -> DataFrame:
+    """(query_id, doc_id, nth): n documents per query that aren't labelled for it (all there are, if these are fewer).
+
+    A query walks the corpus from a hashed start in steps of a hashed prime that does not divide the corpus's size: each
+    place is as likely as any other, none comes twice, and among the first n + b places, for b labelled documents, n
+    are free. So a query is joined with n + b documents only.
+    """
+    from .ordering import place
+
+    total = corpus.count()
+    steps = [p for p in STEPS if total % p]
+    held = labelled.groupBy("query_id").agg(F.count("*").alias("b"))
+    digits = lambda k: F.conv(F.substring(hash_order(f"{seed}:{k}", F.col("query_id")), 1, 15), 16, 10).cast("long")
+    asked = queries.select("query_id").distinct().join(held, "query_id", "left")
+    looks = F.least(F.lit(n) + F.coalesce("b", F.lit(0)), F.lit(total)).cast("int")
+    asked = asked.select("query_id", (digits("start") % max(1, total)).alias("start"), F.get(F.array(*[F.lit(p) for p in steps]), (digits("step") % len(steps)).cast("int")).alias("step"), looks.alias("looks"))
+    asked = asked.where("looks > 0").select("query_id", "start", "step", F.explode(F.sequence(F.lit(0), F.col("looks") - 1)).alias("k"))
+    asked = asked.select("query_id", "k", F.pmod(F.col("start") + F.col("k") * F.col("step").cast("long"), F.lit(total)).alias("i"))
+    ring = place(corpus.select("doc_id"), F.col("doc_id"), [], "i")
+    met = asked.join(ring, "i").join(labelled.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy("k"))
+    return met.withColumn("nth", nth.cast("long")).where(F.col("nth") <= n).select("query_id", "doc_id", "nth")
+
+
+def fnv64a(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a string's UTF-8 bytes, as a decimal number. Words of 32 bits, so nothing overflows."""
+    digits = F.hex(text.cast("binary"))
+    octets = F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
+    octets = F.when(F.length(digits) > 0, octets).otherwise(F.array().cast("array<long>"))
+    word = (1 << 32) - 1
+    # The offset basis 14695981039346656037 and the prime 2^40 + 435.
+    first = F.struct(F.lit(14695981039346656037 >> 32).alias("hi"), F.lit(14695981039346656037 & word).alias("lo"))
+
+    def step(h: Column, octet: Column) -> Column:
+        low = h["lo"].bitwiseXOR(octet)
+        lo = low * 435
+        hi = h["hi"] * 435 + F.shiftleft(low.bitwiseAND((1 << 24) - 1), 8) + F.shiftright(lo, 32)
+        return F.struct(hi.bitwiseAND(word).alias("hi"), lo.bitwiseAND(word).alias("lo"))
+
+    wide = lambda c: c.cast("decimal(20,0)")
+    return F.aggregate(octets, first, step, lambda h: (wide(h["hi"]) * F.lit(1 << 32).cast("decimal(11,0)") + wide(h["lo"])).cast("decimal(20,0)"))
+
+
+def hash_started_negatives(pairs: DataFrame, corpus: DataFrame, dataset: str, offset: int = 0) -> DataFrame:
+    """(query_id, positive_id, doc_id) for each pair (query_id, positive_id): the first document from a hashed start on,
+    in the order of ids and round the end, that is no positive of the query; none if all are.
+
+    The start is the FNV-1a hash of dataset, query and positive, parted by zero bytes, modulo the corpus's size. A query
+    of b positives meets a free document among b + 1 places, so it is joined with these only.
+    """
+    from .ordering import place
+
     total = corpus.count()
-    slots = max(1, total // (pool * n))
-    ring = corpus.select("doc_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(slots)).alias("slot"))
-    most = labelled.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    looks = min(slots, 2 + -(-most // (pool * n)))
-    asked = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(looks - 1))).alias("k"))
-    asked = asked.select("query_id", "k", F.pmod(F.xxhash64(F.lit(seed), "query_id") + F.col("k"), F.lit(slots)).alias("slot"))
-    met = asked.join(ring, "slot").join(labelled.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    order = W.partitionBy("query_id").orderBy("k", F.xxhash64(F.lit(seed), "query_id", "doc_id"), "doc_id")
-    return met.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n).select("query_id", "doc_id", "nth")
+    pairs = pairs.select("query_id", "positive_id").distinct()
+    blocked = pairs.groupBy("query_id").agg(F.count("*").alias("b"))
+    key = F.concat_ws("\0", F.lit(dataset), F.col("query_id").cast("string"), F.col("positive_id").cast("string"))
+    start = F.pmod(fnv64a(key), F.lit(max(1, total)).cast("decimal(20,0)")).cast("long")
+    asked = pairs.join(blocked, "query_id").select("query_id", "positive_id", start.alias("start"), F.explode(F.sequence(F.lit(0), F.least(F.col("b"), F.lit(total - 1)).cast("int"))).alias("k"))
+    asked = asked.withColumn("i", F.pmod(F.col("start") + F.col("k") + offset, F.lit(max(1, total))))
+    ring = place(corpus.select("doc_id"), F.col("doc_id"), [], "i")
+    taken = pairs.select("query_id", F.col("positive_id").alias("doc_id"))
+    met = asked.join(ring, "i").join(taken, ["query_id", "doc_id"], "left_anti")
+    return met.groupBy("query_id", "positive_id").agg(F.min_by("doc_id", "k").alias("doc_id"))
 
 
 def hash_order(seed: str, key: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..functions import vectors as V
 from ..ship import ship
+from ..tables import materialise
 from .ordering import spread
 
 #: BM25 parameters, and the depth below which an evaluation never ranks.
@@ -80,9 +82,9 @@ class Bm25:
     def __init__(self, docs: DataFrame, k1: float = K1, b: float = B):
         self.k1, self.b = k1, b
         terms = F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(F.col("t"))
-        tokens = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", terms.alias("t"))
-        self.lengths = tokens.select("doc_id", F.size("t").cast("long").alias("length"))
-        self.terms = tokens.select("doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
+        self.tokens = spread(docs.select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", terms.alias("t"))
+        self.lengths = self.tokens.select("doc_id", F.size("t").cast("long").alias("length"))
+        self.terms = self.tokens.select("doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
         self.stats = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
     @property
@@ -90,6 +92,38 @@ class Bm25:
         """(doc_id, length, term, tf) of the whole corpus."""
         return self.terms.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
+    def _asked(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings (doc_id, length, term, tf) of the asked terms, and stats, from one pass over the texts.
+
+        A task counts the asked terms of each document where it stands, so no text and no other term moves. The counts
+        are written once; document frequencies, the mean length and the scores are read from there.
+        """
+        spark = ship(self.tokens.sparkSession)
+        wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in asked.select("term").distinct().toLocalIterator()))  # at most ASKED_ROWS
+
+        def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = wanted.value
+            for b in frames:
+                offsets, terms = b.column(1).offsets.to_numpy(), b.column(1).flatten()
+                offsets = offsets - offsets[0]
+                coded = terms.dictionary_encode()
+                keep = np.array([t in known for t in coded.dictionary.to_pylist()], dtype=bool)
+                at = coded.indices.to_numpy()
+                row = np.repeat(np.arange(len(b)), np.diff(offsets))
+                hit = keep[at] if len(at) else np.zeros(0, bool)
+                key, tf = np.unique(row[hit] * max(1, len(keep)) + at[hit], return_counts=True)
+                rows = key // max(1, len(keep))
+                found = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(rows, np.arange(len(b) + 1)), pa.int32()),
+                    pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % max(1, len(keep)))).cast(pa.string()), pa.array(tf, pa.int64())], ["term", "tf"]),
+                )
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), found], ["doc_id", "length", "found"])
+
+        kind = self.tokens.schema["doc_id"].dataType.simpleString()
+        counted = materialise(self.tokens.mapInArrow(count, f"doc_id {kind}, length long, found array<struct<term: string, tf: bigint>>"), "bm25")
+        postings = counted.select("doc_id", "length", F.explode("found").alias("f")).select("doc_id", "length", "f.term", "f.tf")
+        return postings, counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
     def scores(self, queries: DataFrame, digits: int | None = 6) -> DataFrame:
         """(query_id, doc_id, score) of all pairs that share a term."""
         asked = queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -97,9 +131,12 @@ class Bm25:
         # ASKED_ROWS the optimiser joins by shuffles.
         few = asked.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS
         side = F.broadcast if few else (lambda d: d)
-        wanted = self.terms.join(side(asked.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+        if few:
+            wanted, stats = self._asked(asked)
+        else:
+            wanted, stats = self.terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")), self.stats
         df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        met = wanted.join(side(df), "term").join(F.broadcast(self.stats))  # one row
+        met = wanted.join(side(df), "term").join(F.broadcast(stats))  # one row
         idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         base = F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("length") / F.col("mean"))
         met = met.select("term", "doc_id", (idf * F.col("tf") * (self.k1 + 1) / base).alias("w"))
@@ -206,6 +243,32 @@ def quantized_vectors(docs: DataFrame, bits: int, seed: int = 1) -> DataFrame:
     return docs.select("doc_id", "y").mapInPandas(run, "doc_id long, y array<double>")
 
 
+def coded_vectors(rows: DataFrame, bits: int, seed: int = 1, key: str = "k") -> DataFrame:
+    """(k, codes, norm) of vectors (k, y): what a compact store holds."""
+    ship(rows.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                codes, norms = quantize(np.stack(f["y"].to_numpy()).astype(np.float64), bits, seed)
+                yield pd.DataFrame({key: f[key], "codes": [c.tobytes() for c in codes], "norm": norms})
+
+    return rows.select(key, "y").mapInPandas(run, f"{key} long, codes binary, norm double")
+
+
+def decoded_vectors(coded: DataFrame, bits: int, seed: int = 1, key: str = "k") -> DataFrame:
+    """(k, vector) of coded_vectors()."""
+    ship(coded.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                codes = np.stack([np.frombuffer(bytes(c), np.uint8) for c in f["codes"]])
+                yield pd.DataFrame({key: f[key], "vector": list(reconstruct(codes, f["norm"].to_numpy(), bits, seed))})
+
+    return coded.select(key, "codes", "norm").mapInPandas(run, f"{key} long, vector array<double>")
+
+
 def half_vectors(docs: DataFrame) -> DataFrame:
     """docs (doc_id, y) rounded to IEEE half precision."""
 
@@ -220,29 +283,45 @@ def quantized_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int, seed
     return dense_top_k(queries, quantized_vectors(docs, bits, seed), k, digits=6)
 
 
-def rerank(queries: DataFrame, docs: DataFrame, compact: DataFrame, fetch: int, k: int) -> DataFrame:
-    """The best `fetch` of a compact ranking scored anew by docs (doc_id, y), best k kept, with their compact rank."""
+def rerank(queries: DataFrame, docs: DataFrame, compact: DataFrame, fetch: int, k: int, ties: str = "id", digits: int | None = 6) -> DataFrame:
+    """The best `fetch` of a compact ranking scored anew by docs (doc_id, y), best k kept, with their compact rank.
+
+    ties: equal scores go by "id" ascending, or, as for half-precision vectors, by "compact" rank, then id descending.
+    """
     near = compact.where(F.col("rank") <= fetch).select("query_id", "doc_id", F.col("rank").alias("compact_rank"), F.col("score").alias("compact_score"))
+    body = V.dot(F.col("x"), F.col("y"))
     scored = near.join(docs, "doc_id").join(queries, "query_id")
-    scored = scored.select("query_id", "doc_id", "compact_rank", "compact_score", (F.round(V.dot(F.col("x"), F.col("y")), 6) + 0.0).alias("score"))
-    return rank_by(scored, k)
+    scored = scored.select("query_id", "doc_id", "compact_rank", "compact_score", (F.round(body, digits) + 0.0 if digits else body).alias("score"))
+    if ties == "id":
+        return rank_by(scored, k)
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("compact_rank"), F.col("doc_id").desc())
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+#: The setting in which a boundary is rescued, and how: bits, depth, documents fetched, places, promoted.
+RESCUE_BITS, RESCUE_K, RESCUE_FETCH, RESCUE_WINDOW, RESCUE_PROMOTE = 4, 100, 200, 20, 5
+
+
+def rescues(bits: int, k: int, fetch: int) -> bool:
+    return (bits, k, fetch) == (RESCUE_BITS, RESCUE_K, RESCUE_FETCH)
 
 
-def rescue_boundary(reranked: DataFrame, k: int = 100, window: int = 20, promote: int = 5) -> DataFrame:
-    """Of the ranks k to k + window, the best few by compact score (then compact rank, then id descending) take the last
-    places of the top k; queries with fewer than k + window candidates stay as they are.
+def rescue_boundary(reranked: DataFrame, k: int = RESCUE_K, window: int = RESCUE_WINDOW, promote: int = RESCUE_PROMOTE) -> DataFrame:
+    """Ranks 1 to k with their last place fought over: the ranks k to k + window compete by compact score (then compact
+    rank, then id descending), the best `promote` of them are placed behind what else is in the top k. So ranks 1 to
+    k - 1 always stay, and rank k goes to the best of the pool if the document there is among the promoted ones.
+    Queries with fewer than k + window candidates stay as they are.
 
     reranked: (query_id, doc_id, rank, compact_rank, compact_score) at depth k + window or more.
     """
     q = W.partitionBy("query_id")
-    r = reranked.withColumn("n", F.count("*").over(q))
-    edge = (F.col("rank") >= k) & (F.col("rank") <= k + window) & (F.col("n") >= k + window)
-    order = q.orderBy(edge.desc(), F.col("compact_score").desc(), "compact_rank", F.col("doc_id").desc())
-    r = r.withColumn("edge", edge).withColumn("e", F.row_number().over(order))
-    promoted = F.col("edge") & (F.col("e") <= promote)
-    place = F.when(promoted, F.lit(k - promote) + F.col("e") / 100.0).when(F.col("n") >= k + window, F.when(F.col("rank") > k - promote, F.col("rank") + promote).otherwise(F.col("rank"))).otherwise(F.col("rank"))
-    r = r.withColumn("place", place.cast("double")).withColumn("rank", F.row_number().over(q.orderBy("place", "rank")).cast("long"))
-    return r.where(F.col("rank") <= k).drop("n", "edge", "e", "place")
+    pool = (F.col("rank") >= k) & (F.col("rank") <= k + window) & (F.col("n") >= k + window)
+    r = reranked.withColumn("n", F.count("*").over(q)).withColumn("pool", pool)
+    best = q.orderBy(F.col("pool").desc(), F.col("compact_score").desc(), "compact_rank", F.col("doc_id").desc())
+    r = r.withColumn("nth", F.row_number().over(best)).withColumn("promoted", F.col("pool") & (F.col("nth") <= promote))
+    part = F.when(F.col("promoted"), 1).when(F.col("rank") <= k, 0).otherwise(2)
+    place = F.row_number().over(q.orderBy(part, F.when(F.col("promoted"), F.col("nth")).otherwise(F.col("rank"))))
+    return r.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).drop("n", "pool", "nth", "promoted")
 
 
 def sparse_features(docs: DataFrame, kind: str = "tfidf", k1: float = K1, b: float = B) -> DataFrame:

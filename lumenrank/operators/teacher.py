@@ -22,13 +22,31 @@ def requests(groups: DataFrame, missing_only: bool = False) -> DataFrame:
     return e.withColumn("role", F.when(F.col("slot") == 0, "positive").otherwise("negative"))
 
 
-def import_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
-    """candidates with score from (source, query, text, score): exact source first, then a blank one; an example gets all its scores or none."""
-    exact = scores.where("source <> ''").select("source", "query", "text", F.col("score").alias("s1"))
-    blank = scores.where("source = ''").select("query", "text", F.col("score").alias("s2"))
-    got = candidates.drop("score").join(exact, ["source", "query", "text"], "left").join(blank, ["query", "text"], "left").withColumn("score", F.coalesce("s1", "s2"))
-    whole = F.count("score").over(_example()) == F.count("*").over(_example())
-    return got.withColumn("score", F.when(whole, F.col("score"))).drop("s1", "s2")
+def import_scores(candidates: DataFrame, scores: DataFrame, overwrite: bool = True, allow_missing: bool = True) -> DataFrame:
+    """candidates with score from rows of (source, query, text, score) or (source, query, scores), keys compared trimmed.
+
+    A vector of scores for the example comes first (its source, then a blank one); it must be as long as the example has
+    candidates, or the example gets none. Without one each candidate is looked up in the same way, and an example gets
+    all its scores or none. Examples that have scores keep them unless overwrite; an example without complete scores
+    keeps what it has, or fails the read unless allow_missing.
+    """
+    if "scores" not in scores.columns:
+        scores = scores.withColumn("scores", F.lit(None).cast("array<double>"))
+    held = candidates if "score" in candidates.columns else candidates.withColumn("score", F.lit(None).cast("double"))
+    n, whole = F.count("*").over(_example()), lambda c: F.count(c).over(_example()) == F.count("*").over(_example())
+    rows = held.select("*", F.trim("source").alias("_s"), F.trim("query").alias("_q"), F.trim("text").alias("_t"), F.col("score").alias("_old"), n.alias("_n")).drop("score")
+    keys = scores.select(F.trim(F.coalesce("source", F.lit(""))).alias("_s"), F.trim("query").alias("_q"), F.trim("text").alias("_t"), "score", "scores")
+    vectors, single = keys.where("scores is not null"), keys.where("scores is null")
+    blank = F.col("_s") == ""
+    rows = rows.join(vectors.select("_s", "_q", F.col("scores").alias("_v1")), ["_s", "_q"], "left").join(vectors.where(blank).select("_q", F.col("scores").alias("_v2")), "_q", "left")
+    rows = rows.join(single.select("_s", "_q", "_t", F.col("score").alias("_c1")), ["_s", "_q", "_t"], "left").join(single.where(blank).select("_q", "_t", F.col("score").alias("_c2")), ["_q", "_t"], "left")
+    vector = F.coalesce("_v1", "_v2")
+    found = F.when(vector.isNotNull(), F.when(F.size(vector) == F.col("_n"), F.get(vector, F.col("slot").cast("int")))).otherwise(F.coalesce("_c1", "_c2"))
+    rows = rows.withColumn("_found", found.cast("double"))
+    rows = rows.withColumn("_has", whole("_old")).withColumn("_whole", whole("_found"))
+    missing = F.col("_old") if allow_missing else F.raise_error(F.concat(F.lit("missing complete teacher scores: "), F.col("_s"), F.lit(" "), F.col("_q"))).cast("double")
+    kept = F.lit(False) if overwrite else F.col("_has")
+    return rows.withColumn("score", F.when(kept, F.col("_old")).when(F.col("_whole"), F.col("_found")).otherwise(missing)).select(*candidates.drop("score").columns, "score")
 
 
 def assert_unique(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,10 +56,10 @@ def assert_unique(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.withColumn("_ok", F.when(bad, F.raise_error(F.lit("duplicate key or score that isn't finite"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
 
 
-def per_example(candidates: DataFrame) -> DataFrame:
+def per_example(candidates: DataFrame, temperature: float = 1.0) -> DataFrame:
     """(example, source, rank, top1, margin, range, entropy, entropy_share): ties with the best count as first."""
     pos = F.max(F.when(F.col("slot") == 0, F.col("score"))).over(_example())
-    e = candidates.withColumn("pos", pos).withColumn("x", F.exp(F.col("score") - F.max("score").over(_example())))
+    e = candidates.withColumn("pos", pos).withColumn("x", F.exp((F.col("score") - F.max("score").over(_example())) / temperature))
     e = e.withColumn("p", F.col("x") / F.sum("x").over(_example()))
     neg = F.when(F.col("slot") > 0, F.col("score"))
     a = e.groupBy("example", "source").agg(
@@ -74,6 +92,52 @@ def keep(candidates: DataFrame, top1: bool = False, least_margin: float | None =
     return candidates.join(e.where(c).select("example"), "example", "left_semi")
 
 
+def judged(candidates: DataFrame, top1: bool = False, least_margin: float = float("-inf"), most_entropy_share: float = 0.0, temperature: float = 1.0) -> DataFrame:
+    """(example, scored, top1, margin, passes): an example without scores passes; one without negatives has margin 0."""
+    has = candidates.groupBy("example").agg((F.count("score") > 0).alias("scored"), F.count("*").alias("candidates"))
+    e = has.join(per_example(candidates.where("score is not null"), temperature), "example", "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)))
+    ok = F.col("margin") >= least_margin
+    if top1:
+        ok = ok & F.col("top1")
+    if most_entropy_share > 0:
+        ok = ok & (F.col("entropy_share") <= most_entropy_share)
+    return e.select("example", "scored", "candidates", "top1", "margin", (~F.col("scored") | F.coalesce(ok, F.lit(False))).alias("passes"))
+
+
+def filter_scores(candidates: DataFrame, judgement: DataFrame, drop: bool = False) -> DataFrame:
+    """candidates of the examples that don't pass judged() without their scores, or without the examples (drop)."""
+    met = candidates.join(judgement.select("example", "passes"), "example")
+    if drop:
+        return met.where("passes").drop("passes")
+    return met.withColumn("score", F.when(F.col("passes"), F.col("score"))).drop("passes")
+
+
+def filter_summary(judgement: DataFrame, drop: bool = False) -> DataFrame:
+    """One row: examples and candidates, how many had scores, kept, lost them or went, and top-1 share and margin before and after."""
+    kept, scored = F.col("scored") & F.col("passes"), F.col("scored")
+    count, mean = (lambda c: F.count_if(c)), (lambda c, v: F.coalesce(F.avg(F.when(c, v)), F.lit(0.0)))
+    failing = F.count_if(scored & ~F.col("passes"))
+    hit = F.col("top1").cast("double")
+    return judgement.agg(
+        F.count("*").alias("examples"), F.sum("candidates").alias("candidates"), count(~scored).alias("missing"), count(scored).alias("scored"), count(kept).alias("kept"),
+        (F.lit(0).cast("long") if drop else failing).alias("cleared"), (failing if drop else F.lit(0).cast("long")).alias("dropped"),
+        mean(scored, hit).alias("top1_before"), mean(kept, hit).alias("top1_after"), mean(scored, F.col("margin")).alias("margin_before"), mean(kept, F.col("margin")).alias("margin_after"),
+    )
+
+
+def with_pool(relabelled: DataFrame, pool: DataFrame, least: int) -> DataFrame:
+    """(query, positive, negatives): the pairs of relabel() with their kept negatives, filled up to `least` from the query's pool."""
+    kept = relabelled.where("action = 'kept'").groupBy("example").agg(F.array_sort(F.collect_set(F.struct("slot", "text"))).alias("own"))
+    more = pool.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("pool"))
+    pairs = relabelled.where(F.col("action").isin("original", "promoted")).select("example", "slot", "query", F.col("text").alias("positive"))
+    m = pairs.join(kept, "example", "left").join(more, "query", "left")
+    texts = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda x: x["text"])
+    own = F.filter(F.array_distinct(texts("own")), lambda x: x != F.col("positive"))
+    spare = F.filter(F.array_except(texts("pool"), own), lambda x: x != F.col("positive"))
+    filled = F.concat(own, F.slice(spare, F.lit(1), F.greatest(F.lit(0), F.lit(least) - F.size(own))))
+    return m.select("example", "slot", "query", "positive", filled.alias("negatives"))
+
+
 def normalize(candidates: DataFrame, mode: str) -> DataFrame:
     """score as z-score within source, family (the source up to a colon), or example; a variance below 1e-12 divides by 1."""
     if mode == "none":

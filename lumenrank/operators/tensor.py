@@ -73,6 +73,25 @@ def sparse_attention(scores: DataFrame, values: DataFrame, top_k_: int = 0) -> D
     return weights.select("q", "k", "w").join(values, "k").groupBy("q", "j").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def dequant(rows: DataFrame, value: str = "value", scale: float = 1.0) -> DataFrame:
+    """rows with the value as a double times the scale; without one its codes stand for themselves."""
+    return rows.withColumn(value, F.col(value).cast("double") * scale if scale != 1.0 else F.col(value).cast("double"))
+
+
+def turbo_sparse_attention(queries: DataFrame, keys: DataFrame, values: DataFrame, key_bits: int, value_bits: int, top_k_: int = 0, seed: int = 1) -> DataFrame:
+    """(q, j, value): sparse attention over keys and values that are stored as codes, decoded before they meet a query.
+
+    queries: (q, x); keys, values: (k, codes, norm) as ranking.quantize() gives them, each side with bits of its own.
+    """
+    from ..functions import vectors as V
+    from .ranking import decoded_vectors
+
+    k = decoded_vectors(keys, key_bits, seed).select("k", F.col("vector").alias("y"))
+    v = decoded_vectors(values, value_bits, seed).select("k", F.posexplode("vector").alias("j", "value"))
+    scores = k.join(queries.select("q", "x")).select("q", "k", V.dot(F.col("x"), F.col("y")).alias("score"))
+    return sparse_attention(scores, v, top_k_)
+
+
 def routed_scores(scores: DataFrame, block: int, top_blocks: int) -> DataFrame:
     """Scores of the keys in each query's best blocks; a block is judged by its middle key."""
     n = F.count("*").over(W.partitionBy("q"))
@@ -84,24 +103,43 @@ def routed_scores(scores: DataFrame, block: int, top_blocks: int) -> DataFrame:
     return blocked.join(best.select("q", "block"), ["q", "block"], "left_semi").select("q", "k", "score")
 
 
-def conv2d(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0, dilation: int = 1, height: int = 0, width: int = 0, kh: int = 0, kw: int = 0) -> DataFrame:
-    """(n, o, y, x, value): image (n, c, y, x, value) with kernel (o, c, ky, kx, w); sums over what lies inside."""
+def _with_bias(out: DataFrame, bias: DataFrame | None) -> DataFrame:
+    if bias is None:
+        return out
+    met = out.join(bias.select("o", F.col("bias").cast("double").alias("bias")), "o", "left")
+    return met.select("n", "o", "y", "x", (F.col("value") + F.coalesce("bias", F.lit(0.0))).alias("value"))
+
+
+def conv2d(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0, dilation: int = 1, height: int = 0, width: int = 0, kh: int = 0, kw: int = 0, groups: int = 1, channels: int = 1, outputs: int = 1, bias: DataFrame | None = None) -> DataFrame:
+    """(n, o, y, x, value): image (n, c, y, x, value) with kernel (o, c, ky, kx, w); sums over what lies inside.
+
+    With groups, channels and outputs are dealt into so many equal parts, and an output sees the channels of its part;
+    the kernel's c then counts within a part. bias: (o, bias).
+    """
     out_h = (height + 2 * pad - dilation * (kh - 1) - 1) // stride + 1
     out_w = (width + 2 * pad - dilation * (kw - 1) - 1) // stride + 1
+    if groups > 1:
+        kernel = kernel.withColumn("c", F.floor(F.col("o") / (outputs // groups)) * (channels // groups) + F.col("c"))
     met = image.join(kernel, "c")
     oy, ox = F.col("y") + pad - F.col("ky") * dilation, F.col("x") + pad - F.col("kx") * dilation
     met = met.withColumn("oy", oy).withColumn("ox", ox).where((F.col("oy") % stride == 0) & (F.col("ox") % stride == 0))
     met = met.withColumn("oy", F.floor(F.col("oy") / stride)).withColumn("ox", F.floor(F.col("ox") / stride))
     met = met.where((F.col("oy") >= 0) & (F.col("oy") < out_h) & (F.col("ox") >= 0) & (F.col("ox") < out_w))
-    return met.groupBy("n", "o", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    return _with_bias(met.groupBy("n", "o", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("value") * F.col("w")).alias("value")), bias)
+
 
+def conv2d_transpose(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0, height: int | None = None, width: int | None = None, kh: int = 0, kw: int = 0, output_pad: int = 0, bias: DataFrame | None = None) -> DataFrame:
+    """(n, o, y, x, value): every input spreads over stride * y - pad + ky; kernel (c, o, ky, kx, w); bias: (o, bias).
 
-def conv2d_transpose(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0) -> DataFrame:
-    """(n, o, y, x, value): every input spreads over stride * y - pad + ky; kernel (c, o, ky, kx, w)."""
+    With the input's height and width the output ends at stride * (size - 1) - 2 pad + kernel + output_pad.
+    """
     met = image.join(kernel, "c")
     oy, ox = F.col("y") * stride - pad + F.col("ky"), F.col("x") * stride - pad + F.col("kx")
     met = met.withColumn("oy", oy).withColumn("ox", ox).where("oy >= 0 and ox >= 0")
-    return met.groupBy("n", "o", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    for c, size, k in (("oy", height, kh), ("ox", width, kw)):
+        if size is not None:
+            met = met.where(F.col(c) < (size - 1) * stride - 2 * pad + k + output_pad)
+    return _with_bias(met.groupBy("n", "o", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("value") * F.col("w")).alias("value")), bias)
 
 
 def gdn(image: DataFrame, beta: DataFrame, gamma: DataFrame, inverse: bool = False) -> DataFrame:

@@ -31,8 +31,11 @@ def kv_memory_plan(settings: DataFrame) -> DataFrame:
     return settings.select("*", dense.cast("long").alias("dense_bytes"), packed.cast("long").alias("packed_bytes"), (dense / packed).alias("ratio"))
 
 
-def gate_plan(plan: DataFrame, most_fraction: float | None = None, sub_quadratic: bool = False) -> DataFrame:
+def gate_plan(plan: DataFrame, most_fraction: float | None = None, sub_quadratic: bool = False, most_mib: float | None = None, size: str = "packed_bytes") -> DataFrame:
+    """plan with passes: what it scores, that it grows slower than the square, and that it fits into so many MiB."""
     ok = F.lit(True)
+    if most_mib is not None:
+        ok = ok & (F.col(size) <= most_mib * 1024 * 1024)
     if most_fraction is not None:
         ok = ok & (F.col("score_fraction") <= most_fraction)
     if sub_quadratic:
@@ -71,9 +74,11 @@ def batch_estimate(rows: Column, batch: int) -> Column:
 
 def routing_calibration(scores: DataFrame, block: int, top_blocks: int, k: int) -> DataFrame:
     """(mode, recall): share of each query's exact best k keys that lie in the blocks chosen by each way of judging a
-    block: its middle key, its mean, its mean plus radius, its largest score (oracle), or its first key.
+    block: its middle, first or last key, the better of its two ends, its mean, its mean plus or minus radius, its median,
+    its largest score (oracle), or a hash of the block alone (what chance gives).
 
-    scores: (q, k, score), the exact products.
+    scores: (q, k, score), the exact products. With `value` (a number for each key) the cosine between what attention over
+    the chosen keys and over all of them gives is told as well.
     """
     q = W.partitionBy("q")
     exact = scores.withColumn("r", F.row_number().over(q.orderBy(F.col("score").desc(), "k"))).where(F.col("r") <= k)
@@ -84,11 +89,21 @@ def routing_calibration(scores: DataFrame, block: int, top_blocks: int, k: int)
     mid = start + F.floor((F.least(start + block, F.col("n")) - start) / 2)
     judged = b.groupBy("q", "block").agg(
         F.max(F.when(F.col("k") == mid, F.col("score"))).alias("anchor"), F.avg("score").alias("mean"), (F.avg("score") + F.stddev_pop("score")).alias("mean_radius"),
-        F.max("score").alias("oracle"), F.max(F.when(F.col("k") == start, F.col("score"))).alias("first"),
+        F.max("score").alias("oracle"), F.max(F.when(F.col("k") == start, F.col("score"))).alias("first"), F.max_by("score", "k").alias("last"),
+        (F.avg("score") - F.stddev_pop("score")).alias("mean_less_radius"), F.median("score").alias("median"),
+        (F.conv(F.substring(F.sha2(F.concat_ws(":", F.first("q"), F.first("block")).cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("chance"),
     )
-    modes = ["anchor", "mean", "mean_radius", "oracle", "first"]
+    judged = judged.withColumn("ends", F.greatest("first", "last"))
+    modes = ["anchor", "mean", "mean_radius", "mean_less_radius", "median", "oracle", "first", "last", "ends", "chance"]
     long = judged.select("q", "block", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("s")) for m in modes])).alias("z")).select("q", "block", "z.mode", F.round("z.s", 9).alias("s"))
     best = long.withColumn("r", F.row_number().over(W.partitionBy("q", "mode").orderBy(F.col("s").desc(), "block"))).where(F.col("r") <= top_blocks)
     hit = exact.withColumn("block", F.floor(F.col("k") / block)).join(best.select("q", "block", "mode"), ["q", "block"])
     queries = exact.select("q").distinct().count()
-    return hit.groupBy("mode").agg((F.count("*") / F.lit(float(max(1, queries * k)))).alias("recall"))
+    recall = hit.groupBy("mode").agg((F.count("*") / F.lit(float(max(1, queries * k)))).alias("recall"))
+    if "value" not in scores.columns:
+        return recall
+    soft = lambda rows, *keys: rows.withColumn("e", F.exp(F.col("score") - F.max("score").over(W.partitionBy(*keys)))).groupBy(*keys).agg((F.sum(F.col("e") * F.col("value")) / F.sum("e")).alias("o"))
+    whole = soft(scores, "q").withColumnRenamed("o", "w")
+    chosen = soft(scores.withColumn("block", F.floor(F.col("k") / block)).join(best.select("q", "block", "mode"), ["q", "block"]), "mode", "q")
+    cosine = chosen.join(whole, "q").groupBy("mode").agg((F.sum(F.col("o") * F.col("w")) / F.sqrt(F.sum(F.col("o") * F.col("o")) * F.sum(F.col("w") * F.col("w")))).alias("output_cosine"))
+    return recall.join(cosine, "mode")

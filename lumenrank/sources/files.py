@@ -31,21 +31,35 @@ def _required(df: DataFrame, condition: Column, message: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(id, text) of a corpus or query file: text is title and text; rows without id or text are left out."""
     raw = _json(spark, path, {"_id": _STRING, "id": _STRING, "title": _STRING, "text": _STRING})
-    rows = raw.select(F.coalesce(X.blank_to_null(F.col("_id")), X.blank_to_null(F.col("id"))).alias("id"), X.corpus_text(F.col("title"), F.col("text")).alias("text"))
+    rows = raw.select(F.monotonically_increasing_id().alias("pos"), F.coalesce(X.blank_to_null(F.col("_id")), X.blank_to_null(F.col("id"))).alias("id"), X.corpus_text(F.col("title"), F.col("text")).alias("text"))
     rows = rows.where("id is not null and text <> ''")
     if ids is not None:
-        rows = rows.join(ids.select("id"), "id", "left_semi")
-    return rows if limit is None else rows.limit(limit)
+        rows = rows.join(ids.select("id"), "id", "left_semi").select("pos", "id", "text")
+    if limit is None:
+        return rows.drop("pos")
+    return rows.orderBy("pos").limit(limit).drop("pos")  # the first ones of the file: a top-k, not a sort
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, rel) of three columns, or four as TREC has them, with or without a header; rel > 0, last one wins."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.split(F.trim("value"), r"\t|\s+").alias("c"))
-    four = F.size("c") >= 4
-    rows = lines.where(F.size("c") >= 3).select("pos", F.get("c", F.lit(0)).alias("query_id"), F.when(four, F.get("c", F.lit(2))).otherwise(F.get("c", F.lit(1))).alias("doc_id"), F.when(four, F.get("c", F.lit(3))).otherwise(F.get("c", F.lit(2))).try_cast("double").alias("rel"))
-    rows = rows.where("rel is not null and query_id <> '' and doc_id <> ''")  # the header has no number
+    """(query_id, doc_id, rel) of lines with three columns, or four as TREC has them, parted by tabs; rel > 0.
+
+    A first line whose first column names a query is a header. Lines of fewer columns, or whose score is no number, fail
+    the read, and so does a file without any positive row. Of the positive rows of a pair the last one wins: a row of
+    no relevance says nothing, it does not take back an earlier one.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.split(strip(F.col("value")), "\t").alias("c"))
+    header = (F.col("pos") == 0) & (F.size("c") >= 2) & F.contains(F.lower(F.get("c", F.lit(0))), F.lit("query"))
+    lines = lines.where(~header & ((F.size("c") > 1) | (F.get("c", F.lit(0)) != "")))
+    lines = _required(lines, F.size("c") >= 3, "expected query-id, corpus-id, score")
+    column = lambda three, four: F.when(F.size("c") >= 4, F.get("c", F.lit(four))).otherwise(F.get("c", F.lit(three)))
+    rel = strip(column(2, 3)).try_cast("double")
+    rows = lines.select("pos", strip(F.get("c", F.lit(0))).alias("query_id"), strip(column(1, 2)).alias("doc_id"), rel.alias("rel"))
+    rows = _required(rows, F.col("rel").isNotNull(), "a score is no number").where("rel > 0 and query_id <> '' and doc_id <> ''")
     last = rows.groupBy("query_id", "doc_id").agg(F.max_by("rel", "pos").alias("rel"))
-    return last.where("rel > 0")
+    if last.isEmpty():
+        raise ValueError(f"no positive relevance rows in {path}")
+    return last
 
 
 def _vector() -> Column:
@@ -121,26 +135,48 @@ _EVENT = "id string, type string, time string, timestamp string, role string, ac
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, label, pos, text): one row per event; an event is a string or an object, and may not be empty."""
+    """(id, label, trace_text, pos, events, text): one row per event with its full rendering; an event is a string or an
+    object, and may not be empty."""
     line = spark.read.text(path).select(F.from_json("value", "_id string, id string, label string, text string, events array<string>", {"mode": "FAILFAST"}).alias("t"))
-    e = line.select(F.coalesce("t._id", "t.id").alias("id"), "t.label", F.posexplode("t.events").alias("pos", "raw"))
+    e = line.select(F.coalesce("t._id", "t.id").alias("id"), "t.label", F.col("t.text").alias("trace_text"), F.size("t.events").alias("events"), F.posexplode("t.events").alias("pos", "raw"))
     o = e.withColumn("o", F.when(F.trim("raw").startswith("{"), F.from_json("raw", _EVENT)))
-    fields = {"type": F.col("o.type"), "time": F.coalesce("o.time", "o.timestamp"), "role": F.col("o.role"), "actor": F.col("o.actor"), "text": F.coalesce("o.text", "o.message"), "summary": F.col("o.summary"), "metadata": X.render_map(F.col("o.metadata"))}
-    text = F.when(F.col("o").isNotNull(), X.render_fields(fields)).otherwise(F.trim("raw"))
-    return _required(o.select("id", "label", F.col("pos").cast("long").alias("pos"), text.alias("text")), F.col("text") != "", "an event is empty")
-
-
-def read_teacher_scores(spark: SparkSession, path: str, groups: DataFrame | None = None) -> DataFrame:
-    """(source, query, text, score) of the three row shapes; scores given as a vector need the groups they belong to."""
-    raw = _json(spark, path, {k: _STRING for k in ("source", "query", "candidate", "positive")} | {"negatives": T.ArrayType(_STRING), "score": T.DoubleType(), "positive_score": T.DoubleType(), "negative_scores": T.ArrayType(T.DoubleType()), "teacher_scores": T.ArrayType(T.DoubleType())})
-    raw = raw.withColumn("source", F.coalesce("source", F.lit("")))
-    single = raw.where("candidate is not null").select("source", "query", F.col("candidate").alias("text"), "score")
-    if groups is None:
-        return single
-    g = groups.select("source", "query", F.concat(F.array("positive"), "negatives").alias("texts"))
-    many = raw.where("candidate is null").select("source", "query", F.coalesce("teacher_scores", F.concat(F.array("positive_score"), "negative_scores")).alias("scores")).join(g, ["source", "query"])
-    z = F.explode(F.arrays_zip(F.col("texts").alias("text"), F.col("scores").alias("score"))).alias("z")
-    return single.unionByName(many.select("source", "query", z).select("source", "query", "z.text", "z.score"))
+    named = {"event_id": F.col("o.id"), "event_type": F.col("o.type"), "event_time": F.coalesce("o.time", "o.timestamp"), "role": F.col("o.role"), "actor": F.col("o.actor"), "text": F.coalesce(F.col("o.text"), F.when(F.col("o").isNull(), F.trim("raw"))), "message": F.col("o.message"), "summary": F.col("o.summary"), "metadata": X.render_map(F.col("o.metadata"))}
+    own = X.render_fields(named)
+    head = X.render_fields({"trace_text": F.col("trace_text"), "trace_label": F.col("label"), "trace_id": F.col("id"), "event_index": F.col("pos").cast("string")})
+    rows = o.select("id", "label", "trace_text", F.col("pos").cast("long").alias("pos"), F.col("events").cast("long").alias("events"), F.concat_ws("\n", head, own).alias("text"), (own != "").alias("_some"))
+    return _required(rows, F.col("_some"), "an event is empty").drop("_some")
+
+
+def render_trace() -> Column:
+    """The corpus text of a trace (id, label, trace_text, events)."""
+    return X.render_fields({"text": F.col("trace_text"), "label": F.col("label"), "trace_id": F.col("id"), "events": F.concat(F.lit("count="), F.col("events").cast("string"))})
+
+
+def read_teacher_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(source, query, text, score, scores) of the row shapes: one score for a candidate (under any of its names), or a
+    vector for a whole example (teacher_scores, scores, or positive_score with negative_scores).
+
+    Keys are trimmed. A row without a score, a query or a candidate, a score that isn't finite, a key that occurs twice
+    and an empty file are errors.
+    """
+    numbers = T.ArrayType(T.DoubleType())
+    names = ("candidate", "document", "text", "positive")
+    raw = _json(spark, path, {k: _STRING for k in ("source", "query", *names)} | {"score": T.DoubleType(), "positive_score": T.DoubleType(), "negative_scores": numbers, "teacher_scores": numbers, "scores": numbers})
+    if raw.isEmpty():
+        raise ValueError(f"no teacher scores in {path}")
+    filled = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<double>"))) > 0, c)
+    pair = F.when(F.col("positive_score").isNotNull(), F.concat(F.array("positive_score"), F.coalesce("negative_scores", F.array().cast("array<double>"))))
+    vector = F.coalesce(filled(F.col("teacher_scores")), filled(F.col("scores")), pair)
+    text = F.coalesce(*[X.blank_to_null(F.col(n)) for n in names])
+    rows = raw.select(F.trim(F.coalesce("source", F.lit(""))).alias("source"), X.blank_to_null(F.col("query")).alias("query"), F.when(vector.isNull(), text).alias("text"), F.when(vector.isNull(), F.col("score")).alias("score"), vector.alias("scores"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = _required(rows, F.col("scores").isNotNull() | F.col("score").isNotNull(), "a row without any score")
+    rows = _required(rows, F.col("query").isNotNull() & (F.col("scores").isNotNull() | F.col("text").isNotNull()), "a score needs a query and a candidate")
+    rows = _required(rows, F.coalesce(F.forall("scores", finite), finite(F.col("score"))), "a score is not finite")
+    twice = rows.groupBy("source", "query", "text", F.col("scores").isNotNull().alias("v")).count().where("count > 1").select("source", "query", "text")
+    if not twice.isEmpty():
+        raise ValueError(f"duplicate teacher scores in {path}: {twice.first()}")
+    return rows
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -176,6 +212,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify_manifest(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """(file, status) of a manifest's files and of what lies at the path: ok, changed, missing, or extra."""
+    now = manifest(spark, path).select("file", F.col("bytes").alias("_b"), F.col("sha256").alias("_h"))
+    met = expected.select("file", "bytes", "sha256").join(now, "file", "full_outer")
+    same = (F.col("bytes") == F.col("_b")) & (F.col("sha256") == F.col("_h"))
+    return met.select("file", F.when(F.col("sha256").isNull(), "extra").when(F.col("_h").isNull(), "missing").when(same, "ok").otherwise("changed").alias("status"))
+
+
+def beir_statistics(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: documents, queries and judgements of a converted set, words of its documents, judgements for each query."""
+    words = F.size(X.words(F.col("text")))
+    c = tables["corpus"].agg(F.count("*").alias("documents"), F.avg(words).alias("mean_words"), F.max(words).alias("most_words"))
+    q = tables["queries"].agg(F.count("*").alias("queries"))
+    r = tables["qrels"].agg(F.count("*").alias("judgements"), F.count_distinct("query_id").alias("judged_queries"))
+    return c.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(r)).withColumn("judgements_per_query", F.col("judgements") / F.greatest(F.col("judged_queries"), F.lit(1)))  # one row each
+
+
 def convert_to_beir(rows: DataFrame, longest_words: int | None = None) -> dict[str, DataFrame]:
     """corpus, queries, qrels of rows (pos, query_id, query, doc_id, text, rel): the first of equal ids, the highest relevance,
     documents in the given length, judgements only of what both tables hold."""
