@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenrank.functions import text as X
 from lumenrank.functions import vectors as V
-from lumenrank.operators import bpe, fusion, metrics, ranking, tensor
+from lumenrank.operators import bpe, chunking, encoder, fusion, metrics, ranking, teacher, tensor
 from lumenrank.operators import mining as M
 from lumenrank.plans import gates, planners
 from lumenrank.plans.pipeline import Pipeline, kernel
@@ -115,9 +115,41 @@ def test_multivector_and_rescue(spark):
     c = spark.createDataFrame([(1, 1, 10, 0.5), (1, 1, 11, 0.9), (1, 2, 12, 0.8)], "query_id int, doc_id int, child_id int, score double")
     got = {r.doc_id: r for r in ranking.multivector(c, "top2").collect()}
     assert got[1].score == 0.7 and got[1].best_child == 11 and got[2].children == 1
-    r = spark.createDataFrame([(1, i, i + 1, i + 1, 1.0 if i == 115 else 0.5 - i / 1000) for i in range(121)], "query_id int, doc_id int, rank int, compact_rank int, compact_score double")
-    kept = {x.doc_id for x in ranking.rescue_boundary(r).collect()}
-    assert len(kept) == 100 and 115 in kept and 98 not in kept
+
+
+def brute_rescue(rows, k=100, window=20, promote=5):
+    """rows (doc, compact rank, compact score) in rank order."""
+    if len(rows) < k + window:
+        return [r[0] for r in rows][:k]
+    pool = sorted(rows[k - 1 : k + window], key=lambda r: (-r[2], r[1], -r[0]))[:promote]
+    best = [r[0] for r in pool]
+    top = [r[0] for r in rows[:k] if r[0] not in best]
+    return (top + best + [r[0] for r in rows if r[0] not in top + best])[:k]
+
+
+def test_rescue(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for q, n in enumerate((121, 140, 120, 119, 100, 30, 150, 150)):
+        order = rng.permutation(n)
+        mine = [(int(d), int(order[d]) + 1, float(round(rng.random(), 1))) for d in rng.permutation(n)]
+        if q == 7:
+            mine[99] = (mine[99][0], mine[99][1], 9.0)  # the document at the last place is the best of the pool
+        rows += [(q, d, i + 1, c, s) for i, (d, c, s) in enumerate(mine)]
+        want[q] = brute_rescue(mine)
+    r = spark.createDataFrame(rows, "query_id int, doc_id int, rank int, compact_rank int, compact_score double")
+    got = {}
+    for x in ranking.rescue_boundary(r).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.doc_id)
+    assert got == want
+    for q, docs in got.items():
+        assert docs[:99] == [x[1] for x in sorted((y for y in rows if y[0] == q), key=lambda y: y[2])][:99]
+    assert ranking.rescues(4, 100, 200) and not ranking.rescues(8, 100, 200)
+    q = spark.createDataFrame([(1, [1.0])], "query_id int, x array<double>")
+    d = spark.createDataFrame([(i, [1.0]) for i in range(4)], "doc_id int, y array<double>")
+    c = spark.createDataFrame([(1, 0, 0.5, 2), (1, 1, 0.5, 1), (1, 2, 0.1, 3), (1, 3, 0.1, 3)], "query_id int, doc_id int, score double, rank int")
+    again = lambda ties: [x.doc_id for x in ranking.rerank(q, d, c, 4, 4, ties).orderBy("rank").collect()]
+    assert again("compact") == [1, 0, 3, 2] and again("id") == [0, 1, 2, 3]
 
 
 def test_windows_and_chunks(spark):
@@ -145,10 +177,107 @@ def test_mining(spark):
     lab = spark.createDataFrame([(1, i) for i in range(0, 200, 2)], "query_id int, doc_id int")
     rows = M.sampled_negatives(q, corpus, lab, 4, "s").collect()
     assert len({(r.query_id, r.doc_id) for r in rows}) == 8 and all(r.doc_id % 2 for r in rows if r.query_id == 1)
+    assert len(M.sampled_negatives(q, corpus.limit(7), lab.where("doc_id < 7"), 5, "s").where("query_id = 1").collect()) <= 5
     with pytest.raises(ValueError):
         M.refuse_test_split("Test", "train")
 
 
+def test_hash_started_negatives(spark):
+    def fnv(raw):
+        h = 14695981039346656037
+        for b in raw:
+            h = (h ^ b) * 1099511628211 % (1 << 64)
+        return h
+
+    texts = ["", "a", "foobar", "é\0x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.fnv64a(F.col("t")).alias("h")).collect()
+    assert all(int(r.h) == fnv(r.t.encode()) for r in got)
+    pairs = [(1, i) for i in range(15)] + [(2, 3), (3, 0)]
+    out = M.hash_started_negatives(spark.createDataFrame(pairs, "query_id long, positive_id long"), spark.range(16).select(F.col("id").alias("doc_id")), "d").collect()
+    assert len(out) == len(pairs) and all(r.doc_id == 15 for r in out if r.query_id == 1)
+    for r in out:
+        taken, start = {p for q, p in pairs if q == r.query_id}, fnv(f"d\0{r.query_id}\0{r.positive_id}".encode()) % 16
+        assert r.doc_id == next((start + i) % 16 for i in range(16) if (start + i) % 16 not in taken)
+
+
+def test_order_of_many_ranges(spark, monkeypatch):
+    from lumenrank.operators import ordering
+
+    monkeypatch.setattr(ordering, "BIN_ROWS", 3)
+    rows = spark.createDataFrame([(int(x), i) for i, x in enumerate(np.random.default_rng(1).integers(0, 500, 900))], "v int, k int")
+    got = ordering.place(rows, F.col("v"), ["k"], "i").orderBy("i").collect()
+    assert [(r.v, r.k) for r in got] == sorted((r.v, r.k) for r in got) and [r.i for r in got] == list(range(900))
+    per = rows.groupBy("v").agg(F.count("*").alias("n"))
+    sums = {r.v: r.n_below for r in ordering.running(per, "v", ["n"]).collect()}
+    values = sorted(r.v for r in got)
+    assert all(n == sum(x < v for x in values) for v, n in sums.items())
+
+
+def test_numbers_as_text(spark):
+    cases = {0.0: "0", 1.0: "1", -2.5: "-2.5", 100000.0: "100000", 1000000.0: "1e+06", 1234567.0: "1.234567e+06", 0.0001: "0.0001", 0.00001: "1e-05", 123.456: "123.456", -1.5e-7: "-1.5e-07", 2e100: "2e+100", 0.1: "0.1", 999999.5: "999999.5", 12.0: "12"}
+    got = spark.createDataFrame([(k,) for k in cases], "v double").select("v", X.shortest_number(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in got} == cases
+
+
+def test_mined_pairs(spark):
+    lines = ["first part here. second part there! third", "  another   line ", "another line", "short", "first part here. second part there! third"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "pos long, text string")
+    got = [(r.query, r.positive) for r in chunking.mined_pairs(rows, 5).orderBy("i").collect()]
+    whole = "first part here. second part there! third"
+    assert got == [("first part here", "second part there"), ("second part there", "third"), (whole, "another line"), ("another line", "short"), ("short", whole)]
+    assert chunking.mined_pairs(rows, 5, most=2).count() == 2
+    train, held = chunking.train_and_eval(chunking.mined_pairs(rows, 5), 2)
+    assert train.count() == 3 and [(r.query, r.right, r.target) for r in held.orderBy("query", F.col("target").desc()).collect()] == [
+        ("first part here", "second part there", 1), ("first part here", "third", -1), ("second part there", "third", 1), ("second part there", "another line", -1),
+    ]
+
+
+def test_teacher_scores(spark):
+    c = [("e1", " s ", "q", i, t) for i, t in enumerate("pab")] + [("e2", "z", "q2", i, t) for i, t in enumerate("pa")]
+    cand = spark.createDataFrame(c, "example string, source string, query string, slot int, text string")
+    scores = spark.createDataFrame([("s", "q", None, None, [0.9, 0.2, 0.1]), ("", "q2", "p", 0.5, None), ("z", "q2", "p", 0.7, None)], "source string, query string, text string, score double, scores array<double>")
+    got = {(r.example, r.slot): r.score for r in teacher.import_scores(cand, scores).collect()}
+    assert [got["e1", i] for i in range(3)] == [0.9, 0.2, 0.1] and got["e2", 0] is None
+    with pytest.raises(Exception, match="missing complete"):
+        teacher.import_scores(cand, scores, allow_missing=False).collect()
+    old = cand.withColumn("score", F.lit(0.4))
+    assert {r.score for r in teacher.import_scores(old, scores, overwrite=False).collect()} == {0.4}
+    assert {r.score for r in teacher.import_scores(old, scores).where("example = 'e2'").collect()} == {0.4}
+    j = teacher.judged(teacher.import_scores(cand, scores), top1=True, least_margin=0.1)
+    assert {r.example: (r.scored, r.passes) for r in j.collect()} == {"e1": (True, True), "e2": (False, True)}
+    strict = teacher.judged(teacher.import_scores(cand, scores), least_margin=0.9)
+    s = teacher.filter_summary(strict).first()
+    assert (s.examples, s.missing, s.scored, s.kept, s.cleared) == (2, 1, 1, 0, 1)
+    assert teacher.filter_scores(teacher.import_scores(cand, scores), strict, drop=True).count() == 2
+
+
+def test_batches_and_padding(spark):
+    w = encoder.Weights.seeded(20, 6, 8)
+    rows = spark.createDataFrame([(1, [3, 7, 9]), (2, [4]), (3, [5, 5, 5]), (4, [])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.vector for r in encoder.embed(rows, w).collect()}
+    for r in rows.collect():
+        if r.ids:
+            assert np.allclose(got[r.doc_id], encoder.encode_tokens(np.array(r.ids), np.ones(len(r.ids)), w))
+    p = encoder.padded(rows, 2).orderBy("doc_id").collect()
+    assert [(r.ids, r.mask) for r in p] == [([3, 7], [1, 1]), ([4, 0], [1, 0]), ([5, 5], [1, 1]), ([0, 0], [0, 0])]
+    masked = {r.doc_id: r.vector for r in encoder.embed(encoder.padded(rows, 4), w).collect()}
+    assert np.allclose(masked[2], encoder.encode_tokens(np.array([4, 0, 0, 0]), np.array([1, 0, 0, 0]), w)) and masked[4] == [0.0] * 6
+    texts = spark.createDataFrame([(1, "low lower"), (2, "")], "doc_id long, text string")
+    model = bpe.train(texts.select("text"), 20)
+    assert encoder.embed_texts(texts, model, encoder.Weights.seeded(len(model.tokens), 6, 8)).count() == 2
+
+
+def test_gates(spark):
+    rules = gates.read_thresholds(spark, ["# none", "a x >= 0.5  # own", "x < 3"])
+    m = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 3.0)], "dataset string, metric string, value double")
+    assert {(r.dataset, r.op): r.passes for r in gates.gate(m, rules).collect()} == {("a", ">="): True, ("a", "<"): True, ("b", "<"): False}
+    with pytest.raises(ValueError):
+        gates.read_thresholds(spark, ["x ~ 3"])
+    assert [tuple(r) for r in gates.thresholds_of(spark, {"GATE_MIN_NDCG_10": "0.5", "OTHER": "1"}).collect()] == [(None, "ndcg_10", ">=", 0.5)]
+    plan = spark.createDataFrame([(1 << 20,), (1 << 21,)], "packed_bytes long")
+    assert [r.passes for r in planners.gate_plan(plan, most_mib=1.5).orderBy("packed_bytes").collect()] == [True, False]
+
+
 def test_plans(spark):
     assert planners.payload_bytes(128, 4) == 68
     g = lambda rows: spark.createDataFrame(rows, "dataset string, seed int, ndcg double")

@@ -25,8 +25,15 @@ def test_texts(spark, tmp_path):
 def test_qrels(spark, tmp_path):
     three = lines(tmp_path / "q.tsv", ["query-id\tcorpus-id\tscore", "1\ta\t1", "1\ta\t3", "1\tb\t0", "2\tc\t1"])
     assert {(r.query_id, r.doc_id): r.rel for r in files.read_qrels(spark, three).collect()} == {("1", "a"): 3.0, ("2", "c"): 1.0}
-    four = lines(tmp_path / "t.tsv", ["1 0 a 2", "1 0 b -1"])
-    assert [(r.doc_id, r.rel) for r in files.read_qrels(spark, four).collect()] == [("a", 2.0)]
+    four = lines(tmp_path / "t.tsv", ["1\t0\ta\t2", "", " 1\t0\t b \t-1 ", "1\t0\td 9\t1"])
+    assert sorted((r.doc_id, r.rel) for r in files.read_qrels(spark, four).collect()) == [("a", 2.0), ("d 9", 1.0)]
+    taken = lines(tmp_path / "k.tsv", ["q1\td1\t2", "q1\td1\t0", "q1\td 9\t1"])
+    assert {(r.doc_id, r.rel) for r in files.read_qrels(spark, taken).collect()} == {("d1", 2.0), ("d 9", 1.0)}
+    for bad in (["q1\td1\tmany"], ["q1\td1"]):
+        with pytest.raises(Exception, match="score"):
+            files.read_qrels(spark, lines(tmp_path / "bad.tsv", bad)).collect()
+    with pytest.raises(ValueError, match="no positive"):
+        files.read_qrels(spark, lines(tmp_path / "none.tsv", ["q1\td1\t0"]))
 
 
 def test_vectors(spark, tmp_path):
@@ -49,8 +56,13 @@ def test_training_rows(spark, tmp_path):
     assert groups.first().positive == "d"
     with pytest.raises(Exception, match="teacher score"):
         files.read_hard_negatives(spark, lines(tmp_path / "b.jsonl", [{"query": "q", "positive": "d", "negatives": ["n"], "teacher_scores": [1]}])).collect()
-    t = lines(tmp_path / "t.jsonl", [{"query": "q", "candidate": "n", "score": 0.5}, {"query": "q", "teacher_scores": [0.9, 0.1]}])
-    assert {(r.text, r.score) for r in files.read_teacher_scores(spark, t, groups).collect()} == {("n", 0.5), ("d", 0.9), ("n", 0.1)}
+    t = lines(tmp_path / "t.jsonl", [{"query": " q ", "document": "n", "score": 0.5}, {"query": "q", "scores": [0.9, 0.1]}, {"query": "r", "source": " s", "positive_score": 1, "negative_scores": [0]}])
+    assert sorted(((r.source, r.query, r.text, r.score, r.scores) for r in files.read_teacher_scores(spark, t).collect()), key=str) == [("", "q", "n", 0.5, None), ("", "q", None, None, [0.9, 0.1]), ("s", "r", None, None, [1.0, 0.0])]
+    for rows, why in (([{"query": "q", "candidate": "n"}], "without any"), ([{"candidate": "n", "score": 1}], "needs a query"), ([{"query": "q", "score": 1}], "needs a query")):
+        with pytest.raises(Exception, match=why):
+            files.read_teacher_scores(spark, lines(tmp_path / "w.jsonl", rows)).collect()
+    with pytest.raises(ValueError, match="duplicate"):
+        files.read_teacher_scores(spark, lines(tmp_path / "d.jsonl", [{"query": "q", "text": "n", "score": 1}, {"query": "q ", "candidate": "n", "score": 2}]))
     k = lines(tmp_path / "k.jsonl", [{"query_tokens": [1, 2], "negative_tokens": [[3]], "target": -1}])
     assert files.read_token_rows(spark, k).first().negative_tokens == [[3]]
 
@@ -60,7 +72,11 @@ def test_series_and_traces(spark, tmp_path):
     with pytest.raises(Exception, match="series"):
         files.read_series(spark, lines(tmp_path / "e.jsonl", [{"id": "s", "values": []}])).collect()
     t = lines(tmp_path / "t.jsonl", [{"id": "t", "events": ["plain", {"type": "click", "message": "m", "metadata": {"b": "2", "a": " 1 ", "c": ""}}]}])
-    assert [r.text for r in files.read_traces(spark, t).orderBy("pos").collect()] == ["plain", "type: click\ntext: m\nmetadata: a=1 b=2"]
+    assert [r.text for r in files.read_traces(spark, t).orderBy("pos").collect()] == ["trace_id: t\nevent_index: 0\ntext: plain", "trace_id: t\nevent_index: 1\nevent_type: click\nmessage: m\nmetadata: a=1 b=2"]
+    full = lines(tmp_path / "f.jsonl", [{"id": "t", "label": "L", "text": "T", "events": [{"id": "e", "timestamp": "1", "role": "r", "actor": "a", "text": "x", "summary": "s"}]}])
+    got = files.read_traces(spark, full)
+    assert got.first().text == "trace_text: T\ntrace_label: L\ntrace_id: t\nevent_index: 0\nevent_id: e\nevent_time: 1\nrole: r\nactor: a\ntext: x\nsummary: s"
+    assert got.select(files.render_trace()).first()[0] == "text: T\nlabel: L\ntrace_id: t\nevents: count=1"
     with pytest.raises(Exception, match="event"):
         files.read_traces(spark, lines(tmp_path / "x.jsonl", [{"id": "t", "events": [" "]}])).collect()
     with pytest.raises(ValueError):
@@ -73,10 +89,16 @@ def test_sinks(spark, tmp_path):
     assert files.append_missing(a, str(tmp_path / "out")) == 1 and files.append_missing(a, str(tmp_path / "out")) == 0
     files.write_tsv(a, str(tmp_path / "tsv"))
     files.write_jsonl(a, str(tmp_path / "jsonl"))
-    assert files.manifest(spark, str(tmp_path / "jsonl")).where("length(sha256) = 64").count() >= 1
+    m = files.manifest(spark, str(tmp_path / "jsonl"))
+    assert m.where("length(sha256) = 64").count() >= 1
+    listed = spark.createDataFrame([*((r.file, r.bytes, r.sha256) for r in m.collect()), ("gone", 1, "0" * 64)], m.schema)
+    assert {r.status for r in files.verify_manifest(spark, str(tmp_path / "jsonl"), listed).collect()} == {"ok", "missing"}
+    assert {r.status for r in files.verify_manifest(spark, str(tmp_path / "jsonl"), listed.limit(0)).collect()} == {"extra"}
+    assert [r.id for r in files.read_texts(spark, lines(tmp_path / "three.jsonl", [{"id": k, "text": k} for k in "cab"]), limit=2).collect()] == ["c", "a"]
     rows = spark.createDataFrame([(1, "q", "Q", "d", "one two", 1.0), (2, "q", "Q2", "d", "other", 3.0), (3, "q", "Q", "e", "a b c d", 1.0)], "pos int, query_id string, query string, doc_id string, text string, rel double")
     b = files.convert_to_beir(rows, longest_words=3)
     assert [(r.doc_id, r.rel) for r in b["qrels"].collect()] == [("d", 3.0)] and b["queries"].first().text == "Q"
+    assert tuple(files.beir_statistics(b).first()) == (1, 2.0, 2, 1, 1, 1, 1.0)
 
 
 def test_streams(spark, tmp_path):
