@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Bytes that belong to words: digits, letters, and every byte of a character beyond ASCII.
@@ -66,6 +68,32 @@ def of_texts(texts: list[str]) -> Words:
     return Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]))
 
 
+def pieces(data: np.ndarray, limit: int, share: int) -> Iterator[tuple[int, int, Words]]:
+    """A long text as pieces that share some words: the number of the first word, that of the next piece (or of all words), the words."""
+    at, base = 0, 0
+    while True:
+        end = at + limit
+        if end < len(data):
+            gaps = np.flatnonzero(~WORD_BYTES[LOWER[data[at:end]]])
+            if not len(gaps):  # within one word
+                limit *= 2
+                continue
+            end = at + int(gaps[-1]) + 1
+        end = min(end, len(data))
+        words = Words(data[at:end], np.array([0, end - at]))
+        many = len(words.start)
+        if end == len(data):
+            yield base, base + many, words
+            return
+        back = min(share, many)
+        onward = at + int(words.start[many - back]) if back else end
+        if onward == at:
+            limit *= 2
+            continue
+        yield base, base + many - back, words
+        at, base = onward, base + many - back
+
+
 def word_hash(word: str) -> np.uint64:
     return of_texts([word]).hash[0]
 

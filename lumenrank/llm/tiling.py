@@ -103,40 +103,15 @@ class Items:
         self.many = np.searchsorted(h, self.seeds.members, side="right") - self.begin
 
 
-def _pieces(data: np.ndarray, limit: int, share: int) -> Iterator[tuple[int, scan.Words]]:
-    """A long text as pieces that share some words, each with the number of its first word."""
-    at, base = 0, 0
-    while True:
-        end = at + limit
-        if end < len(data):
-            gaps = np.flatnonzero(~scan.WORD_BYTES[scan.LOWER[data[at:end]]])
-            end = at + int(gaps[-1]) + 1 if len(gaps) else end
-            if not len(gaps):  # within one word
-                limit *= 2
-                continue
-        end = min(end, len(data))
-        words = scan.Words(data[at:end], np.array([0, end - at]))
-        many = len(words.start)
-        back = min(share, many)
-        onward = at + int(words.start[many - back]) if back else end
-        if end < len(data) and onward == at:
-            limit *= 2
-            continue
-        yield base, words
-        if end == len(data):
-            return
-        at, base = onward, base + many - back
-
-
 def _seeds(items: Items, data: np.ndarray, offsets: np.ndarray, seed: int, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, number of the first word, hashes of the words, and which seed, of each place with a seed of an item."""
     for lo, hi in blocks(offsets, limit):
         own = data[offsets[lo] : offsets[hi]]
         if len(own) > 2 * limit:
-            parts = _pieces(own, limit, seed - 1)
+            parts = scan.pieces(own, limit, seed - 1)
         else:
-            parts = [(0, scan.Words(own, offsets[lo : hi + 1] - offsets[lo]))]
-        for base, words in parts:
+            parts = [(0, None, scan.Words(own, offsets[lo : hi + 1] - offsets[lo]))]
+        for base, _, words in parts:
             at, h = words.grams(seed)
             hit, member = items.seeds.find(h)
             if len(hit):
