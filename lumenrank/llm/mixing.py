@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, prepare
+from .common import materialise, prepare, scratch
 
 #: Characters that end a word; all others belong to words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,7 +104,13 @@ def _fold(items: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 6, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n (0, or 1, 2, ... for further rows of the same doc_id), source, size, source_size, target, copies, taken."""
-    prepare(docs.sparkSession)
+    with scratch(prepare(docs.sparkSession)) as kept:
+        mixed = materialise(_mix(docs, weights, most, seed, chunk), "mixed")
+        kept.append(mixed)
+    return mixed
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], most: float, seed: int, chunk: int) -> DataFrame:
     # Rows that repeat a doc_id are told apart by their count; each keeps its own copies.
     counted = sized(docs).groupBy("doc_id", "source", "size").count()
     n = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))
@@ -133,7 +139,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         done = _round(own.withColumn("p", now).withColumn("parts", parts), seed + c, chunk)
         rounded = rounded.unionByName(done)
         if c != present[-1]:
-            more = done.join(goal, ["key", "none"]).groupBy("key", "none").agg(F.sum((F.col("extra") - (F.col("f") - F.floor("f"))) * F.col("size")).alias("more"))
+            more = done.join(goal, ["key", "none"]).groupBy("key", "none").agg(F.sum(((F.col("extra") - (F.col("f") - F.floor("f"))) * F.col("size")).cast("decimal(38,9)")).cast("double").alias("more"))
             missed = missed.join(more, ["key", "none"], "left").select("key", "none", (F.col("missed") + F.coalesce("more", F.lit(0.0))).alias("missed"))
             missed = materialise(missed, "missed")
     copies = (F.floor("f") + F.col("extra")).cast("long")
