@@ -65,9 +65,44 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+def _crc32(octets: str) -> str:
+    """CRC-32 of a list of bytes; its table is built from the polynomial."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)  # noqa: PLW2901
+        table.append(i)
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda a, b: xor(a >> 8, ({table}::BIGINT[])[xor(a & 255, b) + 1])), 4294967295::BIGINT)"
+
+
+def _licenses_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {quote(label)}, {quote(text)})" for k, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"({quote(label)}, {words.format(t=quote(p))})" for p, label in licenses.PHRASES.items())
+    block, step, least = licenses.BLOCK, licenses.BLOCK // 2, licenses.THRESHOLD
+    return f"""WITH t AS (SELECT id, label, list_distinct({words.format(t='text')}) AS w FROM (VALUES {templates}) v(id, label, text)), up AS (SELECT a.id, b.id AS larger FROM t a JOIN t b ON len(b.w) > len(a.w) AND list_has_all(b.w, a.w)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words.format(t='text')} AS w FROM documents),
+p AS (SELECT r, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS at FROM d, (VALUES {phrases}) v(label, p)),
+base AS (SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY ALL),
+k AS (SELECT r, start, w[start + 1:start + {block}] AS w FROM (SELECT r, w, unnest(range(0, greatest(1, len(w)), {step})) AS start FROM d)),
+h AS (SELECT k.r, start, t.id, label, k.w AS block, t.w AS own, len(list_intersect(list_distinct(k.w), t.w)) / len(t.w)::DOUBLE AS share FROM k JOIN t ON list_has_any(k.w, t.w)),
+f AS (SELECT * FROM h WHERE share >= {least} - 1e-9), l AS (SELECT f.r, f.start, f.id, count(g.id) AS larger FROM f LEFT JOIN up ON up.id = f.id LEFT JOIN f g ON g.r = f.r AND g.start = f.start AND g.id = up.larger GROUP BY ALL),
+g AS (SELECT f.r, f.start, f.label, f.share FROM f JOIN l ON l.r = f.r AND l.start = f.start AND l.id = f.id WHERE larger = 0 OR list_min(list_transform(list_intersect(list_distinct(block), own), lambda x: len(list_filter(block, lambda y: y = x)))) > larger),
+m AS (SELECT r, count(*) AS n_blocks, min(start) AS first_block, max(share) AS share, list(DISTINCT label) AS labels FROM g GROUP BY ALL)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+greatest(CASE WHEN n_base > 0 THEN 1 ELSE 0 END, coalesce(share, 0))::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks, first_block FROM d LEFT JOIN base USING (r) LEFT JOIN m USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can express a query: the exact join of vectors, and what its links reach."""
+    """SQL where it can express a query: the exact join of vectors and what its links reach, licence scans, sharding."""
+    number = "('0x' || substr({m}, 1, 10))::BIGINT"
     return {
+        "op4_licenses": _licenses_sql(),
+        "op7_shard": f"""WITH b AS (SELECT doc_id, source, coalesce('s' || source, '') AS stratum, coalesce(text, '') AS t FROM documents), r AS (SELECT *, md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || t) AS m FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {number.format(m='m')}, m, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM r),
+s AS (SELECT *, (rank + {number.format(m="md5('7|' || stratum)")} / 1099511627776.0::DOUBLE) / n AS share FROM k), p AS (SELECT *, row_number() OVER (ORDER BY share, stratum, rank) - 1 AS pos, count(*) OVER () AS total FROM s)
+SELECT doc_id, strlen(t) + 16 AS size, {_crc32("list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT)")} AS text_crc32, 'rows' AS law, (pos * 40 // total)::INT AS shard, pos - (pos * 40 // total * total + 39) // 40 AS slot, NULL::INT AS grown_shard, source, pos FROM p""",
         "op3_cover_tree": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
 e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
 r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT e.b AS n, r.c FROM r JOIN e ON r.n = e.a),
