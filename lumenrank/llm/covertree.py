@@ -1,12 +1,13 @@
 """Operator 3: exact near-duplicates of embeddings by dual traversal of cover trees.
 
 Equal vectors are one node with a count from the first aggregation on. Unit vectors with cosine >= t lie within
-tau = sqrt(2 - 2 t) of each other. The top level of the tree is a few pivots, farthest-first from a bounded hashed
-sample; every vector goes to its nearest pivot's cell, and a cell of more than TILE vectors is dealt into tiles by a
-hash. For each pair of such blocks whose covering radii let them touch, one task builds both cover trees (nested
-levels, centres more than half a radius apart, all points within half the radius of a centre) and walks them
-together: a pair of nodes is dropped if d(centres) - radius - radius > tau, else split, and pairs of leaves are
-compared exactly. A task gives back link counts and a spanning forest, never the pairs.
+tau = sqrt(2 - 2 t) of each other. The top level of the tree is some pivots, farthest-first from a bounded hashed
+sample; every vector goes to its nearest pivot's cell. Cells that lie near each other are packed into blocks of up to
+TILE vectors, and a cell of more is dealt into blocks by a hash. A vector meets a block only if the covering radius of one
+of its cells lets it: if it is no further from the pivot than that radius and tau. For each pair of blocks one task builds the cover trees of the vectors that it gets (nested
+levels, centres more than half a radius apart, all points within half the radius of a centre) and walks them together:
+a pair of nodes is dropped if d(centres) - radius - radius > tau, else split, and pairs of leaves are compared exactly.
+A task gives back link counts and a spanning forest, never the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their
 own component; vectors of different lengths never link; an empty table gives none; rows that repeat a vec_id count
@@ -30,9 +31,9 @@ from .simhash import _hook
 
 LEAST = 0.9
 #: Vectors of a block; a task holds two blocks.
-TILE = 4096
-#: The sample that pivots are drawn from, and the most pivots.
-SAMPLE, PIVOTS = 4096, 256
+TILE = 8192
+#: The sample that pivots are drawn from, the most pivots, and vectors for each of them where there are fewer.
+SAMPLE, PIVOTS, CELL = 8192, 1024, 512
 LEAF, CENTRES = 128, 48
 #: What distances may be off by, as the square root of a rounded difference; pairs so near the edge are compared exactly.
 SLACK = 1e-7
@@ -182,6 +183,26 @@ def _compare(least: float):
     return run
 
 
+def pack(centres: np.ndarray, sizes: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell the first block and the number of blocks: cells of more than a tile have blocks of their own, the
+    others fill blocks with those nearest to the first of them."""
+    first, tiles = np.zeros(len(sizes), np.int64), np.where(sizes > 0, -(-sizes // tile), 0)
+    block, left = 0, set(np.flatnonzero((sizes > 0) & (sizes <= tile)).tolist())
+    for c in np.flatnonzero(sizes > tile).tolist():
+        first[c] = block
+        block += int(tiles[c])
+    while left:
+        start = min(left)
+        room = tile
+        for c in np.argsort(-(centres @ centres[start]), kind="stable").tolist():
+            if c in left and (sizes[c] <= room or c == start):
+                first[c] = block
+                room -= int(sizes[c])
+                left.discard(c)
+        block += 1
+    return first, tiles
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     with scratch(prepare(vectors.sparkSession)) as kept:
@@ -190,7 +211,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, tile: int = TILE)
 
 def _near_duplicates(vectors: DataFrame, least: float, tile: int, kept: list[DataFrame]) -> DataFrame:
     spark = vectors.sparkSession
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    # Single-precision vectors travel as they are; products are of double precision.
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    element = element if element == "float" else "double"
+    v = F.transform("embedding", lambda x: x.cast(element))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, v).alias("vector"))
@@ -208,7 +232,7 @@ def _near_duplicates(vectors: DataFrame, least: float, tile: int, kept: list[Dat
             picked = classes.where(F.col("dim") == dim).limit(1).select("node", "vector").toPandas()
         unit = _units(np.stack(picked.sort_values("node")["vector"].to_numpy()))
         chosen, far = [0], _distance(unit, np.arange(len(unit)), 0)
-        while len(chosen) < min(PIVOTS, -(-n // tile), len(unit)):
+        while len(chosen) < min(PIVOTS, -(-n // min(tile, CELL)), len(unit)):
             chosen.append(int(far.argmax()))
             far = np.minimum(far, _distance(unit, np.arange(len(unit)), chosen[-1]))
         pivots[dim] = unit[chosen]
@@ -225,27 +249,38 @@ def _near_duplicates(vectors: DataFrame, least: float, tile: int, kept: list[Dat
                 away[own] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], ["node", "copies", "vector", "dim", "cell", "away"])
 
-    placed = classes.drop("rep").mapInArrow(assign, "node long, copies long, vector array<double>, dim int, cell int, away double")
+    placed = classes.drop("rep").mapInArrow(assign, f"node long, copies long, vector array<{element}>, dim int, cell int, away double")
     placed = materialise(placed, "placed")
     cells = {(r[0], r[1]): (r[2], r[3]) for r in placed.groupBy("dim", "cell").agg(F.count("*"), F.max("away")).collect()}
-    # Blocks are tiles of cells; for each the list of block pairs that its vectors go to.
-    tau = math.sqrt(max(0.0, 2.0 - 2.0 * least))
-    first, total = {}, 0
-    for key, (n, _) in sorted(cells.items()):
-        first[key] = (total, -(-n // tile))
-        total += -(-n // tile)
-    touch = []
-    for d, c in sorted(cells):
-        others = []
-        for d2, c2 in sorted(cells):
-            if d2 == d:
-                apart = math.sqrt(max(0.0, 2 - 2 * float(pivots[d][c] @ pivots[d][c2])))
-                if apart <= cells[d, c][1] + cells[d, c2][1] + tau + SLACK:
-                    others.append((first[d, c2][0], first[d, c2][1], cells[d, c2][1], c2))
-        touch.append((d, c, first[d, c][0], first[d, c][1], [o[0] + k for o in others for k in range(o[1])]))
-    spec = "dim int, cell int, start int, tiles int, touches array<int>"
-    table = F.broadcast(spark.createDataFrame(touch, spec))  # one row per cell: at most PIVOTS for each length
-    dealt = placed.join(table, ["dim", "cell"]).withColumn("block", (F.col("start") + F.pmod(F.xxhash64("node"), F.col("tiles"))).cast("int"))
+    # Of each cell the first of its blocks, their number, and the radius; blocks are numbered through.
+    tau, total, layout = math.sqrt(max(0.0, 2.0 - 2.0 * least)), 0, {}
+    for dim, centres in pivots.items():
+        sizes, radius = (np.array([cells.get((dim, c), (0, 0.0))[k] for c in range(len(centres))]) for k in (0, 1))
+        first, tiles = pack(centres, sizes, tile)
+        layout[dim] = (total + first, tiles, radius)
+        total += int((first + tiles).max())
+    blocks = spark.sparkContext.broadcast(layout)  # three numbers for each of at most PIVOTS
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim, cell, node = (b.column(c).to_numpy() for c in ("dim", "cell", "node"))
+            block, touches = np.zeros(len(b), np.int32), [None] * len(b)
+            for d in np.unique(dim).tolist():
+                own = np.flatnonzero(dim == d)
+                first, tiles, radius = blocks.value[d]
+                mixed = (node[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block[own] = first[cell[own]] + (mixed % tiles[cell[own]].astype(np.uint64)).astype(np.int64)
+                cos = _units(_matrix(b.column("vector").take(pa.array(own)), d)) @ shared.value[d].T
+                near = np.sqrt(np.maximum(0.0, 2 - 2 * cos)) <= radius + tau + SLACK
+                near[np.arange(len(own)), cell[own]] = True
+                near &= tiles > 0
+                for i, row in zip(own.tolist(), near, strict=True):
+                    at = np.flatnonzero(row)
+                    many = tiles[at]
+                    touches[i] = np.unique(np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("vector"), b.column("dim"), pa.array(block), pa.array(touches, pa.list_(pa.int32()))], ["node", "copies", "vector", "dim", "block", "touches"])
+
+    dealt = placed.mapInArrow(meet, f"node long, copies long, vector array<{element}>, dim int, block int, touches array<int>")
     dealt = dealt.select("node", "copies", "vector", "dim", "block", F.explode("touches").alias("o"))
     dealt = dealt.select("node", "copies", "vector", "dim", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
     dealt = dealt.repartition("dim", "x", "y").sortWithinPartitions("dim", "x", "y")
