@@ -26,9 +26,9 @@ def kv_cache(writes: DataFrame, key: str, value: str, order: str) -> DataFrame:
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
         for f in frames:
-            last = f.sort_values(order).iloc[-1]
-            if held is None or last[order] >= held[1]:
-                held = (last[value], last[order])
+            top = f[order].max()
+            if held is None or top >= held[1]:  # of rows that tie, the one that comes last
+                held = (f[value][f[order] == top].iloc[-1], top)
         state.update(held)
         yield pd.DataFrame({key: [k[0]], value: [held[0]], order: [held[1]]})
 
