@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenrank.llm import mixing, sharding, similar, tiling, toxicity
-from lumenrank.llm.common import materialise
+from lumenrank.llm.common import drop_shared, materialise, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of texts that share 0.8 of their five-word shingles."""
+    """The first document of each group of texts that share 0.8 of their five-word shingles: SimHash pairs, then all it misses."""
     return similar.one_of_each(docs)
 
 
@@ -41,7 +41,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with scratch(spark) as kept:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        if before is not None:
+            drop_shared(spark, before)
+        before = docs
+    return docs
