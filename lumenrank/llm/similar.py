@@ -39,7 +39,7 @@ _PART = 1 << 14
 #: Postings of one shingle that go to one task, by its counter's excess over the mean.
 HOT = 1 << 16
 #: Rounds that compare each text with one other, before all pairs that are left.
-ROUNDS = 3
+ROUNDS = 2
 
 _ROW = "doc_id long, text_hash long, node long, n int, fp long, part int, body binary"
 
