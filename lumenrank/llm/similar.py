@@ -161,44 +161,60 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sift(held, True)
 
 
+#: Postings that are looked at together, and pairs that they make at once.
+GATHER = 1 << 16
+MADE = 1 << 20
+
+
 def _across(over: int, under: int):
     """Pairs of one token and different groups, of fitting sizes and places; rows of a token are neighbours."""
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, n, after, group = (t.column(c).to_numpy() for c in ("node", "n", "after", "component"))
-        order = np.argsort(group, kind="stable")
-        node, n, after, group = node[order], n[order].astype(np.int64), after[order], group[order]
-        follows = np.searchsorted(group, group, side="right")
-        for i in range(len(node)):
-            j = np.arange(follows[i], len(node))
+    names = ("token", "component", "node", "n", "after")
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((columns[1], columns[0]))
+        token, group, node, n, after = (c[order] for c in columns)
+        rows = len(token)
+        fresh = np.ones(rows, dtype=bool)
+        fresh[1:] = token[1:] != token[:-1]
+        apart = fresh.copy()
+        apart[1:] |= group[1:] != group[:-1]
+        until = lambda edge: np.repeat(np.append(np.flatnonzero(edge)[1:], rows), np.diff(np.append(np.flatnonzero(edge), rows)))
+        first, end = until(apart), until(fresh)  # of a row's partners: those of its token after its group
+        many = end - first
+        done = np.cumsum(many)
+        n, after = n.astype(np.int64), after.astype(np.int64)
+        at = 0
+        while at < rows:
+            base = done[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(done, base + MADE, side="right")))
+            m = many[at:to]
+            i = np.repeat(np.arange(at, to), m)
+            j = np.repeat(first[at:to] - (np.cumsum(m) - m), m) + np.arange(len(i))
             most = 1 + np.minimum(after[i], after[j])  # if the token is the first that they share
-            fits = most * (over + under) >= over * (n[i] + n[j])
-            j = j[fits]
-            if len(j):
-                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            fits = (most * (over + under) >= over * (n[i] + n[j])) & (np.minimum(n[i], n[j]) * under >= np.maximum(n[i], n[j]) * over)
+            x, y = node[i[fits]], node[j[fits]]
+            if len(x):
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            got = list(pairs(pa.Table.from_batches(held)))
-            if got:
-                yield from pa.Table.from_batches(got).combine_chunks().to_batches(max_chunksize=100_000)
-
+        held: list[list[np.ndarray]] = []
+        size = 0
         for b in batches:
-            token = b.column("token").to_numpy()
-            edge = np.flatnonzero(token[1:] != token[:-1]) + 1
-            starts, ends = np.append(0, edge), np.append(edge, len(token))
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                if e == s:
-                    continue
-                if held and held[0].column("token")[0].as_py() != token[s]:
-                    yield from flush()
-                    held = []
-                held.append(b.slice(s, e - s))
-        if held:
-            yield from flush()
+            if not len(b):
+                continue
+            held.append([b.column(c).to_numpy() for c in names])
+            size += len(b)
+            if size >= GATHER:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                edge = np.flatnonzero(columns[0] != columns[0][-1])
+                cut = int(edge[-1]) + 1 if len(edge) else 0  # the last token may go on
+                if cut:
+                    yield from pairs([c[:cut] for c in columns])
+                held, size = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if size:
+            yield from pairs([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
@@ -295,7 +311,9 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
                 break
             links = links.unionByName(more)
             groups = materialise(components(links), "groups")
-        left = grouped().repartition("token").sortWithinPartitions("token")
+        # Few bytes make many pairs here: more partitions than adaptive execution would leave.
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        left = grouped().repartition(tasks, "token").sortWithinPartitions("token")
         pairs = materialise(left.mapInArrow(_across(over, under), "a long, b long").distinct(), "pairs")
         links = links.unionByName(_verified(pairs, texts, words, similar))
         joined = materialise(components(links), "joined")
