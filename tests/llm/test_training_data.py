@@ -114,6 +114,35 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.toxicity(odd, empty).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.5, 0.9])
+def test_toxicity_at_any_share(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    rows, labels = [], []
+    for i in range(500):
+        words = [f"w{k}" for k in rng.integers(0, 200, 40)]
+        toxic = i % 20 < 20 * share
+        if toxic:
+            for k in rng.integers(0, 40, 4):
+                words[k] = ["vile", "rotten", "loathsome"][k % 3]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(d, lab)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(d, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
+    bad, good = [got[i] for i in held if labels[i][1]], [got[i] for i in held if not labels[i][1]]
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.97
+    assert sum((got[i] >= toxicity.THRESHOLD) == labels[i][1] for i in held) / len(held) > 0.95
+    # Whole documents against the definition: every word's most telling feature, maximal segments by splitting.
+    for i in list(got)[:12]:
+        values = []
+        for w in rows[i][1].split():
+            known = [model.scores[f] for f in ["=" + w, *(w[:k] for k in range(4, 9) if k <= len(w))] if f in model.scores]
+            values.append(max(known)[1] if known else 0.0)
+        found = [(0, 0, s) for _, _, s in brute_segments([v - toxicity.DRIFT for v in values])]
+        assert abs(toxicity.score_of(model, toxicity.evidence(len(values), found, model.lam, model.k)) - got[i]) < 1e-6
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
