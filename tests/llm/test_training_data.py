@@ -118,7 +118,7 @@ def test_toxicity(spark, odd, none):
 def test_toxicity_at_any_share(spark, share):
     rng = np.random.default_rng(int(share * 100))
     rows, labels = [], []
-    for i in range(500):
+    for i in range(1500):
         words = [f"w{k}" for k in rng.integers(0, 200, 40)]
         toxic = i % 20 < 20 * share
         if toxic:
