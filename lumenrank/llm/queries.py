@@ -83,8 +83,8 @@ def _licenses_sql() -> str:
     block, step, least = licenses.BLOCK, licenses.BLOCK // 2, licenses.THRESHOLD
     return f"""WITH t AS (SELECT id, label, list_distinct({words.format(t='text')}) AS w FROM (VALUES {templates}) v(id, label, text)), up AS (SELECT a.id, b.id AS larger FROM t a JOIN t b ON len(b.w) > len(a.w) AND list_has_all(b.w, a.w)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {words.format(t='text')} AS w FROM documents),
-p AS (SELECT r, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS at FROM d, (VALUES {phrases}) v(label, p)),
-base AS (SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY ALL),
+p AS (SELECT r, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS place FROM d, (VALUES {phrases}) v(label, p)),
+base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM p GROUP BY ALL),
 k AS (SELECT r, start, w[start + 1:start + {block}] AS w FROM (SELECT r, w, unnest(range(0, greatest(1, len(w)), {step})) AS start FROM d)),
 h AS (SELECT k.r, start, t.id, label, k.w AS block, t.w AS own, len(list_intersect(list_distinct(k.w), t.w)) / len(t.w)::DOUBLE AS share FROM k JOIN t ON list_has_any(k.w, t.w)),
 f AS (SELECT * FROM h WHERE share >= {least} - 1e-9), l AS (SELECT f.r, f.start, f.id, count(g.id) AS larger FROM f LEFT JOIN up ON up.id = f.id LEFT JOIN f g ON g.r = f.r AND g.start = f.start AND g.id = up.larger GROUP BY ALL),
