@@ -217,8 +217,8 @@ def mined_text_pairs(t: Tables):
 
 
 @add(
-    f"""WITH {_LINES}, n AS (SELECT count(*) AS n FROM m), e AS (SELECT * FROM m WHERE i < (SELECT least(40, n // 2) FROM n)), x AS (SELECT e.i, e.query, m.positive AS right, (m.i - e.i - 1 + n) % n AS k FROM e JOIN m ON m.positive <> e.positive AND m.positive <> e.query, n)
-SELECT md5(query) AS query, md5(positive) AS right, 1 AS target FROM e UNION ALL SELECT md5(query), md5(min_by(right, k)), -1 FROM x GROUP BY i, query"""
+    f"""WITH {_LINES}, n AS (SELECT count(*) AS n FROM m), e AS (SELECT * FROM m WHERE i < (SELECT least(40, n // 2) FROM n)), x AS (SELECT e.i, e.query, m.positive AS other, (m.i - e.i - 1 + n) % n AS k FROM e JOIN m ON m.positive <> e.positive AND m.positive <> e.query, n)
+SELECT md5(query) AS query, md5(positive) AS "right", 1 AS target FROM e UNION ALL SELECT md5(query), md5(min_by(other, k)), -1 FROM x GROUP BY i, query"""
 )
 def mined_eval_pairs(t: Tables):
     """The first forty pairs, each with its positive and the next other one."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..tables import materialise
 from .ordering import place, spread
 
 
@@ -109,7 +110,7 @@ def mined_pairs(lines: DataFrame, least_bytes: int = 8, most: int = 0, seed: str
     outer = numbered.join(follows, "_i").select(F.lit(1).alias("kind"), "pos", F.lit(0).alias("k"), F.col("text").alias("query"), "positive")
     fits = (F.octet_length("query") >= least_bytes) & (F.octet_length("positive") >= least_bytes) & (F.col("query") != F.col("positive"))
     both = inner.unionByName(outer).where(fits).groupBy("query", "positive").agg(F.min(F.struct("kind", "pos", "k")).alias("at"))
-    both = both.select("query", "positive", "at.kind", "at.pos", "at.k")
+    both = materialise(both.select("query", "positive", "at.kind", "at.pos", "at.k"), "pairs")
     if most:
         digits = hash_order(seed, F.concat_ws("\0", "query", "positive"))
         return place(both, F.conv(F.substring(digits, 1, 12), 16, 10).cast("long"), [digits], "i").where(F.col("i") < most).select("i", "query", "positive")
@@ -125,6 +126,7 @@ def train_and_eval(pairs: DataFrame, eval_pairs: int) -> tuple[DataFrame, DataFr
     after its own, round the end, that is neither its positive nor its query. As only pairs with such a positive can
     be in the way, a pair is joined with one more place than there are of these.
     """
+    pairs = materialise(pairs, "numbered")
     n = pairs.count()
     held = min(eval_pairs, n // 2) or (1 if n > 2 and eval_pairs >= 0 else 0)
     judged = pairs.where(F.col("i") < held)
