@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import covertree, licenses, mixing, sharding, simhash, suffixdedup, tiling, tokens, toxicity
+from . import covertree, licenses, mixing, sharding, simhash, suffixdedup, tiling, tokens, toxicity, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,8 +61,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(manifest, folder)
 
 
+def op11_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = turns.reassembled(_table(spark, sf_dir, "conversations"))
+    digest = F.when(F.col("event") == "close", F.col("left_sha256")).otherwise(F.sha2(F.concat_ws("|", "role", "text"), 256))
+    return out.select("event", digest.alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_suffix_dedup, op3_cover_tree, op4_licenses, op5_decontaminate, op6_mix_sources, op7_shard, op8_token_counts, op9_simhash, op10_token_output]
+    found = [
+        op1_toxicity, op2_suffix_dedup, op3_cover_tree, op4_licenses, op5_decontaminate, op6_mix_sources, op7_shard, op8_token_counts, op9_simhash, op10_token_output,
+        op11_turn_reassembly,
+    ]
     return {f.__name__: f for f in found}
 
 
