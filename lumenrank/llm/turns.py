@@ -53,6 +53,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves 4 MB of disk
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of an ended run are closed then
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
