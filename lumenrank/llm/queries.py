@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, licenses, mixing, sharding, simhash, suffixdedup, tiling, tokens, toxicity, turns
+from . import collocations, covertree, licenses, mixing, rankbpe, sharding, simhash, suffixdedup, tiling, tokens, toxicity, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,10 +67,19 @@ def op11_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event", digest.alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rankbpe.decode(rankbpe.encode(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_toxicity, op2_suffix_dedup, op3_cover_tree, op4_licenses, op5_decontaminate, op6_mix_sources, op7_shard, op8_token_counts, op9_simhash, op10_token_output,
-        op11_turn_reassembly,
+        op11_turn_reassembly, op12_byte_bpe, op13_collocations,
     ]
     return {f.__name__: f for f in found}
 
