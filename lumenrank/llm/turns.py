@@ -274,7 +274,9 @@ class Feed:
         rows.withColumn("at", F.expr(time)).select(*columns).unionByName(ticks).write.mode("append").parquet(f"{self.folder}/in")
         with self._settings({"spark.sql.streaming.noDataMicroBatches.enabled": "true"} if last else {}):
             stream = self.spark.readStream.schema(ARRIVAL).parquet(f"{self.folder}/in")
-            events = reassemble(stream, self.end, self.patience).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            # State has a store for each shuffle partition; their events go to as many files as there are cores.
+            dealt = reassemble(stream, self.end, self.patience).repartition(self.spark.sparkContext.defaultParallelism)
+            events = dealt.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
             query = events.option("path", f"{self.folder}/out").option("checkpointLocation", f"{self.folder}/state").start()
         query.awaitTermination()
 
