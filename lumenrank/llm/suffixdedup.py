@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import place
 from . import scan
 from .common import blocks, drop_shared, materialise, prepare, scratch, text_column
 
@@ -162,6 +163,7 @@ _OPEN = [np.uint64, np.int64, np.int64, np.int32]
 TAG = 38
 #: Rows without a doc_id take ids from three times this on.
 _NULLS = 1 << 61
+_LAST = (1 << 63) - 1
 #: Kinds of rows: entries, repeated strings, strings to be looked into.
 ENTRY, REPEATED, OPEN = 0, 1, 2
 
@@ -217,7 +219,8 @@ def _find_runs(buckets: int, length: int, gram: int):
         send[w[~several]] = True
         s = np.flatnonzero(send)
         columns = [np.concatenate([h[s], marks]), np.concatenate([f[s], np.zeros(len(marks), np.uint64)])]
-        columns += [np.concatenate([doc[s], np.full(len(marks), -1)]), np.concatenate([start[s], np.zeros(len(marks), np.int64)])]
+        # A mark has no place (start -1) and comes after all documents, so that nothing is removed for it.
+        columns += [np.concatenate([doc[s], np.full(len(marks), _LAST)]), np.concatenate([start[s], np.full(len(marks), -1)])]
         columns += [np.concatenate([count[s], np.zeros(len(marks), np.int64)]).astype(np.int32)]
         yield from _by_bucket(ENTRY, columns[0], buckets, columns)
 
@@ -286,12 +289,12 @@ def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(h) else order
         h = h[w]
         f, doc, start, count = (np.concatenate([e[k] for e in entries])[w] for k in range(1, 5))
-        gone = earlier([h, f], doc) & (doc >= 0)
+        gone = earlier([h, f], doc) & (start >= 0)
         yield from _spread(REPEATED, doc[gone], start[gone], count[gone])
         keep = ~gone
         several = np.zeros(len(h), dtype=bool)
         several[keep] = _repeated_anchor(h[keep], f[keep])
-        several &= doc >= 0
+        several &= start >= 0
         yield from _spread(OPEN, doc[several], start[several], count[several], h[several])
 
 
@@ -443,8 +446,14 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole: bool
 def _removed(docs: DataFrame, length: int, gram: int, whole: bool, kept: list[DataFrame]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # A null doc_id would turn a batch's ids into floats and match nothing: it has a place above all others instead.
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(_NULLS - 1)).bitwiseOR(F.lit(3 * _NULLS))))
+    # A null doc_id would turn a batch's ids into floats and match nothing: it has a place above all others instead. Where
+    # there are ids up there, all ids give way to their ranks.
+    own = F.col("doc_id")
+    if rows.where(F.col("doc_id") >= 3 * _NULLS).take(1):
+        ranks = materialise(place(rows.where("doc_id is not null").select("doc_id").distinct(), F.col("doc_id"), [], "rank"), "ranks")
+        rows = rows.join(ranks.select(F.col("doc_id").alias("_id"), F.col("rank").cast("long").alias("rank")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        own = F.col("rank")
+    rows = rows.withColumn("id", F.coalesce(own, F.xxhash64("text").bitwiseAND(F.lit(_NULLS - 1)).bitwiseOR(F.lit(3 * _NULLS))))
     # What a copy that is too short to hold a string keeps.
     short = [F.when(F.octet_length("text") < length, F.col("text").cast("binary")).alias("short")] if whole else []
     meta = materialise(rows.select("doc_id", "id", F.sha2(F.col("text").cast("binary"), 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), *short), "meta")

@@ -33,3 +33,49 @@ def test_mixing_keeps_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert mixing.mixed_documents(docs).count() == sum(r.copies for r in mixing.mix(docs).collect())
     assert mixing.mixed_documents(docs).where("doc_id is null").count() > 0
+
+
+def _plain(texts):
+    """What is left of each text by the definition: ids in order, those without one last."""
+    seen, want = set(), []
+    for d, t in sorted(texts, key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        own = [b[p : p + 50] for p in range(len(b) - 49)]
+        for p, s in enumerate(own):
+            if s in seen:
+                gone[p : p + 50] = True
+        seen |= set(own)
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
+        want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return sorted(want, key=str)
+
+
+LINE = "a shared line that stands in many of the documents, and is of some eighty bytes long"
+MIXED = [
+    [-9, -5, -2, None],
+    [-(1 << 63), -1, 0, 7],
+    [-(1 << 63), (1 << 63) - 1, (1 << 63) - 2, None],
+    [3 << 61, 9223372036854775000, -3, None],
+]
+
+
+@pytest.mark.parametrize("ids", MIXED)
+@pytest.mark.parametrize("alone", [True, False])
+def test_suffix_dedup_of_any_long(spark, monkeypatch, ids, alone):
+    """Negative and extreme ids, met by the receiver (one row for each batch and chunk) or by the sender."""
+    own = lambda k: " ".join(f"own{k}x{i * 7919 % 1000}" for i in range(14))
+    texts = [(d, f"{own(k)} {LINE} {own(k + 50)} {LINE[:70]}{k}") for k, d in enumerate(ids)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if alone:
+        monkeypatch.setattr(suffixdedup, "CHUNK", 1)
+        spark.conf.set(name, "1")
+    try:
+        for order in (texts, texts[::-1]):
+            docs = spark.createDataFrame(order, "doc_id long, text string").repartition(4 if alone else 1)
+            got = sorted((tuple(r) for r in suffixdedup.removed(docs).collect()), key=str)
+            assert got == _plain(texts)
+            assert sum(r[2] for r in got) >= 3 * 80
+    finally:
+        spark.conf.set(name, before)
