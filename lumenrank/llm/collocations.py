@@ -3,9 +3,10 @@
 1. Words are counted for each language: a task counts what it reads in numpy and sends each word once per window. A word's
    code is a 64-bit hash of its bytes; the table of words tells whether a frequent word shares its code with another one,
    in which case everything starts again with other hash values, so codes are exact.
-2. Frequent words break the pieces: a word that occurs less than `least` times can't be in a phrase that often. Tasks know
+2. Infrequent words break the pieces: a word that occurs less than `least` times can't be in a phrase that often. Tasks know
    the frequent ones by a table of bits of bounded size. Where that table lets an infrequent word pass, its phrases
-   are counted like all others, and are too rare to be kept: the table saves work and decides nothing.
+   are counted like all others, and are too rare to be kept: the table saves work and decides nothing. Likewise, runs
+   of three words are counted only where both their pairs are frequent, and runs of four by their runs of three.
 3. What is left is packed as n-grams of codes into binary keys of 16, 24 or 32 bytes, counted by windows of a task, written,
    and dealt out by ranges of keys; Spark sorts each range by key prefixes (radix sort) and runs of equal keys are summed.
    A phrase of any frequency is one row for each window, so no range gets more than its share of a hot one.
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, prepare, scratch
+from .common import drop_shared, materialise, prepare, scratch
 
 #: Occurrences of a candidate, words of the longest, rows of a language's report; what makes a phrase redundant, in percent.
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 #: Bytes of a chunk, distinct entries of a window, rows of an Arrow batch of sorted keys.
-CHUNK, WINDOW, SORTED_ROWS = 1 << 20, 1 << 20, 50_000
-#: Bits of the table of frequent words: so many for each word, and at least and at most so many.
-PER_WORD, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
+CHUNK, WINDOW, SORTED_ROWS = 1 << 20, 1 << 21, 50_000
+#: Bits of a table of frequent words or phrases: so many for each of them, and at least and at most so many.
+PER_WORD, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 29
 
 _ENDS = np.zeros(256, dtype=bool)  # bytes that end a piece
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -187,57 +188,56 @@ def _some(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(at, SORTED_ROWS) for at in range(0, batch.num_rows, SORTED_ROWS))
 
 
-def _salt(lang: str) -> np.uint64:
-    return np.uint64(int.from_bytes(lang.encode()[:64].ljust(8, b"\0"), "little") * 0xD6E8FEB86659FD93 % (1 << 64))
+def fold(lang: str, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of a language and each row of codes."""
+    h = np.full(len(codes), int.from_bytes(lang.encode()[:64].ljust(8, b"\0"), "little") * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
+    for k in range(codes.shape[1]):
+        h = (h ^ codes[:, k]) * _SPREAD
+        h ^= h >> np.uint64(31)
+    return h
 
 
-def slots(code: np.ndarray, lang: str, bits: int) -> np.ndarray:
-    """Places in the table of frequent words."""
-    return (((code + _salt(lang)) * _SPREAD) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a table of bits."""
+    return ((h * _SPREAD) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def runs_of(code: np.ndarray, n: int) -> np.ndarray:
+    """All runs of n codes, as rows."""
+    return np.lib.stride_tricks.sliding_window_view(code, n) if len(code) >= n else np.zeros((0, n), np.uint64)
 
 
 class GramWindow:
-    """n-grams of frequent words of one language as rows of codes."""
+    """Runs of n words of one language as rows of codes, of which both parts of n - 1 words may be frequent by a table of bits."""
 
-    def __init__(self, lang: str, table: np.ndarray, bits: int, longest: int):
-        self.lang, self.table, self.bits, self.longest = lang, table, bits, longest
-        self.held: dict[int, list[np.ndarray]] = {n: [] for n in range(2, longest + 1)}
+    def __init__(self, lang: str, n: int, table: np.ndarray):
+        self.lang, self.n, self.table, self.bits = lang, n, table, 64 * len(table)
+        self.held: list[np.ndarray] = []
         self.size = 0
 
     def add(self, found: tuple[np.ndarray, ...], shared: int) -> None:
-        code, piece = found[3], found[4]
-        at = slots(code, self.lang, self.bits)
+        code, piece, n = found[3], found[4], self.n
+        if len(code) < n:
+            return
+        at = slots(fold(self.lang, runs_of(code, n - 1)), self.bits)
         known = (self.table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        go = known[:-1] & known[1:] & (piece[:-1] == piece[1:])
-        on = go
-        for n in range(2, self.longest + 1):
-            if n > 2:
-                on = on[:-1] & go[n - 2 :]
-            start = np.flatnonzero(on)
-            start = start[start + n > shared]  # what lies among the shared words was counted with the chunk before
-            if len(start):
-                self.held[n].append(code[start[:, None] + np.arange(n)])
-                self.size += len(start)
+        start = np.flatnonzero(known[:-1] & known[1:] & (piece[: len(known) - 1] == piece[n - 1 :]))
+        start = start[start + n > shared]  # what lies among the shared words was counted with the chunk before
+        if len(start):
+            self.held.append(runs_of(code, n)[start])
+            self.size += len(start)
 
     def flush(self, lang: str) -> pa.RecordBatch | None:
-        made = []
-        for n, held in self.held.items():
-            if not held:
-                continue
-            keys = np.concatenate(held)
-            held.clear()
-            mixed = np.zeros(len(keys), np.uint64)
-            for k in range(n):
-                mixed = (mixed ^ keys[:, k]) * _SPREAD
-                mixed ^= mixed >> np.uint64(31)
-            order = np.argsort(mixed)
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-            count, keys = np.diff(np.append(first, len(keys))), keys[first]
-            binary = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((np.arange(len(keys) + 1) * 8 * n).astype(np.int32).tobytes()), pa.py_buffer(keys.astype(">u8").tobytes())])
-            made.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), binary, pa.array(count.astype(np.int64))], ["lang", "key", "f"]))
-        self.size = 0
-        return pa.Table.from_batches(made).combine_chunks().to_batches()[0] if made else None
+        if not self.held:
+            return None
+        keys = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        keys = keys[np.argsort(fold(lang, keys))]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        count, keys = np.diff(np.append(first, len(keys))), keys[first]
+        offsets = (np.arange(len(keys) + 1) * 8 * self.n).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.astype(">u8").tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), binary, pa.array(count.astype(np.int64))], ["lang", "key", "f"])
 
 
 def _runs(least: int):
@@ -306,41 +306,53 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     raise RuntimeError("no hash tells the frequent words apart")
 
 
-def _table(words: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of the frequent words, at most MOST_BITS of them."""
-    often = words.where("id is not null")
-    bits = FEWEST_BITS
-    most = often.count() * PER_WORD
+def _table(frequent: DataFrame, n: int) -> np.ndarray:
+    """Bits of frequent runs of n words (lang, key), MOST_BITS of them at most; more runs make it let more of others pass."""
+    bits, most = FEWEST_BITS, frequent.count() * PER_WORD
     while bits < min(most, MOST_BITS):
         bits *= 2
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang = np.array(b.column(0).to_pylist(), dtype=object)
-            code = b.column(1).to_numpy().view(np.uint64)
-            at = np.concatenate([slots(code[lang == x], x, bits) for x in dict.fromkeys(lang)])
+            code = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, n)
+            at = np.concatenate([slots(fold(x, code[lang == x]), bits) for x in dict.fromkeys(lang)])
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "bits"])
 
-    found = often.select("lang", "id").mapInArrow(place, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = frequent.select("lang", "key").mapInArrow(place, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(bits // 64, dtype=np.uint64)
     table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return table, bits
+    return table
 
 
 def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, key, f) of all phrases of 2 to `longest` words that occur `least` times or more; key: the words' codes."""
+    """(lang, key, f) of all phrases of 2 to `longest` words that occur `least` times or more; key: the words' codes.
+
+    By length: a phrase is only counted where its first and its last n - 1 words are frequent.
+    """
     spark = docs.sparkSession
-    table, bits = _table(words)
-    sent = spark.sparkContext.broadcast(table)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    schema = "lang string, key binary, f long"
+    shorter, found = words.where("id is not null").select("lang", _code().alias("key")), None
+    for n in range(2, longest + 1):
+        sent = spark.sparkContext.broadcast(_table(shorter, n - 1))
+
+        def count(batches: Iterator[pa.RecordBatch], n: int = n, sent=sent) -> Iterator[pa.RecordBatch]:
+            return _windows(batches, Codes(seed), lambda lang: GramWindow(lang, n, sent.value))
+
+        grams = materialise(texts.mapInArrow(count, schema), "grams")
+        with _rows_a_batch(spark, SORTED_ROWS):
+            dealt = grams.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
+            shorter = materialise(dealt.mapInArrow(_runs(least), schema), "phrases")
+        drop_shared(spark, grams)
+        sent.destroy()
+        found = shorter if found is None else found.unionByName(shorter)
+    return found
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _windows(batches, Codes(seed), lambda lang: GramWindow(lang, sent.value, bits, longest))
 
-    grams = materialise(texts.mapInArrow(count, "lang string, key binary, f long"), "grams")
-    with _rows_a_batch(spark, SORTED_ROWS):
-        dealt = grams.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
-        return materialise(dealt.mapInArrow(_runs(least), grams.schema), "phrases")
+def _code() -> Column:
+    """A word's id as a key of one code."""
+    return F.unhex(F.lpad(F.hex("id"), 16, "0"))
 
 
 def _part(key: str, first: Column | int, many: Column | int) -> Column:
@@ -370,7 +382,7 @@ def _ranked(words: DataFrame, phrases: DataFrame, longest: int, top: int, covere
     sized = phrases.withColumn("many", F.expr("cast(length(key) / 8 as int)"))
     ids = words.where("id is not null")
     # Counts of all parts: phrases by their keys, words by the same form of key.
-    code = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    code = _code()
     parts = phrases.select("lang", F.col("key").alias("part"), "f").unionByName(ids.select("lang", code.alias("part"), "f"))
     cuts = sized.select("lang", "key", F.col("f").alias("a"), "many", F.explode(F.sequence(F.lit(1), F.col("many") - 1)).alias("k"))
     cuts = cuts.join(parts.select("lang", F.col("part").alias("_l"), F.col("f").alias("l")).withColumnRenamed("lang", "_ll"), (F.col("lang") == F.col("_ll")) & (_part("key", 0, F.col("k")) == F.col("_l"))).drop("_ll", "_l")

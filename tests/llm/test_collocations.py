@@ -59,8 +59,8 @@ def test_plain_counts(spark, least, top, covered):
     assert rows_of(C.collocations(docs, least, top=top, covered=covered)) == plain(rows, least, top, covered)
 
 
-def test_chunks_windows_and_few_bits(spark, monkeypatch):
-    """Small chunks with and without ends of pieces, windows of a few words, a table of bits that lets infrequent words pass."""
+def test_chunks_and_few_bits(spark, monkeypatch):
+    """Small chunks with and without ends of pieces, and a table of bits."""
     text = b"one two three four five, six seven " * 9 + b"no end of a piece in here for a long while " * 30
     codes = C.Codes(0)
     want = [tuple(x) for x in codes.words(np.frombuffer(text, np.uint8))[3:4]][0]
@@ -69,20 +69,26 @@ def test_chunks_windows_and_few_bits(spark, monkeypatch):
         assert got == list(want)
     monkeypatch.setattr(C, "FEWEST_BITS", 64)
     monkeypatch.setattr(C, "PER_WORD", 1)
-    monkeypatch.setattr(C, "WINDOW", 50)
-    monkeypatch.setattr(C, "CHUNK", 64)
-    rows = [*sample()[:60], ("en", text.decode())]
-    table, bits = C._table(spark.createDataFrame([("en", i, b"w", 9) for i in range(3)], "lang string, id long, word binary, f long"))
-    assert bits == 64 and len(table) == 1
-    window = C.GramWindow("en", np.full(1, (1 << 64) - 1, np.uint64), 64, 4)
-    for lang, data in [(x, np.frombuffer((t or "").encode(), np.uint8)) for x, t in rows]:
-        for found, shared in C.chunks(codes, data, 64):
-            window.add(found, shared)
-    counted = window.flush("en")
-    whole = C.GramWindow("en", np.full(1, (1 << 64) - 1, np.uint64), 64, 4)
-    for _, t in rows:
-        whole.add(codes.words(np.frombuffer((t or "").encode(), np.uint8)), 0)
-    assert sorted(counted.to_pylist(), key=str) == sorted(whole.flush("en").to_pylist(), key=str)
+    table = C._table(spark.createDataFrame([("en", bytes(7) + bytes([i])) for i in range(3)], "lang string, key binary"), 1)
+    assert len(table) == 1
+    rows, every = [*sample()[:60], ("en", text.decode())], np.full(1, (1 << 64) - 1, np.uint64)
+    for n in (2, 3, 4):
+        cut, whole = C.GramWindow("en", n, every), C.GramWindow("en", n, every)
+        for _, t in rows:
+            data = np.frombuffer((t or "").encode(), np.uint8)
+            whole.add(codes.words(data), 0)
+            for found, shared in C.chunks(codes, data, 64):
+                cut.add(found, shared)
+        assert sorted(cut.flush("en").to_pylist(), key=str) == sorted(whole.flush("en").to_pylist(), key=str)
+
+
+def test_tables_that_let_all_pass(spark, monkeypatch):
+    """Tables of a few bits, which hold nearly everything, change nothing."""
+    monkeypatch.setattr(C, "FEWEST_BITS", 64)
+    monkeypatch.setattr(C, "MOST_BITS", 64)
+    rows = sample()
+    docs = spark.createDataFrame([(x, t) for x, t in rows], "lang string, text string").repartition(3)
+    assert rows_of(C.collocations(docs, 5)) == plain(rows, 5)
 
 
 def test_words_that_share_a_code(spark):
