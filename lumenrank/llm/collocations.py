@@ -3,11 +3,12 @@
 1. Words are counted for each language: a task counts what it reads in numpy and sends each word once per window. A word's
    code is a 64-bit hash of its bytes; the table of words tells whether a frequent word shares its code with another one,
    in which case everything starts again with other hash values, so codes are exact.
-2. Infrequent words break the pieces: a word that occurs less than `least` times can't be in a phrase that often. Tasks know
-   the frequent ones by a table of bits of bounded size. Where that table lets an infrequent word pass, its phrases
-   are counted like all others, and are too rare to be kept: the table saves work and decides nothing. Likewise, runs
-   of three words are counted only where both their pairs are frequent, and runs of four by their runs of three.
-3. What is left is packed as n-grams of codes into binary keys of 16, 24 or 32 bytes, counted by windows of a task, written,
+2. Infrequent words break the pieces: a word that occurs less than `least` times can't be in a phrase that often. Up to NUMBERED
+   frequent words have numbers, by frequency within their language, in a table of that bound that tasks get. Beyond it codes
+   stand for themselves, and tasks know frequent ones by a table of bits of bounded size; where that lets an infrequent
+   word pass, its phrases are counted like all others, and are too rare to be kept: the bits save work and decide nothing.
+   Likewise, runs of three words are counted only where both their pairs are frequent, and runs of four by their runs of three.
+3. What is left is packed as n-grams of numbers or codes into binary keys of n times 4 or 8 bytes, counted by windows of a task, written,
    and dealt out by ranges of keys; Spark sorts each range by key prefixes (radix sort) and runs of equal keys are summed.
    A phrase of any frequency is one row for each window, so no range gets more than its share of a hot one.
 4. The counts of the parts, the longest phrases around and the words themselves come by equi-joins on keys.
@@ -37,6 +38,8 @@ LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 CHUNK, WINDOW, SORTED_ROWS = 1 << 20, 1 << 21, 50_000
 #: Bits of a table of frequent words or phrases: so many for each of them, and at least and at most so many.
 PER_WORD, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 29
+#: Frequent words that are numbered at most, and bytes of a number.
+NUMBERED, NARROW = 1 << 22, 4
 
 _ENDS = np.zeros(256, dtype=bool)  # bytes that end a piece
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -188,6 +191,10 @@ def _some(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(at, SORTED_ROWS) for at in range(0, batch.num_rows, SORTED_ROWS))
 
 
+#: Stands for a language without frequent words: no code is its single one, as that has no number.
+_NO_WORDS = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+
+
 def fold(lang: str, codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of a language and each row of codes."""
     h = np.full(len(codes), int.from_bytes(lang.encode()[:64].ljust(8, b"\0"), "little") * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
@@ -208,10 +215,14 @@ def runs_of(code: np.ndarray, n: int) -> np.ndarray:
 
 
 class GramWindow:
-    """Runs of n words of one language as rows of codes, of which both parts of n - 1 words may be frequent by a table of bits."""
+    """Runs of n words of one language as rows of numbers, of which both parts of n - 1 words may be frequent.
+
+    numbers: for each language the sorted codes of its frequent words and their numbers; without it codes stand for themselves.
+    table: bits of the frequent runs of n - 1 words; not needed for single words that have numbers.
+    """
 
-    def __init__(self, lang: str, n: int, table: np.ndarray):
-        self.lang, self.n, self.table, self.bits = lang, n, table, 64 * len(table)
+    def __init__(self, lang: str, n: int, table: np.ndarray | None, numbers: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.lang, self.n, self.table, self.numbers = lang, n, table, numbers
         self.held: list[np.ndarray] = []
         self.size = 0
 
@@ -219,8 +230,17 @@ class GramWindow:
         code, piece, n = found[3], found[4], self.n
         if len(code) < n:
             return
-        at = slots(fold(self.lang, runs_of(code, n - 1)), self.bits)
-        known = (self.table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        known = np.ones(len(code) - n + 2, dtype=bool)  # by the first word of n - 1
+        if self.numbers is not None:
+            codes, number = self.numbers.get(self.lang, _NO_WORDS)
+            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            frequent = codes[at] == code
+            code = number[at]
+            for k in range(n - 1):
+                known &= frequent[k : k + len(known)]
+        if self.table is not None:
+            at = slots(fold(self.lang, runs_of(code, n - 1)), 64 * len(self.table))
+            known &= (self.table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         start = np.flatnonzero(known[:-1] & known[1:] & (piece[: len(known) - 1] == piece[n - 1 :]))
         start = start[start + n > shared]  # what lies among the shared words was counted with the chunk before
         if len(start):
@@ -235,8 +255,9 @@ class GramWindow:
         keys = keys[np.argsort(fold(lang, keys))]
         first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         count, keys = np.diff(np.append(first, len(keys))), keys[first]
-        offsets = (np.arange(len(keys) + 1) * 8 * self.n).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.astype(">u8").tobytes())])
+        width = 8 if self.numbers is None else NARROW
+        offsets = (np.arange(len(keys) + 1) * width * self.n).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.astype(f">u{width}").tobytes())])
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), binary, pa.array(count.astype(np.int64))], ["lang", "key", "f"])
 
 
@@ -306,7 +327,7 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     raise RuntimeError("no hash tells the frequent words apart")
 
 
-def _table(frequent: DataFrame, n: int) -> np.ndarray:
+def _table(frequent: DataFrame, n: int, width: int = 8) -> np.ndarray:
     """Bits of frequent runs of n words (lang, key), MOST_BITS of them at most; more runs make it let more of others pass."""
     bits, most = FEWEST_BITS, frequent.count() * PER_WORD
     while bits < min(most, MOST_BITS):
@@ -315,7 +336,7 @@ def _table(frequent: DataFrame, n: int) -> np.ndarray:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang = np.array(b.column(0).to_pylist(), dtype=object)
-            code = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, n)
+            code = np.frombuffer(b"".join(b.column(1).to_pylist()), f">u{width}").astype(np.uint64).reshape(-1, n)
             at = np.concatenate([slots(fold(x, code[lang == x]), bits) for x in dict.fromkeys(lang)])
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "bits"])
 
@@ -325,20 +346,44 @@ def _table(frequent: DataFrame, n: int) -> np.ndarray:
     return table
 
 
-def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, key, f) of all phrases of 2 to `longest` words that occur `least` times or more; key: the words' codes.
+def numbered(words: DataFrame) -> tuple[DataFrame, dict[str, tuple[np.ndarray, np.ndarray]] | None]:
+    """words with key, and for each language the sorted codes of its frequent words with their numbers.
+
+    Up to NUMBERED frequent words are numbered by frequency within their language, and a key is a number of NARROW bytes: the
+    tables are bounded, and sent to all tasks. More than that keep their codes of 8 bytes as keys, and no table is sent.
+    """
+    often = words.where("id is not null")
+    if often.limit(NUMBERED + 1).count() > NUMBERED:
+        return words.withColumn("key", F.unhex(F.lpad(F.hex("id"), 16, "0"))), None
+    number = F.row_number().over(W.partitionBy("lang").orderBy(F.col("f").desc(), "id")) - 1  # NUMBERED rows at most
+    often = materialise(often.withColumn("number", number.cast("long")), "numbers")
+    found = often.select("lang", "id", "number").toArrow()
+    lang = np.array(found.column("lang").to_pylist(), dtype=object)
+    code, own = found.column("id").to_numpy().view(np.uint64), found.column("number").to_numpy().astype(np.uint64)
+    tables = {}
+    for x in dict.fromkeys(lang):
+        at = np.flatnonzero(lang == x)
+        at = at[np.argsort(code[at])]
+        tables[x] = code[at], own[at]
+    key = F.unhex(F.lpad(F.hex("number"), 2 * NARROW, "0"))
+    return often.select("lang", "id", "word", "f", key.alias("key")).unionByName(words.where("id is null").withColumn("key", F.lit(None).cast("binary"))), tables
+
+
+def phrase_counts(docs: DataFrame, words: DataFrame, numbers: dict | None, seed: int, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(lang, key, f) of all phrases of 2 to `longest` words that occur `least` times or more; key: the words' keys.
 
     By length: a phrase is only counted where its first and its last n - 1 words are frequent.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     schema = "lang string, key binary, f long"
-    shorter, found = words.where("id is not null").select("lang", _code().alias("key")), None
+    shorter, found, width = words.where("id is not null").select("lang", "key"), None, 8 if numbers is None else NARROW
     for n in range(2, longest + 1):
-        sent = spark.sparkContext.broadcast(_table(shorter, n - 1))
+        table = None if n == 2 and numbers is not None else _table(shorter, n - 1, width)
+        sent = spark.sparkContext.broadcast((table, numbers))
 
         def count(batches: Iterator[pa.RecordBatch], n: int = n, sent=sent) -> Iterator[pa.RecordBatch]:
-            return _windows(batches, Codes(seed), lambda lang: GramWindow(lang, n, sent.value))
+            return _windows(batches, Codes(seed), lambda lang: GramWindow(lang, n, *sent.value))
 
         grams = materialise(texts.mapInArrow(count, schema), "grams")
         with _rows_a_batch(spark, SORTED_ROWS):
@@ -350,15 +395,10 @@ def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, least: int = LEA
     return found
 
 
-def _code() -> Column:
-    """A word's id as a key of one code."""
-    return F.unhex(F.lpad(F.hex("id"), 16, "0"))
-
-
-def _part(key: str, first: Column | int, many: Column | int) -> Column:
-    """Codes of a key from the word `first` (from 0)."""
+def _part(first: Column | int, many: Column | int, width: int) -> Column:
+    """Keys of so many words of a phrase's key from the word `first` (from 0)."""
     first, many = (x if isinstance(x, Column) else F.lit(x) for x in (first, many))
-    return F.col(key).substr((first * 8 + 1).cast("int"), (many * 8).cast("int"))
+    return F.col("key").substr((first * width + 1).cast("int"), (many * width).cast("int"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, covered: int = COVERED) -> DataFrame:
@@ -370,38 +410,37 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     prepare(docs.sparkSession)
     with scratch(docs.sparkSession) as kept:
         words, seed = word_counts(docs, least)
-        phrases = phrase_counts(docs, words, seed, least, longest)
-        out = _ranked(words, phrases, longest, top, covered)
+        words, numbers = numbered(words)
+        phrases = phrase_counts(docs, words, numbers, seed, least, longest)
+        out = _ranked(words, phrases, 8 if numbers is None else NARROW, top, covered)
         out = materialise(out, "collocations")
         kept.append(out)
         return out
 
 
-def _ranked(words: DataFrame, phrases: DataFrame, longest: int, top: int, covered: int) -> DataFrame:
+def _ranked(words: DataFrame, phrases: DataFrame, width: int, top: int, covered: int) -> DataFrame:
     big = "decimal(38,0)"
-    sized = phrases.withColumn("many", F.expr("cast(length(key) / 8 as int)"))
+    sized = phrases.withColumn("many", F.expr(f"cast(length(key) / {width} as int)"))
     ids = words.where("id is not null")
-    # Counts of all parts: phrases by their keys, words by the same form of key.
-    code = _code()
-    parts = phrases.select("lang", F.col("key").alias("part"), "f").unionByName(ids.select("lang", code.alias("part"), "f"))
+    parts = phrases.unionByName(ids.select("lang", "key", "f")).withColumnRenamed("key", "part")  # counts of all parts
     cuts = sized.select("lang", "key", F.col("f").alias("a"), "many", F.explode(F.sequence(F.lit(1), F.col("many") - 1)).alias("k"))
-    cuts = cuts.join(parts.select("lang", F.col("part").alias("_l"), F.col("f").alias("l")).withColumnRenamed("lang", "_ll"), (F.col("lang") == F.col("_ll")) & (_part("key", 0, F.col("k")) == F.col("_l"))).drop("_ll", "_l")
-    cuts = cuts.join(parts.select("lang", F.col("part").alias("_r"), F.col("f").alias("r")).withColumnRenamed("lang", "_rl"), (F.col("lang") == F.col("_rl")) & (_part("key", F.col("k"), F.col("many") - F.col("k")) == F.col("_r"))).drop("_rl", "_r")
+    cuts = cuts.join(parts.select("lang", F.col("part").alias("_l"), F.col("f").alias("l")).withColumnRenamed("lang", "_ll"), (F.col("lang") == F.col("_ll")) & (_part(0, F.col("k"), width) == F.col("_l"))).drop("_ll", "_l")
+    cuts = cuts.join(parts.select("lang", F.col("part").alias("_r"), F.col("f").alias("r")).withColumnRenamed("lang", "_rl"), (F.col("lang") == F.col("_rl")) & (_part(F.col("k"), F.col("many") - F.col("k"), width) == F.col("_r"))).drop("_rl", "_r")
     score = F.expr(f"cast(cast(2000000 as {big}) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0))) as long)")
     best = cuts.withColumn("score", score).groupBy("lang", "key", "a", "many").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # Every phrase within a longer one, with the most that a longer one occurs.
     lengths = F.sequence(F.lit(2), F.col("many") - 1)
     inner = sized.where("many > 2").select("lang", "key", "f", "many", F.explode(lengths).alias("n"))
     inner = inner.select("lang", "key", "f", "n", F.explode(F.sequence(F.lit(0), F.col("many") - F.col("n"))).alias("at"))
-    around = inner.groupBy("lang", _part("key", F.col("at"), F.col("n")).alias("key")).agg(F.max("f").alias("longer"))
+    around = inner.groupBy("lang", _part(F.col("at"), F.col("n"), width).alias("key")).agg(F.max("f").alias("longer"))
     stays = F.expr(f"longer is null or cast(100 as {big}) * cast(longer as decimal(19,0)) < cast({covered} as {big}) * cast(a as decimal(19,0))")
     left = best.join(around, ["lang", "key"], "left").where(stays).select("lang", "key", "a", "many", "cut.score", "cut.l", "cut.r")
     # Ties at the end of the report need their words: until then all of them stay.
     order = [F.col("score").desc(), F.col("a").desc()]
     near = left.withColumn("rank", F.rank().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("rank")
     near = materialise(near, "near")
-    each = near.select("lang", "key", F.posexplode(F.expr("transform(sequence(0, many - 1), i -> substr(key, cast(i * 8 + 1 as int), 8))")).alias("at", "part"))
-    named = each.join(ids.select("lang", code.alias("part"), "word"), ["lang", "part"])
+    each = near.select("lang", "key", F.posexplode(F.expr(f"transform(sequence(0, many - 1), i -> substr(key, cast(i * {width} + 1 as int), {width}))")).alias("at", "part"))
+    named = each.join(ids.select("lang", F.col("key").alias("part"), "word"), ["lang", "part"])
     spelt = named.groupBy("lang", "key").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))  # at most `longest` words
     phrase = F.expr("array_join(transform(w, x -> cast(x.word as string)), ' ')")
     full = near.join(spelt.select("lang", "key", phrase.alias("phrase")), ["lang", "key"])

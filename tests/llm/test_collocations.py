@@ -52,9 +52,12 @@ def sample():
     return [*rows, *rows[:9], ("en", None), ("en", ""), (None, "alone"), ("fr", "rare words only")]
 
 
+@pytest.mark.parametrize("numbered", [True, False])
 @pytest.mark.parametrize("least, top, covered", [(8, 2000, 80), (3, 10, 80), (5, 2000, 0), (5, 2000, 101)])
-def test_plain_counts(spark, least, top, covered):
+def test_plain_counts(spark, monkeypatch, least, top, covered, numbered):
     rows = sample()
+    if not numbered:
+        monkeypatch.setattr(C, "NUMBERED", 3)
     docs = spark.createDataFrame([(x, t, 5, "k") for x, t in rows], "lang string, text string, f long, key string").repartition(5)
     assert rows_of(C.collocations(docs, least, top=top, covered=covered)) == plain(rows, least, top, covered)
 
@@ -86,6 +89,7 @@ def test_tables_that_let_all_pass(spark, monkeypatch):
     """Tables of a few bits, which hold nearly everything, change nothing."""
     monkeypatch.setattr(C, "FEWEST_BITS", 64)
     monkeypatch.setattr(C, "MOST_BITS", 64)
+    monkeypatch.setattr(C, "NUMBERED", 3)
     rows = sample()
     docs = spark.createDataFrame([(x, t) for x, t in rows], "lang string, text string").repartition(3)
     assert rows_of(C.collocations(docs, 5)) == plain(rows, 5)
