@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bpe_normalize
 from ..ship import ship
+from ..tables import materialise
 
 #: Special tokens in the order of their ids.
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
@@ -40,15 +42,28 @@ class Model:
         return [self.ids.get(p, self.ids["<unk>"]) for p in parts]
 
 
-def train(texts: DataFrame, vocabulary: int, most_words: int = 200_000) -> Model:
-    """Words are counted by the cluster; the merge loop runs on the driver over at most most_words different words
-    (the most frequent; the bound keeps the model's input small whatever the corpus)."""
-    words = texts.select(F.explode(F.split(bpe_normalize(F.col("text")), " +")).alias("w")).where("w <> ''").groupBy("w").count()
-    held = {tuple(r[0]): r[1] for r in words.orderBy(F.col("count").desc(), "w").limit(most_words).collect()}
-    tokens = list(SPECIAL) + sorted({c for w in held for c in w})
+#: Different words up to which the merges are found on the driver; pairs that a round looks at; merges until words are cut anew.
+DRIVER_WORDS, LOOKED_AT, REWRITTEN = 200_000, 2048, 48
+
+
+def train(texts: DataFrame, vocabulary: int, driver_words: int = DRIVER_WORDS) -> Model:
+    """Merges of the most frequent pair (of equals, the smallest), over all words of all texts, until the vocabulary is full.
+
+    The cluster counts the words. Up to driver_words different ones are a bounded table, and the driver finds the merges;
+    more of them stay in the cluster, with their pair counts, and every round of merges is a job. Both give the same model.
+    """
+    counted = texts.select(F.explode(F.split(bpe_normalize(F.col("text")), " +")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("often"))
+    words = materialise(counted, "bpe-words")
+    tokens = list(SPECIAL) + sorted(r[0] for r in words.select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").distinct().collect())  # characters
+    if words.count() <= driver_words:
+        return _merges_here(tokens, [(tuple(w), n) for w, n in words.collect()], vocabulary)
+    return _merges_by_rounds(tokens, words, vocabulary)
+
+
+def _merges_here(tokens: list[str], words: list[tuple[tuple[str, ...], int]], vocabulary: int) -> Model:
     merges: list[tuple[str, str]] = []
     known = set(tokens)
-    parts, often = list(held), list(held.values())
+    parts, often = [w for w, _ in words], [n for _, n in words]
     pairs: Counter = Counter()
     where: dict[tuple[str, str], set[int]] = {}
 
@@ -71,19 +86,106 @@ def train(texts: DataFrame, vocabulary: int, most_words: int = 200_000) -> Model
             tokens.append(left + right)
         for k in where.pop(best[0]):  # only words that may hold the pair are cut and counted anew
             count(k, -1)
-            w, out, i = parts[k], [], 0
-            while i < len(w):
-                if i + 1 < len(w) and w[i] == left and w[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(w[i])
-                    i += 1
-            parts[k] = tuple(out)
+            parts[k] = tuple(merged(list(parts[k]), [best[0]]))
             count(k, 1)
     return Model(tokens, merges)
 
 
+def merged(parts: list[str], merges: list[tuple[str, str]]) -> list[str]:
+    """A word's parts after these merges, one after the other."""
+    for left, right in merges:
+        if left not in parts:
+            continue
+        out, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
+                out.append(left + right)
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return parts
+
+
+def chosen(top: list[tuple[str, str, int]], known: set[str], whole: bool) -> list[tuple[str, str]]:
+    """The merges that surely come next, in order, from the most frequent pairs (left, right, n), sorted by (-n, pair).
+
+    The first always does. A later one does if it shares no token with those before it, so that its count stays, and if
+    all pairs that do share one are rarer: a pair that a merge makes new occurs at most as often as one that had a part of
+    the merge. A merge that makes a token that is there already ends the round, as counts may grow then. whole: the list
+    holds all pairs there are; else nothing is known of others that are as frequent as its last.
+    """
+    found: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for i, (left, right, n) in enumerate(top):
+        if found:
+            if not whole and n == top[-1][2]:
+                break
+            ties = [p for p in top[i:] if p[2] == n]
+            if any(p[0] in used or p[1] in used for p in ties):
+                break
+        found.append((left, right))
+        used |= {left, right}
+        if left + right in known:
+            break
+        known.add(left + right)
+    return found
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], merges: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """What merges change in the pair counts of words (parts, often); without merges, the counts."""
+    for b in batches:
+        change: Counter = Counter()
+        for parts, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            after = merged(parts, merges)
+            if merges and len(after) == len(parts):
+                continue
+            for sign, of in ((1, after), (-1, parts if merges else [])):
+                for p in zip(of, of[1:], strict=False):
+                    change[p] += sign * n
+        kept = [(p, n) for p, n in change.items() if n]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p, _ in kept], pa.string()) for k in (0, 1)] + [pa.array([n for _, n in kept], pa.int64())], ["a", "b", "n"])
+
+
+def _merges_by_rounds(tokens: list[str], words: DataFrame, vocabulary: int) -> Model:
+    """Words and pair counts are tables. A round adds to the counts what the merges since the last rewriting have changed in the
+    words that hold them, and takes the pairs on top; now and then words and counts are written anew."""
+    ship(words.sparkSession)
+    merges: list[tuple[str, str]] = []
+    known = set(tokens)
+    base = materialise(words.select(F.filter(F.split("w", ""), lambda c: c != "").alias("parts"), "often"), "bpe-parts")
+    sums = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+    changes = lambda of, m: of.mapInArrow(lambda batches: _pairs(batches, m), "a string, b string, n long")
+    pairs = materialise(sums(changes(base, [])), "bpe-pairs")
+    pending: list[tuple[str, str]] = []
+    while len(tokens) < vocabulary:
+        now = pairs
+        if pending:
+            holds = F.arrays_overlap("parts", F.array(*[F.lit(x) for x in dict.fromkeys(p[0] for p in pending)]))
+            now = sums(pairs.unionByName(changes(base.where(holds), list(pending))))
+        if len(pending) >= REWRITTEN:
+            pairs, old = materialise(now, "bpe-pairs"), list(pending)
+
+            def cut(batches: Iterator[pa.RecordBatch], old: list = old) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([merged(p, old) for p in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], ["parts", "often"])
+
+            base, now, pending = materialise(base.mapInArrow(cut, base.schema), "bpe-parts"), pairs, []
+        top = [tuple(r) for r in now.where(F.col("n") >= LEAST_COUNT).orderBy(F.col("n").desc(), "a", "b").limit(LOOKED_AT).collect()]
+        if not top:
+            break
+        for left, right in chosen(top, set(known), len(top) < LOOKED_AT):
+            if len(tokens) >= vocabulary:
+                break
+            merges.append((left, right))
+            pending.append((left, right))
+            if left + right not in known:
+                known.add(left + right)
+                tokens.append(left + right)
+    return Model(tokens, merges)
+
+
 def encode(docs: DataFrame, model: Model, longest: int | None = None) -> DataFrame:
     """docs (doc_id, text) with ids: <bos>, the words' tokens, <eos>; cut to `longest`, keeping the end."""
     shared = ship(docs.sparkSession).sparkContext.broadcast((model.tokens, model.merges))
