@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chunking as C
-from ..operators import encoder, metrics, ranking
+from ..operators import encoder, hadamard, metrics, ranking
 from ..operators import mining as M
 from .base import Registry, Tables, r6
 from .evaluation import qrels
@@ -212,6 +213,22 @@ def channel_codec(t: Tables):
     return c.select("n", r6(V.l2_distance(F.col("channels"), F.col("decoded")), "error", 4))
 
 
+_LOW, _HIGH = encoder.LOG_NORM
+
+
+@add(
+    f"""WITH {turned_sql(4, rows=hadamard.turn(np.eye(64), 1).T)}, n AS (SELECT *, floor(greatest(0, least(1, (ln(norm) - {_LOW}) / {_HIGH - _LOW})) * 255 + 0.5) AS code FROM coded)
+SELECT vec_id AS n, code::BIGINT AS norm_code, round(list_distance(list_transform(t, lambda x: x * norm), list_transform(y, lambda x: x * exp({_LOW} + code / 255.0 * {_HIGH - _LOW}))), 4) + 0.0 AS error FROM n"""
+)
+def channel_codec_hadamard(t: Tables):
+    """Channels turned by butterflies, norms as codes of 8 bits."""
+    p = t.embeddings.select(F.col("vec_id").alias("n"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"), V.doubles(F.col("embedding")).alias("channels"))
+    c = encoder.channel_codec(p, 4, turn="hadamard", log_norm=True)
+    share = (F.ln(V.norm(F.col("channels"))) - _LOW) / (_HIGH - _LOW)
+    code = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 255 + 0.5)
+    return c.select("n", code.cast("long").alias("norm_code"), r6(V.l2_distance(F.col("channels"), F.col("decoded")), "error", 4))
+
+
 @add(
     """WITH v AS (SELECT vec_id // 16 AS block, vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT block, min(k) AS k FROM v GROUP BY ALL),
 d AS (SELECT x.block, x.k, x.v, list_distance(x.v, y.v) AS d FROM v x JOIN a USING (block) JOIN v y ON y.k = a.k), b AS (SELECT block, k FROM d QUALIFY row_number() OVER (PARTITION BY block ORDER BY d DESC, k) = 1),

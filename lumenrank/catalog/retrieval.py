@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import fusion, mining, ranking
+from ..operators import compact, fusion, hadamard, mining, ranking
 from .base import Registry, Tables, r6
 
 _R = Registry()
@@ -168,10 +169,10 @@ def numbers(values) -> str:
     return "[" + ", ".join(numbers(v) if hasattr(v, "__len__") else repr(float(v)) for v in values) + "]"
 
 
-def turned_sql(bits: int, dim: int = 64, seed: int = 1, name: str = "") -> str:
+def turned_sql(bits: int, dim: int = 64, seed: int = 1, name: str = "", rows=None) -> str:
     """CTEs up to coded<name>: vec_id, norm, t (the turned unit vector) and y (what its codes decode to, still turned)."""
     levels = ranking.codebook(bits)
-    return f"""rot{name} AS (SELECT {numbers(ranking.rotation(dim, seed))}::DOUBLE[][] AS r, {numbers(levels)}::DOUBLE[] AS levels, {numbers((levels[1:] + levels[:-1]) / 2)}::DOUBLE[] AS mids),
+    return f"""rot{name} AS (SELECT {numbers(ranking.rotation(dim, seed) if rows is None else rows)}::DOUBLE[][] AS r, {numbers(levels)}::DOUBLE[] AS levels, {numbers((levels[1:] + levels[:-1]) / 2)}::DOUBLE[] AS mids),
 vec{name} AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
 turned{name} AS (SELECT vec_id, norm, levels, mids, list_transform(r, lambda w: list_inner_product(w, e) / norm) AS t FROM vec{name}, rot{name}),
 coded{name} AS (SELECT vec_id, norm, t, list_transform(t, lambda x: levels[1 + len(list_filter(mids, lambda m: m < x * sqrt({dim}.0)))] / sqrt({dim}.0)) AS y FROM turned{name})"""
@@ -314,3 +315,49 @@ def fusion_grid(t: Tables):
     label = t.embeddings.select("vec_id", "label")
     r = r.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(label.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
     return r.groupBy("alpha").agg(r6(F.avg((F.col("ql") == F.col("dl")).cast("double")), "precision_10"), F.sum("rank").cast("long").alias("ranks"))
+
+
+# --- packed codes: a payload of codes and a norm of four bytes ----------------------------------------------------------
+
+
+def packed_sql(bits: int, k: int, turn: str) -> str:
+    """CTEs up to found: payloads as hexadecimal digits, and the ranking by what they stand for."""
+    levels, dim = ranking.codebook(bits), 64
+    rows = ranking.rotation(dim, 1) if turn == "dense" else hadamard.turn(np.eye(dim), 1).T
+    each = 8 // bits
+    digits = f"list_transform(range(0, {dim}, {each}), lambda i: printf('%02X', list_sum(list_transform(range({each}), lambda s: codes[1 + i + s] * (1 << (s * {bits}))))::INT))"
+    return f"""rot AS (SELECT {numbers(rows)}::DOUBLE[][] AS r, {numbers(levels)}::DOUBLE[] AS levels, {numbers((levels[1:] + levels[:-1]) / 2)}::DOUBLE[] AS mids),
+vec AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+turned AS (SELECT vec_id, norm, levels, mids, list_transform(r, lambda w: list_inner_product(w, e) / norm) AS t FROM vec, rot),
+coded AS (SELECT *, list_transform(t, lambda x: len(list_filter(mids, lambda m: m < x * sqrt({dim}.0)))) AS codes FROM turned),
+packed AS (SELECT *, array_to_string({digits}, '') AS digits, list_transform(codes, lambda c: levels[1 + c] / sqrt({dim}.0)) AS y FROM coded),
+found_s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(b.norm::FLOAT::DOUBLE * a.norm * list_inner_product(a.t, b.y), 6) + 0.0 AS score FROM packed a JOIN packed b ON a.vec_id % 25 = 0),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM found_s QUALIFY rank <= {k})"""
+
+
+for _bits, _turn in ((2, "hadamard"), (4, "hadamard"), (8, "hadamard"), (4, "dense")):
+
+    def _make_p(bits=_bits, turn=_turn):
+        def run(t: Tables):
+            codec = compact.Codec(64, bits, 1, turn)
+            q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+            held = compact.store(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y")), codec)
+            found = compact.search(q, held, 10, codec)
+            return found.join(held, "doc_id").select(*_RANKED, F.length("payload").cast("long").alias("bytes"), F.hex(F.substring("payload", 1, codec.code_bytes)).alias("codes"))
+
+        return run
+
+    _f = _make_p()
+    _f.__name__ = f"compact_topk_q{_bits}_{_turn}"
+    add(f"WITH {packed_sql(_bits, 10, _turn)} SELECT query_id, doc_id, score, rank, {8 * _bits + 4}::BIGINT AS bytes, digits AS codes FROM found JOIN packed ON vec_id = doc_id")(_f)
+
+
+@add(f"WITH rot AS (SELECT {numbers(hadamard.turn(np.eye(64), 7).T)}::DOUBLE[][] AS r) SELECT vec_id AS k, list_aggregate(list_transform(range(64), lambda i: (i + 1) * list_inner_product(r[1 + i], embedding::DOUBLE[])), 'sum').round(6) + 0.0 AS turned, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]).round(6) + 0.0 AS size, 0.0::DOUBLE AS lost FROM embeddings, rot")
+def hadamard_rotation(t: Tables):
+    """Every vector turned by butterflies: a weighted sum of its components, its squared length, and what is lost on the way back."""
+    rows = t.embeddings.select(F.col("vec_id").alias("k"), V.doubles(F.col("embedding")).alias("y"))
+    turned = hadamard.turned_vectors(rows, 7)
+    back = hadamard.turned_vectors(turned, 7, back=True).withColumnRenamed("y", "z")
+    weighted = V.total(F.transform("y", lambda x, i: (i + 1) * x))
+    told = turned.select("k", r6(weighted, "turned"), r6(V.dot(F.col("y"), F.col("y")), "size"))
+    return told.join(back.join(rows, "k").select("k", r6(V.l2_distance(F.col("y"), F.col("z")), "lost")), "k")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .ranking import quantize, reconstruct
+from .compact import Codec
 
 
 @dataclass
@@ -56,11 +56,85 @@ def attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, top_k: int | None = None
     return _softmax(s) @ v
 
 
-def encode_tokens(tokens: np.ndarray, mask: np.ndarray, w: Weights, repeats: int = 2, top_k: int | None = None) -> np.ndarray:
-    """The pooled vector of a text, or of each of a batch of one length; zeros if the mask leaves nothing."""
+#: Queries and keys of a block of scores; texts that are longer go through attend_blocks().
+SCORE_BLOCK = 1024
+
+
+@dataclass
+class Coded:
+    """Rows of keys or values as payloads of a codec, decoded block by block."""
+
+    codec: Codec
+    payloads: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, bits: int, seed: int = 1) -> Coded:
+        codec = Codec(rows.shape[-1], bits, seed, "hadamard")
+        return cls(codec, codec.encode(rows))
+
+    def __len__(self) -> int:
+        return len(self.payloads)
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        return self.codec.decode(self.payloads[rows])
+
+
+def attend_blocks(q: np.ndarray, k: np.ndarray | Coded, v: np.ndarray | Coded, top_k: int | None = None, block: int = SCORE_BLOCK) -> np.ndarray:
+    """attend() of one text without its n x n scores: for a block of queries, the keys come block by block, and the
+    maximum, the sum of weights and the weighted values so far are turned to each new maximum.
+
+    With top_k the best keys so far of each query (of equals, the earlier ones) are kept instead. Keys and values may be
+    Coded, of different bits.
+    """
+    n, out = len(k), []
+    keep = None if top_k is None else min(n, top_k if top_k > 0 else int(np.ceil(np.sqrt(n))))
+    for at in range(0, len(q), block):
+        own = q[at : at + block]
+        if keep is None:
+            most, weight, total = np.full((len(own), 1), -np.inf), np.zeros((len(own), 1)), 0.0
+            for b in range(0, n, block):
+                s = own @ k[b : b + block].T
+                now = np.maximum(most, s.max(axis=1, keepdims=True))
+                e, fade = np.exp(s - now), np.exp(most - now)
+                weight, total, most = weight * fade + e.sum(axis=1, keepdims=True), total * fade + e @ v[b : b + block], now
+            out.append(total / weight)
+            continue
+        best, place = np.zeros((len(own), 0)), np.zeros((len(own), 0), dtype=np.int64)
+        for b in range(0, n, block):
+            s = own @ k[b : b + block].T
+            s, where = np.concatenate([best, s], axis=1), np.concatenate([place, np.broadcast_to(np.arange(b, b + s.shape[1]), s.shape)], axis=1)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :keep]
+            best, place = np.take_along_axis(s, order, 1), np.take_along_axis(where, order, 1)
+        weights, total = _softmax(best), 0.0
+        for b in range(0, n, block):  # each value block once, for the places that lie in it
+            held = v[b : b + block]
+            part = np.zeros((len(own), len(held)))
+            row, col = np.nonzero((place >= b) & (place < b + len(held)))
+            part[row, place[row, col] - b] = weights[row, col]
+            total = total + part @ held
+        out.append(total)
+    return np.concatenate(out)
+
+
+def encode_tokens(tokens: np.ndarray, mask: np.ndarray, w: Weights, repeats: int = 2, top_k: int | None = None, coded_bits: tuple[int, int] | None = None, block: int = SCORE_BLOCK) -> np.ndarray:
+    """The pooled vector of a text, or of each of a batch of one length; zeros if the mask leaves nothing.
+
+    Scores are held for `block` queries and keys at once. coded_bits: keys and values go through codes of so many bits.
+    """
     x = w.embedding[tokens]
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        q, k, v = x @ w.q, x @ w.k, x @ w.v
+        if coded_bits is None and x.shape[-2] <= block:
+            return attend(q, k, v, top_k)
+        if x.ndim > 2:
+            return np.stack([mixed(y) for y in x])
+        if coded_bits is not None:
+            k, v = Coded.of(k, coded_bits[0]), Coded.of(v, coded_bits[1])
+        return attend_blocks(q, k, v, top_k, block)
+
     for _ in range(repeats):
-        a = _layernorm(attend(x @ w.q, x @ w.k, x @ w.v, top_k) @ w.o + x)
+        a = _layernorm(mixed(x) @ w.o + x)
         x = _layernorm(_gelu(a @ w.up) @ w.down + a)
     n = np.linalg.norm(x, axis=-1, keepdims=True)
     unit = np.where(n == 0, x, x / np.where(n == 0, 1, n))
@@ -72,7 +146,7 @@ def encode_tokens(tokens: np.ndarray, mask: np.ndarray, w: Weights, repeats: int
 BATCH_SCORES = 1 << 22
 
 
-def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None = None) -> DataFrame:
+def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None = None, coded_bits: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, vector) of rows (doc_id, ids), or (doc_id, ids, mask); the weights are broadcast, their size is the model's.
 
     Texts of one length go through the matrices together, so no padding is needed; ids that a mask marks with 0 take part
@@ -93,7 +167,7 @@ def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None
                 size = max(1, BATCH_SCORES // int(n * n))
                 for k in range(0, len(at), size):
                     part = at[k : k + size]
-                    out[part] = encode_tokens(np.stack([ids[i] for i in part]), np.stack([masks[i] for i in part]), w, repeats, top_k)
+                    out[part] = encode_tokens(np.stack([ids[i] for i in part]), np.stack([masks[i] for i in part]), w, repeats, top_k, coded_bits)
             yield pd.DataFrame({"doc_id": f["doc_id"], "vector": list(out)})
 
     return rows.select("doc_id", "ids", *(["mask"] if masked else [])).mapInPandas(run, "doc_id long, vector array<double>")
@@ -107,22 +181,47 @@ def padded(rows: DataFrame, longest: int, pad: int = 0) -> DataFrame:
     return rows.select("doc_id", ids.alias("ids"), F.concat(fill(1, n), fill(0, F.lit(longest) - n)).alias("mask"))
 
 
-def embed_texts(docs: DataFrame, tokenizer, weights: Weights, longest: int | None = None, repeats: int = 2, top_k: int | None = None) -> DataFrame:
+def embed_texts(docs: DataFrame, tokenizer, weights: Weights, longest: int | None = None, repeats: int = 2, top_k: int | None = None, coded_bits: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, vector) of texts (doc_id, text), by the tokeniser's ids."""
     from .bpe import encode
 
-    return embed(encode(docs, tokenizer, longest), weights, repeats, top_k)
+    return embed(encode(docs, tokenizer, longest), weights, repeats, top_k, coded_bits)
+
+
+#: Natural logarithms between which an 8-bit norm lies.
+LOG_NORM = (-16.0, 16.0)
+
 
+def coded_norm(norm: np.ndarray) -> np.ndarray:
+    """Norms as codes of 8 bits on a logarithmic scale; what isn't positive is 0."""
+    low, high = LOG_NORM
+    share = (np.log(np.where(norm > 0, norm, 1)) - low) / (high - low)
+    return np.where(norm > 0, np.floor(np.clip(share, 0, 1) * 255 + 0.5), 0).astype(np.uint8)
 
-def channel_codec(pixels: DataFrame, bits: int, seed: int = 1) -> DataFrame:
-    """pixels (n, y, x, channels) with `decoded`: each pixel's channel vector turned, coded and decoded."""
+
+def decoded_norm(code: np.ndarray) -> np.ndarray:
+    low, high = LOG_NORM
+    return np.exp(low + code / 255 * (high - low))
+
+
+def channel_codec(pixels: DataFrame, bits: int, seed: int = 1, turn: str = "dense", log_norm: bool = False) -> DataFrame:
+    """pixels (n, y, x, channels) with `decoded`: each pixel's channel vector turned, coded and decoded.
+
+    turn: by a dense rotation or by "hadamard" butterflies. log_norm: norms go through codes of 8 bits as well.
+    """
     ship(pixels.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 v = np.stack(f["channels"].to_numpy()).astype(np.float64)
-                yield f.assign(decoded=list(reconstruct(*quantize(v, bits, seed), bits, seed)))
+                codec = Codec(v.shape[1], bits, seed, turn, 8)
+                payload = codec.encode(v)
+                if log_norm:
+                    packed, norms = codec.split(payload)
+                    again = decoded_norm(coded_norm(norms))[:, None].view(np.uint8)
+                    payload = np.concatenate([packed, again], axis=1)
+                yield f.assign(decoded=list(codec.decode(payload)))
 
     return pixels.select("n", "y", "x", "channels").mapInPandas(run, "n long, y long, x long, channels array<double>, decoded array<double>")
 

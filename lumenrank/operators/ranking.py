@@ -15,6 +15,8 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..ship import ship
 from ..tables import materialise
+from . import compact
+from .blocks import BLOCK, dense_scorer, top_k_by_blocks
 from .ordering import spread
 
 #: BM25 parameters, and the depth below which an evaluation never ranks.
@@ -34,46 +36,15 @@ def rank_by(scored: DataFrame, k: int | None, score: str = "score", doc: str = "
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot", digits: int | None = None) -> DataFrame:
-    """Exhaustive top-k: queries (query_id, x), docs (doc_id, y). Queries are the small side; the optimiser broadcasts
-    them if their size allows, and otherwise the product is dealt out."""
-    body = {"dot": V.dot, "cosine": V.cosine, "l2": lambda a, b: -V.l2_distance(a, b)}[metric](F.col("x"), F.col("y"))
-    scored = docs.join(queries).select("query_id", "doc_id", (F.round(body, digits) + 0.0 if digits else body).alias("score"))
-    return rank_by(scored, k)
-
-
-def dense_top_k_blocks(queries: DataFrame, docs: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """The same by matrix products: queries go in blocks of a bounded number, each document partition keeps its best k
-    per query, and a window merges them."""
-    spark = ship(docs.sparkSession)
-    schema = "query_id long, doc_id long, score double"
-
-    def one(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q, m = shared.value
-            for f in frames:
-                s = np.stack(f["y"].to_numpy()).astype(np.float64) @ m.T
-                d = f["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(d[:, None], s.shape), -s), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.tile(q, len(order)), "doc_id": d[order].ravel(), "score": np.take_along_axis(s, order, 0).ravel()})
-
-        return docs.select("doc_id", "y").mapInPandas(run, schema)
-
-    parts, ids, rows = [], [], []
-    for r in queries.select("query_id", "x").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == block:
-            parts.append(one(np.array(ids), np.array(rows, dtype=np.float64)))
-            ids, rows = [], []
-    if ids or not parts:
-        parts.append(one(np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64).reshape(len(ids), -1)))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return rank_by(scored, k)
+def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, metric: str = "dot", digits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Exhaustive top-k: queries (query_id, x), docs (doc_id, y); metric dot, cosine (0 where a vector is zero) or l2 (the
+    negative distance). Queries go in blocks, and every partition of docs keeps its best k for each of them."""
+    return top_k_by_blocks(queries, docs, ["y"], k, dense_scorer(metric), digits, block)
+
+
+def dense_top_k_blocks(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """dense_top_k() by inner products."""
+    return dense_top_k(queries, docs, k, block=block)
 
 
 class Bm25:
@@ -279,8 +250,12 @@ def half_vectors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "y").mapInPandas(run, "doc_id long, y array<double>")
 
 
-def quantized_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int, seed: int = 1) -> DataFrame:
-    return dense_top_k(queries, quantized_vectors(docs, bits, seed), k, digits=6)
+def quantized_top_k(queries: DataFrame, docs: DataFrame, k: int, bits: int, seed: int = 1, norm_bytes: int = 8) -> DataFrame:
+    """Best k by the inner products of queries (query_id, x) and what the codes of docs (doc_id, y) stand for: docs become
+    packed payloads, and those are scored by tables of the queries."""
+    first = docs.select(F.size("y")).first()
+    codec = compact.Codec(first[0] if first else 1, bits, seed, norm_bytes=norm_bytes)
+    return compact.search(queries, compact.store(docs, codec), k, codec)
 
 
 def rerank(queries: DataFrame, docs: DataFrame, compact: DataFrame, fetch: int, k: int, ties: str = "id", digits: int | None = 6) -> DataFrame:
