@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import routing
 from ..plans import gates as G
 from ..plans import planners as P
 from .base import Registry, Tables, r6
@@ -50,18 +51,47 @@ def batch_estimates(t: Tables):
     return n.select("source", "rows", P.batch_estimate(F.col("rows"), 7).alias("batches"))
 
 
+_ROUTING = routing.Settings(block=16, top_blocks=6)
+_SUMMARIES = """v AS (SELECT vec_id AS k, vec_id // 16 AS block, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY vec_id // 16) AS n FROM embeddings),
+a AS (SELECT block, list(m ORDER BY i) AS mean FROM (SELECT block, i, avg(v[i]) AS m FROM v, range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL), rad AS (SELECT block, max(list_distance(v, mean)) AS radius FROM v JOIN a USING (block) GROUP BY ALL),
+f AS (SELECT block, k, v, round(list_inner_product(v, v), 12) AS size FROM v QUALIFY row_number() OVER (PARTITION BY block ORDER BY size DESC, k) = 1),
+g AS (SELECT v.block, v.v FROM v JOIN f ON f.block = v.block AND f.k <> v.k QUALIFY row_number() OVER (PARTITION BY v.block ORDER BY list_distance(v.v, f.v) DESC, v.k) = 1),
+c AS (SELECT block // 4 AS grp, v FROM f QUALIFY row_number() OVER (PARTITION BY block // 4 ORDER BY size DESC, block) = 1)"""
+
+
 @add(
-    """WITH s AS (SELECT a.vec_id AS q, b.vec_id AS k, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0),
-x AS (SELECT q, k FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, k) <= 8), b AS (SELECT *, k // 16 AS block, count(*) OVER (PARTITION BY q) AS n FROM s),
-j AS (SELECT q, block, max(CASE WHEN k = block * 16 + (least(block * 16 + 16, n) - block * 16) // 2 THEN score END) AS anchor, avg(score) AS mean, avg(score) + stddev_pop(score) AS mean_radius, max(score) AS oracle, max(CASE WHEN k = block * 16 THEN score END) AS first, max_by(score, k) AS last, avg(score) - stddev_pop(score) AS mean_less_radius, median(score) AS median, ('0x' || substr(sha256(q || ':' || block), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS chance FROM b GROUP BY ALL),
-l AS (SELECT q, block, mode, round(s, 9) AS s FROM (SELECT q, block, unnest(['anchor', 'mean', 'mean_radius', 'oracle', 'first', 'last', 'ends', 'mean_less_radius', 'median', 'chance']) AS mode, unnest([anchor, mean, mean_radius, oracle, first, last, greatest(first, last), mean_less_radius, median, chance]) AS s FROM j)),
-t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY q, mode ORDER BY s DESC, block) <= 6)
-SELECT mode, round(count(*) / (8.0 * (SELECT count(DISTINCT q) FROM x)), 6) AS recall FROM x JOIN t ON x.q = t.q AND x.k // 16 = t.block GROUP BY mode"""
+    f"""WITH {_SUMMARIES}, q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 25 = 0),
+e AS (SELECT q, k, block, list_inner_product(x, v) AS s FROM q, v), t AS (SELECT q, block FROM e QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, k) <= 8),
+multi AS (SELECT q, block, max(list_inner_product(x, v)) AS s FROM q, (SELECT block, v FROM f UNION ALL SELECT block, v FROM g) GROUP BY ALL), near AS (SELECT q, grp FROM q, c QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(list_inner_product(x, v), 9) DESC, grp) <= 4),
+j AS (SELECT q, block, 'anchor' AS mode, list_inner_product(x, v) AS s FROM q, v WHERE place = n // 2 UNION ALL SELECT q, block, 'summary_mean', list_inner_product(x, mean) FROM q, a
+UNION ALL SELECT q, block, 'summary_mean_radius', list_inner_product(x, mean) + radius * sqrt(list_inner_product(x, x)) FROM q, a JOIN rad USING (block) UNION ALL SELECT q, block, 'summary_maxnorm', list_inner_product(x, v) FROM q, f
+UNION ALL SELECT q, block, 'summary_blend_radius', 0.5 * list_inner_product(x, mean) + 0.5 * list_inner_product(x, v) + 0.25 * radius * sqrt(list_inner_product(x, x)) FROM q, a JOIN rad USING (block) JOIN f USING (block)
+UNION ALL SELECT q, block, 'summary_multirep', s FROM multi UNION ALL SELECT q, block, 'summary_hier_multirep', s FROM multi JOIN near USING (q) WHERE grp = block // 4
+UNION ALL SELECT q, block, 'multiprobe', max(s) FROM e JOIN v USING (k, block) WHERE place = 0 OR place = n - 1 GROUP BY q, block UNION ALL SELECT q, block, 'oracle_block_max', max(s) FROM e GROUP BY q, block),
+b AS (SELECT q, block, mode FROM j QUALIFY row_number() OVER (PARTITION BY q, mode ORDER BY round(s, 9) DESC, block) <= 6), h AS (SELECT mode, q, count(b.block) FILTER (t.q IS NOT NULL) / 8.0 AS recall FROM b LEFT JOIN t USING (q, block) GROUP BY ALL),
+z AS (SELECT count(*) AS n, (count(*) + 15) // 16 AS blocks FROM embeddings)
+SELECT mode, round(avg(recall), 6) AS recall, round(min(recall), 6) AS least_recall, CASE mode WHEN 'oracle_block_max' THEN any_value(n) WHEN 'summary_multirep' THEN any_value(blocks) * 2 WHEN 'multiprobe' THEN any_value(blocks) * 2 WHEN 'summary_hier_multirep' THEN (any_value(blocks) + 3) // 4 + least(4, (any_value(blocks) + 3) // 4) * 8 ELSE any_value(blocks) END AS route_scores,
+least(any_value(n), 96) AS key_scores, any_value(n) AS dense_scores FROM h, z GROUP BY mode"""
 )
 def routing_calibration(t: Tables):
-    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
-    s = t.embeddings.select(F.col("vec_id").alias("k"), F.col("embedding").alias("y")).join(q).select("q", "k", F.round(V.dot(F.col("x"), F.col("y")), 9).alias("score"))
-    return P.routing_calibration(s, 16, 6, 8).select("mode", r6("recall", "recall"))
+    """Every way of judging blocks but the learned one, by the share of exact best keys it reaches and what it costs."""
+    modes = tuple(m for m in routing.MODES if m != "learned_block_linear")
+    found = routing.calibrate(*_routed(t, 0), _ROUTING, 8, modes)
+    return found.select("mode", r6("recall", "recall"), r6("least_recall", "least_recall"), "route_scores", "key_scores", "dense_scores")
+
+
+def _routed(t: Tables, residue: int):
+    q = t.embeddings.where(F.col("vec_id") % 25 == residue).select(F.col("vec_id").alias("query_id"), V.doubles(F.col("embedding")).alias("x"))
+    return q, t.embeddings.select(F.col("vec_id").alias("k"), V.doubles(F.col("embedding")).alias("y"))
+
+
+@add()
+def routing_learned(t: Tables):
+    """A linear router fitted on other queries than it is judged by; tests compare its weights with plain least squares."""
+    asked, keys = _routed(t, 1)
+    router = routing.trained(asked, keys, _ROUTING)
+    found = routing.calibrate(_routed(t, 0)[0], keys, _ROUTING, 8, ("learned_block_linear",), router)
+    return found.select("mode", r6("recall", "recall"), r6("least_recall", "least_recall"), "route_scores", "key_scores", "dense_scores")
 
 
 _ORDERS = "SELECT o_orderstatus AS dataset, avg(o_totalprice) AS price, count(*)::DOUBLE AS orders FROM orders WHERE o_orderkey % 2 = {half} GROUP BY ALL"
