@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, extras, further, mining, planning, retrieval, tensors, texts
+from . import evaluation, extras, further, mining, planning, retrieval, streams, tensors, texts
 
-_MODULES = (tensors, retrieval, evaluation, texts, mining, planning, extras, further)
+_MODULES = (tensors, retrieval, evaluation, texts, mining, planning, extras, further, streams)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from ..functions import vectors as V
 from ..operators import mining as M
 from ..operators import ranking
 from ..operators import teacher as T
+from ..tables import materialise
 from .base import Registry, Tables, r6
 from .evaluation import _METRICS, _QRELS, _metrics, qrels
 from .retrieval import _POSITIVE, benchmark, bm25_index, bm25_sql, dense, dense_sql, positives
@@ -60,7 +61,7 @@ d AS (SELECT top.*, row_number() OVER (PARTITION BY query_id, trim(text) ORDER B
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM d WHERE d = 1 QUALIFY nth <= 5"""
 )
 def bm25_hard_negatives(t: Tables):
-    p = positives(t)
+    p = materialise(positives(t), "positives")  # read twice
     return M.hard_negatives(bm25_index(t).top_k(benchmark(t), 50, zero_fill=False, without=p), p, t.documents, 5)
 
 

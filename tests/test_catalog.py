@@ -7,7 +7,7 @@ import pytest
 
 from lumenrank import catalog
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks".split()
 
 
 @pytest.fixture(scope="module")
