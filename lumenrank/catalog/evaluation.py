@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
-from ..operators import fusion, metrics, ranking
+from ..operators import diagnostics, fusion, metrics, ranking
 from .base import Registry, Tables, r6
-from .retrieval import _BOTH, _CHILD, _ORDER, _POSITIVE, _RRF, benchmark, bm25_index, bm25_sql, children, dense, dense_sql, positives, quantized_sql
+from .retrieval import _BOTH, _CHILD, _HALF, _ORDER, _POSITIVE, _RRF, benchmark, bm25_index, bm25_sql, children, dense, dense_sql, packed_sql, positives, quantized_sql
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -261,3 +263,50 @@ def compact_per_query_rows(t: Tables):
     """A ranking's rows with the place and score that another, deeper ranking gives them."""
     c = dense(t, 200, "cosine").select("query_id", "doc_id", F.col("rank").alias("compact_rank"), F.col("score").alias("compact_score"))
     return dense(t, 100).where("rank <= 10").join(c, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", "score", "compact_rank", "compact_score")
+
+
+_RUNS = [diagnostics.Run(4), diagnostics.Run(4, 150, "dense"), diagnostics.Run(4, 150, "half"), diagnostics.Run(2, 150, "reconstruct")]
+
+
+def _runs(t: Tables):
+    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
+    return q, t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("y"))
+
+
+def _runs_sql(none: str = "0") -> str:
+    two, four = packed_sql(2, 150, "hadamard"), packed_sql(4, 150, "hadamard")
+    for name in ("rot", "vec", "turned", "coded", "packed", "found_s", "found"):
+        two = re.sub(rf"\b{name}\b", f"{name}2", two)
+    half = _HALF.format(v="e")
+    rows = "SELECT '{m}' AS method, {b}::BIGINT AS bits, {o}::BIGINT AS overfetch, '{s}' AS storage, query_id, doc_id, score, rank, compact_rank, compact_score FROM {f} WHERE rank <= 100"
+    again = "SELECT c.query_id, c.doc_id, c.rank AS compact_rank, c.score AS compact_score, round(list_inner_product(q.e, {y}), 6) + 0.0 AS score FROM {c} c JOIN vec q ON q.vec_id = c.query_id JOIN {d} d ON d.vec_id = c.doc_id"
+    by_id = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({a})"
+    exact = by_id.format(a=again.format(y="d.e", c="found", d="vec"))
+    halved = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, compact_rank, doc_id DESC) AS rank FROM ({again.format(y='d.h', c='found', d='(SELECT vec_id, ' + half + ' AS h FROM vec)')})"
+    # Scores of what two bits stand for are those that ranked them.
+    twice = by_id.format(a="SELECT query_id, doc_id, rank AS compact_rank, score AS compact_score, score FROM found2")
+    direct = "(SELECT *, rank AS compact_rank, score AS compact_score FROM found WHERE rank <= 100)"
+    return f"""WITH {four}, {two}, {dense_sql(100)}, {_QRELS}, all_rows AS (
+{rows.format(m='compact_ip_b4', b=4, o=0, s='', f=direct)} UNION ALL {rows.format(m='compact_ip_b4_overfetch150_dense_rerank', b=4, o=150, s='dense', f='(' + exact + ')')}
+UNION ALL {rows.format(m='compact_ip_b4_overfetch150_half_rerank', b=4, o=150, s='half', f='(' + halved + ')')} UNION ALL {rows.format(m='compact_ip_b2_overfetch150_reconstruct_rerank', b=2, o=150, s='reconstruct', f='(' + twice + ')')}),
+known AS (SELECT DISTINCT query_id FROM qrels WHERE rel > 0)
+SELECT a.* REPLACE (coalesce(a.compact_rank, {none}) AS compact_rank), 1::BIGINT AS seed, coalesce(g.rel, 0) AS rel, coalesce(d.rank, {none}) AS dense_rank, d.score AS dense_score FROM all_rows a SEMI JOIN known k ON k.query_id = a.query_id LEFT JOIN dense d ON d.query_id = a.query_id AND d.doc_id = a.doc_id LEFT JOIN qrels g ON g.query_id = a.query_id AND g.doc_id = a.doc_id AND g.rel > 0"""
+
+
+@add(_runs_sql())
+def compact_run_rows(t: Tables):
+    """Rankings by packed codes, and three ways of scoring their best anew, with where each row comes from."""
+    rows = diagnostics.run_rows(_RUNS, *_runs(t), qrels(t))
+    places = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("bits", "overfetch", "seed", "dense_rank", "compact_rank")}
+    return rows.withColumns(places)  # rank 0: beyond that ranking's depth
+
+
+@add(
+    f"""WITH rows AS ({_runs_sql('NULL')}), free AS (SELECT r.* FROM rows r ANTI JOIN (SELECT * FROM (WITH {_QRELS} SELECT query_id, doc_id FROM qrels WHERE rel > 0)) p ON p.query_id = r.query_id AND p.doc_id = r.doc_id WHERE storage = 'half' AND bits = 4),
+d AS (SELECT free.*, row_number() OVER (PARTITION BY query_id, trim(text) ORDER BY rank) AS d FROM free JOIN documents USING (doc_id) WHERE trim(text) <> '')
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, CASE WHEN rank <= 10 THEN 'top10' WHEN coalesce(compact_rank, 1073741824) > 100 OR rank > 90 THEN 'rank_boundary' ELSE 'compact' END AS reason FROM d WHERE d = 1 QUALIFY nth <= 5"""
+)
+def compact_run_negatives(t: Tables):
+    """Negatives of one of the runs, chosen by its storage and bits."""
+    rows = diagnostics.run_rows(_RUNS, *_runs(t), qrels(t))
+    return diagnostics.mine_rows(rows, qrels(t), t.documents.select("doc_id", "text"), 5, storage="half", bits=4)

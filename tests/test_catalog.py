@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lumenrank import catalog
@@ -20,7 +21,7 @@ def duck(small):
 
 def cells(frame):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "-"
         if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f":
             return repr(float(v)) if math.isfinite(v) else str(v)

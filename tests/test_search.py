@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrank.operators import blocks, compact, encoder, hadamard, ranking, routing
+from lumenrank.operators import blocks, compact, diagnostics, encoder, hadamard, metrics, ranking, routing
 
 
 def frame(spark, vectors, key="doc_id", name="y"):
@@ -153,3 +153,35 @@ def test_routing_modes(spark):
     with pytest.raises(ValueError):
         routing.route(asked, held, "learned_block_linear", s)
     assert held.where(F.size("coarse") != 6).count() == 0
+
+
+def test_runs_with_provenance(spark):
+    rng = np.random.default_rng(8)
+    y = rng.standard_normal((130, 12))
+    docs, asked = frame(spark, y), frame(spark, y[:8] + 0.3 * rng.standard_normal((8, 12)), "query_id", "x")
+    rel = spark.createDataFrame([(q, d, 1.0) for q in range(6) for d in range(q, 130, 9)] + [(6, 500, 1.0), (7, 3, 0.0)], "query_id long, doc_id long, rel double")
+    runs = [diagnostics.Run(8), diagnostics.Run(2), diagnostics.Run(2, 120, "dense"), diagnostics.Run(4, 120, "reconstruct", seed=5), diagnostics.Run(4, 90, "dense"), diagnostics.Run(4, 900, "half")]
+    rows = diagnostics.run_rows(runs, asked, docs, rel, per_query_k=110).cache()
+    assert rows.columns == list(diagnostics.ROWS)
+    many = {(r.method, r.seed): r["count"] for r in rows.groupBy("method", "seed").count().collect()}
+    # Queries 6 and 7 have nothing relevant; runs that fetch too few, or more than there are, don't apply.
+    assert many == {("compact_ip_b8", 1): 660, ("compact_ip_b2", 1): 660, ("compact_ip_b2_overfetch120_dense_rerank", 1): 660, ("compact_ip_b4_overfetch120_reconstruct_rerank", 5): 660}
+    dense = {(r.query_id, r.doc_id): r["rank"] for r in ranking.dense_top_k(asked, docs, 110, digits=6).collect()}
+    for r in rows.collect():
+        assert r.dense_rank == dense.get((r.query_id, r.doc_id)) and r.rel == float(r.doc_id % 9 == r.query_id and r.doc_id >= r.query_id)
+        assert r.compact_rank == r["rank"] or r.overfetch
+    told = {r.method: r for r in diagnostics.evaluate_runs(rows, runs, asked, docs, rel).collect()}
+    assert len(told) == 4 and told["compact_ip_b8"].vector_bytes == 130 * 16 and told["compact_ip_b2_overfetch120_dense_rerank"].sidecar_bytes == 130 * 48
+    exact = metrics.summary(metrics.per_query(ranking.dense_top_k(asked, docs, 100, digits=6), rel, docs)).first()
+    for r in told.values():
+        assert r.queries == 6 and r.ndcg_10_delta == pytest.approx(r.ndcg_10 - exact.ndcg_10) and r.recall_100_delta == pytest.approx(r.recall_100 - exact.recall_100)
+    assert told["compact_ip_b8"].compression == 3.0 and told["compact_ip_b2_overfetch120_dense_rerank"].total_compression == pytest.approx(48 / 55)
+    texts = spark.createDataFrame([(i, "" if i == 3 else f" text {i // 2} ") for i in range(130)], "doc_id long, text string")
+    found = diagnostics.mine_rows(rows, rel, texts, 4, bits=2, overfetch=0).collect()
+    assert len(found) == 24 and all(r.doc_id % 9 != r.query_id for r in found) and {r.nth for r in found} == {1, 2, 3, 4} and {r.reason for r in found} <= {"top10", "compact", "rank_boundary"}
+    with pytest.raises(ValueError, match="overfetch"):
+        diagnostics.select_rows(rows, bits=2)
+    changed = rel.where("not (query_id = 0 and doc_id = 9)")
+    assert {(r.query_id, r.doc_id) for r in diagnostics.mismatches(rows, changed).collect()} == {(0, 9)}
+    with pytest.raises(ValueError):
+        diagnostics.Run(4, 0, "dense")
