@@ -44,7 +44,7 @@ def import_scores(candidates: DataFrame, scores: DataFrame, overwrite: bool = Tr
     found = F.when(vector.isNotNull(), F.when(F.size(vector) == F.col("_n"), F.get(vector, F.col("slot").cast("int")))).otherwise(F.coalesce("_c1", "_c2"))
     rows = rows.withColumn("_found", found.cast("double"))
     rows = rows.withColumn("_has", whole("_old")).withColumn("_whole", whole("_found"))
-    missing = F.col("_old") if allow_missing else F.raise_error(F.concat(F.lit("missing complete teacher scores: "), F.col("_s"), F.lit(" "), F.col("_q"))).cast("double")
+    missing = F.col("_old") if allow_missing else F.raise_error(F.concat(F.lit("an example has candidates without a score: "), F.col("_s"), F.lit(" "), F.col("_q"))).cast("double")
     kept = F.lit(False) if overwrite else F.col("_has")
     return rows.withColumn("score", F.when(kept, F.col("_old")).when(F.col("_whole"), F.col("_found")).otherwise(missing)).select(*candidates.drop("score").columns, "score")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import vectors as V
+from .positions import place_of_row, read_lines_at
 
 _STRING = T.StringType()
 
@@ -31,34 +32,37 @@ def _required(df: DataFrame, condition: Column, message: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(id, text) of a corpus or query file: text is title and text; rows without id or text are left out."""
     raw = _json(spark, path, {"_id": _STRING, "id": _STRING, "title": _STRING, "text": _STRING})
-    rows = raw.select(F.monotonically_increasing_id().alias("pos"), F.coalesce(X.blank_to_null(F.col("_id")), X.blank_to_null(F.col("id"))).alias("id"), X.corpus_text(F.col("title"), F.col("text")).alias("text"))
+    rows = raw.select(place_of_row().alias("pos"), F.coalesce(X.blank_to_null(F.col("_id")), X.blank_to_null(F.col("id"))).alias("id"), X.corpus_text(F.col("title"), F.col("text")).alias("text"))
     rows = rows.where("id is not null and text <> ''")
     if ids is not None:
         rows = rows.join(ids.select("id"), "id", "left_semi").select("pos", "id", "text")
     if limit is None:
         return rows.drop("pos")
-    return rows.orderBy("pos").limit(limit).drop("pos")  # the first ones of the file: a top-k, not a sort
+    return rows.orderBy("pos").limit(limit).drop("pos")  # the first ones by files and lines: a top-k, not a sort
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, doc_id, rel) of lines with three columns, or four as TREC has them, parted by tabs; rel > 0.
 
-    A first line whose first column names a query is a header. Lines of fewer columns, or whose score is no number, fail
+    A file's first line whose first column names a query is a header. Lines of fewer columns, or whose score is no number, fail
     the read, and so does a file without any positive row. Of the positive rows of a pair the last one wins: a row of
     no relevance says nothing, it does not take back an earlier one.
     """
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.split(strip(F.col("value")), "\t").alias("c"))
-    header = (F.col("pos") == 0) & (F.size("c") >= 2) & F.contains(F.lower(F.get("c", F.lit(0))), F.lit("query"))
-    lines = lines.where(~header & ((F.size("c") > 1) | (F.get("c", F.lit(0)) != "")))
-    lines = _required(lines, F.size("c") >= 3, "expected query-id, corpus-id, score")
+    lines = read_lines_at(spark, path).select(F.col("place").alias("pos"), F.split(strip(F.col("text")), "\t").alias("c"))
+    first = lines.where("pos.block = 0").groupBy(F.col("pos.file").alias("file")).agg(F.min("pos.line").alias("line"))  # a row for each file
+    at = (F.col("pos.file") == F.col("file")) & (F.col("pos.line") == F.col("line"))
+    header = F.col("line").isNotNull() & (F.size("c") >= 2) & F.contains(F.lower(F.get("c", F.lit(0))), F.lit("query"))
+    # Whether a line is a header stays in every condition: else a check could be made before the headers are gone.
+    lines = lines.join(first, at, "left").withColumn("header", header).where(F.col("header") | (F.size("c") > 1) | (F.get("c", F.lit(0)) != ""))
+    lines = _required(lines, F.col("header") | (F.size("c") >= 3), "a judgement needs three columns: query, document and score")
     column = lambda three, four: F.when(F.size("c") >= 4, F.get("c", F.lit(four))).otherwise(F.get("c", F.lit(three)))
     rel = strip(column(2, 3)).try_cast("double")
-    rows = lines.select("pos", strip(F.get("c", F.lit(0))).alias("query_id"), strip(column(1, 2)).alias("doc_id"), rel.alias("rel"))
-    rows = _required(rows, F.col("rel").isNotNull(), "a score is no number").where("rel > 0 and query_id <> '' and doc_id <> ''")
+    rows = lines.select("pos", "header", strip(F.get("c", F.lit(0))).alias("query_id"), strip(column(1, 2)).alias("doc_id"), rel.alias("rel"))
+    rows = _required(rows, F.col("header") | F.col("rel").isNotNull(), "a score is no number").where(F.expr("case when header then false else rel > 0 and query_id <> '' and doc_id <> '' end"))
     last = rows.groupBy("query_id", "doc_id").agg(F.max_by("rel", "pos").alias("rel"))
     if last.isEmpty():
-        raise ValueError(f"no positive relevance rows in {path}")
+        raise ValueError(f"no positive judgement in {path}")
     return last
 
 

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def place_of_row() -> Column:
+    """The place of a row that a file reader gives; for the reader's own frame, before anything else."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_lines_at(spark: SparkSession, *paths: str) -> DataFrame:
     """(place, text) of all lines of text files."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return spark.read.text(list(paths)).select(place.alias("place"), F.col("value").alias("text"))
+    return spark.read.text(list(paths)).select(place_of_row().alias("place"), F.col("value").alias("text"))
 
 
 def read_json_at(spark: SparkSession, schema: str | T.StructType, *paths: str) -> DataFrame:

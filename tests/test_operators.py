@@ -238,7 +238,7 @@ def test_teacher_scores(spark):
     scores = spark.createDataFrame([("s", "q", None, None, [0.9, 0.2, 0.1]), ("", "q2", "p", 0.5, None), ("z", "q2", "p", 0.7, None)], "source string, query string, text string, score double, scores array<double>")
     got = {(r.example, r.slot): r.score for r in teacher.import_scores(cand, scores).collect()}
     assert [got["e1", i] for i in range(3)] == [0.9, 0.2, 0.1] and got["e2", 0] is None
-    with pytest.raises(Exception, match="missing complete"):
+    with pytest.raises(Exception, match="without a score"):
         teacher.import_scores(cand, scores, allow_missing=False).collect()
     old = cand.withColumn("score", F.lit(0.4))
     assert {r.score for r in teacher.import_scores(old, scores, overwrite=False).collect()} == {0.4}

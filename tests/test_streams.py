@@ -186,3 +186,26 @@ def test_turn_taking_orders(spark):
     assert [r.id for r in got] == loop(sources, {}, 10**6) and [r.position for r in got] == list(range(230))
     assert turntaking.spread(rows.limit(0), "source", "id").count() == 0
     assert turntaking.source_turns(rows.limit(0), "source", "id", {}, 4).count() == 0
+
+
+def test_readers_over_split_files(spark, tmp_path):
+    """Judgements and texts in several files that are larger than a split: headers, the last one wins, and limits."""
+    from lumenrank.sources import files
+
+    want, texts = {}, []
+    (tmp_path / "q").mkdir()
+    (tmp_path / "t").mkdir()
+    for f in range(3):
+        rows = [(f"q{i % 40}", f"d{i % 7}", f * 1000 + i) for i in range(600)]
+        (tmp_path / "q" / f"{f}.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"{q}\t{d}\t{s}\n" for q, d, s in rows))
+        want |= {(q, d): float(s) for q, d, s in rows if s > 0}
+        part = [f"{f}-{i}" for i in range(500)]
+        (tmp_path / "t" / f"{f}.jsonl").write_text("".join(json.dumps({"_id": x, "text": f"text {x}"}) + "\n" for x in part))
+        texts += part
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert {(r.query_id, r.doc_id): r.rel for r in files.read_qrels(spark, str(tmp_path / "q")).collect()} == want
+        assert [r.id for r in files.read_texts(spark, str(tmp_path / "t"), limit=1200).collect()] == texts[:1200]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
