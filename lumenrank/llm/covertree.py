@@ -11,7 +11,7 @@ A task gives back link counts and a spanning forest, never the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their
 own component; vectors of different lengths never link; an empty table gives none; rows that repeat a vec_id count
-as copies if their vectors are equal (and share a component if they are not); rows without a vec_id are vectors like
+as copies if their vectors are equal, and are vectors with links of their own if they are not; rows without a vec_id are vectors like
 any other, but never name a component: theirs is the smallest vec_id that they reach, or null (and they are kept) if there
 is none; extra columns are ignored.
 """
@@ -219,8 +219,8 @@ def _near_duplicates(vectors: DataFrame, least: float, tile: int, kept: list[Dat
     good = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, v).alias("vector"))
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    # A class is known by its smallest vec_id; one that has none by a hash.
-    node = F.coalesce("rep", F.xxhash64("vector")).alias("node")
+    # A class has a number of its own, which is written with it: a vec_id may have several vectors, and several classes then.
+    node = F.monotonically_increasing_id().alias("node")
     classes = materialise(classes.select(node, "rep", "copies", "vector", F.size("vector").alias("dim")), "classes")
     dims = {r[0]: r[1] for r in classes.groupBy("dim").count().collect()}  # one row per length of vector
     ring = 1 << 30

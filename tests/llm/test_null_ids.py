@@ -79,3 +79,28 @@ def test_suffix_dedup_of_any_long(spark, monkeypatch, ids, alone):
             assert sum(r[2] for r in got) >= 3 * 80
     finally:
         spark.conf.set(name, before)
+
+
+def test_vectors_that_share_an_id(spark):
+    """Each has the links of its own vector, and nothing of the others of its id."""
+    from lumenrank.llm import covertree
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((9, 6))
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (None, [0.0, 1.0])] + [(int(rng.integers(7, 15)), [float(x) for x in base[i % 9] + 0.1 * rng.standard_normal(6)]) for i in range(60)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    link = [[j for j in range(len(rows)) if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(rows))]
+    want = []
+    for i, (d, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in link[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        own = min(ids) if ids else None
+        want.append((d, len(link[i]), own, d == own))
+    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert (5, 0, 5, True) not in want and (5, 1, 5, True) in want
