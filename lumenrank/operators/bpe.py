@@ -209,7 +209,8 @@ def encode(docs: DataFrame, model: Model, longest: int | None = None) -> DataFra
                 out.append([*ids[: longest - 1], eos] if longest and len(ids) > longest else ids)
             yield pd.DataFrame({"doc_id": f["doc_id"], "ids": out})
 
-    return docs.select("doc_id", bpe_normalize(F.coalesce("text", F.lit(""))).alias("n")).mapInPandas(run, "doc_id long, ids array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", bpe_normalize(F.coalesce("text", F.lit(""))).alias("n")).mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
 
 def encode_distinct(docs: DataFrame, model: Model, longest: int | None = None) -> DataFrame:

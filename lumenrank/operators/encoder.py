@@ -170,7 +170,8 @@ def embed(rows: DataFrame, weights: Weights, repeats: int = 2, top_k: int | None
                     out[part] = encode_tokens(np.stack([ids[i] for i in part]), np.stack([masks[i] for i in part]), w, repeats, top_k, coded_bits)
             yield pd.DataFrame({"doc_id": f["doc_id"], "vector": list(out)})
 
-    return rows.select("doc_id", "ids", *(["mask"] if masked else [])).mapInPandas(run, "doc_id long, vector array<double>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "ids", *(["mask"] if masked else [])).mapInPandas(run, f"doc_id {kind}, vector array<double>")
 
 
 def padded(rows: DataFrame, longest: int, pad: int = 0) -> DataFrame:

@@ -76,8 +76,8 @@ _VECTORS = {k: T.ArrayType(T.FloatType()) for k in ("vector", "embedding", "valu
 
 def read_vectors(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
     """(id, vector) at unit length; the first of equal ids; one length for all, or reading fails."""
-    raw = _json(spark, path, {"_id": _STRING, "id": _STRING, **_VECTORS}).withColumn("pos", F.monotonically_increasing_id())
-    rows = raw.select(F.coalesce(X.blank_to_null(F.col("_id")), X.blank_to_null(F.col("id"))).alias("id"), _vector().alias("v"), "pos").where("id is not null and v is not null")
+    raw = _json(spark, path, {"_id": _STRING, "id": _STRING, **_VECTORS})
+    rows = raw.select(F.coalesce(X.blank_to_null(F.col("_id")), X.blank_to_null(F.col("id"))).alias("id"), _vector().alias("v"), place_of_row().alias("pos")).where("id is not null and v is not null")
     if ids is not None:
         rows = rows.join(ids.select("id"), "id", "left_semi")
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("pos"))).where("n = 1")
