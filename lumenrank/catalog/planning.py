@@ -27,21 +27,31 @@ def attention_plan(t: Tables):
     return p.select("id", "used", "scored", "scores", r6("score_fraction", "score_fraction"), r6("use_fraction", "use_fraction"), "sub_quadratic", "passes")
 
 
-@add("WITH s AS (SELECT l, t, b FROM (VALUES (1), (12), (24)) l(l), (VALUES (128), (4096)) t(t), (VALUES (2), (4), (8)) b(b)) SELECT l AS layers, t AS tokens, b AS bits, l * t * 2 * 64 * 4 AS dense_bytes, (l * t * 2 * (64 * b / 8.0 + 4))::BIGINT AS packed_bytes, round(256 / (64 * b / 8.0 + 4), 6) AS ratio FROM s")
+_SIZES = "SELECT source, count(*) AS parents, max(n_chars)::BIGINT AS longest FROM documents GROUP BY ALL"
+
+
+def _sizes(t: Tables):
+    return t.documents.groupBy("source").agg(F.count("*").alias("parents"), F.max("n_chars").cast("long").alias("longest"))
+
+
+@add(f"WITH s AS (SELECT s.*, b.bits FROM ({_SIZES}) s, (VALUES (2), (4), (8)) b(bits)) SELECT source, bits, longest AS tokens, 12 * longest * 2 * 64 * 4 AS dense_bytes, (12 * longest * 2 * (64 * bits / 8.0 + 4))::BIGINT AS packed_bytes, round(256 / (64 * bits / 8.0 + 4), 6) AS ratio FROM s")
 def kv_memory_plan(t: Tables):
-    s = t.spark.createDataFrame([(layers, n, 64, b) for layers in (1, 12, 24) for n in (128, 4096) for b in (2, 4, 8)], "layers long, tokens long, dim long, bits long")
-    return P.kv_memory_plan(s).select("layers", "tokens", "bits", "dense_bytes", "packed_bytes", r6("ratio", "ratio"))
+    """What the keys and values of each source's longest document take, a token for each character, in twelve layers."""
+    s = _sizes(t).select("source", F.lit(12).cast("long").alias("layers"), F.col("longest").alias("tokens"), F.lit(64).cast("long").alias("dim"), F.explode(F.array(*[F.lit(b).cast("long") for b in (2, 4, 8)])).alias("bits"))
+    return P.kv_memory_plan(s).select("source", "bits", "tokens", "dense_bytes", "packed_bytes", r6("ratio", "ratio"))
 
 
 @add(
-    """WITH s AS (SELECT * FROM (VALUES ('events', 5, 900, 5, 1, 128), ('series', 100, 1000, 16, 10, 128), ('short', 7, 3, 16, 10, 64)) s(name, parents, length, width, stride, dim)),
+    f"""WITH s AS (SELECT source AS name, parents, longest AS length, 64 AS width, 48 AS stride, 128 AS dim FROM ({_SIZES})),
 g AS (SELECT *, parents * CASE WHEN length <= width THEN 1 ELSE 1 + ceil((length - width) / stride::DOUBLE)::BIGINT END AS n, dim * bits / 8.0 + 4 AS payload, CASE sidecar WHEN 'none' THEN 0 WHEN 'fp16' THEN 2 ELSE 4 END * dim AS side FROM s, (VALUES (2), (4), (8)) b(bits), (VALUES ('none'), ('fp16'), ('dense')) c(sidecar))
 SELECT name, bits, sidecar, n AS vectors, payload::BIGINT AS payload_bytes, (n * (payload + side + 8))::BIGINT AS packed_bytes, (n * (payload + side + 48))::BIGINT AS flat_bytes, round((payload + side + 8) / (dim * 4), 6) AS dense_multiple, round(dim * 4 / payload, 6) AS compression, floor(12288 / payload)::BIGINT AS fits FROM g"""
 )
 def storage_plan(t: Tables):
-    s = t.spark.createDataFrame([("events", 5, 900, 5, 1, 128), ("series", 100, 1000, 16, 10, 128), ("short", 7, 3, 16, 10, 64)], "name string, parents long, length long, width long, stride long, dim long")
+    """What windows over all documents of a source would take, if each were as long as the longest."""
+    number = lambda n: F.lit(n).cast("long")
+    s = _sizes(t).select(F.col("source").alias("name"), "parents", F.col("longest").alias("length"), number(64).alias("width"), number(48).alias("stride"), number(128).alias("dim"))
     b, c = t.spark.createDataFrame([(2,), (4,), (8,)], "bits long"), t.spark.createDataFrame([("none",), ("fp16",), ("dense",)], "sidecar string")
-    p = P.storage_plan(s, b, c).join(s.select("name", "dim"), "name")
+    p = P.storage_plan(s, b, c).withColumn("dim", number(128))
     return p.select("name", "bits", "sidecar", "vectors", "payload_bytes", "packed_bytes", "flat_bytes", r6("dense_multiple", "dense_multiple"), r6("compression", "compression"), P.fits(F.lit(12288), F.col("dim"), F.col("bits")).alias("fits"))
 
 

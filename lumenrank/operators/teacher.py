@@ -15,9 +15,16 @@ def _example():
 
 
 
-def requests(groups: DataFrame, missing_only: bool = False) -> DataFrame:
-    """(example, source, query, slot, role, text) of groups (example, source, query, positive, negatives, teacher_scores)."""
+def requests(groups: DataFrame, missing_only: bool = False, most: int | None = None) -> DataFrame:
+    """(example, source, query, slot, role, text) of groups (example, source, query, positive, negatives, teacher_scores).
+
+    missing_only: of examples without scores. most: of the first so many of those that are asked for, by example.
+    """
     g = groups.where(F.coalesce(F.size("teacher_scores"), F.lit(0)) <= 0) if missing_only else groups
+    if most is not None:
+        if most < 1:
+            raise ValueError("a maximum is at least 1")
+        g = g.orderBy("example").limit(most)
     e = g.select("example", "source", "query", F.posexplode(F.concat(F.array("positive"), "negatives")).alias("slot", "text"))
     return e.withColumn("role", F.when(F.col("slot") == 0, "positive").otherwise("negative"))
 

@@ -128,11 +128,17 @@ def conv2d(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0, d
     return _with_bias(met.groupBy("n", "o", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("value") * F.col("w")).alias("value")), bias)
 
 
-def conv2d_transpose(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0, height: int | None = None, width: int | None = None, kh: int = 0, kw: int = 0, output_pad: int = 0, bias: DataFrame | None = None) -> DataFrame:
+def conv2d_transpose(image: DataFrame, kernel: DataFrame, stride: int = 1, pad: int = 0, height: int | None = None, width: int | None = None, kh: int = 0, kw: int = 0, output_pad: int = 0, bias: DataFrame | None = None, groups: int = 1, channels: int = 1, outputs: int = 1) -> DataFrame:
     """(n, o, y, x, value): every input spreads over stride * y - pad + ky; kernel (c, o, ky, kx, w); bias: (o, bias).
 
-    With the input's height and width the output ends at stride * (size - 1) - 2 pad + kernel + output_pad.
+    With the input's height and width the output ends at stride * (size - 1) - 2 pad + kernel + output_pad. With groups,
+    channels and outputs are dealt into so many equal parts, and a channel spreads over the outputs of its part; the
+    kernel's o then counts within a part.
     """
+    if groups > 1:
+        if channels % groups or outputs % groups:
+            raise ValueError("channels and outputs are multiples of the groups")
+        kernel = kernel.withColumn("o", F.floor(F.col("c") / (channels // groups)) * (outputs // groups) + F.col("o"))
     met = image.join(kernel, "c")
     oy, ox = F.col("y") * stride - pad + F.col("ky"), F.col("x") * stride - pad + F.col("kx")
     met = met.withColumn("oy", oy).withColumn("ox", ox).where("oy >= 0 and ox >= 0")

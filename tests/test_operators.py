@@ -300,3 +300,40 @@ def test_pipeline(spark):
         p.run(t=spark.range(3).withColumnRenamed("id", "x"))
     with pytest.raises(TypeError):
         double(spark.range(1))
+
+
+def test_transposed_convolution_in_groups(spark):
+    import numpy as np
+
+    from lumenrank.operators import tensor
+
+    rng = np.random.default_rng(5)
+    channels, outputs, groups, size, k, stride, pad, more = 4, 6, 2, 3, 3, 2, 1, 1
+    x, w, b = rng.standard_normal((channels, size, size)), rng.standard_normal((channels, outputs // groups, k, k)), rng.standard_normal(outputs)
+    end = (size - 1) * stride - 2 * pad + k + more
+    want = np.zeros((outputs, end, end)) + b[:, None, None]
+    for c, o, y, z, ky, kx in np.ndindex(channels, outputs // groups, size, size, k, k):
+        at = y * stride - pad + ky, z * stride - pad + kx
+        if 0 <= at[0] < end and 0 <= at[1] < end:
+            want[(c // (channels // groups) * (outputs // groups) + o, *at)] += x[c, y, z] * w[c, o, ky, kx]
+    image = spark.createDataFrame([(0, *map(int, i), float(v)) for i, v in np.ndenumerate(x) for i in [i]], "n long, c long, y long, x long, value double")
+    kernel = spark.createDataFrame([(*map(int, i), float(v)) for i, v in np.ndenumerate(w)], "c long, o long, ky long, kx long, w double")
+    bias = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "o long, bias double")
+    got = np.full_like(want, np.nan)
+    for r in tensor.conv2d_transpose(image, kernel, stride, pad, size, size, k, k, more, bias, groups, channels, outputs).collect():
+        got[r.o, r.y, r.x] = r.value
+    hit = ~np.isnan(got)  # places that no input reaches have no row
+    assert np.allclose(got[hit], want[hit]) and np.allclose(want[~hit], np.broadcast_to(b[:, None, None], want.shape)[~hit])
+    with pytest.raises(ValueError):
+        tensor.conv2d_transpose(image, kernel, groups=3, channels=4, outputs=6)
+
+
+def test_first_teacher_requests(spark):
+    from lumenrank.operators import teacher
+
+    rows = [(i, "s", f"q{i}", "p", ["n1", "n2"], [0.1, 0.2, 0.3] if i % 3 == 0 else []) for i in range(9)]
+    groups = spark.createDataFrame(rows, "example long, source string, query string, positive string, negatives array<string>, teacher_scores array<double>").repartition(3)
+    asked = lambda **o: sorted({r.example for r in teacher.requests(groups, **o).collect()})
+    assert asked(most=4) == [0, 1, 2, 3] and asked(missing_only=True, most=3) == [1, 2, 4] and teacher.requests(groups, most=2).count() == 6
+    with pytest.raises(ValueError):
+        teacher.requests(groups, most=0)
