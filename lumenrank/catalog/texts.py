@@ -103,6 +103,17 @@ def half_text_pairs(t: Tables):
     return C.half_pairs(t.documents)
 
 
+@add(
+    f"""WITH w AS (SELECT doc_id, {_SPLIT} AS w FROM documents), p AS (SELECT doc_id, array_to_string(w[1 : len(w) // 2], ' ') AS query, array_to_string(w[len(w) // 2 + 1 :], ' ') AS positive, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM w WHERE len(w) >= 40),
+a AS (SELECT doc_id, positive, k, (i + 1 + ('0x' || substr(sha256('b1:' || doc_id || ':' || k), 1, 15))::BIGINT % greatest(n - 1, 1)) % n AS j FROM p, range(4) r(k)), m AS (SELECT a.doc_id, min_by(b.positive, k) AS negative FROM a JOIN p b ON b.i = a.j AND b.positive <> a.positive GROUP BY ALL)
+SELECT p.doc_id, sha256(query) AS query, sha256(p.positive) AS positive, sha256(negative) AS negative FROM p LEFT JOIN m USING (doc_id)"""
+)
+def half_text_negatives(t: Tables):
+    """First and second halves of texts, and the second half of another one."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(c)
+    return C.with_other_body(C.half_pairs(t.documents), "b1").select("doc_id", digest("query"), digest("positive"), digest("negative"))
+
+
 @add("WITH i AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT doc_id, n_chars, i // 128 * 128 + row_number() OVER (PARTITION BY i // 128 ORDER BY n_chars, doc_id) - 1 AS position FROM i")
 def batch_length_buckets(t: Tables):
     return C.batch_order(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", 32)

@@ -147,6 +147,23 @@ def half_pairs(docs: DataFrame, least_words: int = 40) -> DataFrame:
     return w.select("doc_id", F.array_join(F.slice("w", F.lit(1), mid), " ").alias("query"), F.array_join(F.slice("w", mid + 1, F.size("w")), " ").alias("positive"))
 
 
+def with_other_body(pairs: DataFrame, seed: str, tries: int = 4) -> DataFrame:
+    """pairs (doc_id, query, positive) with negative: the positive of another row, by a hashed distance on the ring of all rows by doc_id.
+
+    Each other row is as likely as any; of `tries` distances the first whose text is not the row's own is taken, and a row that
+    meets none has no negative (null). A row is joined with `tries` others, whatever the number of rows.
+    """
+    from .mining import hash_order
+
+    n = pairs.count()
+    ring = place(pairs.select("doc_id", "query", "positive"), F.col("doc_id"), [], "i")
+    digits = F.conv(F.substring(hash_order(seed, F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string"))), 1, 15), 16, 10).cast("long")
+    asked = ring.select("doc_id", "query", "positive", "i", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("k"))
+    asked = asked.withColumn("j", (F.col("i") + 1 + digits % max(n - 1, 1)) % max(n, 1))
+    met = asked.join(ring.select(F.col("i").alias("j"), F.col("positive").alias("other")), "j").where("other <> positive")
+    return ring.drop("i").join(met.groupBy("doc_id").agg(F.min_by("other", "k").alias("negative")), "doc_id", "left")
+
+
 def batch_order(rows: DataFrame, length: str, key: str, batch: int) -> DataFrame:
     """rows with `position`: sorted by length within windows of 4 batches of the order by key.
 
