@@ -113,11 +113,22 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 greatest(CASE WHEN n_base > 0 THEN 1 ELSE 0 END, coalesce(share, 0))::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks, first_block FROM d LEFT JOIN base USING (r) LEFT JOIN m USING (r)"""
 
 
+def _collocations_sql() -> str:
+    upper, least, top, covered = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", collocations.LEAST, collocations.TOP, collocations.COVERED
+    return f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+f AS (SELECT lang, g, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM p, range(1, 5) k(k)) GROUP BY ALL), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY ALL),
+c AS (SELECT * FROM f WHERE len(g) > 1 AND a >= {least}), cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+s AS (SELECT cut.lang, cut.g, cut.a, l.a AS l, r.a AS r, (2000000::HUGEINT * cut.a // (l.a + r.a))::BIGINT AS score FROM cut JOIN f l ON l.lang = cut.lang AND l.g = cut.g[1:k] JOIN f r ON r.lang = cut.lang AND r.g = cut.g[k + 1:] QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.g ORDER BY score, k) = 1),
+o AS (SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i FROM c, range(2, 4) k(k) WHERE k < len(g)) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.g, ' ')) AS rank, array_to_string(s.g, ' ') AS phrase, a, l, r, n, score FROM s JOIN n ON n.lang = s.lang LEFT JOIN o ON o.lang = s.lang AND o.g = s.g WHERE longer IS NULL OR 100::HUGEINT * longer < {covered}::HUGEINT * a QUALIFY rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can express a query: the exact join of vectors and what its links reach, licence scans, sharding."""
+    """SQL where it can express a query: the exact join of vectors and what its links reach, licence scans, sharding, collocations."""
     number = "('0x' || substr({m}, 1, 10))::BIGINT"
     return {
         "op4_licenses": _licenses_sql(),
+        "op13_collocations": _collocations_sql(),
         "op7_shard": f"""WITH b AS (SELECT doc_id, source, coalesce('s' || source, '') AS stratum, coalesce(text, '') AS t FROM documents), r AS (SELECT *, md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || t) AS m FROM b),
 k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {number.format(m='m')}, m, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM r),
 s AS (SELECT *, (rank + {number.format(m="md5('7|' || stratum)")} / 1099511627776.0::DOUBLE) / n AS share FROM k), p AS (SELECT *, row_number() OVER (ORDER BY share, stratum, rank) - 1 AS pos, count(*) OVER () AS total FROM s)
