@@ -12,6 +12,7 @@ Batches are the clock. Batch b has the event time clock(b), and one row without
 goes on where nothing arrives. Timers are event-time timers: the sequencer sets one for clock(last arrival + PATIENCE).
 A micro-batch runs under the watermark of the batch before it, so a close is written with the batch that follows, and
 carries the number of the batch that it belongs to; an arrival that meets a conversation whose time is over closes it first.
+Where the number of batches is known, all timers come in the last one at the latest, and what is open is closed behind its rows.
 
 State: for each turn the batch that it was kept in; for each conversation one row, with up to INLINE waiting turns in it.
 Further ones go to a map by turn, with bitmaps of which turns wait, so a conversation of any length is handled turn by turn
@@ -173,8 +174,10 @@ class Sequencer(StatefulProcessor):
         self._head.update((*h.values(), waiting.pack() if waiting else None))
 
     def _wait(self, h: dict) -> None:
-        """One timer for each conversation: if it comes too early, it is set again."""
+        """One timer for each conversation: if it comes too early, it is set again. None comes later than in the last batch."""
         h["timer"] = clock(h["last"] + self.patience)
+        if self.end is not None:
+            h["timer"] = min(h["timer"], clock(self.end - 2) - 1)
         self._handle.registerTimer(h["timer"])
 
     def _closed(self, conv: int | None, h: dict, waiting: Waiting) -> Row:
@@ -233,8 +236,9 @@ class Sequencer(StatefulProcessor):
         if found is None or found[0]["closed"]:
             return
         h, waiting = found
-        due = clock(h["last"] + self.patience)
-        if due > expiredTimerInfo.getExpiryTimeInMs() and due > timerValues.getCurrentWatermarkInMs():
+        now = timerValues.getCurrentWatermarkInMs()
+        ends = self.end is not None and now >= clock(self.end - 2)  # timers of the last batch, whose rows are all handled
+        if not ends and clock(h["last"] + self.patience) > now:
             self._wait(h)
             self._save(h, waiting)
             return
@@ -266,13 +270,17 @@ class Feed:
         self.folder = folder or shared_path(spark, "turns")
 
     def push(self, batch: int, rows: DataFrame, last: bool = False) -> None:
-        """Write the arrivals of one batch (ARRIVAL without `at`) with its tick, and run the query over them. last: end the stream."""
+        """Write the arrivals of one batch (ARRIVAL without `at`) with its tick, and run the query over them.
+
+        last: end the stream. Batch end - 1 does so by itself; before it, time is put forward by one more micro-batch.
+        """
         time = f"timestamp_millis({clock(batch)}L)"
-        tick = clock(batch if not last else max(batch, self.end or 0) + 2 * self.patience)
+        early = last and (self.end is None or self.end < 2 or batch < self.end - 1)
+        tick = clock(max(batch, self.end or 0) + 2 * self.patience if early else batch)
         ticks = self.spark.range(1).selectExpr("null conv_id", "null turn", f"{batch}L batch", "null role", "null text", "null first", f"timestamp_millis({tick}L) at")
         columns = [f.split()[0] for f in ARRIVAL.split(", ")]
         rows.withColumn("at", F.expr(time)).select(*columns).unionByName(ticks).write.mode("append").parquet(f"{self.folder}/in")
-        with self._settings({"spark.sql.streaming.noDataMicroBatches.enabled": "true"} if last else {}):
+        with self._settings({"spark.sql.streaming.noDataMicroBatches.enabled": "true"} if early else {}):
             stream = self.spark.readStream.schema(ARRIVAL).parquet(f"{self.folder}/in")
             # State has a store for each shuffle partition; their events go to as many files as there are cores.
             dealt = reassemble(stream, self.end, self.patience).repartition(self.spark.sparkContext.defaultParallelism)

@@ -87,3 +87,13 @@ def test_long_and_idle_conversations(spark):
 
 def test_no_conversations(spark):
     assert turns.arrivals(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_stream_that_ends_early(spark):
+    """The batches were to be five; after two the stream is ended, and time is put forward."""
+    batches = [{(1, 0): ("user|a", "user"), (1, 2): ("user|c", "user")}, {(2, 4): ("user|x", "user")}]
+    feed = turns.Feed(spark, end=5)
+    for b, arrived in enumerate(batches):
+        rows = [(c, t, "user", p[5:], b, {1: 0, 2: 4}[c]) for (c, t), (p, _) in arrived.items()]
+        feed.push(b, spark.createDataFrame(rows, ARRIVAL), last=b == 1)
+    assert [e for e in told(feed.events()) if e[0] == "close"] == [e for e in simulate([*batches, {}, {}, {}], {1: 0, 2: 4}, 5) if e[0] == "close"]
