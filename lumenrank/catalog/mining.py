@@ -11,7 +11,7 @@ from ..operators import teacher as T
 from ..tables import materialise
 from .base import Registry, Tables, r6
 from .evaluation import _METRICS, _QRELS, _metrics, qrels
-from .retrieval import _POSITIVE, benchmark, bm25_index, bm25_sql, dense, dense_sql, positives
+from .retrieval import _POSITIVE, benchmark, bm25_index, bm25_sql, children, dense, dense_sql, positives
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -264,7 +264,4 @@ def teacher_cosine_scores(t: Tables):
 
 @add(f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id // 5 AS doc_id, max(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 GROUP BY ALL) SELECT * FROM s")
 def teacher_child_cache_scores(t: Tables):
-    q = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
-    d = t.embeddings.select(F.floor(F.col("vec_id") / 5).alias("doc_id"), F.col("vec_id").alias("child_id"), F.col("embedding").alias("y"))
-    scored = d.join(q).select("query_id", "doc_id", "child_id", r6(V.cosine(F.col("x"), F.col("y")), "score"))
-    return ranking.multivector(scored, "max").select("query_id", "doc_id", "score")
+    return ranking.dense_multivector(*children(t), metric="cosine", child_digits=6).select("query_id", "doc_id", "score")
