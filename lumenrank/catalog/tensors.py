@@ -176,9 +176,13 @@ z AS (SELECT q, k, e / sum(e) OVER (PARTITION BY q) AS w FROM w)
 SELECT q, pos - 1 AS j, round(sum(w * v[pos]), 6) + 0.0 AS value FROM z JOIN (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) ON vec_id = k GROUP BY ALL"""
 )
 def tensor_sparse_attention(t: Tables):
-    s = _pairs(t).select(F.col("query_id").alias("q"), F.col("doc_id").alias("k"), V.dot(F.col("x"), F.col("y")).alias("score"))
-    values = T.long_form(t.embeddings, "vec_id", "embedding").withColumnRenamed("i", "k")
-    return T.sparse_attention(s, values).select("q", "j", r6("value", "value"))
+    q, keys = _attended(t)
+    return T.dense_attention(q, keys, keys.withColumnRenamed("y", "v")).select("q", "j", r6("value", "value"))
+
+
+def _attended(t: Tables):
+    q, d = _sides(t)
+    return q.withColumnRenamed("query_id", "q"), d.withColumnRenamed("doc_id", "k")
 
 
 @add(
@@ -190,8 +194,7 @@ r AS (SELECT b.q, b.k, b.score, row_number() OVER (PARTITION BY b.q ORDER BY sco
 SELECT q, k, rank, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 8"""
 )
 def tensor_routed_attention_keys(t: Tables):
-    s = _pairs(t).select(F.col("query_id").alias("q"), F.col("doc_id").alias("k"), V.dot(F.col("x"), F.col("y")).alias("score"))
-    best = T.top_k(T.routed_scores(s, 16, 4), 8, ["q"], index="k")
+    best = T.routed_keys(*_attended(t), 16, 4, 8)
     return best.select("q", "k", F.col("rank").cast("long").alias("rank"), r6("score", "score"))
 
 
