@@ -12,10 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import hadamard
-from .blocks import matrix, top_k_by_blocks
+from .blocks import BLOCK, PAIRS, in_blocks, matrix, together, top_k_by_blocks
+from .ordering import spread
 
 
 @dataclass(frozen=True)
@@ -167,3 +169,35 @@ def search(queries: DataFrame, stored: DataFrame, k: int, codec: Codec, digits:
 
     # The tables of a block take 2 KB for each byte of a payload and query.
     return top_k_by_blocks(queries, stored, ["payload"], k, scorer, digits, block=max(1, (64 << 20) // (2048 * codec.code_bytes)))
+
+
+def possible(queries: DataFrame, docs: DataFrame, codec: Codec, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score) of all pairs whose exact inner product may reach the query's floor, by what codes stand for.
+
+    queries: (query_id, x, floor); docs: (doc_id, y). A vector's exact score is at most the size of the query times what its
+    codes lose away from the score of its codes, so no pair that reaches the floor is left out.
+    """
+    spark, docs = ship(docs.sparkSession), spread(docs.select("doc_id", "y"))
+
+    def one(ids: np.ndarray, asked: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, asked))  # at most `block` queries
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, m = shared.value
+            if not len(q):
+                return
+            x, floor, step = m[:, :-1], m[:, -1], max(1, PAIRS // len(q))
+            size = np.linalg.norm(x, axis=1)
+            for b in batches:
+                for at in range(0, len(b), step):
+                    part = b.slice(at, step)
+                    y = matrix(part.column(1))
+                    known = codec.decode(codec.encode(y))
+                    s = known @ x.T
+                    row, query = np.nonzero(~(s + np.linalg.norm(y - known, axis=1)[:, None] * size < floor))
+                    yield pa.RecordBatch.from_arrays([pa.array(q[query]), pa.array(part.column(0).to_numpy()[row]), pa.array(s[row, query])], ["query_id", "doc_id", "score"])
+
+        return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+
+    told = queries.select("query_id", F.concat(F.transform("x", lambda v: v.cast("double")), F.array("floor")).alias("x"))
+    return together([one(*b) for b in in_blocks(told, block)])
