@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bpe_normalize
 from ..ship import ship
 from ..tables import materialise
+from .ordering import spread
 
 #: Special tokens in the order of their ids.
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
@@ -43,14 +46,16 @@ class Model:
 
 
 #: Different words up to which the merges are found on the driver; pairs that a round looks at; merges until words are cut anew.
-DRIVER_WORDS, LOOKED_AT, REWRITTEN = 200_000, 2048, 48
+DRIVER_WORDS, LOOKED_AT, REWRITTEN = 200_000, 2048, 16
+#: Words of a piece, and the number that ends a word.
+PIECE, END = 50_000, -1
 
 
 def train(texts: DataFrame, vocabulary: int, driver_words: int = DRIVER_WORDS) -> Model:
     """Merges of the most frequent pair (of equals, the smallest), over all words of all texts, until the vocabulary is full.
 
     The cluster counts the words. Up to driver_words different ones are a bounded table, and the driver finds the merges;
-    more of them stay in the cluster, with their pair counts, and every round of merges is a job. Both give the same model.
+    more of them stay in the cluster, and every round of merges is a job that brings the counts of pairs of tokens to the driver. Both give the same model.
     """
     counted = texts.select(F.explode(F.split(bpe_normalize(F.col("text")), " +")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("often"))
     words = materialise(counted, "bpe-words")
@@ -133,57 +138,82 @@ def chosen(top: list[tuple[str, str, int]], known: set[str], whole: bool) -> lis
     return found
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], merges: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    """What merges change in the pair counts of words (parts, often); without merges, the counts."""
-    for b in batches:
-        change: Counter = Counter()
-        for parts, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            after = merged(parts, merges)
-            if merges and len(after) == len(parts):
-                continue
-            for sign, of in ((1, after), (-1, parts if merges else [])):
-                for p in zip(of, of[1:], strict=False):
-                    change[p] += sign * n
-        kept = [(p, n) for p, n in change.items() if n]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p, _ in kept], pa.string()) for k in (0, 1)] + [pa.array([n for _, n in kept], pa.int64())], ["a", "b", "n"])
+def _cut(ids: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
+    """Numbered parts of many words, each ended by END, after these merges (left, right, new), one after the other."""
+    for left, right, new in merges:
+        at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+        if left == right and len(at):  # of a run every second pair, from its start
+            run = np.cumsum(np.concatenate([[1], np.diff(at) != 1])) - 1
+            first = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+        if len(at):
+            ids[at] = new
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+    return ids
+
+
+def _counted(ids: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left * 2^32 + right) of numbered parts, and how often they occur."""
+    word = np.cumsum(ids == END) - (ids == END)
+    inner = (ids[:-1] != END) & (ids[1:] != END)
+    pairs, of = np.unique((ids[:-1][inner].astype(np.int64) << 32) | ids[1:][inner], return_inverse=True)
+    return pairs, np.bincount(of, often[word[:-1][inner]], len(pairs)).astype(np.int64)  # whole numbers up to 2^53
 
 
 def _merges_by_rounds(tokens: list[str], words: DataFrame, vocabulary: int) -> Model:
-    """Words and pair counts are tables. A round adds to the counts what the merges since the last rewriting have changed in the
-    words that hold them, and takes the pairs on top; now and then words and counts are written anew."""
+    """Words are a table of pieces, up to PIECE words as numbers of their parts. A round counts the pairs of all pieces after the merges
+    that came since these were last written, and takes the pairs on top; now and then the pieces are written anew."""
     ship(words.sparkSession)
     merges: list[tuple[str, str]] = []
+    names, number = list(tokens), {t: i for i, t in enumerate(tokens)}
     known = set(tokens)
-    base = materialise(words.select(F.filter(F.split("w", ""), lambda c: c != "").alias("parts"), "often"), "bpe-parts")
-    sums = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
-    changes = lambda of, m: of.mapInArrow(lambda batches: _pairs(batches, m), "a string, b string, n long")
-    pairs = materialise(sums(changes(base, [])), "bpe-pairs")
-    pending: list[tuple[str, str]] = []
-    while len(tokens) < vocabulary:
-        now = pairs
-        if pending:
-            holds = F.arrays_overlap("parts", F.array(*[F.lit(x) for x in dict.fromkeys(p[0] for p in pending)]))
-            now = sums(pairs.unionByName(changes(base.where(holds), list(pending))))
+    shared = words.sparkSession.sparkContext.broadcast(dict(number))  # characters
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for b in batches:
+            for at in range(0, len(b), PIECE):
+                part = b.slice(at, PIECE)
+                ids = [i for w in part.column(0).to_pylist() for i in (*(of[c] for c in w), END)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int32).tobytes()]), pa.array([part.column(1).to_numpy().astype(np.int64).tobytes()])], ["ids", "often"])
+
+    base = materialise(spread(words.select("w", "often")).mapInArrow(numbered, "ids binary, often binary"), "bpe-parts")
+
+    def changed(of: list[tuple[int, int, int]], count: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for ids, often in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    cut = _cut(np.frombuffer(ids, np.int32).copy(), of)
+                    if count:
+                        pairs, n = _counted(cut, np.frombuffer(often, np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array([cut.tobytes()]), pa.array([often])], ["ids", "often"])
+
+        return run
+
+    pending: list[tuple[int, int, int]] = []
+    while len(names) < vocabulary:
         if len(pending) >= REWRITTEN:
-            pairs, old = materialise(now, "bpe-pairs"), list(pending)
-
-            def cut(batches: Iterator[pa.RecordBatch], old: list = old) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield pa.RecordBatch.from_arrays([pa.array([merged(p, old) for p in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], ["parts", "often"])
-
-            base, now, pending = materialise(base.mapInArrow(cut, base.schema), "bpe-parts"), pairs, []
-        top = [tuple(r) for r in now.where(F.col("n") >= LEAST_COUNT).orderBy(F.col("n").desc(), "a", "b").limit(LOOKED_AT).collect()]
+            base, pending = materialise(base.mapInArrow(changed(list(pending), False), "ids binary, often binary"), "bpe-parts"), []
+        now = base.mapInArrow(changed(list(pending), True), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        # Pairs of tokens: at most the square of the vocabulary, however many words there are; equals go by their texts.
+        held = [(names[p >> 32], names[p & 0xFFFFFFFF], n) for p, n in now.where(F.col("n") >= LEAST_COUNT).collect()]
+        top = heapq.nsmallest(LOOKED_AT, held, key=lambda x: (-x[2], x[0], x[1]))
         if not top:
             break
         for left, right in chosen(top, set(known), len(top) < LOOKED_AT):
-            if len(tokens) >= vocabulary:
+            if len(names) >= vocabulary:
                 break
             merges.append((left, right))
-            pending.append((left, right))
             if left + right not in known:
                 known.add(left + right)
-                tokens.append(left + right)
-    return Model(tokens, merges)
+                number[left + right] = len(names)
+                names.append(left + right)
+            pending.append((number[left], number[right], number[left + right]))
+    return Model(names, merges)
 
 
 def encode(docs: DataFrame, model: Model, longest: int | None = None) -> DataFrame:
