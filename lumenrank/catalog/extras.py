@@ -98,9 +98,8 @@ def chunk_alignment(t: Tables):
     key = c.select(F.struct("parent_id", "chunk").alias("doc_id"), "text")
     index = ranking.Bm25(key, k1=1.2, b=0.75)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(X.tokens(F.col("text"))), " ").alias("text"))
-    s = index.scores(q).join(index.lengths, "doc_id")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("length").desc(), "doc_id")
-    return s.withColumn("r", F.row_number().over(order)).where("r = 1").select("query_id", F.col("doc_id.parent_id").alias("doc_id"), F.col("doc_id.chunk").alias("chunk"), "score")
+    s = index.best(q, 1, longer=True)
+    return s.select("query_id", F.col("doc_id.parent_id").alias("doc_id"), F.col("doc_id.chunk").alias("chunk"), "score")
 
 
 @add(
