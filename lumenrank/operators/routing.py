@@ -13,12 +13,14 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..ship import ship
-from .blocks import matrix, top_k_by_blocks
+from .blocks import BLOCK, PAIRS, in_blocks, matrix, together, top_k_by_blocks
+from .ordering import spread
 
 MODES = ("anchor", "summary_mean", "summary_mean_radius", "summary_maxnorm", "summary_blend_radius", "summary_multirep", "summary_hier_multirep", "learned_block_linear", "multiprobe", "oracle_block_max")
 _SUMMARY = "block long, keys long, mean array<double>, radius double, reps array<double>, probes array<double>, anchor array<double>, coarse array<double>"
@@ -162,7 +164,7 @@ def route(queries: DataFrame, blocks: DataFrame, mode: str, s: Settings, router:
     def scorer(q: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
         return lambda b: Summaries(b.rename_columns(columns)).scores(mode, q, s, router)
 
-    return top_k_by_blocks(queries, rows, columns[1:], s.top_blocks, scorer, s.digits).withColumnRenamed("doc_id", "block")
+    return top_k_by_blocks(queries, rows, columns[1:], s.top_blocks, scorer, s.digits, wide=max(s.reps, s.probes, 5)).withColumnRenamed("doc_id", "block")
 
 
 def oracle_blocks(queries: DataFrame, keys: DataFrame, s: Settings) -> DataFrame:
@@ -177,34 +179,48 @@ def oracle_blocks(queries: DataFrame, keys: DataFrame, s: Settings) -> DataFrame
 
         return score
 
-    return top_k_by_blocks(queries, held, ["y"], s.top_blocks, scorer, s.digits).withColumnRenamed("doc_id", "block")
+    return top_k_by_blocks(queries, held, ["y"], s.top_blocks, scorer, s.digits, wide=s.block).withColumnRenamed("doc_id", "block")
 
 
 def fit_router(queries: DataFrame, keys: DataFrame, blocks: DataFrame, s: Settings, ridge: float = 1e-3) -> Router:
     """Least squares of "is one of the query's best blocks" on the standardised features, the rare ones weighing as much as
-    the others together. The cluster adds up moments of all pairs of query and block: what comes back is 5 x 5 numbers."""
-    asked = [(r[0], r[1]) for r in queries.select("query_id", "x").toLocalIterator()]
-    ids, q = np.array([a for a, _ in asked], dtype=np.int64), np.array([x for _, x in asked], dtype=np.float64)
+    the others together. The cluster adds up moments of all pairs of query and block, by blocks of queries and PAIRS of them at once:
+    what comes back is 5 x 5 numbers."""
+    from ..tables import materialise
+
+    spark = ship(keys.sparkSession)
     best = oracle_blocks(queries, keys, s).groupBy("block").agg(F.collect_list("query_id").alias("hits"))  # at most as many as there are queries
-    rows = blocks.join(best, "block", "left")
     columns = [c.split()[0] for c in _SUMMARY.split(", ")]
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 5, 6))
-        for b in batches:
-            if not len(b):
-                continue
-            x = Summaries(b).features(q)
-            hit = np.stack([np.isin(ids, h or []) for h in b.column(len(columns)).to_pylist()])
-            for label in (0, 1):
-                own = x[hit == bool(label)]
-                total[label, :, :5] += own.T @ own
-                total[label, :, 5] += own.sum(axis=0)
-        label, i, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(a.ravel().astype(np.int64)) for a in (label, i, j)] + [pa.array(total.ravel())], ["label", "i", "j", "v"])
-
-    ship(keys.sparkSession)
-    found = rows.select(*columns, "hits").mapInArrow(moments, "label long, i long, j long, v double").groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
+    rows = spread(materialise(blocks.join(best, "block", "left").select(*columns, "hits"), "hits"))
+
+    def one(ids: np.ndarray, asked: np.ndarray) -> DataFrame:
+        order = np.argsort(ids, kind="stable")
+        shared = spark.sparkContext.broadcast((ids[order], asked[order]))  # at most BLOCK queries
+
+        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, q = shared.value
+            total = np.zeros((2, 5, 6))
+            step = max(1, PAIRS // max(1, len(own)))
+            for whole in batches:
+                for at in range(0, len(whole) if len(own) else 0, step):
+                    b = whole.slice(at, step)
+                    x = Summaries(b).features(q)
+                    hits = b.column(len(columns))
+                    row, who = np.repeat(np.arange(len(b)), np.nan_to_num(pc.list_value_length(hits).to_numpy(zero_copy_only=False)).astype(int)), hits.flatten().to_numpy()
+                    place = np.minimum(np.searchsorted(own, who), len(own) - 1)
+                    mine = own[place] == who
+                    hit = np.zeros(x.shape[:2], bool)
+                    hit[row[mine], place[mine]] = True
+                    for label in (0, 1):
+                        part = x[hit == bool(label)]
+                        total[label, :, :5] += part.T @ part
+                        total[label, :, 5] += part.sum(axis=0)
+            label, i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(a.ravel().astype(np.int64)) for a in (label, i, j)] + [pa.array(total.ravel())], ["label", "i", "j", "v"])
+
+        return rows.mapInArrow(moments, "label long, i long, j long, v double")
+
+    found = together([one(*b) for b in in_blocks(queries, BLOCK)]).groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 5, 6))
     for r in found:
         total[r.label, r.i, r.j] = r.v
