@@ -1,7 +1,8 @@
 """Search over packed codes: vectors are turned, coded with 2, 4 or 8 bits a component and stored as one binary column.
 
-A query is prepared once: turned, and tabulated for each byte of a payload as what the codes in that byte add to the score. A
-document's score is then its norm times the sum of one table entry for each of its bytes; nothing is decoded.
+A query is prepared once: turned, or tabulated for each byte of a payload as what the codes in that byte add to the score. A
+document's score is then its norm times the sum of one table entry for each of its bytes; for many queries at once, times the
+product of its codes' levels with all turned queries. Nothing is turned back.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from . import hadamard
 from .blocks import BLOCK, PAIRS, in_blocks, matrix, together, top_k_by_blocks
 from .ordering import spread
 
+#: Queries of a block below which tables are cheaper than a product with decoded levels.
+FEW = 8
+
 
 @dataclass(frozen=True)
 class Codec:
@@ -116,6 +120,11 @@ class Codec:
             total += tables[:, p].T[packed[:, p]]
         return total * norms[:, None]
 
+    def products(self, turned: np.ndarray, payloads: np.ndarray) -> np.ndarray:
+        """scores() of many queries, turned() before."""
+        packed, norms = self.split(payloads)
+        return (self.levels[self.unpack(packed)] / np.sqrt(self.dim)) @ turned.T * norms[:, None]
+
 
 def _payloads(column: pa.Array, width: int) -> np.ndarray:
     """A binary column of values of one width as a matrix of bytes."""
@@ -164,11 +173,13 @@ def search(queries: DataFrame, stored: DataFrame, k: int, codec: Codec, digits:
     """(query_id, doc_id, score, rank): the best k of store() for each of queries (query_id, x), by inner product."""
 
     def scorer(asked: np.ndarray):
-        tables = codec.tables(asked)
-        return lambda b: codec.scores(tables, _payloads(b.column(1), codec.payload_bytes))
+        if len(asked) < FEW:
+            tables = codec.tables(asked)
+            return lambda b: codec.scores(tables, _payloads(b.column(1), codec.payload_bytes))
+        turned = codec.turned(asked)
+        return lambda b: codec.products(turned, _payloads(b.column(1), codec.payload_bytes))
 
-    # The tables of a block take 2 KB for each byte of a payload and query.
-    return top_k_by_blocks(queries, stored, ["payload"], k, scorer, digits, block=max(1, (64 << 20) // (2048 * codec.code_bytes)))
+    return top_k_by_blocks(queries, stored, ["payload"], k, scorer, digits)
 
 
 def possible(queries: DataFrame, docs: DataFrame, codec: Codec, block: int = BLOCK) -> DataFrame:
