@@ -222,7 +222,7 @@ SELECT md5(query) AS query, md5(positive) AS "right", 1 AS target FROM e UNION A
 )
 def mined_eval_pairs(t: Tables):
     """The first forty pairs, each with its positive and the next other one."""
-    _, held = C.train_and_eval(C.mined_pairs(t.documents.select(F.col("doc_id").alias("pos"), "text")), 40)
+    _, held = C.mined_train_and_eval(t.documents.select(F.col("doc_id").alias("pos"), "text"), 40)
     return held.select(F.md5(F.col("query").cast("binary")).alias("query"), F.md5(F.col("right").cast("binary")).alias("right"), "target")
 
 

@@ -94,48 +94,114 @@ def adjacent_pairs(docs: DataFrame, least_bytes: int) -> DataFrame:
     return p.select(F.explode(z).alias("z")).select("z.query", "z.positive").distinct()
 
 
+def _mark(text: Column) -> Column:
+    """Sixteen bytes of the SHA-256 of a text, which stand for it where only equality is asked."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
+def _line_parts(text: Column, least_bytes: int) -> Column:
+    return F.filter(F.transform(F.split(text, r"[.!?;:]"), X.collapse), lambda x: F.octet_length(x) >= least_bytes)
+
+
+def _mined_places(lines: DataFrame, least_bytes: int) -> DataFrame:
+    """(i, kind, pos, at, k, q, p) of the pairs of mined_pairs: their numbers, lines and places in them, and for the texts their marks.
+
+    at: the mark of the line. No text leaves its task here, so what is shuffled doesn't depend on how long the texts are.
+    """
+    rows = lines.select("pos", X.collapse(F.col("text")).alias("text")).withColumn("at", _mark(F.col("text")))
+    m = rows.select("pos", "at", F.transform(_line_parts(F.col("text"), least_bytes), _mark).alias("m")).where(F.size("m") > 1)
+    z = F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("q"), F.slice("m", 2, F.size("m") - 1).alias("p"))
+    inner = m.select(F.lit(0).alias("kind"), "pos", "at", F.posexplode(z).alias("k", "z")).select("kind", "pos", "at", "k", "z.q", "z.p")
+    numbered = place(rows.select("pos", "at", (F.octet_length("text") >= least_bytes).alias("fits")), F.col("pos"), ["at"], "_i")
+    numbered = materialise(numbered, "lines")
+    follows = numbered.where("fits").select((F.col("_i") - 1).alias("_i"), F.col("at").alias("p"))
+    outer = numbered.where("fits").join(follows, "_i").select(F.lit(1).alias("kind"), "pos", "at", F.lit(0).alias("k"), F.col("at").alias("q"), "p")
+    both = inner.unionByName(outer).where("q <> p").groupBy("q", "p").agg(F.min(F.struct("kind", "pos", "k", "at")).alias("m"))
+    both = materialise(both.select("m.kind", "m.pos", "m.at", "m.k", "q", "p"), "pairs")
+    first, then = both.where("kind = 0"), both.where("kind = 1")
+    n = first.count()
+    return place(first, F.col("pos"), ["k", "at"], "i").unionByName(place(then, F.col("pos"), ["at"], "i").withColumn("i", F.col("i") + n))
+
+
+def _mined_texts(places: DataFrame, lines: DataFrame, least_bytes: int) -> DataFrame:
+    """(i, query, positive): the texts of some of the places, which the lines they are from are joined with."""
+    rows = lines.select("pos", X.collapse(F.col("text")).alias("text")).withColumn("at", _mark(F.col("text")))
+    if rows.groupBy("pos", "at").count().where("count > 1").take(1):  # a line that comes twice gives its pairs once
+        rows = rows.dropDuplicates(["pos", "at"])
+    asked = places.where("kind = 0").groupBy("pos", "at").agg(F.collect_list(F.struct("i", "k")).alias("asked"))
+    inner = rows.join(asked, ["pos", "at"]).select("asked", _line_parts(F.col("text"), least_bytes).alias("s"))
+    both = F.transform("asked", lambda x: F.struct(x["i"].alias("i"), F.get("s", x["k"]).alias("query"), F.get("s", x["k"] + 1).alias("positive")))
+    outer = places.where("kind = 1")
+    follows = rows.select(F.col("at").alias("p"), F.col("text").alias("positive")).join(outer.select("p").distinct(), "p", "left_semi").dropDuplicates(["p"])
+    outer = rows.join(outer.select("pos", "at", "i", "p"), ["pos", "at"]).join(follows, "p").select("i", F.col("text").alias("query"), "positive")
+    return inner.select(F.explode(both).alias("z")).select("z.*").unionByName(outer)
+
+
 def mined_pairs(lines: DataFrame, least_bytes: int = 8, most: int = 0, seed: str = "1") -> DataFrame:
     """(i, query, positive): neighbouring parts of each line (pos, text), then neighbouring lines, each different pair once,
     numbered in that order; with `most` a seeded draw of so many, numbered in the order of the draw."""
     from .mining import hash_order
 
-    text = X.collapse(F.col("text"))
-    rows = lines.select("pos", text.alias("text"))
-    parts = F.filter(F.transform(F.split("text", r"[.!?;:]"), X.collapse), lambda x: F.octet_length(x) >= least_bytes)
-    s = rows.select("pos", parts.alias("s")).where(F.size("s") > 1)
-    z = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("query"), F.slice("s", 2, F.size("s") - 1).alias("positive"))
-    inner = s.select(F.lit(0).alias("kind"), "pos", F.posexplode(z).alias("k", "z")).select("kind", "pos", "k", "z.query", "z.positive")
-    numbered = place(rows, F.col("pos"), [], "_i")
-    follows = numbered.select((F.col("_i") - 1).alias("_i"), F.col("text").alias("positive"))
-    outer = numbered.join(follows, "_i").select(F.lit(1).alias("kind"), "pos", F.lit(0).alias("k"), F.col("text").alias("query"), "positive")
-    fits = (F.octet_length("query") >= least_bytes) & (F.octet_length("positive") >= least_bytes) & (F.col("query") != F.col("positive"))
-    both = inner.unionByName(outer).where(fits).groupBy("query", "positive").agg(F.min(F.struct("kind", "pos", "k")).alias("at"))
-    both = materialise(both.select("query", "positive", "at.kind", "at.pos", "at.k"), "pairs")
+    places = materialise(_mined_places(lines, least_bytes), "numbered")
     if most:
-        digits = hash_order(seed, F.concat_ws("\0", "query", "positive"))
-        return place(both, F.conv(F.substring(digits, 1, 12), 16, 10).cast("long"), [digits], "i").where(F.col("i") < most).select("i", "query", "positive")
-    first = place(both.where("kind = 0"), F.col("pos"), ["k"], "i").select("i", "query", "positive")
-    n = first.count()
-    return first.unionByName(place(both.where("kind = 1"), F.col("pos"), [], "i").select((F.col("i") + n).alias("i"), "query", "positive"))
+        digits = _mined_texts(places, lines, least_bytes).select("i", hash_order(seed, F.concat_ws("\0", "query", "positive")).alias("d"))
+        digits = materialise(digits, "digits")
+        drawn = place(digits, F.conv(F.substring("d", 1, 12), 16, 10).cast("long"), ["d"], "n").where(F.col("n") < most).select("i", "n")
+        drawn = materialise(places.join(drawn, "i").drop("i").withColumnRenamed("n", "i"), "drawn")
+        return _mined_texts(drawn, lines, least_bytes)
+    return _mined_texts(places, lines, least_bytes)
+
+
+def mined_train_and_eval(lines: DataFrame, eval_pairs: int, least_bytes: int = 8) -> tuple[DataFrame, DataFrame]:
+    """train_and_eval of mined_pairs: who is judged with what is found by marks, and texts come to the pairs that are asked for."""
+    places = materialise(_mined_places(lines, least_bytes), "numbered")
+    held, others = _judged(places.select("i", F.col("q").alias("query"), F.col("p").alias("positive")), eval_pairs)
+    others = materialise(others, "others")
+    asked = others.select("i").unionByName(others.select(F.col("j").alias("i"))).unionByName(places.where(F.col("i") < held).select("i")).distinct()
+    asked = materialise(asked, "asked")  # few rows, known to be few before anything is shuffled
+    texts = materialise(_mined_texts(places.join(asked, "i", "left_semi"), lines, least_bytes), "texts")
+    right = texts.where(F.col("i") < held).select("query", F.col("positive").alias("right"), F.lit(1).alias("target"))
+    wrong = others.join(texts.select("i", "query"), "i").join(texts.select(F.col("i").alias("j"), F.col("positive").alias("right")), "j").select("query", "right", F.lit(-1).alias("target"))
+    return _mined_texts(places.where(F.col("i") >= held), lines, least_bytes), right.unionByName(wrong)
+
+
+def _judged(pairs: DataFrame, eval_pairs: int) -> tuple[int, DataFrame]:
+    """How many of numbered pairs (i, query, positive) are judged, and (i, j): the pair whose positive each of these is judged with.
+
+    j is the first after i, round the end, whose positive is neither the pair's positive nor its query. Among the judged
+    only pairs with such a positive can be in the way, so one place more than there are of these is looked at; behind
+    them the first pairs of three different positives are enough.
+    """
+    n = pairs.count()
+    held = min(eval_pairs, n // 2) or (1 if n > 2 and eval_pairs >= 0 else 0)
+    judged = pairs.where(F.col("i") < held)
+    tail = pairs.where(F.col("i") >= held).select(F.col("i").alias("j"), F.col("positive").alias("right"))
+    behind: list = []
+    while len(behind) < 3 and (found := tail.where(~F.col("right").isin([r.right for r in behind])).orderBy("j").limit(1).collect()):
+        behind += found
+    same = judged.select(F.col("positive").alias("t")).groupBy("t").count()
+    many = lambda c: judged.select("i", F.col(c).alias("t")).join(same, "t").select("i", "count")
+    blocked = many("query").unionByName(many("positive")).groupBy("i").agg(F.sum("count").alias("b"))
+    own = judged.join(blocked, "i").select("i", "query", F.col("positive").alias("own"), "b")
+    near = F.explode(F.sequence(F.lit(0), F.least(F.col("b"), F.lit(max(held - 1, 0))).cast("int")))
+    looks = own.select("i", "query", "own", near.alias("d")).select("i", "query", "own", F.explode(F.array(F.col("i") + 1 + F.col("d"), F.col("d").cast("long"))).alias("j"))
+    met = looks.join(judged.select(F.col("i").alias("j"), F.col("positive").alias("right")), "j").select("i", "j", "query", "own", "right")
+    if behind:
+        met = met.unionByName(own.select("i", "query", "own", F.explode(F.array(*[F.struct(F.lit(r.j).cast("long").alias("j"), F.lit(r.right).alias("right")) for r in behind])).alias("x")).select("i", "x.j", "query", "own", "x.right"))
+    free = met.where("right <> own and right <> query")
+    return held, free.groupBy("i").agg(F.min_by("j", (F.col("j") - F.col("i") - 1 + n) % max(n, 1)).alias("j"))
 
 
 def train_and_eval(pairs: DataFrame, eval_pairs: int) -> tuple[DataFrame, DataFrame]:
     """Of numbered pairs (i, query, positive) those to train on, and (query, right, target) to judge with.
 
     The first eval_pairs (at most half, one at least of three or more) are judged; each also with the first positive
-    after its own, round the end, that is neither its positive nor its query. As only pairs with such a positive can
-    be in the way, a pair is joined with one more place than there are of these.
+    after its own, round the end, that is neither its positive nor its query.
     """
     pairs = materialise(pairs, "numbered")
-    n = pairs.count()
-    held = min(eval_pairs, n // 2) or (1 if n > 2 and eval_pairs >= 0 else 0)
+    held, others = _judged(pairs, eval_pairs)
     judged = pairs.where(F.col("i") < held)
-    same = pairs.select(F.col("positive").alias("t")).groupBy("t").count()
-    many = lambda c: judged.select("i", F.col(c).alias("t")).join(same, "t").select("i", "count")
-    blocked = many("query").unionByName(many("positive")).groupBy("i").agg(F.sum("count").alias("b"))
-    asked = judged.join(blocked, "i").select("i", "query", F.col("positive").alias("own"), F.explode(F.sequence(F.lit(1), F.least(F.col("b") + 1, F.lit(max(n, 1))).cast("int"))).alias("k"))
-    met = asked.withColumn("j", (F.col("i") + F.col("k")) % max(n, 1)).join(pairs.select(F.col("i").alias("j"), F.col("positive").alias("right")), "j")
-    wrong = met.where("right <> own and right <> query").groupBy("i", "query").agg(F.min_by("right", "k").alias("right")).select("query", "right", F.lit(-1).alias("target"))
+    wrong = judged.select("i", "query").join(others, "i").join(pairs.select(F.col("i").alias("j"), F.col("positive").alias("right")), "j").select("query", "right", F.lit(-1).alias("target"))
     right = judged.select("query", F.col("positive").alias("right"), F.lit(1).alias("target"))
     return pairs.where(F.col("i") >= held), right.unionByName(wrong)
 

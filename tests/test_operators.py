@@ -232,6 +232,22 @@ def test_mined_pairs(spark):
     ]
 
 
+def test_mined_eval_by_marks(spark):
+    """A positive that most pairs share, lines that come twice, and the way round the end; as by a walk over all pairs."""
+    lines = [(k // 2 if k > 8 else k, f"question number {k % 7}. the common answer; {'the common answer' if k % 3 else 'another answer'}") for k in range(12)]
+    rows = spark.createDataFrame([*lines, (3, lines[3][1]), (20, None)], "pos long, text string")
+    pairs = [tuple(r) for r in chunking.mined_pairs(rows, 5).orderBy("i").select("query", "positive").collect()]
+    assert len(pairs) == len(set(pairs)) > 8
+    for most in (3, len(pairs)):
+        want, held = [], min(most, len(pairs) // 2)
+        for i, (query, own) in enumerate(pairs[:held]):
+            other = [p for k in range(1, len(pairs)) if (p := pairs[(i + k) % len(pairs)][1]) not in (own, query)]
+            want += [(query, own, 1), *((query, p, -1) for p in other[:1])]
+        train, judged = chunking.mined_train_and_eval(rows, most, 5)
+        assert sorted(map(tuple, judged.collect())) == sorted(want)
+        assert sorted((r.query, r.positive) for r in train.collect()) == sorted(pairs[held:])
+
+
 def test_teacher_scores(spark):
     c = [("e1", " s ", "q", i, t) for i, t in enumerate("pab")] + [("e2", "z", "q2", i, t) for i, t in enumerate("pa")]
     cand = spark.createDataFrame(c, "example string, source string, query string, slot int, text string")
