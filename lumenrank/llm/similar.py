@@ -6,12 +6,14 @@ copies. But no radius of fingerprints holds all similar pairs (at 0.8 about ten
 so the rest comes from prefixes: with all shingles in one order, two sets that share 0.8 of their union share a shingle
 among the first n - ceil(0.8 n) + 1 of each. The order is by a count of hashed shingles, rare ones first, so what very
 many texts share stands in few prefixes; any order gives the same pairs. Every pair of a shared shingle is then
-compared whole, unless it is in one group already: first each text with one other of its shingles, in a few rounds,
+compared whole, unless it is in one group already: first each text with the nearest of some others of its shingles, in a few rounds,
 then all pairs that are still in different groups. Nothing is capped.
 
 A shingle that only one text has in its prefix never leaves the task that finds it alone; shingles that the counts show
 to be very frequent are dealt out over several tasks. Texts are hashed again where their sets are needed, as the sets
-take more room than the texts.
+take more room than the texts; only texts of pairs leave their tasks, known by a bitmap of fixed size. Pairs of one
+shingle are first told apart by sketches: bit h of a set's sketch is the parity of its shingles of hash h, so the bits
+in which two sketches differ are at most the shingles that only one of the sets has, and no similar pair is lost.
 
 Defined results: words as in simhash (lower case A-Z, parted by white space); a text under five words is one shingle;
 null texts and texts without words are one group; a null doc_id comes after all others; of rows that are equal in
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles, simhash
@@ -41,7 +43,12 @@ HOT = 1 << 16
 #: Rounds that compare each text with one other, before all pairs that are left.
 ROUNDS = 2
 
-_ROW = "doc_id long, text_hash long, node long, n int, fp long, part int, body binary"
+#: Bits that tell which texts are asked for, by their hashes.
+ASKED = 1 << 25
+#: Bits of a sketch, as a power of two.
+SKETCH = 8
+
+_ROW = "doc_id long, text_hash long, node long, n int, fp long, sketch binary, part int, body binary"
 
 
 def _name(s: np.ndarray) -> int:
@@ -50,6 +57,10 @@ def _name(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1).tobytes()
+
+
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Blocks of texts: the first one's number, their shingles (how many, hashes), and the sorted set of each."""
     for lo, many, hashes in shingles.of_batch(data, offsets, words, simhash.SEED):
@@ -62,24 +73,25 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[i
 
 
 def _rows(words: int):
-    """Of each row its set's name and size and its fingerprint; at the end the task's counts, in parts."""
+    """Of each row its set's name, size and sketch and its fingerprint; at the end the task's counts, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
         names = [f.split()[0] for f in _ROW.split(", ")]
         for b in batches:
-            n = len(b)
+            n, sketches = len(b), []
             node, size, fp = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.uint64)
             for lo, many, hashes, found in _sets(*text_column(b, "text"), words):
                 here = slice(lo, lo + len(many))
                 fp[here], node[here], size[here] = simhash.majorities(many, hashes), [_name(s) for s in found], [len(s) for s in found]
+                sketches += [_sketch(s) for s in found]
                 np.add.at(counts, (np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), 1)
-            columns = [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            columns = [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         some = [k for k in range(COUNTERS // _PART) if counts[k * _PART : (k + 1) * _PART].any()]
         if some:
             bodies = pa.array([counts[k * _PART : (k + 1) * _PART].tobytes() for k in some], pa.binary())
-            empty = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+            empty = [pa.nulls(len(some), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(some, pa.int32()), bodies], names)
 
     return run
@@ -163,16 +175,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Postings that are looked at together, and pairs that they make at once.
 GATHER = 1 << 16
-MADE = 1 << 20
+MADE = 1 << 19
 
 
 def _across(over: int, under: int):
-    """Pairs of one token and different groups, of fitting sizes and places; rows of a token are neighbours."""
+    """Pairs of one token and different groups, of fitting sizes, places and sketches; rows of a token are neighbours."""
     names = ("token", "component", "node", "n", "after")
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((columns[1], columns[0]))
-        token, group, node, n, after = (c[order] for c in columns)
+        token, group, node, n, after, sketch = (c[order] for c in columns)
         rows = len(token)
         fresh = np.ones(rows, dtype=bool)
         fresh[1:] = token[1:] != token[:-1]
@@ -192,7 +204,10 @@ def _across(over: int, under: int):
             j = np.repeat(first[at:to] - (np.cumsum(m) - m), m) + np.arange(len(i))
             most = 1 + np.minimum(after[i], after[j])  # if the token is the first that they share
             fits = (most * (over + under) >= over * (n[i] + n[j])) & (np.minimum(n[i], n[j]) * under >= np.maximum(n[i], n[j]) * over)
-            x, y = node[i[fits]], node[j[fits]]
+            i, j = i[fits], j[fits]
+            apart_by = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            near = apart_by * (over + under) <= (n[i] + n[j]) * (under - over)
+            x, y = node[i[near]], node[j[near]]
             if len(x):
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -204,7 +219,8 @@ def _across(over: int, under: int):
         for b in batches:
             if not len(b):
                 continue
-            held.append([b.column(c).to_numpy() for c in names])
+            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(len(b), -1)
+            held.append([*(b.column(c).to_numpy() for c in names), sketch])
             size += len(b)
             if size >= GATHER:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -238,10 +254,45 @@ def _alike(words: int, over: int, under: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return materialise(met.mapInArrow(_alike(words, *similar), "a long, b long"), "alike")
+def _differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ."""
+    word = lambda c, k: F.conv(F.hex(F.substring(c, 1 + 8 * k, 8)), 16, -10).cast("long")
+    return sum((F.bit_count(word(x, k).bitwiseXOR(word(y, k))) for k in range((1 << SKETCH) // 64)), F.lit(0))
+
+
+def _wanted(bits):
+    """The texts whose bits are set, each once for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sent = np.frombuffer(bits.value, np.uint64), set()
+        for b in batches:
+            names = b.column(0).to_numpy()
+            bit = names.view(np.uint64) % np.uint64(ASKED)
+            found = np.flatnonzero(of[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+            new = [i for i in found.tolist() if (h := int(names[i])) not in sent and not sent.add(h)]
+            if new:
+                yield b.take(pa.array(new))
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of sets that are similar. Of all texts only those of pairs are shuffled, and what shares a bit with one."""
+    spark = pairs.sparkSession
+    x, y = classes.select(F.col("node").alias("a"), F.col("text_hash").alias("x")), classes.select(F.col("node").alias("b"), F.col("text_hash").alias("y"))
+    asked = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), "asked")
+    bit = asked.select(F.explode(F.array("x", "y")).alias("h")).selectExpr(f"cast(conv(hex(h), 16, 10) AS decimal(20,0)) % {ASKED} AS h").selectExpr("cast(h AS long) AS h")
+    bits = np.zeros(ASKED // 64, np.int64)  # at most so many rows come here, whatever the number of pairs
+    for part in bit.groupBy(F.expr("h div 64").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 AS int))")).alias("v")).toLocalIterator():
+        bits[part.k] = part.v
+    found = source.select("text_hash", "text").mapInArrow(_wanted(spark.sparkContext.broadcast(bits.tobytes())), "text_hash long, text string")
+    texts = materialise(found.dropDuplicates(["text_hash"]), "texts")
+    met = asked.withColumnsRenamed({"x": "_x", "y": "_y"}).join(texts.select(F.col("text_hash").alias("_x"), F.col("text").alias("x")), "_x")
+    met = met.join(texts.select(F.col("text_hash").alias("_y"), F.col("text").alias("y")), "_y").select("a", "b", "x", "y")
+    alike = materialise(met.mapInArrow(_alike(words, *similar), "a long, b long"), "alike")
+    for old in (asked, texts):
+        drop_shared(spark, old)
+    return alike
 
 
 def _counted(spark, made: DataFrame):
@@ -270,20 +321,15 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     with scratch(spark) as kept:
         made = materialise(source.mapInArrow(_rows(words), _ROW), "rows")
         counts = _counted(spark, made)
-        rows = made.where("part is null").select("doc_id", "text_hash", "node", "n", "fp")
-        one = F.min_by(F.struct("text_hash", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "n", "fp"), F.xxhash64("doc_id", "text_hash"))
+        rows = made.where("part is null").select("doc_id", "text_hash", "node", "n", "fp", "sketch")
+        one = F.min_by(F.struct("text_hash", "n", "fp", "sketch"), F.xxhash64("doc_id", "text_hash"))
         classes = materialise(rows.groupBy("node").agg(one.alias("one")).select("node", "one.*"), "classes")
         near = _near_fingerprints(classes, differ)
         found = source.select("text").mapInArrow(_prefixes(counts, words, over, under), "token long, salt int, node long, n int, after int")
         found = found.repartition("token", "salt").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n int, after int")
         postings = materialise(found, "postings")
-        # Of each set that a pair can hold the text, once; everything else is left out from here on.
-        asked = materialise(classes.join(postings.select("node").distinct(), "node", "left_semi").select("node", F.col("text_hash").alias("h"), "id", "none"), "asked")
-        held = source.withColumn("i", F.coalesce("doc_id", F.lit(0))).withColumn("e", F.col("doc_id").isNull())
-        met = held.join(asked, (F.col("i") == F.col("id")) & (F.col("text_hash") == F.col("h")) & (F.col("e") == F.col("none")))
-        texts = materialise(met.select("node", "text").dropDuplicates(["node"]) if _repeats(rows) else met.select("node", "text"), "texts")
         fits = lambda x, y: F.least(x, y) * under >= F.greatest(x, y) * over
-        links = _verified(near, texts, words, similar)
+        links = _verified(near, classes, source, words, similar)
         groups = materialise(components(links), "groups")
         open_, now = postings, None
 
@@ -304,8 +350,13 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
             open_ = now.select("token", "node", "n", "after")
             pivot = F.min(F.struct(F.xxhash64("node", F.lit(k)), F.col("node").alias("p"), F.col("component").alias("c"), F.col("n").alias("m")))
             pivots = materialise(now.groupBy("token").agg(pivot.alias("v")), "pivots")
-            tried = now.join(pivots, "token").where((F.col("component") != F.col("v.c")) & fits(F.col("n"), F.col("v.m"))).groupBy("node").agg(F.min("v").alias("v"))
-            more = _verified(tried.select(F.col("node").alias("a"), F.col("v.p").alias("b")), texts, words, similar)
+            met = now.join(pivots, "token").where((F.col("component") != F.col("v.c")) & fits(F.col("n"), F.col("v.m")))
+            met = materialise(met.select("node", "v.p", (F.col("n") + F.col("v.m")).alias("both")).distinct(), "met")
+            # Of its shingles' pivots a text meets the one whose sketch is the nearest, if that can be similar.
+            met = met.join(classes.select("node", F.col("sketch").alias("x")), "node").join(classes.select(F.col("node").alias("p"), F.col("sketch").alias("y")), "p")
+            near = met.withColumn("d", _differing(F.col("x"), F.col("y"))).where(F.col("d") * (over + under) <= F.col("both") * (under - over))
+            tried = near.groupBy("node").agg(F.min(F.struct("d", F.xxhash64("p", F.lit(k)), "p")).alias("v"))
+            more = _verified(tried.select(F.col("node").alias("a"), F.col("v.p").alias("b")), classes, source, words, similar)
             drop_shared(spark, pivots)
             if not more.take(1):
                 break
@@ -313,20 +364,15 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
             groups = materialise(components(links), "groups")
         # Few bytes make many pairs here: more partitions than adaptive execution would leave.
         tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        left = grouped().repartition(tasks, "token").sortWithinPartitions("token")
+        left = grouped().join(classes.select("node", "sketch"), "node").repartition(tasks, "token").sortWithinPartitions("token")
         pairs = materialise(left.mapInArrow(_across(over, under), "a long, b long").distinct(), "pairs")
-        links = links.unionByName(_verified(pairs, texts, words, similar))
+        links = links.unionByName(_verified(pairs, classes, source, words, similar))
         joined = materialise(components(links), "joined")
         kept += [made, joined]
     found = rows.join(joined.withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left")
     return found.select("doc_id", "text_hash", F.coalesce("component", "node").alias("class"))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    """Are there rows equal in doc_id and text?"""
-    return bool(rows.groupBy("doc_id", "text_hash").count().where("count > 1").take(1))
-
-
 def similar_groups(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that pairs of at least this Jaccard similarity reach (null if it has none)."""
     rows = similar_rows(docs, words, similar)

@@ -73,3 +73,20 @@ def test_shared_postings():
         batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, k)) for c, k in zip(zip(*rows[i : i + size], strict=True), kinds, strict=True)], names) for i in range(0, len(rows), size)]
         got = [(t, n) for b in similar._shared(iter(batches)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         assert sorted(got) == want and len(got) == len(want)
+
+
+def test_near_copies_below_the_threshold_make_no_pairs():
+    """A large group of texts that share a shingle, and most others, but are not similar: a pair of each was made before."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 60, np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:42], rng.integers(0, 1 << 64, 18, np.uint64)])) for _ in range(200)]
+    sets += [np.append(s[1:], np.uint64(k)) for k, s in enumerate(sets[:20])]  # these differ from the first ones in one shingle
+    n = len(sets)
+    columns = [np.full(n, 7, np.int64), np.arange(n), np.arange(n), np.array([len(s) for s in sets], np.int32), np.full(n, 59, np.int32)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([similar._sketch(s) for s in sets], pa.binary())], ["token", "component", "node", "n", "after", "sketch"])
+    got = {(int(a), int(b)) for out in similar._across(4, 5)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    alike = {(i, j) for i in range(n) for j in range(i + 1, n) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert alike <= got and len(alike) == 20 and len(got) < 200
