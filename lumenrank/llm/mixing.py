@@ -186,13 +186,17 @@ def _parts(of: Column, chunk: int) -> Column:
 def mixed_documents(docs: DataFrame, seed: int = 6) -> DataFrame:
     """The rows of docs, each as often as mix() takes it."""
     own = "_lr_size _lr_source _lr_n _lr_id".split()
-    taken = mix(docs, seed=seed).where("copies > 0").select(
+    mixed = mix(docs, seed=seed)
+    taken = mixed.where("copies > 0").select(
         F.col("size").alias(own[0]), F.col("source").alias(own[1]), F.col("n").alias(own[2]), F.col("doc_id").alias(own[3]), F.col("copies").alias("_lr_copies")
     )
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn(own[0], size).withColumn(own[1], F.col("source").cast("string")).withColumn(own[3], F.col("doc_id").cast("long"))
-    same = W.partitionBy(own[3], own[1], own[0]).orderBy(F.xxhash64("text"))
-    rows = rows.withColumn(own[2], (F.row_number().over(same) - 1).cast("long"))
-    on = [rows[c].eqNullSafe(taken[c]) if c in (own[1], own[3]) else rows[c] == taken[c] for c in own]
+    if mixed.where("n > 0").take(1):
+        same = W.partitionBy(own[3], own[1], own[0]).orderBy(F.xxhash64("text"))
+        rows = rows.withColumn(own[2], (F.row_number().over(same) - 1).cast("long"))
+    else:  # no row needs a number, so texts are shuffled once
+        own.remove("_lr_n")
+    on = [rows[c].eqNullSafe(taken[c]) if c in ("_lr_source", "_lr_id") else rows[c] == taken[c] for c in own]
     met = rows.join(taken, on)
     return met.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_lr_copies").cast("int"))).alias("_lr_k")).drop("_lr_k")
