@@ -55,7 +55,10 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves 4 MB of disk
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of an ended run are closed then
+    # A query that starts anew for each batch never meets its stores again: a task closes its store when it ends, so an executor
+    # holds as many as it runs tasks, not one for each partition and operator of this run and those just before.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # what a failed task has left is closed then
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }

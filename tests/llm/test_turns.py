@@ -97,3 +97,22 @@ def test_stream_that_ends_early(spark):
         rows = [(c, t, "user", p[5:], b, {1: 0, 2: 4}[c]) for (c, t), (p, _) in arrived.items()]
         feed.push(b, spark.createDataFrame(rows, ARRIVAL), last=b == 1)
     assert [e for e in told(feed.events()) if e[0] == "close"] == [e for e in simulate([*batches, {}, {}, {}], {1: 0, 2: 4}, 5) if e[0] == "close"]
+
+
+def test_stores_are_closed_when_their_tasks_end(spark):
+    """An executor holds no store of a batch that is over: with many partitions they would fill its memory."""
+
+    def open_stores():
+        name = "org.apache.spark.sql.execution.streaming.state.StateStore$"
+        field = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(name).getDeclaredField("loadedProviders")
+        field.setAccessible(True)
+        found = field.get(None).keysIterator()
+        return {found.next().toString() for _ in iter(found.hasNext, False)}
+
+    before = open_stores()
+    feed = turns.Feed(spark, end=2)
+    feed.push(0, spark.createDataFrame([(1, 0, "user", "a", 0, 0)], ARRIVAL))
+    assert open_stores() <= before
+    feed.push(1, spark.createDataFrame([(1, 1, "user", "b", 1, 0)], ARRIVAL), last=True)
+    assert open_stores() <= before
+    assert [e[:4] for e in told(feed.events())] == [("close", 1, -1, 2), ("release", 1, 0, 0), ("release", 1, 1, 1)]
