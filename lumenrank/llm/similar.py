@@ -40,8 +40,8 @@ COUNTERS = 1 << 20
 _PART = 1 << 14
 #: Postings of one shingle that go to one task, by its counter's excess over the mean.
 HOT = 1 << 16
-#: Rounds that compare each text with one other, before all pairs that are left.
-ROUNDS = 2
+#: Rounds that compare each text with one other, then rounds that compare it with the nearest few of all others, before all pairs that are left.
+ROUNDS, JOINING, NEAREST = 2, 2, 3
 
 #: Bits that tell which texts are asked for, by their hashes.
 ASKED = 1 << 25
@@ -178,8 +178,19 @@ GATHER = 1 << 16
 MADE = 1 << 19
 
 
-def _across(over: int, under: int):
-    """Pairs of one token and different groups, of fitting sizes, places and sketches; rows of a token are neighbours."""
+def _nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    """Of pairs at distance d, for each text on either side the nearest partner: at most one row for each text."""
+    a, b, d = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([d, d])
+    order = np.lexsort((b, d, a))
+    order = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
+    return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (a, b, d)], ["a", "b", "d"])
+
+
+def _across(over: int, under: int, nearest: bool = False):
+    """Pairs of one token and different groups, of fitting sizes, places and sketches; rows of a token are neighbours.
+
+    nearest: no pairs, but for each text of a block of them the partner of nearest sketch, with the distance.
+    """
     names = ("token", "component", "node", "n", "after")
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +219,9 @@ def _across(over: int, under: int):
             apart_by = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
             near = apart_by * (over + under) <= (n[i] + n[j]) * (under - over)
             x, y = node[i[near]], node[j[near]]
-            if len(x):
+            if len(x) and nearest:
+                yield _nearest(x, y, apart_by[near])
+            elif len(x):
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
             at = to
@@ -364,7 +377,22 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
             groups = materialise(components(links), "groups")
         # Few bytes make many pairs here: more partitions than adaptive execution would leave.
         tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        left = grouped().join(classes.select("node", "sketch"), "node").repartition(tasks, "token").sortWithinPartitions("token")
+        # Groups whose members are similar across have very many such pairs; the nearest few of each text join them first.
+        for k in range(JOINING + 1):
+            now, before = grouped(), now
+            if before is not None:
+                drop_shared(spark, before)
+            open_ = now.select("token", "node", "n", "after")
+            left = now.join(classes.select("node", "sketch"), "node").repartition(tasks, "token").sortWithinPartitions("token")
+            if k == JOINING:
+                break
+            best = left.mapInArrow(_across(over, under, True), "a long, b long, d long").groupBy("a").agg(F.collect_set(F.struct("d", "b")).alias("v"))
+            tried = best.select("a", F.explode(F.slice(F.sort_array("v"), 1, NEAREST)).alias("v")).select(F.least("a", "v.b").alias("a"), F.greatest("a", "v.b").alias("b"))
+            more = _verified(tried.distinct(), classes, source, words, similar)
+            if not more.take(1):
+                break
+            links = links.unionByName(more)
+            groups = materialise(components(links), "groups")
         pairs = materialise(left.mapInArrow(_across(over, under), "a long, b long").distinct(), "pairs")
         links = links.unionByName(_verified(pairs, classes, source, words, similar))
         joined = materialise(components(links), "joined")

@@ -90,3 +90,21 @@ def test_near_copies_below_the_threshold_make_no_pairs():
     got = {(int(a), int(b)) for out in similar._across(4, 5)(iter([batch])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
     alike = {(i, j) for i in range(n) for j in range(i + 1, n) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
     assert alike <= got and len(alike) == 20 and len(got) < 200
+
+
+def test_similar_groups_are_joined_without_all_their_pairs(spark, monkeypatch):
+    """What the pivots leave apart is joined by the nearest texts first; pairs grow with the texts, not with their square."""
+    monkeypatch.setattr(similar, "ROUNDS", 0)
+    made, verified = [], similar._verified
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, words, 1)) for i in range(80)] + [(100 + i, edited(rng, words, 4)) for i in range(10)]
+    groups = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert groups == brute_groups(rows)
+    assert sum(made) <= (similar.NEAREST * similar.JOINING + 1) * len(rows)
