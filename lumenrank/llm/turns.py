@@ -1,12 +1,10 @@
 """Operator 11: conversations put together from turns that arrive in batches, late, repeated and out of order.
 
-Two chained transformWithState operators in one streaming query:
-
-* the arbiter, keyed by (conv_id, turn), so that a hot conversation is spread over all tasks: of a batch only the
-  smallest payload `role|text` of a turn (by UTF-8 bytes, then by role) arrives; the first one that ever arrives is kept,
-  repeats are forwarded as activity;
-* the sequencer, keyed by conv_id: releases the gapless run of kept turns from the conversation's first, each once;
-  closes a conversation when PATIENCE batches in a row bring nothing for it; rejects whatever arrives afterwards.
+Of a batch only the smallest payload `role|text` of a turn (by UTF-8 bytes, then by role) arrives: a minimum that is taken
+before the shuffle, when the batch is written. One transformWithState operator, the sequencer, keyed by conv_id, does the rest: it
+keeps the first payload that ever arrives of a turn; releases the gapless run of kept turns from the conversation's first, each
+once; closes a conversation when PATIENCE batches in a row bring nothing for it; rejects whatever arrives afterwards. Which turns
+are kept needs no state of its own: those from the first to the next that is due, and those that wait.
 
 Batches are the clock. Batch b has the event time clock(b), and one row without a turn (a tick) ends each batch, so that time
 goes on where nothing arrives. Timers are event-time timers: the sequencer sets one for clock(last arrival + PATIENCE).
@@ -14,7 +12,7 @@ A micro-batch runs under the watermark of the batch before it, so a close is wri
 carries the number of the batch that it belongs to; an arrival that meets a conversation whose time is over closes it first.
 Where the number of batches is known, all timers come in the last one at the latest, and what is open is closed behind its rows.
 
-State: for each turn the batch that it was kept in; for each conversation one row, with up to INLINE waiting turns in it.
+State: for each conversation one row, with up to INLINE waiting turns in it.
 Further ones go to a map by turn, with bitmaps of which turns wait, so a conversation of any length is handled turn by turn
 and never gathered. State is in RocksDB with a changelog under the query's checkpoint; a lost executor or a stopped query
 goes on from there.
@@ -40,13 +38,12 @@ from .common import prepare, shared_path
 
 #: Batches that a table is cut into, and batches in a row without arrivals that close a conversation.
 BATCHES, PATIENCE = 12, 3
-#: Waiting turns (and characters of them) that stand in a conversation's own row; turns of one bitmap.
-INLINE, INLINE_CHARS, BITMAP = 24, 1 << 16, 4096
+#: Waiting turns (and characters of them) that stand in a conversation's own row; turns of one bitmap, and bitmaps held at once.
+INLINE, INLINE_CHARS, BITMAP, READ = 24, 1 << 16, 4096, 4096
 #: Milliseconds between the event times of two batches.
 STEP = 60_000
 
 ARRIVAL = "conv_id long, turn long, batch long, role string, text string, first long, at timestamp"
-_ARBITRATED = "conv_id long, turn long, batch long, role string, text string, first long, kept boolean, at timestamp"
 EVENT = "event string, conv_id long, turn long, batch long, role string, text string, n_missing long, n_breaks long, left_sha256 string"
 
 _STATE = {
@@ -58,6 +55,7 @@ _STATE = {
     # A query that starts anew for each batch never meets its stores again: a task closes its store when it ends, so an executor
     # holds as many as it runs tasks, not one for each partition and operator of this run and those just before.
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # else each write reads first, to count
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # what a failed task has left is closed then
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -69,40 +67,28 @@ def clock(batch: int) -> int:
     return (batch + 1) * STEP
 
 
-class Arbiter(StatefulProcessor):
-    """The smallest payload of a turn in a batch; `kept` for the earliest."""
-
-    def init(self, handle) -> None:
-        self._kept = handle.getValueState("kept", "batch long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = None
-        for r in rows:
-            if r.turn is not None:
-                payload = (f"{r.role}|{r.text}", r.role)
-                if best is None or payload < best[0]:
-                    best = payload, r
-        if best is None:  # a tick
-            return
-        r = best[1]
-        new = self._kept.get() is None
-        if new:
-            self._kept.update((r.batch,))
-        yield Row(conv_id=r.conv_id, turn=r.turn, batch=r.batch, role=r.role, text=r.text, first=r.first, kept=new, at=r.at)
-
-    def close(self) -> None:
-        pass
-
-
 class Waiting:
     """Kept turns of one conversation that can't be released yet: in the conversation's row while they are few, else in a map."""
 
-    def __init__(self, inline: bytes | None, spilled: bool, turns, bitmaps):
-        self.few = {t: (role, text) for t, role, text in json.loads(inline)} if inline else {}
+    def __init__(self, inline: list, spilled: bool, turns, bitmaps):
+        self.few = {t: (role, text) for t, role, text in inline}
         self.spilled, self._turns, self._bitmaps = spilled, turns, bitmaps
+        self._marked: dict[int, bytearray] = {}  # bitmaps read, at most READ
+
+    def _bits(self, block: int) -> bytearray:
+        if block not in self._marked:
+            if len(self._marked) >= READ:  # all are written where they change
+                self._marked.clear()
+            old = self._bitmaps.getValue((block,))
+            self._marked[block] = bytearray(old[0]) if old else bytearray(BITMAP // 8)
+        return self._marked[block]
 
-    def pack(self) -> bytes | None:
-        return json.dumps([[t, *x] for t, x in self.few.items()]).encode() if self.few else None
+    def has(self, turn: int) -> bool:
+        """For turns that weren't taken; a bitmap keeps those that were."""
+        if turn in self.few or not self.spilled:
+            return turn in self.few
+        at = turn % BITMAP
+        return bool(self._bits(turn // BITMAP)[at >> 3] >> (at & 7) & 1)
 
     def put(self, turn: int, role: str, text: str) -> None:
         self.few[turn] = (role, text)
@@ -116,8 +102,7 @@ class Waiting:
             self._turns.updateValue((t,), x)
             marked.setdefault(t // BITMAP, []).append(t % BITMAP)
         for block, bits in marked.items():
-            old = self._bitmaps.getValue((block,))
-            new = bytearray(old[0]) if old else bytearray(BITMAP // 8)
+            new = self._bits(block)
             for bit in bits:
                 new[bit >> 3] |= 1 << (bit & 7)
             self._bitmaps.updateValue((block,), (bytes(new),))
@@ -139,7 +124,7 @@ class Waiting:
             return
         self._spill()
         for block in sorted(k[0] for k in self._bitmaps.keys()):
-            bits = self._bitmaps.getValue((block,))[0]
+            bits = self._bits(block)
             for at in range(BITMAP):
                 if bits[at >> 3] >> (at & 7) & 1 and (got := self._turns.getValue((block * BITMAP + at,))) is not None:
                     yield block * BITMAP + at, got[0]
@@ -149,6 +134,7 @@ class Waiting:
         if self.spilled:
             self._turns.clear()
             self._bitmaps.clear()
+            self._marked = {}
 
 
 class Sequencer(StatefulProcessor):
@@ -159,8 +145,7 @@ class Sequencer(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        head = "first long, next long, last_role string, last long, timer long, closed boolean, kept long, largest long, breaks long, spilled boolean, inline binary"
-        self._head = handle.getValueState("head", head)
+        self._head = handle.getValueState("head", "packed binary")  # JSON: one column is read and written faster than many
         self._turns = handle.getMapState("turns", "turn long", "role string, text string")
         self._bitmaps = handle.getMapState("bitmaps", "block long", "bits binary")
 
@@ -168,13 +153,13 @@ class Sequencer(StatefulProcessor):
         got = self._head.get()
         if got is None:
             return None
-        names = ("first", "next", "last_role", "last", "timer", "closed", "kept", "largest", "breaks", "spilled", "inline")
-        h = dict(zip(names, got, strict=True))
+        h = json.loads(got[0])
         return h, Waiting(h.pop("inline"), h["spilled"], self._turns, self._bitmaps)
 
     def _save(self, h: dict, waiting: Waiting | None) -> None:
         h["spilled"] = bool(waiting and waiting.spilled)
-        self._head.update((*h.values(), waiting.pack() if waiting else None))
+        inline = [[t, *x] for t, x in waiting.few.items()] if waiting else []
+        self._head.update((json.dumps(h | {"inline": inline}).encode(),))
 
     def _wait(self, h: dict) -> None:
         """One timer for each conversation: if it comes too early, it is set again. None comes later than in the last batch."""
@@ -201,11 +186,13 @@ class Sequencer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         conv, found, batch = key[0], None, None
         for r in rows:
+            if r.turn is None:  # a tick
+                continue
             if found is None:
                 found = self._load()
                 if found is None:
                     h = {"first": r.first, "next": r.first, "last_role": None, "last": r.batch, "timer": 0, "closed": False, "kept": 0, "largest": r.first, "breaks": 0, "spilled": False}
-                    found = h, Waiting(None, False, self._turns, self._bitmaps)
+                    found = h, Waiting([], False, self._turns, self._bitmaps)
                 h, waiting = found
                 batch = r.batch
                 if not h["closed"] and batch - h["last"] > self.patience:
@@ -214,7 +201,7 @@ class Sequencer(StatefulProcessor):
                 h["last"] = batch
             if h["closed"]:
                 yield Row(event="reject", conv_id=conv, turn=r.turn, batch=batch, role=r.role, text=r.text, n_missing=None, n_breaks=None, left_sha256=None)
-            elif r.kept:
+            elif not (h["first"] <= r.turn < h["next"] or waiting.has(r.turn)):
                 h["kept"], h["largest"] = h["kept"] + 1, max(h["largest"], r.turn)
                 got = (r.role, r.text)
                 if r.turn != h["next"]:
@@ -253,7 +240,8 @@ class Sequencer(StatefulProcessor):
 
 
 def reassemble(arrivals: DataFrame, end: int | None = None, patience: int = PATIENCE) -> DataFrame:
-    """Events of a stream of arrivals (columns of ARRIVAL; a row without a turn is a tick), one micro-batch for each batch.
+    """Events of a stream of arrivals (columns of ARRIVAL; a row without a turn is a tick), one micro-batch for each batch, in which
+    a turn has one row at most.
 
     event: release, reject (both with turn, role and text) or close (turn -1; n_missing: turns never kept between the first and
     the largest kept; n_breaks: kept turns with the role of the kept turn before; left_sha256: of the decimal numbers of the
@@ -261,8 +249,14 @@ def reassemble(arrivals: DataFrame, end: int | None = None, patience: int = PATI
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own state worker needn't find the package
     timed = arrivals.withWatermark("at", "0 seconds")
-    kept = timed.groupBy("conv_id", "turn").transformWithState(Arbiter(), _ARBITRATED, "append", "eventTime", eventTimeColumnName="at")
-    return kept.groupBy("conv_id").transformWithState(Sequencer(end, patience), EVENT, "append", "eventTime")
+    return timed.groupBy("conv_id").transformWithState(Sequencer(end, patience), EVENT, "append", "eventTime")
+
+
+def smallest(rows: DataFrame, *within: str) -> DataFrame:
+    """Of the rows of a turn (and of equal `within`) the one of the smallest payload, as a minimum that is taken before the shuffle."""
+    rest = [c for c in ("role", "text", "first") if c in rows.columns]
+    payload = F.struct(F.concat_ws("|", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("payload"), *rest)
+    return rows.groupBy("conv_id", "turn", *within).agg(F.min(payload).alias("p")).select("conv_id", "turn", *within, *[f"p.{c}" for c in rest])
 
 
 class Feed:
@@ -272,16 +266,17 @@ class Feed:
         self.spark, self.end, self.patience = prepare(spark), end, patience
         self.folder = folder or shared_path(spark, "turns")
 
-    def push(self, batch: int, rows: DataFrame, last: bool = False) -> None:
+    def push(self, batch: int, rows: DataFrame, last: bool = False, single: bool = False) -> None:
         """Write the arrivals of one batch (ARRIVAL without `at`) with its tick, and run the query over them.
 
-        last: end the stream. Batch end - 1 does so by itself; before it, time is put forward by one more micro-batch.
+        single: each turn has one row at most, so no smallest payload is looked for. last: end the stream. Batch end - 1 does so by itself; before it, time is put forward by one more micro-batch.
         """
         time = f"timestamp_millis({clock(batch)}L)"
         early = last and (self.end is None or self.end < 2 or batch < self.end - 1)
         tick = clock(max(batch, self.end or 0) + 2 * self.patience if early else batch)
         ticks = self.spark.range(1).selectExpr("null conv_id", "null turn", f"{batch}L batch", "null role", "null text", "null first", f"timestamp_millis({tick}L) at")
         columns = [f.split()[0] for f in ARRIVAL.split(", ")]
+        rows = rows if single else smallest(rows.where("turn is not null"), "batch")
         rows.withColumn("at", F.expr(time)).select(*columns).unionByName(ticks).write.mode("append").parquet(f"{self.folder}/in")
         with self._settings({"spark.sql.streaming.noDataMicroBatches.enabled": "true"} if early else {}):
             stream = self.spark.readStream.schema(ARRIVAL).parquet(f"{self.folder}/in")
@@ -322,8 +317,7 @@ def arrivals(conversations: DataFrame, batches: int = BATCHES) -> DataFrame:
     own = F.struct((F.col("h") % batches).alias("batch"), F.col("role"))
     again = F.struct(((F.col("h") + 3) % batches).alias("batch"), F.lit("user").alias("role"))
     rows = rows.withColumn("to", F.explode(F.when(F.col("h") % 7 < 2, F.array(own, again)).otherwise(F.array(own))))
-    payload = F.struct(F.concat_ws("|", "to.role", "text").alias("payload"), F.col("to.role").alias("role"), F.col("text").alias("text"))
-    return rows.groupBy("conv_id", "turn", "to.batch").agg(F.min(payload).alias("p")).select("conv_id", "turn", "batch", "p.role", "p.text")
+    return smallest(rows.select("conv_id", "turn", "to.batch", "to.role", "text"), "batch")
 
 
 def reassembled(conversations: DataFrame, batches: int = BATCHES, patience: int = PATIENCE) -> DataFrame:
@@ -337,5 +331,5 @@ def reassembled(conversations: DataFrame, batches: int = BATCHES, patience: int
     feed = Feed(spark, batches, patience)
     schema = "conv_id long, turn long, role string, text string, first long, batch long"
     for b in range(batches):
-        feed.push(b, spark.read.schema(schema).parquet(path).where(F.col("batch") == b), last=b == batches - 1)
+        feed.push(b, spark.read.schema(schema).parquet(path).where(F.col("batch") == b), last=b == batches - 1, single=True)
     return feed.events()

@@ -116,3 +116,16 @@ def test_stores_are_closed_when_their_tasks_end(spark):
     feed.push(1, spark.createDataFrame([(1, 1, "user", "b", 1, 0)], ARRIVAL), last=True)
     assert open_stores() <= before
     assert [e[:4] for e in told(feed.events())] == [("close", 1, -1, 2), ("release", 1, 0, 0), ("release", 1, 1, 1)]
+
+
+def test_one_operator_keeps_state(spark):
+    """Repeats of released and of waiting turns are told by the conversation's own state, so no second operator and its stores are needed."""
+    plan = [[(1, 0), (1, 1), *((1, t) for t in range(3, 40))], [(1, 1), (1, 5), (1, 39)], [(1, 2), (1, 7)], [(1, 2), (1, 0), (1, 41)]]
+    batches = [{(c, t): (f"user|{b} {t}", "user") for c, t in p} for b, p in enumerate(plan)]
+    feed = turns.Feed(spark, end=len(plan))
+    for b, arrived in enumerate(batches):
+        feed.push(b, spark.createDataFrame([(c, t, "user", p[5:], b, 0) for (c, t), (p, _) in arrived.items()], ARRIVAL), last=b == len(plan) - 1)
+    assert told(feed.events()) == simulate(batches, {1: 0}, len(plan))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{feed.folder}/state/state")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    assert [f.getPath().getName() for f in found if f.isDirectory()] == ["0"]
