@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..tables import materialise
+
+#: Runs of items that are sent to all executors: some 20 MB.
+ASKED_RUNS = 300_000
+
 
 def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Of rows with equal keys the one that comes last."""
@@ -54,20 +60,34 @@ def refuse_test_split(split: str, select: str) -> None:
 def overlapping(docs: DataFrame, items: DataFrame, words: int = 5, share: float = 0.5) -> DataFrame:
     """(query_id, doc_id): documents (doc_id, text) that hold at least a share of an item's (query_id, text) different runs of words.
 
-    Runs are compared by 64-bit hashes. The items' runs are the small side; of the documents only the runs that meet
-    one of them go on. A text of fewer words is one run.
+    The items' runs are the small side: up to ASKED_RUNS of them are sent to the documents and looked up word by word where a
+    text stands, so only runs that meet one go on; beyond, runs are compared by 64-bit hashes in a join. A text of fewer
+    words is one run.
     """
     from ..functions import text as X
+    from . import lexical
+    from .ordering import spread
 
-    def runs(rows: DataFrame, key: str) -> DataFrame:
+    def cut(rows: DataFrame, key: str, run) -> DataFrame:
         t = rows.select(key, X.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
         starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (words - 1), F.lit(1)))
-        return t.select(key, F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("t", i, F.lit(words))))).alias("run"))
+        return t.select(key, F.explode(F.transform(starts, lambda i: run(F.slice("t", i, F.lit(words))))).alias("run"))
 
-    asked = runs(items, "query_id").distinct()
-    many = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    met = runs(docs.select("doc_id", "text"), "doc_id").join(asked, "run").distinct()
-    return met.groupBy("query_id", "doc_id").agg(F.count("*").alias("held")).join(many, "query_id").where(F.col("held") >= F.col("n") * share).select("query_id", "doc_id")
+    def counted(met: DataFrame, asked: DataFrame) -> DataFrame:
+        many = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+        return met.distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("held")).join(many, "query_id").where(F.col("held") >= F.col("n") * share).select("query_id", "doc_id")
+
+    docs = docs.select("doc_id", "text")
+    told = cut(items, "query_id", lambda r: r).distinct().limit(ASKED_RUNS + 1).toArrow()
+    if told.num_rows > ASKED_RUNS:
+        asked = cut(items, "query_id", F.xxhash64).distinct()
+        return counted(cut(docs, "doc_id", F.xxhash64).join(asked, "run"), asked)
+    texts = [tuple(r) for r in told["run"].to_pylist()]
+    number = {r: i for i, r in enumerate(dict.fromkeys(texts))}
+    pairs = pa.table({"query_id": told["query_id"], "run": pa.array([number[r] for r in texts], pa.int64())})
+    asked = docs.sparkSession.createDataFrame(pairs, f"query_id {items.schema['query_id'].dataType.simpleString()}, run long")
+    tokens = spread(docs).select("doc_id", X.tokens(F.col("text")).alias("t"))
+    return counted(lexical.held_runs(tokens, [list(r) for r in number], words).join(asked, "run"), asked)
 
 
 #: Steps of a walk over the corpus; one that doesn't divide its size visits every document.
@@ -121,22 +141,30 @@ def hash_started_negatives(pairs: DataFrame, corpus: DataFrame, dataset: str, of
     """(query_id, positive_id, doc_id) for each pair (query_id, positive_id): the first document from a hashed start on,
     in the order of ids and round the end, that is no positive of the query; none if all are.
 
-    The start is the FNV-1a hash of dataset, query and positive, parted by zero bytes, modulo the corpus's size. A query
-    of b positives meets a free document among b + 1 places, so it is joined with these only.
+    The start is the FNV-1a hash of dataset, query and positive, parted by zero bytes, modulo the corpus's size. A query's
+    positives stand in runs of places that follow each other, and each place knows where its run ends, so a pair whose start is
+    taken goes on behind that run at once: a row a pair, however many positives a query has. At most b + 1 places are passed,
+    for b positives.
     """
     from .ordering import place
 
     total = corpus.count()
-    pairs = pairs.select("query_id", "positive_id").distinct()
-    blocked = pairs.groupBy("query_id").agg(F.count("*").alias("b"))
     key = F.concat_ws("\0", F.lit(dataset), F.col("query_id").cast("string"), F.col("positive_id").cast("string"))
     start = F.pmod(fnv64a(key), F.lit(max(1, total)).cast("decimal(20,0)")).cast("long")
-    asked = pairs.join(blocked, "query_id").select("query_id", "positive_id", start.alias("start"), F.explode(F.sequence(F.lit(0), F.least(F.col("b"), F.lit(total - 1)).cast("int"))).alias("k"))
-    asked = asked.withColumn("i", F.pmod(F.col("start") + F.col("k") + offset, F.lit(max(1, total))))
-    ring = place(corpus.select("doc_id"), F.col("doc_id"), [], "i")
-    taken = pairs.select("query_id", F.col("positive_id").alias("doc_id"))
-    met = asked.join(ring, "i").join(taken, ["query_id", "doc_id"], "left_anti")
-    return met.groupBy("query_id", "positive_id").agg(F.min_by("doc_id", "k").alias("doc_id"))
+    pairs = materialise(pairs.select("query_id", "positive_id").distinct().withColumn("start", F.pmod(start + offset, F.lit(max(1, total)))), "pairs")
+    ring = materialise(place(corpus.select("doc_id"), F.col("doc_id"), [], "i").select("doc_id", "i"), "ring")
+    taken = pairs.select("query_id", F.col("positive_id").alias("doc_id")).join(ring, "doc_id").select("query_id", "i")
+    back = W.partitionBy("query_id").orderBy(F.col("i").desc())
+    ends = F.when(F.coalesce(F.lag("i").over(back) != F.col("i") + 1, F.lit(True)), F.col("i"))
+    taken = taken.withColumn("end", ends).withColumn("free", F.last("end", True).over(back.rowsBetween(W.unboundedPreceding, 0)) + 1).drop("end")
+    taken = materialise(taken, "taken")
+    first = taken.where("i = 0").select("query_id", F.col("free").alias("first"))  # where a search goes on that is round the end
+    per = pairs.groupBy("query_id").agg(F.count("*").alias("b")).join(first, "query_id", "left")
+    met = pairs.join(taken.withColumnRenamed("i", "start"), ["query_id", "start"], "left").join(per, "query_id")
+    ahead = F.coalesce("free", "start")
+    met = met.select("query_id", "positive_id", "b", "start", F.when(ahead < total, ahead).otherwise(F.coalesce("first", F.lit(0))).alias("i"))
+    met = met.where((F.col("i") < total) & (F.pmod(F.col("i") - F.col("start"), F.lit(max(1, total))) <= F.col("b")))
+    return met.join(ring, "i").select("query_id", "positive_id", "doc_id")
 
 
 def hash_order(seed: str, key: Column) -> Column:

@@ -353,3 +353,44 @@ def test_first_teacher_requests(spark):
     assert asked(most=4) == [0, 1, 2, 3] and asked(missing_only=True, most=3) == [1, 2, 4] and teacher.requests(groups, most=2).count() == 6
     with pytest.raises(ValueError):
         teacher.requests(groups, most=0)
+
+
+def test_overlapping_runs_are_found_where_texts_stand(spark, monkeypatch):
+    """As by the join of hashed runs: short texts, repeated runs, ids that come twice, words no item has, nulls."""
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join("abcd"[i] for i in rng.integers(0, 4, n))
+    docs = [(int(i) // 2 if i < 20 else int(i), text(int(n))) for i, n in enumerate(rng.integers(0, 40, 120))] + [(None, "a b c d"), (900, None), (901, "a x b"), (902, "A, b! c? d")]
+    items = [(i, text(n)) for i, n in enumerate([0, 1, 2, 3, 4, 4, 5, 6, 8, 12])] + [(50, "a b c d"), (51, "a x b"), (52, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for words, share in ((5, 0.5), (2, 0.3), (1, 1.0)):
+        found = M.overlapping(d, q, words, share)
+        assert "xxhash64" not in found._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(M, "ASKED_RUNS", 3)
+            joined = rows(M.overlapping(d, q, words, share))
+        assert rows(found) == joined and len(joined) > 5
+    assert M.overlapping(d, q.limit(0)).count() == 0 and M.overlapping(d.limit(0), q).count() == 0
+
+
+def test_hash_started_negatives_pass_runs_at_once(spark):
+    """One row a pair: no row for each place that is passed. Runs at both ends, a query without a free document, ids that come twice."""
+    from lumenrank.operators import mining
+
+    ids = [10 * i for i in range(40)]
+    pairs = [(1, ids[i]) for i in (*range(0, 9), *range(20, 33), *range(35, 40))] + [(2, i) for i in ids] + [(3, ids[39]), (4, ids[0]), (4, 77)]
+    corpus = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for offset in (0, 7):
+        out = mining.hash_started_negatives(spark.createDataFrame(pairs, "query_id long, positive_id long"), corpus, "d", offset)
+        assert "explode(" not in out._jdf.queryExecution().analyzed().toString()
+        got = {(r.query_id, r.positive_id): r.doc_id for r in out.collect()}
+        want = {}
+        for q, p in pairs:
+            h = 14695981039346656037
+            for b in f"d\0{q}\0{p}".encode():
+                h = (h ^ b) * 1099511628211 % (1 << 64)
+            free = [ids[(h % 40 + offset + i) % 40] for i in range(40) if (q, ids[(h % 40 + offset + i) % 40]) not in pairs]
+            if free:
+                want[q, p] = free[0]
+        assert got == want and len(got) == len(pairs) - 40
+    assert mining.hash_started_negatives(spark.createDataFrame(pairs, "query_id long, positive_id long"), corpus.limit(0), "d").count() == 0
